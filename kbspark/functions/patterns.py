@@ -1,0 +1,93 @@
+"""Multi-pattern matcher over Arrow batches: all patterns of a group in one pass over each text."""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+try:
+    import ahocorasick
+except ImportError:  # the operator then joins on runs of characters instead
+    ahocorasick = None
+
+
+class FirstMatches:
+    """Matches as flat arrays; with ``most``, only the lowest ids of each pattern are kept."""
+
+    def __init__(self, patterns: int, most: int | None):
+        self.most = most
+        self.pattern = np.empty(0, np.int64)
+        self.id = np.empty(0, np.int64)
+        self.bar = np.full(patterns, np.iinfo(np.int64).max)
+
+    def add(self, pattern: np.ndarray, ids: np.ndarray) -> None:
+        if self.most is not None:
+            useful = ids < self.bar[pattern]
+            pattern, ids = pattern[useful], ids[useful]
+        pattern, ids = np.concatenate([self.pattern, pattern]), np.concatenate([self.id, ids])
+        if self.most is not None:
+            order = np.lexsort((ids, pattern))
+            pattern, ids = pattern[order], ids[order]
+            place = np.arange(len(pattern)) - np.searchsorted(pattern, pattern)
+            last = place == self.most - 1
+            self.bar[pattern[last]] = ids[last]
+            keep = place < self.most
+            pattern, ids = pattern[keep], ids[keep]
+        self.pattern, self.id = pattern, ids
+
+    def drain(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.pattern, self.id
+        self.pattern, self.id = np.empty(0, np.int64), np.empty(0, np.int64)
+        return out
+
+
+class PatternMatcher:
+    """A bounded table of patterns ``(pattern, group)``."""
+
+    def __init__(self, table: pa.Table, pattern: str, group: str):
+        self.table = table.combine_chunks()
+        self.words = table.column(pattern).to_pylist()
+        self.groups = table.column(group).to_numpy()
+        self.automata = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "automata": {}}
+
+    def _automaton(self, group):
+        if group not in self.automata:
+            machine = ahocorasick.Automaton()
+            for at in np.flatnonzero(self.groups == group):
+                machine.add_word(self.words[at], int(at))
+            machine.make_automaton()
+            self.automata[group] = machine if len(machine) else None
+        return self.automata[group]
+
+    def _match(self, groups: list, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Pattern and row numbers, each pair once."""
+        patterns, rows = [], []
+        for row, (group, text) in enumerate(zip(groups, texts)):
+            machine = self._automaton(group)
+            if machine is None or text is None:
+                continue
+            found = {at for _, at in machine.iter(text)}
+            patterns.extend(found)
+            rows.extend([row] * len(found))
+        return np.array(patterns, np.int64), np.array(rows, np.int64)
+
+    def matches(self, batches: Iterator[pa.RecordBatch], id_name: str, group: str, text: str,
+                most: int | None) -> Iterator[pa.RecordBatch]:
+        """Batches of the pattern columns and the text's id."""
+        state = FirstMatches(len(self.words), most)
+        for batch in batches:
+            ids = batch.column(id_name).to_numpy(zero_copy_only=False)
+            pattern, row = self._match(batch.column(group).to_pylist(), batch.column(text).to_pylist())
+            state.add(pattern, ids[row])
+            if most is None:
+                yield self._rows(id_name, *state.drain())
+        yield self._rows(id_name, *state.drain())
+
+    def _rows(self, id_name: str, pattern: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        picked = self.table.take(pa.array(pattern, pa.int64()))
+        columns = [picked.column(name).combine_chunks() for name in picked.column_names]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), *columns], names=[id_name, *picked.column_names])
