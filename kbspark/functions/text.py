@@ -74,7 +74,7 @@ def occurrences(text: Column, term: Column) -> Column:
 
 def is_symbol_like(term: Column) -> Column:
     """Class, method, path or file names rather than plain words."""
-    found = term.rlike("[A-Z].*[a-z]")
+    found = term.rlike(r"\A.*[A-Z].*[a-z].*\z")
     for mark in fv.SYMBOL_CHARACTERS:
         found = found | F.contains(term, F.lit(mark))
     for suffix in fv.SYMBOL_SUFFIXES:

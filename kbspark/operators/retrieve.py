@@ -224,5 +224,10 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents:
     keyword_weight`` and optionally ``probe_id``. Queries of all modes share the scans.
     """
     valid, bounds = prepare(queries, spaces)
+    return search_valid(valid, chunks, vectors, documents, bounds, min_score)
+
+
+def search_valid(valid: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, bounds: Bounds,
+                 min_score: float | None = None) -> DataFrame:
     found = with_chunk(candidates(valid, chunks, vectors, documents, bounds, min_score), chunks, bounds)
     return rank_candidates(score_candidates(found, valid)).select(*RESULT_COLUMNS)
