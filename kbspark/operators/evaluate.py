@@ -113,7 +113,7 @@ def evaluate(runs: DataFrame, datasets: DataFrame, cases: DataFrame, expected: D
     ``(query_id, answer)``, or from ``answer``, an aggregate over a query's hits. ``latency`` is an expression over
     run and case columns, since a set-based job has no per-case timer.
     """
-    judged, _ = pin(retrieve.judge(run_queries(runs, datasets, cases), spaces))
+    judged = pin(retrieve.judge(run_queries(runs, datasets, cases), spaces), "eval-queries")
     valid = judged.filter(F.col("error").isNull())
     hits = retrieve.search_valid(valid, chunks, vectors, documents, retrieve.measure(valid))
     return case_results(judged, hits, expected, answer, answers, latency)

@@ -177,70 +177,68 @@ def apply_document_changes(documents: DataFrame, chunks: DataFrame, changes: Dat
     space, an active space; nothing follows a delete; space and source type are kept when an update omits them.
     Every touched document gets all its chunks anew, as pending.
     """
-    active_spaces = spaces.filter(F.col("status") == fv.ACTIVE).select(
-        F.col("id").alias("space_id"), F.lit(True).alias("space_ok"))
-    known = documents.select("id", (F.col("status") == fv.ACTIVE).alias("was_active"))
-    is_write = F.col("op").isin("create", "update")
-    space_needed = (F.col("op") == "create") | (is_write & F.col("space_id").isNotNull())
-    checked = (changes.join(active_spaces, "space_id", "left").join(known, "id", "left")
-               .withColumn("space_bad", space_needed & F.col("space_ok").isNull())
-               .withColumn("was_active", F.coalesce("was_active", F.lit(False))))
-
-    # Small per-document facts of fixed width, combined in every task before their shuffle.
-    facts = checked.groupBy("id").agg(
-        F.min(F.when((F.col("op") == "create") & ~F.col("space_bad"), F.col("seq"))).alias("born"))
-    staged = checked.join(facts, "id").withColumn(
-        "born", F.when(F.col("was_active"), F.lit(-1).cast("long")).otherwise(F.col("born")))
-    # The delete that counts is the first one after the document exists.
-    deaths = (staged.filter((F.col("op") == "delete") & (F.col("seq") > F.col("born")))
-              .groupBy("id").agg(F.min("seq").alias("death")))
-    staged = staged.join(deaths, "id", "left")
-    reason = (
-        F.when(F.col("space_bad"), "space not found")
-        .when((F.col("op") == "create") & F.col("was_active"), "document exists")
-        .when(F.col("born").isNull() | (F.col("seq") < F.col("born")), "document not found")
-        .when((F.col("op") == "create") & (F.col("seq") > F.col("born")), "document exists")
-        .when(F.col("seq") > F.col("death"), "document not found"))
-    judged = staged.withColumn("reason", reason)
+    # Changes are judged without their texts; each document's last valid text is fetched once, by its number.
+    judged = judge_changes(documents, changes, spaces)
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "op", "id", "reason")
-    valid = judged.filter(F.col("reason").isNull())
-
-    writes = valid.filter(is_write)
-    kept_fields = writes.groupBy("id").agg(
-        F.max_by("space_id", F.when(F.col("space_id").isNotNull(), F.col("seq"))).alias("new_space"),
-        F.max_by("source_type", F.when(~_blank("source_type"), F.col("seq"))).alias("new_source_type"))
-    written = (latest(writes.select("id", "seq", "title", "content", "source_uri"), "id", "seq")
-               .join(kept_fields, "id")
-               .select("id", F.col("title").alias("new_title"), F.col("content").alias("new_content"),
-                       F.col("source_uri").alias("new_source_uri"), "new_space", "new_source_type",
-                       F.lit(True).alias("written")))
-    deleted = valid.filter(F.col("op") == "delete").select("id", F.lit(True).alias("deleted")).distinct()
-    touched = written.join(deleted, "id", "full_outer")
-
-    is_written = F.coalesce("written", F.lit(False))
-    is_deleted = F.coalesce("deleted", F.lit(False))
-    merged = documents.join(touched, "id", "full_outer")
+    is_write = F.col("op") != "delete"
+    decided = judged.filter(F.col("reason").isNull()).groupBy("id").agg(
+        F.max(F.when(is_write, F.col("seq"))).alias("seq"),
+        F.max_by("space_id", F.when(is_write & F.col("space_id").isNotNull(), F.col("seq"))).alias("new_space"),
+        F.max_by("source_type", F.when(is_write & ~_blank("source_type"), F.col("seq"))).alias("new_source_type"),
+        F.any_value("old_space").alias("old_space"),
+        F.coalesce(F.bool_or(~is_write), F.lit(False)).alias("deleted"))
+    texts = changes.select("id", "seq", F.col("title").alias("new_title"), F.col("content").alias("new_content"),
+                           F.col("source_uri").alias("new_source_uri"))
+    touched = decided.join(texts, ["id", "seq"], "left").withColumn("written", F.col("seq").isNotNull())
+
+    written, deleted = (F.coalesce(name, F.lit(False)) for name in ("written", "deleted"))
 
     def replaced(new: str, old: str) -> Column:
-        return F.when(is_written, F.col(new)).otherwise(F.col(old)).alias(old)
+        return F.when(written, F.col(new)).otherwise(F.col(old)).alias(old)
 
-    after = merged.select(
+    after = documents.join(touched, "id", "full_outer").select(
         "id", F.coalesce("new_space", "space_id").alias("space_id"),
         replaced("new_title", "title"), replaced("new_content", "content"),
         F.coalesce("new_source_type", "source_type", F.lit(fv.DEFAULT_SOURCE_TYPE)).alias("source_type"),
         replaced("new_source_uri", "source_uri"),
-        F.when(is_deleted, fv.DELETED).when(is_written, fv.ACTIVE).otherwise(F.col("status")).alias("status"),
-        is_written.alias("_written"), is_deleted.alias("_deleted"))
+        F.when(deleted, fv.DELETED).when(written, fv.ACTIVE).otherwise(F.col("status")).alias("status"))
 
-    rebuilt = chunk_documents(after.filter("_written"), max_size, overlap)
-    dead = deleted.select(F.col("id").alias("document_id"), F.lit(fv.DELETED).alias("_dead"))
     columns = ["id", "document_id", "space_id", "chunk_index", "content", "char_count", "embedding_status",
                "vector_id", "status"]
-    kept = chunks.join(written.select(F.col("id").alias("document_id")), "document_id", "left_anti")
-    all_chunks = (kept.select(*columns).unionByName(rebuilt.select(*columns))
-                  .join(dead, "document_id", "left")
-                  .withColumn("status", F.coalesce("_dead", "status")).select(*columns))
-    return Changed(after.drop("_written", "_deleted"), all_chunks, rejects)
+    status = F.when(deleted, fv.DELETED).otherwise(F.col("status"))
+    marks = decided.select(F.col("id").alias("document_id"), F.col("seq").isNotNull().alias("written"), "deleted")
+    kept = chunks.join(marks, "document_id", "left").filter(~written).withColumn("status", status)
+    rewritten = touched.filter("written").select(
+        "id", F.coalesce("new_space", "old_space").alias("space_id"), F.col("new_content").alias("content"))
+    rebuilt = (chunk_documents(rewritten, max_size, overlap)
+               .join(marks.select("document_id", "deleted"), "document_id").withColumn("status", status))
+    return Changed(after, kept.select(*columns).unionByName(rebuilt.select(*columns)), rejects)
+
+
+def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Changes without their texts, with the document's ``old_space`` and the ``reason`` of a rejection."""
+    active_spaces = spaces.filter(F.col("status") == fv.ACTIVE).select(
+        F.col("id").alias("space_id"), F.lit(True).alias("space_ok"))
+    known = documents.select(
+        "id", F.col("space_id").alias("old_space"), (F.col("status") == fv.ACTIVE).alias("was_active"))
+    op, seq = F.col("op"), F.col("seq")
+    space_needed = (op == "create") | ((op == "update") & F.col("space_id").isNotNull())
+    checked = (changes.select("seq", "op", "id", "space_id", "source_type")
+               .join(active_spaces, "space_id", "left").join(known, "id", "left")
+               .withColumn("space_bad", space_needed & F.col("space_ok").isNull()))
+    # A document lives from its first valid create (or from before the feed) to the first delete after that. Both
+    # are minima, combined in every task, so that a document most changes name costs one row per task.
+    alive = F.coalesce("was_active", F.lit(False))
+    births = checked.groupBy("id").agg(F.min(
+        F.when(alive, F.lit(-1).cast("long")).when((op == "create") & ~F.col("space_bad"), seq)).alias("born"))
+    staged = checked.join(births, "id")
+    deaths = staged.filter((op == "delete") & (seq > F.col("born"))).groupBy("id").agg(F.min("seq").alias("death"))
+    reason = (
+        F.when(F.col("space_bad"), "space not found")
+        .when((op == "create") & (seq > F.col("born")), "document exists")
+        .when(F.col("born").isNull() | (seq < F.col("born")) | (seq > F.col("death")), "document not found"))
+    return staged.join(deaths, "id", "left").select(
+        "seq", "op", "id", "space_id", "source_type", "old_space", reason.alias("reason"))
 
 
 def soft_delete_documents(documents: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ not broadcast more than the bound at a time.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kbspark.sources.folders import shared_folder
+
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -37,13 +39,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def pin(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """A small request table computed once and held as a local relation; a larger one is returned as it is.
+def pin(rows: DataFrame, name: str) -> DataFrame:
+    """A request or result table that feeds several branches of a job, computed once.
 
-    Request tables feed several branches of one job. Holding the small ones spares every branch their derivation and
-    lets Spark see their true size.
+    A small one becomes a local relation, so that Spark also sees its true size. A larger one is written to the
+    shared checkpoint folder and read back, which survives the loss of any executor.
     """
     table = rows.limit(MAX_PINNED_ROWS + 1).toArrow()
-    if table.num_rows > MAX_PINNED_ROWS or table.nbytes > MAX_PINNED_BYTES:
-        return rows, False
-    return rows.sparkSession.createDataFrame(table, rows.schema), True
+    if table.num_rows <= MAX_PINNED_ROWS and table.nbytes <= MAX_PINNED_BYTES:
+        return rows.sparkSession.createDataFrame(table, rows.schema)
+    folder = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

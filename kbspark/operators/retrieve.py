@@ -22,6 +22,8 @@ class Bounds(NamedTuple):
     """Measured once per job; what may be broadcast follows from it."""
     queries: int
     candidate_k: int
+    by_vector: int
+    by_keyword: int
 
 
 # --- requests -------------------------------------------------------------------------------------------------
@@ -71,13 +73,15 @@ def rejected(queries: DataFrame, spaces: DataFrame) -> DataFrame:
 
 
 def measure(queries: DataFrame) -> Bounds:
-    row = queries.agg(F.count("*").alias("n"), F.max("candidate_k").alias("k")).first()
-    return Bounds(row.n, row.k or 0)
+    row = queries.agg(
+        F.count("*").alias("n"), F.max("candidate_k").alias("k"), F.count_if("use_vector").alias("v"),
+        F.count_if("use_keyword").alias("w")).first()
+    return Bounds(row.n, row.k or 0, row.v, row.w)
 
 
 def prepare(queries: DataFrame, spaces: DataFrame) -> tuple[DataFrame, Bounds]:
-    """The queries that can run, computed once if they are few, and their measure."""
-    valid, _ = pin(judge(queries, spaces).filter(F.col("error").isNull()).drop("error"))
+    """The queries that can run, computed once, and their measure."""
+    valid = pin(judge(queries, spaces).filter(F.col("error").isNull()).drop("error"), "queries")
     return valid, measure(valid)
 
 
@@ -106,7 +110,8 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame,
     live_chunks = chunks.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("chunk_id"), "document_id")
     live_documents = documents.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("document_id"))
     # The few hits are the build sides; chunks and documents are scanned on three columns and not shuffled.
-    live = live_chunks.join(broadcast_if(hits, rows, _CANDIDATE_BYTES), "chunk_id")
+    # The exchange in between ends the scan of chunks before the next broadcast, whose timer then only sees few rows.
+    live = live_chunks.join(broadcast_if(hits, rows, _CANDIDATE_BYTES), "chunk_id").repartition("document_id")
     live = live_documents.join(broadcast_if(live, rows, _CANDIDATE_BYTES), "document_id")
     order = Window.partitionBy("query_id").orderBy("vector_rank")
     return (live.withColumn("vector_rank", F.row_number().over(order))
@@ -211,9 +216,16 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
 
 def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame,
                bounds: Bounds, min_score: float | None = None) -> DataFrame:
-    return merge_candidates(
-        vector_candidates(queries, chunks, vectors, documents, bounds, min_score),
-        keyword_candidates(queries, chunks, bounds))
+    """Candidates of the branches that any query needs."""
+    rank = F.lit(None).cast("int")
+    if not bounds.by_vector:
+        return keyword_candidates(queries, chunks, bounds).select(
+            "query_id", "chunk_id", F.lit(None).cast("double").alias("vector_score"), rank.alias("vector_rank"),
+            "keyword_rank")
+    by_vector = vector_candidates(queries, chunks, vectors, documents, bounds, min_score)
+    if not bounds.by_keyword:
+        return by_vector.withColumn("keyword_rank", rank)
+    return merge_candidates(by_vector, keyword_candidates(queries, chunks, bounds))
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, spaces: DataFrame,

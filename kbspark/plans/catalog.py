@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kbspark import fixed_values as fv
 from kbspark.functions import codes, scores, text as tx
 from kbspark.operators import answer, evaluate, history, ingest, integrity, listing, retrieve, vectorize
+from kbspark.operators.limits import pin
 from kbspark.sources.folders import shared_folder
 from kbspark.sources.testdata import KnowledgeBase
 from kbspark.streaming import rollup
@@ -567,11 +568,12 @@ def list_metrics(kb):
 
 
 def _summaries(kb):
-    return kb.runs.join(
+    summary = kb.runs.join(
         evaluate.summarise_runs(_case_results(kb)).withColumnRenamed("run_id", "id"), "id").select(
         "id", "dataset_id", "run_name", "retrieval_mode", "total_case_count", "success_case_count",
         "failed_case_count", "avg_recall_at_k", "hit_rate_at_k", "mrr", "avg_answer_keyword_hit",
         "citation_correct_rate", "avg_latency_ms", "status")
+    return pin(summary, "run-summaries")
 
 
 @query
