@@ -9,6 +9,7 @@ from kbspark.functions import codes, scores, text as tx
 from kbspark.operators import answer, evaluate, history, ingest, integrity, listing, retrieve, vectorize
 from kbspark.operators.limits import pin
 from kbspark.sources.folders import shared_folder
+from kbspark.sources.shipping import ship
 from kbspark.sources.testdata import KnowledgeBase
 from kbspark.streaming import rollup
 
@@ -16,7 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(build: Callable[[KnowledgeBase], DataFrame]) -> Callable[[KnowledgeBase], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(KnowledgeBase(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return build(KnowledgeBase(spark, sf_dir))
+
+    QUERIES[build.__name__] = run
     return build
 
 
