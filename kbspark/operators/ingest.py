@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbspark import fixed_values as fv
 from kbspark.functions import text as tx
+from kbspark.operators.limits import broadcast_if, pin
 
-# Chunk ids are ``document id * CHUNK_ID_FACTOR + chunk index``, so they need no counter.
+# First chunk ids are ``document id * CHUNK_ID_FACTOR + chunk index``, so they need no counter.
 CHUNK_ID_FACTOR = 1_000_000
 
+# Bytes of a broadcast row about one document.
+_MARK_BYTES = 160
+
 
 class Changed(NamedTuple):
     documents: DataFrame
@@ -181,37 +185,41 @@ def apply_document_changes(documents: DataFrame, chunks: DataFrame, changes: Dat
     judged = judge_changes(documents, changes, spaces)
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "op", "id", "reason")
     is_write = F.col("op") != "delete"
-    decided = judged.filter(F.col("reason").isNull()).groupBy("id").agg(
+    decided = pin(judged.filter(F.col("reason").isNull()).groupBy("id").agg(
         F.max(F.when(is_write, F.col("seq"))).alias("seq"),
         F.max_by("space_id", F.when(is_write & F.col("space_id").isNotNull(), F.col("seq"))).alias("new_space"),
         F.max_by("source_type", F.when(is_write & ~_blank("source_type"), F.col("seq"))).alias("new_source_type"),
-        F.any_value("old_space").alias("old_space"),
-        F.coalesce(F.bool_or(~is_write), F.lit(False)).alias("deleted"))
-    texts = changes.select("id", "seq", F.col("title").alias("new_title"), F.col("content").alias("new_content"),
-                           F.col("source_uri").alias("new_source_uri"))
-    touched = decided.join(texts, ["id", "seq"], "left").withColumn("written", F.col("seq").isNotNull())
-
-    written, deleted = (F.coalesce(name, F.lit(False)) for name in ("written", "deleted"))
-
-    def replaced(new: str, old: str) -> Column:
-        return F.when(written, F.col(new)).otherwise(F.col(old)).alias(old)
-
-    after = documents.join(touched, "id", "full_outer").select(
-        "id", F.coalesce("new_space", "space_id").alias("space_id"),
-        replaced("new_title", "title"), replaced("new_content", "content"),
-        F.coalesce("new_source_type", "source_type", F.lit(fv.DEFAULT_SOURCE_TYPE)).alias("source_type"),
-        replaced("new_source_uri", "source_uri"),
-        F.when(deleted, fv.DELETED).when(written, fv.ACTIVE).otherwise(F.col("status")).alias("status"))
-
+        F.any_value("old_space").alias("old_space"), F.any_value("old_source_type").alias("old_source_type"),
+        F.coalesce(F.bool_or(~is_write), F.lit(False)).alias("deleted")), "decided-changes")
+    marks = decided.select("id", F.col("seq").isNotNull().alias("written"), "deleted")
+    # A small feed is broadcast, and documents and chunks are rewritten without a shuffle of their texts.
+    touched = decided.count()
+
+    def marked(rows: DataFrame, key: str) -> DataFrame:
+        """Rows that no write replaces, deleted where the feed says so."""
+        side = broadcast_if(marks.withColumnRenamed("id", key), touched, _MARK_BYTES)
+        return (rows.join(side, key, "left").filter(~F.coalesce("written", F.lit(False)))
+                .withColumn("status", F.when(F.col("deleted"), fv.DELETED).otherwise(F.col("status")))
+                .drop("written", "deleted"))
+
+    status = F.when(F.col("deleted"), fv.DELETED).otherwise(fv.ACTIVE).alias("status")
+    texts = changes.select("id", "seq", "title", "content", "source_uri")
+    rewritten = texts.join(broadcast_if(decided.filter("seq is not null"), touched, _MARK_BYTES), ["id", "seq"]).select(
+        "id", F.coalesce("new_space", "old_space").alias("space_id"), "title", "content",
+        F.coalesce("new_source_type", "old_source_type", F.lit(fv.DEFAULT_SOURCE_TYPE)).alias("source_type"),
+        "source_uri", status)
+    after = marked(documents, "id").select(*rewritten.columns).unionByName(rewritten)
+
+    # Rebuilt chunks get ids no chunk of the document had, so that vectors of the old ones find nothing.
+    tops = chunks.select("id", "document_id").join(
+        broadcast_if(marks.filter("written").select(F.col("id").alias("document_id")), touched, _MARK_BYTES),
+        "document_id").groupBy("document_id").agg((F.max("id") + 1).alias("free_id"))
+    facts = decided.select(F.col("id").alias("document_id"), "deleted").join(tops, "document_id", "left")
     columns = ["id", "document_id", "space_id", "chunk_index", "content", "char_count", "embedding_status",
                "vector_id", "status"]
-    status = F.when(deleted, fv.DELETED).otherwise(F.col("status"))
-    marks = decided.select(F.col("id").alias("document_id"), F.col("seq").isNotNull().alias("written"), "deleted")
-    kept = chunks.join(marks, "document_id", "left").filter(~written).withColumn("status", status)
-    rewritten = touched.filter("written").select(
-        "id", F.coalesce("new_space", "old_space").alias("space_id"), F.col("new_content").alias("content"))
-    rebuilt = (chunk_documents(rewritten, max_size, overlap)
-               .join(marks.select("document_id", "deleted"), "document_id").withColumn("status", status))
+    rebuilt = (chunk_documents(rewritten, max_size, overlap).drop("status").join(facts, "document_id")
+               .withColumn("id", F.coalesce(F.col("free_id") + F.col("chunk_index"), "id")).select("*", status))
+    kept = marked(chunks, "document_id")
     return Changed(after, kept.select(*columns).unionByName(rebuilt.select(*columns)), rejects)
 
 
@@ -219,8 +227,11 @@ def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -
     """Changes without their texts, with the document's ``old_space`` and the ``reason`` of a rejection."""
     active_spaces = spaces.filter(F.col("status") == fv.ACTIVE).select(
         F.col("id").alias("space_id"), F.lit(True).alias("space_ok"))
+    named = pin(changes.select("id").distinct(), "changed-documents")
     known = documents.select(
-        "id", F.col("space_id").alias("old_space"), (F.col("status") == fv.ACTIVE).alias("was_active"))
+        "id", F.col("space_id").alias("old_space"), F.col("source_type").alias("old_source_type"),
+        (F.col("status") == fv.ACTIVE).alias("was_active"),
+    ).join(broadcast_if(named, named.count(), _MARK_BYTES), "id")
     op, seq = F.col("op"), F.col("seq")
     space_needed = (op == "create") | ((op == "update") & F.col("space_id").isNotNull())
     checked = (changes.select("seq", "op", "id", "space_id", "source_type")
@@ -238,14 +249,19 @@ def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -
         .when((op == "create") & (seq > F.col("born")), "document exists")
         .when(F.col("born").isNull() | (seq < F.col("born")) | (seq > F.col("death")), "document not found"))
     return staged.join(deaths, "id", "left").select(
-        "seq", "op", "id", "space_id", "source_type", "old_space", reason.alias("reason"))
+        "seq", "op", "id", "space_id", "source_type", "old_space", "old_source_type", reason.alias("reason"))
 
 
 def soft_delete_documents(documents: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents and chunks after soft-deleting the active documents of ``ids``."""
-    gone = (documents.filter(F.col("status") == fv.ACTIVE).select("id")
-            .join(ids.select("id").distinct(), "id", "left_semi").withColumn("gone", F.lit(True)))
-    status = F.when(F.col("gone"), fv.DELETED).otherwise(F.col("status"))
-    return (documents.join(gone, "id", "left").withColumn("status", status).drop("gone"),
-            chunks.join(gone.withColumnRenamed("id", "document_id"), "document_id", "left")
-            .withColumn("status", status).drop("gone"))
+    named = pin(ids.select("id").distinct(), "deleted-documents")
+    rows = named.count()
+    active = documents.filter(F.col("status") == fv.ACTIVE).select("id")
+    gone = active.join(broadcast_if(named, rows, _MARK_BYTES), "id").withColumn("gone", F.lit(True))
+
+    def marked(table: DataFrame, key: str) -> DataFrame:
+        side = broadcast_if(gone.withColumnRenamed("id", key), rows, _MARK_BYTES)
+        return table.join(side, key, "left").withColumn(
+            "status", F.when(F.col("gone"), fv.DELETED).otherwise(F.col("status"))).drop("gone")
+
+    return marked(documents, "id"), marked(chunks, "document_id")

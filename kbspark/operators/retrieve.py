@@ -24,6 +24,11 @@ class Bounds(NamedTuple):
     candidate_k: int
     by_vector: int
     by_keyword: int
+    spaces: list[int] | None
+
+
+# More spaces than this are not listed in a scan's filter.
+MAX_LISTED_SPACES = 1000
 
 
 # --- requests -------------------------------------------------------------------------------------------------
@@ -76,7 +81,17 @@ def measure(queries: DataFrame) -> Bounds:
     row = queries.agg(
         F.count("*").alias("n"), F.max("candidate_k").alias("k"), F.count_if("use_vector").alias("v"),
         F.count_if("use_keyword").alias("w")).first()
-    return Bounds(row.n, row.k or 0, row.v, row.w)
+    named = [one.space_id for one in queries.select("space_id").distinct().limit(MAX_LISTED_SPACES + 1).collect()]
+    return Bounds(row.n, row.k or 0, row.v, row.w, sorted(named) if len(named) <= MAX_LISTED_SPACES else None)
+
+
+def of_spaces(rows: DataFrame, bounds: Bounds) -> DataFrame:
+    """Rows of the queried spaces: prunes the directories of tables that are partitioned by space.
+
+    A chunk never changes its space, since moving a document gives it new chunks; so looking chunks up by id within
+    the spaces of the queries loses none.
+    """
+    return rows if bounds.spaces is None else rows.filter(F.col("space_id").isin(bounds.spaces))
 
 
 def prepare(queries: DataFrame, spaces: DataFrame) -> tuple[DataFrame, Bounds]:
@@ -95,6 +110,7 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame,
     than ``vector_k`` rows may remain. Queries with the same ``probe_id`` share space and vector and are scored once.
     """
     wanted = queries.filter("use_vector")
+    chunks, vectors = of_spaces(chunks, bounds), of_spaces(vectors, bounds)
     if "probe_id" in queries.columns:
         probes = wanted.groupBy("probe_id").agg(
             F.any_value("space_id").alias("space_id"), F.max("fetch_k").alias("fetch_k"),
@@ -143,7 +159,7 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds) ->
              .select("query_id", "space_id", "candidate_k",
                      F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term")))
     terms = asked.select("space_id", "term").distinct()
-    texts = searchable(chunks).select(F.col("id").alias("chunk_id"), "space_id", F.lower("content").alias("text"))
+    texts = searchable(of_spaces(chunks, bounds)).select(F.col("id").alias("chunk_id"), "space_id", F.lower("content").alias("text"))
     most = bounds.candidate_k if bounds.candidate_k <= GROUP_LIMIT_MAX else None
     matches = contains_join(texts, terms, "text", "term", group="space_id", key="chunk_id", most=most)
     found = (matches.join(asked, ["space_id", "term"])
@@ -166,7 +182,7 @@ def merge_candidates(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFra
 def with_chunk(candidates: DataFrame, chunks: DataFrame, bounds: Bounds) -> DataFrame:
     """Candidates with their chunk's text; chunks are scanned once and not shuffled."""
     rows = bounds.queries * (fv.VECTOR_TOP_K_MAX + bounds.candidate_k)
-    full = chunks.select(F.col("id").alias("chunk_id"), "document_id", "space_id", "chunk_index", "content")
+    full = of_spaces(chunks, bounds).select(F.col("id").alias("chunk_id"), "document_id", "space_id", "chunk_index", "content")
     return full.join(broadcast_if(candidates, rows, _CANDIDATE_BYTES), "chunk_id")
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from kbspark import fixed_values as fv
 from kbspark.functions import codes
+from kbspark.operators.limits import broadcast_if, pin
+
+# Bytes of a broadcast (chunk, outcome) row.
+_OUTCOME_BYTES = 64
 
 
 def active_documents(documents: DataFrame) -> DataFrame:
@@ -60,9 +64,10 @@ def embed_batches(chunks: DataFrame, embed: Callable[[pa.Array], pa.Array], text
 def mark_outcomes(chunks: DataFrame, documents: DataFrame, vectors: DataFrame,
                   retry_failed: bool = False) -> DataFrame:
     """Chunks after a vectorising job: with a vector done, without one failed, others as they were."""
-    tried = (attach_vectors(pending_chunks(chunks, documents, retry_failed).select("id"), vectors)
-             .select("id", F.col("embedding").isNotNull().alias("has_vector")))
-    return (chunks.join(tried, "id", "left")
+    tried = pin(attach_vectors(pending_chunks(chunks, documents, retry_failed).select("id"), vectors)
+                .select("id", F.col("embedding").isNotNull().alias("has_vector")), "outcomes")
+    # Few outcomes are broadcast, so that the chunks' texts are rewritten without a shuffle.
+    return (chunks.join(broadcast_if(tried, tried.count(), _OUTCOME_BYTES), "id", "left")
             .withColumn("embedding_status",
                         F.when(F.col("has_vector"), fv.EMBEDDING_DONE)
                         .when(~F.col("has_vector"), fv.EMBEDDING_FAILED)

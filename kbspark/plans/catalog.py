@@ -2,6 +2,8 @@
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbspark import fixed_values as fv
@@ -10,8 +12,9 @@ from kbspark.operators import answer, evaluate, history, ingest, integrity, list
 from kbspark.operators.limits import pin
 from kbspark.sources.folders import shared_folder
 from kbspark.sources.shipping import ship
-from kbspark.sources.testdata import KnowledgeBase
-from kbspark.streaming import rollup
+from kbspark.sources.tables import read_table, write_table
+from kbspark.sources.testdata import KnowledgeBase, space_of
+from kbspark.streaming import ingest as stream_ingest, rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -214,6 +217,18 @@ def run_results(kb):
         _joined("retrieved_chunk_ids").alias("retrieved_chunk_ids"), "expected_count", "grounded")
 
 
+# --- storage --------------------------------------------------------------------------------------------------
+
+@query
+def stored_chunks(kb):
+    """The chunk table written by space and read back."""
+    root = shared_folder(kb.spark, "tables")
+    write_table(kb.chunks, root, "kb_chunk")
+    return read_table(kb.spark, root, "kb_chunk").select(
+        "id", "document_id", "space_id", "chunk_index", "content", "char_count", "embedding_status", "vector_id",
+        "status")
+
+
 # --- vectorising ----------------------------------------------------------------------------------------------
 
 @query
@@ -238,6 +253,20 @@ def attached_vectors(kb):
         "id", F.coalesce(F.size("embedding"), F.lit(0)).alias("width"))
 
 
+def _count_vector(texts):
+    """A stand-in for an embedding model: text length and number of blanks; fails on texts shorter than 40."""
+    sizes = pc.utf8_length(texts)
+    pairs = zip(sizes.to_pylist(), pc.count_substring(texts, " ").to_pylist())
+    return pa.array([None if size < 40 else [size, blanks] for size, blanks in pairs], pa.list_(pa.float32()))
+
+
+@query
+def embedded_batches(kb):
+    return vectorize.embed_batches(vectorize.pending_chunks(kb.chunks, kb.documents), _count_vector).select(
+        "id", F.get("embedding", F.lit(0)).cast("int").alias("size"),
+        F.get("embedding", F.lit(1)).cast("int").alias("blanks"))
+
+
 @query
 def chunk_status_transition(kb):
     return vectorize.mark_outcomes(kb.chunks, kb.documents, kb.fresh_vectors).select(
@@ -419,6 +448,14 @@ def _answers(hits):
     return hits.filter("rank = 1").select("query_id", F.col("content").alias("answer"))
 
 
+@query
+def generated_answers(kb):
+    """Answers of a caller's function; the stand-in tells the prompt's length."""
+    asks, hits = _asked(kb)
+    prompts = answer.prompts(asks.select("query_id", "question"), hits)
+    return answer.generate_answers(prompts, pc.utf8_length)
+
+
 @query
 def no_hit_answers(kb):
     asks = kb.queries("KEYWORD_ONLY").withColumnRenamed("query", "question")
@@ -510,7 +547,7 @@ def run_config(kb):
     """Run requests told by the documents: mode, limits and flags are partly missing."""
     doc = F.col("doc_id")
     requests = kb.raw("documents").select(
-        doc.alias("id"), space_of_lang(F.col("lang")).alias("dataset_id"),
+        doc.alias("id"), space_of(F.col("lang")).alias("dataset_id"),
         F.when(doc % 3 == 0, F.col("source")).when(doc % 3 == 1, " ").alias("run_name"),
         F.when(doc % 4 == 0, "hybrid").when(doc % 4 == 1, "").when(doc % 4 == 2, " odd ").alias("retrieval_mode"),
         F.when(doc % 5 != 0, (doc % 7 - 1).cast("int")).alias("top_k"),
@@ -520,12 +557,6 @@ def run_config(kb):
     return evaluate.configure_runs(requests, F.concat(F.lit("eval-run-"), F.col("id").cast("string")))
 
 
-def space_of_lang(lang):
-    from kbspark.sources.testdata import space_of
-
-    return space_of(lang)
-
-
 @query
 def case_json_roundtrip(kb):
     """Term lists written as JSON and read back; some are null, some malformed."""
@@ -652,14 +683,40 @@ def batch_task_rollup(kb):
     return vectorize.finished(rollup.outcome_counts(kb.outcomes))
 
 
-def stream_task_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts from the events as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = shared_folder(spark, "task-rollup")
-    stream = rollup.start_rollup(KnowledgeBase.outcomes_of(events), out, shared_folder(spark, "task-rollup-state"))
-    stream.awaitTermination()
-    return rollup.current_tasks(spark, out)
+def _stream(kb, table):
+    """A given table as a file stream."""
+    return (kb.spark.readStream.schema(kb.raw(table).schema).option("pathGlobFilter", f"{table}.parquet")
+            .parquet(kb.sf_dir))
+
+
+@query
+def stream_task_rollup(kb):
+    """The same counts from the events as a stream."""
+    out = shared_folder(kb.spark, "task-rollup")
+    outcomes = kb.outcomes_of(_stream(kb, "events"))
+    rollup.start_rollup(outcomes, out, shared_folder(kb.spark, "task-rollup-state")).awaitTermination()
+    return rollup.current_tasks(kb.spark, out)
+
+
+@query
+def stream_document_chunks(kb):
+    """Chunks of the documents as a stream of versions."""
+    versions = _stream(kb, "documents").select(
+        F.col("doc_id").alias("id"), space_of(F.col("lang")).alias("space_id"), F.col("text").alias("content"),
+        F.lit(1).cast("long").alias("version"))
+    out = shared_folder(kb.spark, "stream-chunks")
+    stream_ingest.start_ingest(versions, out, shared_folder(kb.spark, "stream-chunks-state")).awaitTermination()
+    return stream_ingest.current_chunks(kb.spark, out).select(
+        "document_id", "space_id", "chunk_index", "content", "char_count")
 
 
-QUERIES["stream_task_rollup"] = stream_task_rollup
+@query
+def stream_repeated_changes(kb):
+    """The events sent twice, each kept once."""
+    twice = _stream(kb, "events").unionByName(_stream(kb, "events"))
+    out = shared_folder(kb.spark, "stream-changes")
+    once = stream_ingest.drop_repeated(twice, ["event_id"]).select("event_id", "user_id", "event_type")
+    (once.writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", shared_folder(kb.spark, "stream-changes-state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return kb.spark.read.parquet(out)

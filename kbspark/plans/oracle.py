@@ -492,8 +492,9 @@ _SELECTS = {
     "document_update_rebuild": f"""
 SELECT {_CHUNK_COLUMNS}, CASE WHEN document_id IN (SELECT id FROM dead) THEN 0 ELSE status END AS status FROM (
     SELECT {_CHUNK_COLUMNS}, status FROM kb_chunk WHERE document_id NOT IN (SELECT id FROM written)
-    UNION ALL SELECT document_id * 1000000 + chunk_index, document_id, space_id, chunk_index, content,
-                     length(content)::INTEGER, 0, NULL, 1 FROM new_piece)""",
+    UNION ALL SELECT coalesce(free_id, document_id * 1000000) + chunk_index, document_id, space_id, chunk_index, content,
+                     length(content)::INTEGER, 0, NULL, 1 FROM new_piece
+    LEFT JOIN (SELECT document_id, max(id) + 1 AS free_id FROM kb_chunk GROUP BY document_id) USING (document_id))""",
     "document_update_rows": "SELECT id, space_id, title, source_type, source_uri, status FROM document_after",
     "document_update_rejects": "SELECT seq, op, id, reason FROM judged_change WHERE reason IS NOT NULL",
     "soft_delete_cascade": """
@@ -531,6 +532,10 @@ FROM kb_chunk""",
                    "FROM chunk_vector",
     "attached_vectors": "SELECT c.id, coalesce(len(f.embedding), 0)::INTEGER AS width FROM kb_chunk c "
                         "LEFT JOIN fresh_vector f USING (id) WHERE c.status = 1 AND c.embedding_status = 0",
+    "embedded_batches": "SELECT id, CASE WHEN length(content) >= 40 THEN length(content) END::INTEGER AS size, "
+                        "CASE WHEN length(content) >= 40 THEN length(content) - length(replace(content, ' ', '')) END"
+                        "::INTEGER AS blanks FROM kb_chunk WHERE status = 1 AND embedding_status = 0",
+    "stored_chunks": f"SELECT {_CHUNK_COLUMNS}, status FROM kb_chunk",
     "chunk_status_transition": f"""
 SELECT c.id, CASE WHEN c.status = 1 AND c.embedding_status = 0 THEN CASE WHEN f.id IS NULL THEN 2 ELSE 1 END
                   ELSE c.embedding_status END AS embedding_status,
@@ -585,6 +590,11 @@ FROM q_mixed WHERE item_id % 9 = 0 OR length(query) <= 30""",
     "rag_prompts": f"""
 SELECT q.query_id, q.query AS question, {_quoted(fv.PROMPT_HEADER)} || q.query || {_quoted(fv.PROMPT_CONTEXT)}
        || h.context || {_quoted(fv.PROMPT_FOOTER)} AS prompt
+FROM q_ask q JOIN (SELECT query_id, string_agg({_PROMPT_BLOCK}, '' ORDER BY rank) AS context FROM a_hits
+                   GROUP BY query_id) h USING (query_id)""",
+    "generated_answers": f"""
+SELECT query_id, length({_quoted(fv.PROMPT_HEADER)} || q.query || {_quoted(fv.PROMPT_CONTEXT)} || h.context
+                        || {_quoted(fv.PROMPT_FOOTER)})::VARCHAR AS answer
 FROM q_ask q JOIN (SELECT query_id, string_agg({_PROMPT_BLOCK}, '' ORDER BY rank) AS context FROM a_hits
                    GROUP BY query_id) h USING (query_id)""",
     "answer_references": f"SELECT query_id, rank AS reference_index, chunk_id, document_id, space_id, chunk_index, "
@@ -672,6 +682,9 @@ SELECT comparison_id, '{fv.COMPARE_SUMMARY_HEAD[0]}' || compared_run_count || '{
 
     "batch_task_rollup": _task_status("outcome_count"),
     "stream_task_rollup": _task_status("outcome_count"),
+    "stream_document_chunks": "SELECT document_id, space_id, chunk_index, content, length(content)::INTEGER AS "
+                              "char_count FROM piece",
+    "stream_repeated_changes": "SELECT event_id, user_id, event_type FROM events",
 }
 
 ORACLES = {name: statement(select) for name, select in _SELECTS.items()}

@@ -8,8 +8,12 @@ from kbspark.operators import ingest
 
 
 def drop_repeated(changes: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each change once, as long as its repeats arrive within ``delay``; older state is dropped."""
-    return changes.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    """Each change once, as long as its repeats arrive within ``delay``; older state is dropped.
+
+    Watermarks need a timestamp with a zone; the tables' own timestamps have none and are read in the session's.
+    """
+    return (changes.withColumn(time, F.col(time).cast("timestamp"))
+            .withWatermark(time, delay).dropDuplicatesWithinWatermark(keys))
 
 
 def chunk_batch(batch: DataFrame, batch_id: int, out: str) -> None:
