@@ -34,7 +34,7 @@ def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split an input of fewer partitions than cores; a large input is returned as it is, without a shuffle."""
+    """Split a scan of fewer partitions than cores; a large scan is returned as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 

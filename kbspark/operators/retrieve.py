@@ -78,11 +78,15 @@ def rejected(queries: DataFrame, spaces: DataFrame) -> DataFrame:
 
 
 def measure(queries: DataFrame) -> Bounds:
-    row = queries.agg(
-        F.count("*").alias("n"), F.max("candidate_k").alias("k"), F.count_if("use_vector").alias("v"),
-        F.count_if("use_keyword").alias("w")).first()
-    named = [one.space_id for one in queries.select("space_id").distinct().limit(MAX_LISTED_SPACES + 1).collect()]
-    return Bounds(row.n, row.k or 0, row.v, row.w, sorted(named) if len(named) <= MAX_LISTED_SPACES else None)
+    """Counts and limits of the queries, and their spaces if these are few."""
+    counts = [F.count("*").alias("n"), F.max("candidate_k").alias("k"), F.count_if("use_vector").alias("v"),
+              F.count_if("use_keyword").alias("w")]
+    rows = queries.groupBy("space_id").agg(*counts).limit(MAX_LISTED_SPACES + 1).collect()
+    spaces = sorted(row.space_id for row in rows) if len(rows) <= MAX_LISTED_SPACES else None
+    if spaces is None:
+        rows = queries.agg(*counts).collect()
+    return Bounds(sum(row.n for row in rows), max((row.k for row in rows), default=0), sum(row.v for row in rows),
+                  sum(row.w for row in rows), spaces)
 
 
 def of_spaces(rows: DataFrame, bounds: Bounds) -> DataFrame:

@@ -16,16 +16,20 @@ from kbspark.sources.tables import read_table, write_table
 from kbspark.sources.testdata import KnowledgeBase, space_of
 from kbspark.streaming import ingest as stream_ingest, rollup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BUILDERS: dict[str, Callable[[KnowledgeBase], DataFrame]] = {}
 
 
 def query(build: Callable[[KnowledgeBase], DataFrame]) -> Callable[[KnowledgeBase], DataFrame]:
+    BUILDERS[build.__name__] = build
+    return build
+
+
+def _over_test_data(build: Callable[[KnowledgeBase], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         return build(KnowledgeBase(spark, sf_dir))
 
-    QUERIES[build.__name__] = run
-    return build
+    return run
 
 
 def _joined(values):
@@ -720,3 +724,6 @@ def stream_repeated_changes(kb):
      .option("checkpointLocation", shared_folder(kb.spark, "stream-changes-state"))
      .trigger(availableNow=True).start().awaitTermination())
     return kb.spark.read.parquet(out)
+
+
+QUERIES = {name: _over_test_data(build) for name, build in BUILDERS.items()}

@@ -13,6 +13,7 @@ from kbspark.functions import codes, text as tx
 from kbspark.operators import ingest
 from kbspark.operators.contains import contains_join
 from kbspark.operators.limits import spread
+from kbspark.sources.tables import read_table, write_table
 
 # The four languages of the test documents are the four spaces.
 SPACE_OF_LANG = {"de": 1, "en": 2, "es": 3, "fr": 4}
@@ -269,3 +270,27 @@ class KnowledgeBase:
         return self.named_spaces.select(
             "id", F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.upper("name")).alias("name"),
             F.concat(F.lit("renamed "), "name").alias("description"))
+
+
+class StoredKnowledgeBase(KnowledgeBase):
+    """The same tables, with the content tables read from where ``store`` wrote them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+        super().__init__(spark, sf_dir)
+        self.root = root
+
+    def _stored(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.root, name)
+
+    spaces = cached_property(lambda self: self._stored("kb_space"))
+    documents = cached_property(lambda self: self._stored("kb_document"))
+    chunks = cached_property(lambda self: spread(self._stored("kb_chunk"), "id"))
+    vectors = cached_property(lambda self: spread(self._stored("chunk_vector"), "chunk_id"))
+
+
+def store(kb: KnowledgeBase, root: str) -> None:
+    """Write the content tables of a knowledge base."""
+    write_table(kb.spaces, root, "kb_space")
+    write_table(kb.documents, root, "kb_document")
+    write_table(kb.chunks, root, "kb_chunk")
+    write_table(kb.vectors, root, "chunk_vector")
