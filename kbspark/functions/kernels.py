@@ -13,6 +13,9 @@ from kbspark.functions.scores import DIGITS
 # Largest number of scores held at once (rows of a query block times rows of a batch).
 BLOCK_SCORES = 4_000_000
 
+# Largest count of vector elements turned into floating-point rows at once.
+BLOCK_NUMBERS = 4_000_000
+
 _SCALE = 10.0 ** DIGITS
 
 
@@ -30,6 +33,13 @@ def unit_rows(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return keep, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose vectors hold at most ``BLOCK_NUMBERS`` numbers."""
+    width = max(1, len(batch.column("embedding").flatten()) // max(1, batch.num_rows))
+    step = max(1, BLOCK_NUMBERS // width)
+    return (batch.slice(first, step) for first in range(0, batch.num_rows, step))
+
+
 class TopHits:
     """Running best hits of a fixed set of queries, as flat arrays sorted by query, score and chunk id."""
 
@@ -83,7 +93,7 @@ class QueryMatrix:
     def best(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Best hits within the given batches of ``(space_id, chunk_id, embedding)``."""
         state = {}
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             keep, vectors = unit_rows(batch.column("embedding"))
             space = batch.column("space_id").to_numpy(zero_copy_only=False)[keep]
             chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)[keep].astype(np.int64)

@@ -11,34 +11,47 @@ except ImportError:  # the operator then joins on runs of characters instead
     ahocorasick = None
 
 
+# Matches that wait before the lowest ids per pattern are sorted out again.
+WAITING = 200_000
+
+
 class FirstMatches:
     """Matches as flat arrays; with ``most``, only the lowest ids of each pattern are kept."""
 
     def __init__(self, patterns: int, most: int | None):
         self.most = most
-        self.pattern = np.empty(0, np.int64)
-        self.id = np.empty(0, np.int64)
+        self.parts = []
+        self.kept = self.waiting = 0
         self.bar = np.full(patterns, np.iinfo(np.int64).max)
 
     def add(self, pattern: np.ndarray, ids: np.ndarray) -> None:
         if self.most is not None:
             useful = ids < self.bar[pattern]
             pattern, ids = pattern[useful], ids[useful]
-        pattern, ids = np.concatenate([self.pattern, pattern]), np.concatenate([self.id, ids])
-        if self.most is not None:
-            order = np.lexsort((ids, pattern))
-            pattern, ids = pattern[order], ids[order]
-            place = np.arange(len(pattern)) - np.searchsorted(pattern, pattern)
-            last = place == self.most - 1
-            self.bar[pattern[last]] = ids[last]
-            keep = place < self.most
-            pattern, ids = pattern[keep], ids[keep]
-        self.pattern, self.id = pattern, ids
+        self.parts.append((pattern, ids))
+        self.waiting += len(ids)
+        if self.most is not None and self.waiting > max(WAITING, self.kept):
+            self._sort_out()
+
+    def _sort_out(self) -> None:
+        pattern, ids = (np.concatenate(part) for part in zip(*self.parts))
+        order = np.lexsort((ids, pattern))
+        pattern, ids = pattern[order], ids[order]
+        place = np.arange(len(pattern)) - np.searchsorted(pattern, pattern)
+        last = place == self.most - 1
+        self.bar[pattern[last]] = ids[last]
+        keep = place < self.most
+        self.parts = [(pattern[keep], ids[keep])]
+        self.kept, self.waiting = int(keep.sum()), 0
 
     def drain(self) -> tuple[np.ndarray, np.ndarray]:
-        out = self.pattern, self.id
-        self.pattern, self.id = np.empty(0, np.int64), np.empty(0, np.int64)
-        return out
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        if self.most is not None:
+            self._sort_out()
+        pattern, ids = (np.concatenate(part) for part in zip(*self.parts))
+        self.parts, self.kept, self.waiting = [], 0, 0
+        return pattern, ids
 
 
 class PatternMatcher:

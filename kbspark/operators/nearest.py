@@ -9,9 +9,9 @@ from kbspark import fixed_values as fv
 from kbspark.functions.kernels import QueryMatrix
 from kbspark.operators.limits import max_broadcast_bytes
 
-# Rows of one cell of the shuffled search, each side.
-CELL_VECTORS = 50_000
-CELL_QUERIES = 2_000
+# Bytes of the vectors of one cell of the shuffled search, each side.
+CELL_VECTOR_BYTES = 64 * 1024 * 1024
+CELL_QUERY_BYTES = 8 * 1024 * 1024
 
 # A space is split only beyond one cell, so at most ``rows / cell`` spaces are; the cell grows with the table to
 # keep that number, and with it the broadcast table of splits, below this.
@@ -31,13 +31,12 @@ def nearest(probes: DataFrame, vectors: DataFrame, min_score: float | None = Non
         F.count("*").alias("rows"), F.max(F.size("query_vec")).alias("width")).first()
     # Eight bytes per number in the matrix, four in its source.
     fits = size.rows * (size.width or 0) * 12 <= max_broadcast_bytes(probes.sparkSession)
-    hits = _by_broadcast(probes, stored) if fits else _by_cells(probes, stored, size.rows)
+    hits = _by_broadcast(probes, stored) if fits else _by_cells(probes, stored, size.rows, size.width)
     if min_score is not None:
         hits = hits.filter(F.col("vector_score") >= min_score)
     order = Window.partitionBy("probe_id").orderBy(F.desc("vector_score"), "chunk_id")
     ranked = hits.withColumn("vector_rank", F.row_number().over(order)).filter(
         F.col("vector_rank") <= fv.VECTOR_FETCH_CAP)
-    # Row counts only: joining the vectors again is not needed for the per-query limit.
     limits = probes.select("probe_id", "fetch_k")
     return (ranked.join(limits, "probe_id").filter(F.col("vector_rank") <= F.col("fetch_k"))
             .select("probe_id", "chunk_id", "vector_score", "vector_rank"))
@@ -56,11 +55,11 @@ def _by_broadcast(probes: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, _schema(probes))
 
 
-def _by_cells(probes: DataFrame, vectors: DataFrame, probe_rows: int) -> DataFrame:
+def _by_cells(probes: DataFrame, vectors: DataFrame, probe_rows: int, width: int) -> DataFrame:
     """Split large spaces into cells of vectors and cells of queries, and score every cell in a task of its own."""
     vector_rows = vectors.count()
-    vector_cell = max(CELL_VECTORS, vector_rows // MAX_SPLIT_SPACES)
-    probe_cell = max(CELL_QUERIES, probe_rows // MAX_SPLIT_SPACES)
+    vector_cell = max(CELL_VECTOR_BYTES // (4 * width), vector_rows // MAX_SPLIT_SPACES)
+    probe_cell = max(CELL_QUERY_BYTES // (4 * width), probe_rows // MAX_SPLIT_SPACES)
 
     def splits(rows: DataFrame, cell: int, name: str) -> DataFrame:
         sizes = rows.groupBy("space_id").agg(F.count("*").alias("n")).filter(F.col("n") > cell)

@@ -65,8 +65,9 @@ def test_nearest(spark, monkeypatch, way):
     stored = [(int(n % 3 == 0) + 1, n, shared[n % 40].tolist()) for n in range(500)]
     stored += [(1, 900, None), (2, 901, [0.0] * 6)]
     probes = [(f"q{n}", n % 3 + 1, int(rng.integers(1, 61)), rng.normal(size=6).round(2).tolist()) for n in range(30)]
-    monkeypatch.setattr(nearest, "CELL_VECTORS", 60)
-    monkeypatch.setattr(nearest, "CELL_QUERIES", 4)
+    # Six numbers of four bytes: cells of 60 vectors and of 4 queries.
+    monkeypatch.setattr(nearest, "CELL_VECTOR_BYTES", 60 * 24)
+    monkeypatch.setattr(nearest, "CELL_QUERY_BYTES", 4 * 24)
     spark.conf.set("kbspark.maxBroadcastBytes", "10" if way == "cells" else "1000000")
     try:
         found = nearest.nearest(
@@ -104,3 +105,32 @@ def test_broadcast_only_within_the_bound(spark):
 
     rows = spark.range(10)
     assert hinted(broadcast_if(rows, 10, 100)) and not hinted(broadcast_if(rows, 10_000_000, 100))
+
+
+def test_kernels_in_small_steps(monkeypatch):
+    """Buffers that overflow all the time give the same result as one that never does."""
+    import pyarrow as pa
+
+    from kbspark.functions import kernels, patterns
+
+    rng = np.random.default_rng(2)
+    queries = pa.table({"probe_id": [1, 2, 3], "space_id": [1, 1, 2], "fetch_k": [7, 3, 5],
+                        "query_vec": rng.normal(size=(3, 4)).tolist()})
+    batches = [pa.RecordBatch.from_pydict({
+        "space_id": rng.integers(1, 3, 50).tolist(), "chunk_id": (np.arange(50) + 50 * n).tolist(),
+        "embedding": rng.integers(-2, 3, (50, 4)).astype(float).tolist()}) for n in range(6)]
+    texts = [pa.RecordBatch.from_pydict({
+        "id": rng.permutation(1000)[:40].tolist(), "g": [1] * 40, "t": ["".join(rng.choice(list("ab"), 5)) for _ in range(40)]})
+        for _ in range(8)]
+    words = pa.table({"w": ["a", "ab", "bba", "zz"], "g": [1, 1, 1, 1]})
+
+    def both():
+        hits = [row for out in kernels.QueryMatrix(queries).best(iter(batches)) for row in out.to_pylist()]
+        found = patterns.PatternMatcher(words, "w", "g").matches(iter(texts), "id", "g", "t", 5)
+        return (sorted(map(repr, hits)), sorted(repr(row) for out in found for row in out.to_pylist()))
+
+    whole = both()
+    for module, name, value in ((kernels, "BLOCK_SCORES", 10), (kernels, "BLOCK_NUMBERS", 12), (patterns, "WAITING", 1)):
+        monkeypatch.setattr(module, name, value)
+    assert both() == whole
+    assert len(whole[0]) == 15 and len(whole[1]) == 15
