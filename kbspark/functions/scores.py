@@ -22,7 +22,9 @@ def _count(flags: Column) -> Column:
 
 def keyword_score(terms: Column, content: Column) -> Column:
     """Share of terms found, plus a bonus per occurrence, at most 1."""
-    hits = F.transform(terms, lambda term: tx.occurrences(F.lower(content), F.lower(term)))
+    # A term without a visible character (an ideographic space, say) is never counted.
+    hits = F.transform(terms, lambda term: F.when(
+        tx.has_text(term), tx.occurrences(F.lower(content), F.lower(term))).otherwise(0))
     found = F.size(F.filter(hits, lambda n: n > 0))
     total = F.aggregate(hits, F.lit(0), lambda acc, n: acc + n)
     score = F.least(

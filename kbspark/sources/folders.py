@@ -7,14 +7,18 @@ from pyspark.sql import SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+_local = {}
+
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path for ``purpose`` under the folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder of this machine is used.
+    Only where that is unset, as in local tests, one temporary folder of this machine is used.
     """
     base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not base:
-        base = tempfile.mkdtemp(prefix="kbspark-")
-        spark.conf.set(_SETTING, base)
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = tempfile.mkdtemp(prefix="kbspark-")
+        base = _local[application]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

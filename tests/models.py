@@ -32,7 +32,7 @@ def keyword_score(query, content):
     words = terms(query)
     if not words or not (content or "").strip():
         return 0.0
-    counts = [content.lower().count(word.lower()) for word in words]
+    counts = [content.lower().count(word.lower()) if word.strip() else 0 for word in words]
     return min(1.0, sum(n > 0 for n in counts) / len(words) + min(0.3, sum(counts) * 0.03))
 
 
