@@ -4,8 +4,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kbspark.llm import decontaminate, kd_shards, mixing, quality, simhash
-from kbspark.llm.common import table
+from kbspark.llm import (decontaminate, kd_shards, licenses, mixing, passages, quality, range_join, simhash, token_counts,
+                         toxicity)
+from kbspark.llm.common import stored, table
+from kbspark.sources.folders import shared_folder
 
 # The mixture of the queries: domains by source number, integer weights per node of the tree.
 DOMAINS = ["web", "reference", "books"]
@@ -53,6 +55,25 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated(found).alias("contaminated"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer_dir: str = "/opt/tokenizers") -> DataFrame:
+    """Totals after two batches: all documents come; then some are revised and some deleted, and that is sent twice."""
+    versions = {name: f"{tokenizer_dir}/{name}.tiktoken" for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(spark, shared_folder(spark, "token-totals"))
+    counted = stored(token_counts.per_document(docs, versions), "token-counts")
+    rollup.commit("first", token_counts.changes(None, counted))
+    revised = docs.filter(F.col("doc_id") % 10 == 3).withColumn("text", F.concat("text", F.lit("\n"), "source"))
+    deleted = docs.filter(F.col("doc_id") % 10 == 7)
+    gone = token_counts.counts_of(counted, revised.select("doc_id").unionByName(deleted.select("doc_id")))
+    for _ in range(2):
+        rollup.commit("second", token_counts.changes(gone, token_counts.per_document(revised, versions)))
+    return rollup.totals()
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(docs).select("doc_id", "quality_score", (F.col("quality_score") >= quality.THRESHOLD).alias("accepted"))
@@ -69,12 +90,30 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_lines(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_passages": op3_passages,
+    "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
+    "op7_embedding_range": op7_embedding_range,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 _CASES = lambda column, weights: (
@@ -94,7 +133,49 @@ def _order_sql(epoch):
     return f"CAST('0x' || substr(md5('{SEED}:' || {epoch} || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)"
 
 
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{notice}')" for name, notice in licenses.TEMPLATES.items())
+
+
+def _grams_sql(words):
+    return (f"CASE WHEN len({words}) = 1 THEN {words} ELSE list_distinct([{words}[j] || ' ' || {words}[j + 1] "
+            f"FOR j IN range(1, len({words}))]) END")
+
+
 ORACLES = {
+    "op3_passages": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM docs WHERE len(words) >= 20),
+windows AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 19], ' ')) AS phrase FROM places),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, pos) AS nth FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS place FROM ranked WHERE nth > 1),
+removed AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words
+    ELSE [words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(places, j)] END, ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN removed USING (doc_id)""",
+    "op6_licenses": f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM split),
+words AS (SELECT doc_id, CAST(n - 1 AS INTEGER) AS line, regexp_extract_all(translate(lines[n],
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM numbered),
+grams AS (SELECT doc_id, line, {_grams_sql("w")} AS g FROM words WHERE len(w) > 0),
+templates AS (SELECT license, regexp_extract_all(lower(notice), '[a-z0-9]+') AS w FROM (VALUES {_TEMPLATE_ROWS}) t(license, notice)),
+sets AS (SELECT license, {_grams_sql("w")} AS g FROM templates),
+compared AS (SELECT doc_id, line, license, CAST(2.0 AS DOUBLE) * len(list_intersect(grams.g, sets.g)) / (len(grams.g) + len(sets.g)) AS dice
+  FROM grams, sets)
+SELECT doc_id, line, license, dice FROM compared WHERE dice >= 0.8 - 1e-12""",
+    "op7_embedding_range": """
+WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+sized AS (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS size FROM vectors WHERE len(v) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.v) = len(b.v) WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+reach AS (SELECT vec_id AS start, vec_id AS node FROM embeddings
+  UNION SELECT start, b FROM reach JOIN pairs ON node = a),
+lowest AS (SELECT start, min(node) AS component_id FROM reach GROUP BY start),
+counts AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN lowest ON start = vec_id LEFT JOIN counts ON a = vec_id""",
     "op1_mixing": f"""
 WITH words AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select(
         "code", "first_id", F.coalesce("root", "code").alias("root"))
     classes = stored(classes, "classes")
-    lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    lowest = stored(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     named = stored(classes.join(lowest, "root").select("code", "component_id"), "classes")
     return marked.join(named, "code").select("doc_id", "code", "component_id")
 
