@@ -19,6 +19,7 @@ Texts that are equal as a whole are not searched: all but the first are copies f
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from kbspark.llm.common import binary_values, blocks, small_side, stored, text_key
+from kbspark.llm.common import BLOCK_BYTES, binary_values, blocks, small_side, stored, text_key
 
 WINDOW = 20
 GRAM = 8
@@ -38,18 +39,40 @@ SHARD_BYTES = 4 << 20
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _LAST_ID = (1 << 63) - 1
 
-_HELD_WORDS = 300_000
 _SEGMENT = 1 << 16
 
 
-class _Hashes(dict):
-    """64-bit word hashes, remembered up to ``_HELD_WORDS``."""
+_GAPS = np.zeros(256, dtype=bool)
+_GAPS[[32, *range(9, 14)]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _HELD_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, dtype=np.uint64)
+    out[:1] = 1
+    return out.cumprod(dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE, BLOCK_BYTES + 4096), _powers(pow(_BASE, -1, 1 << 64), BLOCK_BYTES + 4096)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, from running sums of the bytes times the powers of a base."""
+    parts = []
+    for block in blocks(text, _GAP):
+        codes = np.frombuffer(block, dtype=np.uint8)
+        up, down = (_UP, _DOWN) if len(codes) <= len(_UP) else (
+            _powers(_BASE, len(codes)), _powers(pow(_BASE, -1, 1 << 64), len(codes)))
+        edges = np.diff(np.concatenate([[True], _GAPS[codes], [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:len(codes)], out=sums[1:])
+        hashes = (sums[ends] - sums[starts]) * down[starts]
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(0xD6E8FEB86659FD93)
+        parts.append(hashes ^ hashes >> np.uint64(29))
+    return np.concatenate(parts)
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
@@ -90,12 +113,10 @@ def _anchored(docs: DataFrame) -> DataFrame:
     """``(anchor, doc, twin, first, count, times)`` for every anchor of every text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Hashes()
         for batch in batches:
             found, sizes = [], []
             for value in binary_values(batch.column(2)):
-                parts = [np.fromiter(map(held.__getitem__, words), np.uint64, len(words)) for words in words_of(value)]
-                found.append(anchors(np.concatenate(parts) if parts else np.zeros(0, np.uint64)))
+                found.append(anchors(word_hashes(value)))
                 sizes.append(len(found[-1][0]))
             place = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             names, first, count, times = [np.concatenate(column) for column in zip(*found, strict=True)]
@@ -160,58 +181,61 @@ class _Shard:
     def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pattern, stretch and place of every occurrence of a recurring window."""
         sizes = np.array([len(one) for one in self.lists])
-        flat = np.fromiter((word for one in self.lists for word in one), np.uint64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(self.lists), np.uint64, int(sizes.sum()))
         # Confirmed by hash: windows of one stretch follow each other, those across two stretches are left out.
         hashes = _grams((flat + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), WINDOW)
         starts = np.cumsum(sizes) - sizes
-        stretch = np.repeat(np.arange(len(sizes)), sizes)[:len(hashes)]
-        inside = np.arange(len(hashes)) - starts[stretch] <= sizes[stretch] - WINDOW
-        places = np.flatnonzero(inside)
+        stretch = np.repeat(np.arange(len(sizes)), sizes)
+        places = np.flatnonzero(np.arange(len(hashes)) - starts[stretch[:len(hashes)]] <= (sizes - WINDOW)[stretch[:len(hashes)]])
         order = places[np.argsort(hashes[places], kind="stable")]
         same = hashes[order][1:] == hashes[order][:-1]
-        heads = np.flatnonzero(np.diff(np.concatenate([[False], same]).astype(np.int8)) == 1)
-        recurring = order[heads]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for number, at in enumerate(recurring.tolist()):
-            one, place = self.lists[stretch[at]], at - starts[stretch[at]]
-            automaton.add_word(tuple(one[place:place + WINDOW]), number)
+        recurring = order[np.flatnonzero(np.diff(np.concatenate([[False], same]).astype(np.int8)) == 1)]
         if not len(recurring):
             return (np.zeros(0, np.int64),) * 3
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        places = recurring - starts[stretch[recurring]]
+        for number, (one, place) in enumerate(zip(stretch[recurring].tolist(), places.tolist(), strict=True)):
+            automaton.add_word(tuple(self.lists[one][place:place + WINDOW]), number)
         automaton.make_automaton()
-        with_hits = np.unique(stretch[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]])
-        pattern, where, place = [], [], []
-        for number in with_hits.tolist():
-            for end, found in automaton.iter(tuple(self.lists[number])):
-                pattern.append(found)
-                where.append(number)
-                place.append(end - WINDOW + 1)
-        return np.array(pattern, np.int64), np.array(where, np.int64), np.array(place, np.int64)
-
-    def spans(self) -> Iterator[tuple]:
+        # One pass over the stretches that have any, with a mark between them that is no word.
+        chosen = np.unique(stretch[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]])
+        end = len(self.words)
+        line = []
+        for number in chosen.tolist():
+            line += self.lists[number]
+            line.append(end)
+        hits = np.fromiter(chain.from_iterable(automaton.iter(tuple(line))), np.int64).reshape(-1, 2)
+        begins = np.cumsum(sizes[chosen] + 1) - sizes[chosen] - 1
+        at = hits[:, 0] - WINDOW + 1
+        row = np.searchsorted(begins, at, side="right") - 1
+        return hits[:, 1], chosen[row], at - begins[row]
+
+    def spans(self) -> Iterator[tuple[np.ndarray, ...]]:
         """``(doc, twin, start, stop, window)``: spans to remove, and with a window's name the earliest of a part."""
         pattern, where, place = self.occurrences()
         start = self.firsts[where] + place
         order = np.lexsort((start, self.twins[where], self.docs[where], pattern))
-        later = np.concatenate([[False], pattern[order][1:] == pattern[order][:-1]])
+        later = np.concatenate([[False], pattern[order][1:] == pattern[order][:-1]])[:len(order)]
         marked = order[later]
         marked = marked[np.lexsort((start[marked], where[marked]))]
-        run = 0
-        while run < len(marked):  # consecutive windows of a stretch make one span
-            end = run
-            while end + 1 < len(marked) and where[marked[end + 1]] == where[marked[run]] and \
-                    start[marked[end + 1]] <= start[marked[end]] + WINDOW:
-                end += 1
-            one = where[marked[run]]
-            yield int(self.docs[one]), int(self.twins[one]), int(start[marked[run]]), int(start[marked[end]]) + WINDOW, None
-            run = end + 1
+        if len(marked):  # consecutive windows of a stretch make one span
+            one, begin = where[marked], start[marked]
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(one) != 0) | (np.diff(begin) > WINDOW)]))
+            tails = np.append(heads[1:], len(marked)) - 1
+            yield (self.docs[one[heads]], self.twins[one[heads]], begin[heads], begin[tails] + WINDOW,
+                   [None] * len(heads))
+        if not self.salted.any():
+            return
         dropped = set(zip(where[marked].tolist(), place[marked].tolist(), strict=True))
+        rows = []
         for number in np.flatnonzero(self.salted).tolist():
-            one = self.lists[number]
+            one, first = self.lists[number], int(self.firsts[number])
             for at in range(len(one) - WINDOW + 1):
                 if (number, at) not in dropped:
-                    name = hashlib.md5(b" ".join(self.words[word] for word in one[at:at + WINDOW])).digest()
-                    first = int(self.firsts[number]) + at
-                    yield int(self.docs[number]), int(self.twins[number]), first, first + WINDOW, name
+                    name = hashlib.md5(b" ".join([self.words[word] for word in one[at:at + WINDOW]])).digest()
+                    rows.append((self.docs[number], self.twins[number], first + at, first + at + WINDOW, name))
+        if rows:
+            yield tuple(zip(*rows, strict=True))
 
 
 def _marked(stretches: DataFrame) -> DataFrame:
@@ -221,11 +245,10 @@ def _marked(stretches: DataFrame) -> DataFrame:
         table = pa.Table.from_batches(held)
         shard = _Shard(np.asarray(table["parts"]) > 1, *[np.asarray(table[name]) for name in ("doc", "twin", "first")],
                        table["text"].to_pylist())
-        rows = list(shard.spans())
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.record_batch([pa.array(column, kind) for column, kind in zip(
-            columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-            names=["doc", "twin", "start", "stop", "window"])
+        for columns in shard.spans():
+            yield pa.record_batch([pa.array(column, kind) for column, kind in zip(
+                columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                names=["doc", "twin", "start", "stop", "window"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -262,9 +285,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # A list is no longer than its text.
     kept = stored(found.join(again, "anchor").groupBy("doc", "twin").agg(
         F.collect_list(F.struct("anchor", "first", "count", "parts")).alias("kept")), "kept-anchors")
-    size = kept.agg(F.sum(F.size("kept")).alias("n")).first()["n"] or 0
-    rows = max(1, kept.count())
-    marks = stored(_marked(_stretches(docs.join(small_side(kept, 64 + 32 * size // rows), ["doc", "twin"]))), "spans")
+    # The lists are a good part of the texts, so both sides are shuffled at any size.
+    marks = stored(_marked(_stretches(docs.join(kept, ["doc", "twin"]))), "spans")
     order = W.partitionBy("window").orderBy("doc", "twin", "start")
     over_parts = marks.filter("window IS NOT NULL").withColumn("place", F.row_number().over(order)).filter("place > 1")
     spans = marks.filter("window IS NULL").select("doc", "twin", "start", "stop").unionByName(
