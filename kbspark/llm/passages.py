@@ -17,6 +17,7 @@ Texts that are equal as a whole are not searched: all but the first are copies f
 """
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -33,6 +34,10 @@ WINDOW = 20
 GRAM = 8
 PART_ROWS = 512
 
+# Words per symbol of the automata: a power of two that divides the window.
+BLOCK = 4
+DIGITS = 64
+
 # Bytes of text compiled and streamed at a time.
 SHARD_BYTES = 4 << 20
 
@@ -169,7 +174,11 @@ def _stretches(docs: DataFrame) -> DataFrame:
 
 
 class _Shard:
-    """Stretches of some whole anchors: finds all occurrences of the windows that recur among them."""
+    """Stretches of some whole anchors: finds all occurrences of the windows that recur among them.
+
+    The automaton reads blocks of ``BLOCK`` words as one symbol, which makes it a quarter as large. A window is five
+    symbols in a row; the stretches are streamed once for each place of a first block.
+    """
 
     def __init__(self, salted: np.ndarray, docs: np.ndarray, twins: np.ndarray, firsts: np.ndarray, texts: list[bytes]):
         self.salted, self.docs, self.twins, self.firsts = salted, docs, twins, firsts
@@ -178,37 +187,47 @@ class _Shard:
             lists.append([numbers.setdefault(word, len(numbers)) for word in text.split(b" ")])
         self.words, self.lists = list(numbers), lists
 
+    def _line(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All stretches in one line, each followed by a mark that is no word; their starts and sizes."""
+        sizes = np.array([len(one) for one in self.lists])
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        line = np.full(int(sizes.sum()) + len(sizes), len(self.words), dtype=np.int64)
+        line[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = np.fromiter(
+            chain.from_iterable(self.lists), np.int64, int(sizes.sum()))
+        return line, starts, sizes
+
     def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pattern, stretch and place of every occurrence of a recurring window."""
-        sizes = np.array([len(one) for one in self.lists])
-        flat = np.fromiter(chain.from_iterable(self.lists), np.uint64, int(sizes.sum()))
-        # Confirmed by hash: windows of one stretch follow each other, those across two stretches are left out.
-        hashes = _grams((flat + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), WINDOW)
-        starts = np.cumsum(sizes) - sizes
-        stretch = np.repeat(np.arange(len(sizes)), sizes)
-        places = np.flatnonzero(np.arange(len(hashes)) - starts[stretch[:len(hashes)]] <= (sizes - WINDOW)[stretch[:len(hashes)]])
+        line, starts, sizes = self._line()
+        # Confirmed by hash; windows that reach over a mark are left out.
+        hashes = _grams((line.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), WINDOW)
+        stretch = np.repeat(np.arange(len(sizes)), sizes + 1)
+        places = np.flatnonzero((np.arange(len(line)) - starts[stretch] <= (sizes - WINDOW)[stretch])[:len(hashes)])
         order = places[np.argsort(hashes[places], kind="stable")]
         same = hashes[order][1:] == hashes[order][:-1]
         recurring = order[np.flatnonzero(np.diff(np.concatenate([[False], same]).astype(np.int8)) == 1)]
         if not len(recurring):
             return (np.zeros(0, np.int64),) * 3
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        places = recurring - starts[stretch[recurring]]
-        for number, (one, place) in enumerate(zip(stretch[recurring].tolist(), places.tolist(), strict=True)):
-            automaton.add_word(tuple(self.lists[one][place:place + WINDOW]), number)
+        symbols, size = line, 1
+        while size < BLOCK:  # numbers of pairs, and of pairs of pairs: equal numbers are equal words
+            pairs = symbols[:-size] * (symbols.max() + 1) + symbols[size:]
+            symbols, size = np.unique(pairs, return_inverse=True)[1], 2 * size
+        # A symbol is written in digits, so that no node of the automaton has many branches.
+        digits = max(1, math.ceil(math.log(int(symbols.max()) + 1, DIGITS)))
+        written = (symbols[:, None] // DIGITS ** np.arange(digits) % DIGITS).astype(np.uint8) + np.uint8(48)
+        text = written[recurring[:, None] + np.arange(0, WINDOW, BLOCK)].tobytes().decode("latin-1")
+        automaton, width = ahocorasick.Automaton(ahocorasick.STORE_INTS), WINDOW // BLOCK * digits
+        for number in range(len(recurring)):
+            automaton.add_word(text[number * width:(number + 1) * width], number)
         automaton.make_automaton()
-        # One pass over the stretches that have any, with a mark between them that is no word.
-        chosen = np.unique(stretch[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]])
-        end = len(self.words)
-        line = []
-        for number in chosen.tolist():
-            line += self.lists[number]
-            line.append(end)
-        hits = np.fromiter(chain.from_iterable(automaton.iter(tuple(line))), np.int64).reshape(-1, 2)
-        begins = np.cumsum(sizes[chosen] + 1) - sizes[chosen] - 1
-        at = hits[:, 0] - WINDOW + 1
-        row = np.searchsorted(begins, at, side="right") - 1
-        return hits[:, 1], chosen[row], at - begins[row]
+        found = []
+        for phase in range(BLOCK):
+            hits = automaton.iter(written[phase::BLOCK].tobytes().decode("latin-1"))
+            hits = np.fromiter(chain.from_iterable(hits), np.int64).reshape(-1, 2)
+            hits = hits[(hits[:, 0] + 1) % digits == 0]  # others begin inside a symbol
+            found.append((hits[:, 1], phase + BLOCK * ((hits[:, 0] + 1) // digits) - WINDOW))
+        pattern, at = [np.concatenate(column) for column in zip(*found, strict=True)]
+        return pattern, stretch[at], at - starts[stretch[at]]
 
     def spans(self) -> Iterator[tuple[np.ndarray, ...]]:
         """``(doc, twin, start, stop, window)``: spans to remove, and with a window's name the earliest of a part."""
