@@ -23,13 +23,13 @@ WINDOW = 13
 SLICE_BYTES = 1 << 20
 
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
-_PLAIN = bytes(code + 32 if 0x41 <= code <= 0x5A else code if code >= 0x80 or 0x30 <= code <= 0x39
+PLAIN = bytes(code + 32 if 0x41 <= code <= 0x5A else code if code >= 0x80 or 0x30 <= code <= 0x39
                or 0x61 <= code <= 0x7A else 0x20 for code in range(256))
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in order, in lists of bounded size: A-Z in lower case, digits and all beyond ASCII."""
-    for block in blocks(text.translate(_PLAIN), _GAP):
+    for block in blocks(text.translate(PLAIN), _GAP):
         yield block.split()
 
 

@@ -18,7 +18,6 @@ Texts that are equal as a whole are not searched: all but the first are copies f
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,7 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from kbspark.llm.common import BLOCK_BYTES, binary_values, blocks, small_side, stored, text_key
+from kbspark.llm.common import binary_values, blocks, small_side, stored, text_key
+from kbspark.llm.word_hash import GAP, word_hashes
 
 WINDOW = 20
 GRAM = 8
@@ -41,48 +41,14 @@ DIGITS = 64
 # Bytes of text compiled and streamed at a time.
 SHARD_BYTES = 4 << 20
 
-_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _LAST_ID = (1 << 63) - 1
 
 _SEGMENT = 1 << 16
 
 
-_GAPS = np.zeros(256, dtype=bool)
-_GAPS[[32, *range(9, 14)]] = True
-
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[:1] = 1
-    return out.cumprod(dtype=np.uint64)
-
-
-_UP, _DOWN = _powers(_BASE, BLOCK_BYTES + 4096), _powers(pow(_BASE, -1, 1 << 64), BLOCK_BYTES + 4096)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, from running sums of the bytes times the powers of a base."""
-    parts = []
-    for block in blocks(text, _GAP):
-        codes = np.frombuffer(block, dtype=np.uint8)
-        up, down = (_UP, _DOWN) if len(codes) <= len(_UP) else (
-            _powers(_BASE, len(codes)), _powers(pow(_BASE, -1, 1 << 64), len(codes)))
-        edges = np.diff(np.concatenate([[True], _GAPS[codes], [True]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:len(codes)], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * down[starts]
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= np.uint64(0xD6E8FEB86659FD93)
-        parts.append(hashes ^ hashes >> np.uint64(29))
-    return np.concatenate(parts)
-
-
 def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words between ASCII gaps, unchanged, in lists of bounded size."""
-    for block in blocks(text, _GAP):
+    for block in blocks(text, GAP):
         yield block.split()
 
 

@@ -15,57 +15,41 @@ pass, and the passes are chained over the same scan of the texts, so nothing gro
 """
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kbspark.llm.common import binary_values, small_side, stored
-from kbspark.llm.decontaminate import words_of
+from kbspark.llm.decontaminate import PLAIN
+from kbspark.llm.word_hash import word_hashes
 
 DISCOUNT = 0.75
 EXPRESSION = 2
 SLICE_ROWS = 4_000_000
 
 # Pairs counted in a task before they are put out.
-FLUSH_PAIRS = 1 << 20
-HELD_WORDS = 300_000
+FLUSH_PAIRS = 1 << 19
 
 # Rows of the histogram from which scores are calibrated.
 STEPS = 4_000
 RANGE = 16.0
 
-_START = np.uint64(0)
+_START = np.zeros(1, dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """32-bit word hashes, remembered up to ``HELD_WORDS``."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word, 1) or 1
-        return value
-
-
-def word_hashes(text: bytes, held: _Hashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the words and of the words before them, block by block; the first follows the start mark 0."""
-    last = _START
-    for words in words_of(text):
-        if words:
-            hashes = np.fromiter(map(held.__getitem__, words), dtype=np.uint64, count=len(words))
-            yield hashes, np.concatenate([[last], hashes[:-1]])
-            last = hashes[-1]
+def words_and_before(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words and of the words before them; the first follows the start mark 0."""
+    hashes = np.maximum(word_hashes(text.translate(PLAIN)) >> np.uint64(32), np.uint64(1))
+    return hashes, np.concatenate([_START, hashes[:-1]])[:len(hashes)]
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     """``(pair, ordinary, toxic)``: how often each pair of words stands in documents of either class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, size = _Hashes(), ([], []), 0
+        parts, size = ([], []), 0
 
         def out():
             pairs = [np.concatenate(part) if part else np.zeros(0, np.uint64) for part in parts]
@@ -77,9 +61,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for value, toxic in zip(binary_values(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                for words, before in word_hashes(value, held):
-                    parts[toxic].append(before << np.uint64(32) | words)
-                    size += len(words)
+                words, before = words_and_before(value)
+                parts[toxic].append(before << np.uint64(32) | words)
+                size += len(words)
                 if size >= FLUSH_PAIRS:
                     yield out()
                     parts, size = ([], []), 0
@@ -156,13 +140,11 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
 
     def added(held):
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = _Hashes()
             for batch in batches:
                 out = []
                 for value, so_far in zip(binary_values(batch.column("text")), batch.column("terms").to_pylist(),
                                          strict=True):
-                    parts = [_terms(held.value, words.astype(np.uint32)) for words, _ in word_hashes(value, hashes)]
-                    terms = np.concatenate(parts) if parts else np.zeros(0, dtype=np.float32)
+                    terms = _terms(held.value, words_and_before(value)[0].astype(np.uint32))
                     out.append((terms if so_far is None else terms + np.frombuffer(so_far, np.float32)).tobytes())
                 names = batch.schema.names
                 yield pa.record_batch([*[batch.column(name) for name in names[:-1]], pa.array(out, pa.binary())],
