@@ -237,7 +237,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", span_w
     clean = marked.filter(~contaminated(F.col(found), coverage))
     if span_words is None:
         return clean.select(*docs.columns)
-    schema = docs.schema
+    schema, wanted = docs.schema, docs.columns
 
     def cut(batches):
         for batch in batches:
@@ -247,8 +247,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", span_w
             place = columns.index(text)
             texts = [value.as_py() if not span else without_spans(value.as_py().encode(), span).decode()
                      for value, span in zip(batch.column(place), spans, strict=True)]
-            arrays = [batch.column(columns.index(name)) for name in docs.columns]
-            arrays[docs.columns.index(text)] = pa.array(texts, batch.column(place).type)
-            yield pa.record_batch(arrays, names=docs.columns)
+            arrays = [batch.column(columns.index(name)) for name in wanted]
+            arrays[wanted.index(text)] = pa.array(texts, batch.column(place).type)
+            yield pa.record_batch(arrays, names=wanted)
 
     return clean.mapInArrow(cut, schema)

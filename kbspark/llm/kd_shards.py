@@ -8,6 +8,7 @@ number of rows; texts are read once and never shuffled.
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
@@ -76,8 +77,30 @@ def _median(rows: DataFrame, value: Column, goals: dict[int, float]) -> dict[int
     return found
 
 
-def kd_leaves(rows: DataFrame, dimensions: list[str], leaves: int) -> DataFrame:
-    """``rows`` with the column ``leaf`` (0 .. ``leaves`` - 1) of a k-d tree with leaves of nearly equal ``weight``.
+class _Level(NamedTuple):
+    """The cuts of one level of the tree, by node."""
+
+    dimension: dict[int, str]
+    at: dict[int, float]
+    tie: dict[int, float]
+    half: dict[int, int]
+
+    def place(self) -> Column:
+        """A row's value along the dimension of its node."""
+        return reduce(lambda rest, name: F.when(F.col("node").isin(
+            [node for node, used in self.dimension.items() if used == name]), F.col(name)).otherwise(rest),
+            sorted(set(self.dimension.values())), F.lit(0.0))
+
+    def down(self, rows: DataFrame) -> DataFrame:
+        node, place, tie = F.col("node"), self.place(), F.col("tie").cast("double")
+        at = _choose(node, self.at, "double")
+        above = (place > at) | ((place == at) & (tie > _choose(node, self.tie, "double")))
+        return rows.withColumn("node", F.when(node.isin(list(self.half)) & above, node + _choose(node, self.half, "int"))
+                               .otherwise(node))
+
+
+def kd_tree(rows: DataFrame, dimensions: list[str], leaves: int) -> list[_Level]:
+    """The cuts of a k-d tree with ``leaves`` leaves of nearly equal ``weight``.
 
     ``rows`` is a stored table with a double column per dimension, a long ``weight`` and a long ``tie`` that breaks
     ties. A node that still owes n leaves is split at the median that gives n // 2 leaves their share of its weight,
@@ -89,32 +112,34 @@ def kd_leaves(rows: DataFrame, dimensions: list[str], leaves: int) -> DataFrame:
     widths = [(F.max(finite[d]) - F.min(finite[d])).alias(d) for d in dimensions]
     whole = rows.agg(*widths).first().asDict()
     # Node 0 holds everything and owes all leaves. A node is named by its first leaf.
-    current, owes = rows.withColumn("node", F.lit(0)), {0: leaves}
-    while any(n > 1 for n in owes.values()):
+    current, owes, tree = rows.withColumn("node", F.lit(0)), {0: leaves}, []
+    while True:
         stats = {r["node"]: r for r in current.groupBy("node").agg(F.sum("weight").alias("__weight"), *widths).collect()}
         open_nodes = {key: n for key, n in owes.items() if n > 1 and key in stats}
         if not open_nodes:
-            break
+            return tree
         widest = {key: max(dimensions, key=lambda d: ((stats[key][d] or 0) / whole[d] if whole[d] else 0, d))
                   for key in open_nodes}
         goals = {key: float(stats[key]["__weight"]) * (n // 2) / n for key, n in open_nodes.items()}
-        place = reduce(lambda rest, d: F.when(F.col("node").isin([k for k, w in widest.items() if w == d]), F.col(d))
-                       .otherwise(rest), dimensions, F.lit(0.0))
+        level = _Level(widest, {}, {}, {key: n // 2 for key, n in open_nodes.items()})
         inside = current.filter(F.col("node").isin(list(open_nodes)))
-        cuts = _median(inside, place, goals)
-        at = _choose(F.col("node"), {key: cut[0] for key, cut in cuts.items()}, "double")
-        level = inside.filter(place == at)
-        ties = _median(level, tie, {key: goals[key] - cuts[key][1] for key in cuts})
-        tie_at = _choose(F.col("node"), {key: cut[0] for key, cut in ties.items()}, "double")
-        above = (place > at) | ((place == at) & (tie > tie_at))
-        half = _choose(F.col("node"), {key: n // 2 for key, n in open_nodes.items()}, "int")
+        cuts = _median(inside, level.place(), goals)
+        level.at.update({key: cut[0] for key, cut in cuts.items()})
+        tied = inside.filter(level.place() == _choose(F.col("node"), level.at, "double"))
+        ties = _median(tied, tie, {key: goals[key] - cuts[key][1] for key in cuts})
+        level.tie.update({key: cut[0] for key, cut in ties.items()})
+        tree.append(level)
+        current = level.down(current)
         if len(open_nodes) > STORED_NODES:  # many literals: keep the next level's expressions short
             current = stored(current, "tree-level")
-        current = current.withColumn("node", F.when(F.col("node").isin(list(open_nodes)) & above, F.col("node") + half)
-                                     .otherwise(F.col("node")))
         for key, n in open_nodes.items():
             owes[key], owes[key + n // 2] = n // 2, n - n // 2
-    return current.withColumnRenamed("node", "leaf")
+
+
+def descended(rows: DataFrame, tree: list[_Level], into: str) -> DataFrame:
+    """``rows`` with the leaf that the cuts lead to, as the column ``into``."""
+    return reduce(lambda placed, level: level.down(placed), tree, rows.withColumn("node", F.lit(0))).withColumnRenamed(
+        "node", into)
 
 
 def with_slots(rows: DataFrame, shard: str, key: str, total: int) -> DataFrame:
@@ -133,6 +158,18 @@ def with_slots(rows: DataFrame, shard: str, key: str, total: int) -> DataFrame:
         "slot", (F.col("place") + F.col("offset")).cast("long")).drop("bucket", "place", "offset")
 
 
+def _names(dimensions: list[str]) -> list[str]:
+    return [f"d{n}" for n in range(len(dimensions))]
+
+
+def _measured(docs: DataFrame, dimensions: list[str], key: str, text: str) -> list[Column]:
+    """Weight, checksum, tie and coordinates of a row."""
+    kinds = {field.name: field.dataType.typeName() for field in docs.schema.fields}
+    crc = F.crc32(docs[text].cast("binary"))
+    return [(utf8_size(docs[text]) + 1).alias("weight"), crc.alias("text_crc32"), F.xxhash64(docs[key], crc).alias("tie"),
+            *[ordinal(docs[d], kinds[d]).alias(name) for d, name in zip(dimensions, _names(dimensions), strict=True)]]
+
+
 def kd_shards(docs: DataFrame, dimensions: list[str], leaves: int | None = 8, target_bytes: int | None = None,
               key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` for every row of ``docs``; the law is ``bytes``.
@@ -141,30 +178,27 @@ def kd_shards(docs: DataFrame, dimensions: list[str], leaves: int | None = 8, ta
     is ``leaves``, or with ``target_bytes`` the total size over it. Each split is an exact weighted median, so the
     sizes of shards differ by a few documents at most. Dimensions are metadata columns of any type with an order;
     nulls come first, and of texts the first six bytes count. Ties go by a hash of the key, then of key and text; rows
-    that repeat key and text stay together in a shard. Columns that are not named are not read. With fewer rows than
+    that repeat key, text and dimensions stay together in a shard. Columns that are not named are not read. With fewer rows than
     shards some shards are empty; an empty table gives an empty result.
     """
-    kinds = {field.name: field.dataType.typeName() for field in docs.schema.fields}
-    coordinates = [ordinal(docs[d], kinds[d]).alias(f"d{n}") for n, d in enumerate(dimensions)]
-    crc = F.crc32(docs[text].cast("binary"))
-    rows = stored(docs.select(
-        docs[key].alias("doc_id"), (utf8_size(docs[text]) + 1).alias("size"), crc.alias("text_crc32"),
-        F.xxhash64(docs[key], crc).alias("tie"), *coordinates), "shard-rows").withColumn("weight", F.col("size"))
-    totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")).first()
+    rows = stored(docs.select(docs[key].alias("doc_id"), *_measured(docs, dimensions, key, text)), "shard-rows")
+    totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("size")).first()
     if target_bytes:
         leaves = max(1, math.ceil((totals["size"] or 0) / target_bytes))
-    placed = kd_leaves(rows, [f"d{n}" for n in range(len(dimensions))], leaves)
-    narrow = stored(placed.select("doc_id", "size", "text_crc32", F.col("leaf").cast("int").alias("shard")), "shards")
+    placed = descended(rows, kd_tree(rows, _names(dimensions), leaves), "shard")
+    narrow = stored(placed.select("doc_id", F.col("weight").alias("size"), "text_crc32", F.col("shard").cast("int")),
+                    "shards")
     return with_slots(narrow, "shard", "doc_id", totals["rows"])
 
 
 def kd_sharded(docs: DataFrame, dimensions: list[str], leaves: int = 8, key: str = "doc_id",
                text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and the column ``shard`` of the k-d tree; rows of one key and text share a shard."""
-    name = free_name(docs, "shard")
-    shards = kd_shards(docs, dimensions, leaves, key=key, text=text)
-    marks = shards.groupBy(F.col("doc_id").alias("marked_id"), F.col("text_crc32").alias("marked_crc")).agg(
-        F.min("shard").alias(name))
-    return docs.join(marks, docs[key].eqNullSafe(marks["marked_id"])
-                     & F.crc32(docs[text].cast("binary")).eqNullSafe(marks["marked_crc"])).select(
-        *[docs[column] for column in docs.columns], marks[name])
+    """All columns of ``docs`` and the column ``shard`` of the k-d tree; repeated rows share a shard.
+
+    The cuts of the tree are applied to each row, so texts are scanned again and not shuffled.
+    """
+    measured = _measured(docs, dimensions, key, text)
+    tree = kd_tree(stored(docs.select(*measured), "shard-rows"), _names(dimensions), leaves)
+    whole, name = free_name(docs, "whole_row"), free_name(docs, "shard")
+    carried = docs.select(F.struct(*[docs[column] for column in docs.columns]).alias(whole), *measured)
+    return descended(carried, tree, "leaf").select(f"{whole}.*", F.col("leaf").cast("int").alias(name))

@@ -63,28 +63,45 @@ def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int) -> DataFram
     return tree.select(*LEVELS, "tokens", "docs", "budget")
 
 
-def _prefix(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
-    """Rows that fit the tokens left for the last pass of their leaf, in the order of that pass."""
+def _place() -> Column:
+    """A row's place in the order of its leaf's last pass."""
+    return F.struct("order", "key", "twin")
+
+
+def _thresholds(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
+    """``(domain, lang, source, passes, last)`` per leaf: whole passes, and the last place of the prefix after them.
+
+    ``last`` is null where no document fits into what the whole passes leave of the budget.
+    """
     buckets = F.least(F.lit(MAX_BUCKETS), F.greatest(F.lit(1), (F.col("docs") / BUCKET_ROWS).cast("long") + 1))
-    wanted = leaves.select(*LEVELS, F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("passes"),
-                           (F.col("budget") % F.col("tokens")).alias("rest"), buckets.alias("buckets"))
-    drawn = rows.join(F.broadcast(wanted), LEVELS).withColumn(
+    wanted = budgets.select(*LEVELS, F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("passes"),
+                            (F.col("budget") % F.col("tokens")).alias("rest"), buckets.alias("buckets"))
+    drawn = rows.join(F.broadcast(wanted.filter("rest > 0")), LEVELS).withColumn(
         "order", order_of(F.lit(seed), F.col("passes"), F.col("key"))).withColumn(
         "bucket", (F.col("order") / F.lit(float(1 << _ORDER_BITS)) * F.col("buckets")).cast("long"))
     drawn = stored(drawn, "drawn")
-    per_bucket = drawn.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("n_tokens"))
+    per_bucket = drawn.groupBy(*LEVELS, "bucket", "rest").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.max(_place()).alias("end"))
     running = W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = per_bucket.withColumn("before", F.coalesce(F.sum("n_tokens").over(running), F.lit(0)))
-    # The bucket in which the prefix ends; all buckets before it fit whole.
-    last = starts.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n_tokens") > F.col("rest")))
-    last = last.select(*LEVELS, F.col("bucket").alias("last"), "before")
-    placed = drawn.join(F.broadcast(last), LEVELS)
-    whole = placed.filter(F.col("bucket") < F.col("last"))
+    # All buckets that fit whole, and the one in which the prefix ends.
+    starts = stored(starts.filter(F.col("before") <= F.col("rest")), "buckets")
+    whole = starts.filter(F.col("before") + F.col("n_tokens") <= F.col("rest")).select(*LEVELS, F.col("end").alias("place"))
+    last = starts.filter(F.col("before") + F.col("n_tokens") > F.col("rest")).select(*LEVELS, "bucket", "before")
     inner = W.partitionBy(*LEVELS).orderBy("order", "key", "twin").rowsBetween(W.unboundedPreceding, 0)
-    cut = placed.filter(F.col("bucket") == F.col("last")).withColumn(
+    cut = drawn.join(F.broadcast(last), [*LEVELS, "bucket"]).withColumn(
         "running", F.sum("n_tokens").over(inner) + F.col("before")).filter(F.col("running") <= F.col("rest"))
-    chosen = whole.select("key", "twin", *LEVELS, "n_tokens").unionByName(cut.select("key", "twin", *LEVELS, "n_tokens"))
-    return chosen
+    ends = whole.unionByName(cut.select(*LEVELS, _place().alias("place"))).groupBy(*LEVELS).agg(
+        F.max("place").alias("last"))
+    return stored(wanted.select(*LEVELS, "passes").join(ends, LEVELS, "left"), "thresholds")
+
+
+def _taken(rows: DataFrame, thresholds: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (with the levels, ``key`` and ``twin``) that are taken at least once, and ``n_epochs``."""
+    at = rows.join(F.broadcast(thresholds), LEVELS).withColumn(
+        "order", order_of(F.lit(seed), F.col("passes"), F.col("key")))
+    part = F.coalesce(_place() <= F.col("last"), F.lit(False)).cast("long")
+    return at.withColumn("n_epochs", F.col("passes") + part).filter("n_epochs > 0").drop("passes", "last", "order")
 
 
 def tokens_in(text: Column) -> Column:
@@ -92,6 +109,19 @@ def tokens_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
+def _rows(docs: DataFrame, domain: Column, key: str, text: str, lang: str, source: str) -> list[Column]:
+    empty = F.lit("")
+    return [docs[key].alias("key"), F.xxhash64(docs[text]).alias("twin"), F.coalesce(domain, empty).alias("domain"),
+            F.coalesce(docs[lang], empty).alias("lang"), F.coalesce(docs[source], empty).alias("source")]
+
+
+def _planned(rows: DataFrame, weights: DataFrame, budget: Column, max_epochs: int, seed: int) -> DataFrame:
+    sums = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    leaves = sums.join(F.broadcast(weights), LEVELS)
+    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")).select(budget.cast("long")).first()[0]
+    return _thresholds(rows, stored(leaf_budgets(leaves, F.lit(total), max_epochs), "leaf-budgets"), seed)
+
+
 def mixture(docs: DataFrame, weights: DataFrame, domain: Column, budget: Column, max_epochs: int = 1, seed: int = 0,
             key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``(key, twin, domain, lang, source, n_tokens, n_epochs)`` for every row that is taken at least once.
@@ -99,34 +129,24 @@ def mixture(docs: DataFrame, weights: DataFrame, domain: Column, budget: Column,
     ``weights`` names the leaves: the levels and their positive integer weights; rows whose leaf has no weight are not
     taken. A null domain, language or source counts as the empty name. ``budget`` is an expression over the sum of all
     tokens, the column ``total``. Null and empty texts have no tokens: they come along with every whole pass and
-    wherever they stand in a prefix. Rows that repeat a key are told apart by ``twin``, a hash of the text; rows that
-    repeat both are one entry each, drawn side by side. Leaves are as many as the weights, not as the rows, and are
-    broadcast. Other columns are not read. An empty table gives an empty result.
+    wherever they stand in a prefix; a leaf without any tokens is not taken. Rows that repeat a key are told apart by
+    ``twin``, a hash of the text; rows that repeat both count one by one, and the place of the last that fits decides
+    for all of them. Leaves are as many as the weights, not as the rows, and are broadcast. Other columns are not read.
+    An empty table gives an empty result.
     """
-    empty = F.lit("")
-    rows = stored(docs.select(
-        docs[key].alias("key"), F.xxhash64(docs[text]).alias("twin"), F.coalesce(domain, empty).alias("domain"),
-        F.coalesce(docs[lang], empty).alias("lang"), F.coalesce(docs[source], empty).alias("source"),
-        tokens_in(docs[text]).alias("n_tokens")), "mixture-rows")
-    sums = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    leaves = sums.join(F.broadcast(weights), LEVELS)
-    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")).select(budget.cast("long")).first()[0]
-    budgets = stored(leaf_budgets(leaves, F.lit(total), max_epochs), "leaf-budgets")
-    prefix = _prefix(rows, budgets.filter("budget % tokens > 0"), seed).withColumn("n_epochs", F.lit(1).cast("long"))
-    passes = budgets.select(*LEVELS, F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("n_epochs")).filter(
-        F.col("n_epochs") > 0)
-    full = rows.join(F.broadcast(passes), LEVELS)
-    taken = full.select("key", "twin", *LEVELS, "n_tokens", "n_epochs").unionByName(prefix)
-    if max_epochs == 1:  # a leaf is taken whole or in part, so no row comes twice
-        return taken
-    return taken.groupBy("key", "twin", *LEVELS, "n_tokens").agg(F.sum("n_epochs").alias("n_epochs"))
+    rows = stored(docs.select(*_rows(docs, domain, key, text, lang, source), tokens_in(docs[text]).alias("n_tokens")),
+                  "mixture-rows")
+    return _taken(rows, _planned(rows, weights, budget, max_epochs, seed), seed)
 
 
 def mixed(docs: DataFrame, weights: DataFrame, domain: Column, budget: Column, seed: int = 0, key: str = "doc_id",
-          text: str = "text", **names) -> DataFrame:
-    """The rows of ``docs`` that the mixture takes, each once, with all columns."""
-    left, right = free_name(docs, "taken_key"), free_name(docs, "taken_twin")
-    taken = stored(mixture(docs, weights, domain, budget, 1, seed, key, text, **names).select(
-        F.col("key").alias(left), F.col("twin").alias(right)).distinct(), "taken")
-    return docs.join(taken, docs[key].eqNullSafe(taken[left]) & F.xxhash64(docs[text]).eqNullSafe(taken[right]),
-                     "left_semi")
+          text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mixture takes, each once, with all columns.
+
+    A row's own values and its leaf's threshold decide, so texts are scanned again and not shuffled.
+    """
+    wanted = _rows(docs, domain, key, text, lang, source)
+    rows = stored(docs.select(*wanted, tokens_in(docs[text]).alias("n_tokens")), "mixture-rows")
+    whole = free_name(docs, "whole_row")
+    carried = docs.select(F.struct(*[docs[column] for column in docs.columns]).alias(whole), *wanted)
+    return _taken(carried, _planned(rows, weights, budget, 1, seed), seed).select(f"{whole}.*")

@@ -172,7 +172,7 @@ class _Block:
 
     def close(self) -> Iterator[tuple[list, list, list]]:
         """Compare the held vectors with each other, in strips."""
-        self.matrix = np.frombuffer(b"".join(self.units)).reshape(len(self.keys), -1)
+        self.matrix = np.frombuffer(b"".join(self.units)).reshape(len(self.keys), -1 if self.keys else 0)
         self.size = np.concatenate(self.sizes) if self.sizes else np.zeros(0, dtype=np.int64)
         self.counts, self.parent = np.zeros(len(self.keys), dtype=np.int64), np.arange(len(self.keys))
         for start in range(0, len(self.keys), STREAM_ROWS):

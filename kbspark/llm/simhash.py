@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kbspark.llm.common import binary_values, blocks, free_name, stored
+from kbspark.llm.common import binary_values, blocks, free_name, small_side, stored
 from kbspark.llm.components import components
 from kbspark.llm.gray_index import near_codes
 
@@ -107,6 +107,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **optio
     lone = (F.col("rows") == 1) & F.col("doc_id").isNotNull()
     name = free_name(docs, "marked_id")
     plain = per_key.filter(lone & F.col("first")).select(F.col("doc_id").alias(name))
+    plain = small_side(stored(plain, "first-ids"), 32)
     kept = docs.join(plain, docs[key] == plain[name], "left_semi")
     shared = per_key.filter(~lone)
     if shared.isEmpty():

@@ -2,16 +2,17 @@
 
 One model is counted on toxic documents, one on ordinary ones. Both are over words, with Kneser-Ney's continuation
 counts: a word counts once for each different word before it, so a phrase that is copied a thousand times counts once.
-Each count is discounted by ``DISCOUNT``, and what is taken off goes to a backoff that both models share, in which a
-word counts once for each class it was seen in. So a rare expression, or one that only one class has, gets the same
-small backoff from both.
+Each count is discounted by ``DISCOUNT``, and what is taken off goes to a backoff in which words share counts: all
+words with the same stem (first four bytes) have one, which counts the different words a class has with it. What the
+discount takes off there goes to counts that both classes share: a stem counts once for each class it was seen in.
 
 A text's evidence is its most toxic expression: of all windows of ``EXPRESSION`` words the highest difference of the
 two log-likelihoods per word. A few toxic words in a long text are not diluted, whatever its length.
 
-The model is one table of words. It is cut into slices of at most ``SLICE_ROWS`` rows; each slice is broadcast for one
-pass, and the passes are chained over the same scan of the texts, so nothing grows beyond a slice. Words are read as
-32-bit hashes; words that collide share their counts.
+The difference at a word is a term of its stem plus a correction of the word. So the model is two look-up tables. They
+are cut into slices of at most ``SLICE_ROWS`` rows; each slice is broadcast for one pass, and the passes are chained
+over the same scan of the texts, so nothing grows beyond a slice. Words are read as 32-bit hashes; words that collide
+share their counts.
 """
 
 import math
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kbspark.llm.common import binary_values, small_side, stored
 from kbspark.llm.decontaminate import PLAIN
-from kbspark.llm.word_hash import word_hashes
+from kbspark.llm.word_hash import word_hashes, word_stems
 
 DISCOUNT = 0.75
 EXPRESSION = 2
@@ -39,75 +40,105 @@ RANGE = 16.0
 _START = np.zeros(1, dtype=np.uint64)
 
 
-def words_and_before(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the words and of the words before them; the first follows the start mark 0."""
-    hashes = np.maximum(word_hashes(text.translate(PLAIN)) >> np.uint64(32), np.uint64(1))
-    return hashes, np.concatenate([_START, hashes[:-1]])[:len(hashes)]
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the words and of the words before them (the first follows the start mark 0), and stems."""
+    plain = text.translate(PLAIN)
+    hashes = np.maximum(word_hashes(plain) >> np.uint64(32), np.uint64(1))
+    return hashes, np.concatenate([_START, hashes[:-1]])[:len(hashes)], word_stems(plain)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """``(pair, ordinary, toxic)``: how often each pair of words stands in documents of either class."""
+    """``(stemmed, pair, ordinary, toxic)``: how often each pair stands in documents of either class.
+
+    A pair is a word after another word or, where ``stemmed``, after its own stem.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = ([], []), 0
+        parts, size = ([], [], [], []), 0
 
-        def out():
-            pairs = [np.concatenate(part) if part else np.zeros(0, np.uint64) for part in parts]
+        def out(stemmed: int):
+            pairs = [np.concatenate(part) if part else np.zeros(0, np.uint64) for part in parts[2 * stemmed:][:2]]
             keys, place = np.unique(np.concatenate(pairs), return_inverse=True)
             cut = len(pairs[0])
             counts = [np.bincount(p, minlength=len(keys)) for p in (place[:cut], place[cut:])]
-            return pa.record_batch([pa.array(keys.view(np.int64)), *[pa.array(c.astype(np.int64)) for c in counts]],
-                                   names=["pair", "ordinary", "toxic"])
+            return pa.record_batch(
+                [pa.array(np.full(len(keys), bool(stemmed))), pa.array(keys.view(np.int64)),
+                 *[pa.array(c.astype(np.int64)) for c in counts]], names=["stemmed", "pair", "ordinary", "toxic"])
 
         for batch in batches:
             for value, toxic in zip(binary_values(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words, before = words_and_before(value)
+                words, before, stems = hashed(value)
                 parts[toxic].append(before << np.uint64(32) | words)
+                parts[2 + toxic].append(np.unique(stems << np.uint64(32) | words))
                 size += len(words)
                 if size >= FLUSH_PAIRS:
-                    yield out()
-                    parts, size = ([], []), 0
+                    yield out(0)
+                    yield out(1)
+                    parts, size = ([], [], [], []), 0
         if size:
-            yield out()
+            yield out(0)
+            yield out(1)
+
+    rows = docs.select("text", "toxic").mapInArrow(count, "stemmed boolean, pair long, ordinary long, toxic long")
+    return rows.groupBy("stemmed", "pair").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def _classes(by: str) -> list[Column]:
+    """Different pairs per class, and in all."""
+    return [F.sum((F.col("ordinary") > 0).cast("long")).alias(f"{by}0"), F.sum((F.col("toxic") > 0).cast("long")).alias(f"{by}1"),
+            F.count(F.lit(1)).alias(by)]
+
+
+def _rest(counts: DataFrame, by: str) -> tuple[list[int], list[int], list[float]]:
+    """Per class: all counts, entries that are not zero, and the share that the discount takes off."""
+    sums = counts.agg(*[F.coalesce(F.sum(value), F.lit(0)) for c in "01" for value in (
+        F.col(by + c), (F.col(by + c) > 0).cast("long"))]).first()
+    total, seen = [sums[0], sums[2]], [sums[1], sums[3]]
+    return total, seen, [DISCOUNT * v / n if n else 1.0 for n, v in zip(total, seen, strict=True)]
+
 
-    rows = docs.select("text", "toxic").mapInArrow(count, "pair long, ordinary long, toxic long")
-    return rows.groupBy("pair").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+def _kept(by: str, c: int, total: list[int]) -> Column:
+    return F.greatest(F.col(f"{by}{c}") - DISCOUNT, F.lit(0.0)) / max(1, total[c])
 
 
 class Model:
-    """``words``: a stored table of words and their terms; ``unknown``: the term of all others.
+    """``tables``: stored terms of stems, and corrections of words; ``unknown``: the term of any other stem.
 
-    A word's term is the difference of its log-likelihoods. Of words that neither class has, only the ratio of the two
-    backoff shares is left.
+    Terms are differences of log-likelihoods. Of what neither class has, only the ratio of the backoff shares is left.
     """
 
     def __init__(self, docs: DataFrame):
         """``docs`` has the columns ``text`` and ``toxic`` (0 or 1)."""
-        word = F.col("pair").bitwiseAND(0xFFFFFFFF)
-        counts = stored(_counted(docs).groupBy(word.alias("key")).agg(
-            F.sum((F.col("ordinary") > 0).cast("long")).alias("n0"),
-            F.sum((F.col("toxic") > 0).cast("long")).alias("n1")), "continuations")
-        seen = [(F.col(n) > 0).cast("long") for n in ("n0", "n1")]
-        total = counts.agg(*[F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in (
-            ("n0", F.col("n0")), ("n1", F.col("n1")), ("v0", seen[0]), ("v1", seen[1]))]).first()
-        # The share of each class's counts that the discount takes off; without counts all is backoff.
-        rest = [DISCOUNT * total[f"v{c}"] / total[f"n{c}"] if total[f"n{c}"] else 1.0 for c in "01"]
-        backoff = (seen[0] + seen[1]) / max(1, total["v0"] + total["v1"])
-        likely = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / max(1, total[f"n{c}"]) + share * backoff
-                  for c, share in zip("01", rest, strict=True)]
-        self.unknown = math.log(rest[1]) - math.log(rest[0])
-        self.words = stored(counts.select(
-            "key", (F.log(likely[1]) - F.log(likely[0]) - self.unknown).cast("float").alias("term")), "word-terms")
-
-    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Sorted keys and their terms, about ``SLICE_ROWS`` at a time."""
-        parts = max(1, math.ceil(self.words.count() / SLICE_ROWS))
+        pairs = stored(_counted(docs), "pairs")
+        word, head = F.col("pair").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("pair", 32)
+        words = stored(pairs.filter("NOT stemmed").groupBy(word.alias("word")).agg(*_classes("n")), "continuations")
+        stems = stored(pairs.filter("stemmed").groupBy(head.alias("stem")).agg(*_classes("m")), "stems")
+        (n, _, off), (m, seen, off_stems) = _rest(words, "n"), _rest(stems, "m")
+        shared = ((F.col("m0") > 0).cast("long") + (F.col("m1") > 0).cast("long")) / max(1, sum(seen))
+        backoff = stored(stems.select("stem", "m", *[
+            (off[c] * (_kept("m", c, m) + off_stems[c] * shared)).alias(f"b{c}") for c in (0, 1)]), "backoff")
+        term = F.log("b1") - F.log("b0")
+        self.unknown = sum(math.log(share[1] / share[0]) for share in (off, off_stems))
+        # Words of one stem share its backoff evenly.
+        of_stem = pairs.filter("stemmed").select(head.alias("stem"), word.alias("word")).join(backoff, "stem")
+        likely = [_kept("n", c, n) + F.col(f"b{c}") / F.col("m") for c in (0, 1)]
+        terms = of_stem.join(words, "word").groupBy("word").agg(
+            F.first(F.log(likely[1]) - F.log(likely[0]) - term).alias("term"))
+        self.tables = [stored(rows.select(key.cast("long").alias("key"), value.cast("float").alias("term")), "terms")
+                       for rows, key, value in ((backoff, F.col("stem"), term - self.unknown),
+                                                (terms, F.col("word"), F.col("term")))]
+
+    def slices(self) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        """Of both tables sorted keys and their terms, about ``SLICE_ROWS`` at a time."""
+        parts = max(1, math.ceil(sum(table.count() for table in self.tables) / SLICE_ROWS))
         for number in range(parts):
-            part = self.words.filter(F.pmod("key", F.lit(parts)) == number) if parts > 1 else self.words
-            found = part.toArrow()
-            keys = found.column("key").to_numpy().astype(np.uint32)
-            order = np.argsort(keys)
-            yield keys[order], found.column("term").to_numpy().astype(np.float32)[order]
+            out = []
+            for table in self.tables:
+                found = (table.filter(F.pmod("key", F.lit(parts)) == number) if parts > 1 else table).toArrow()
+                keys = found.column("key").to_numpy().astype(np.uint32)
+                order = np.argsort(keys)
+                out.append((keys[order], found.column("term").to_numpy().astype(np.float32)[order]))
+            yield out
 
 
 def _terms(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarray:
@@ -115,6 +146,7 @@ def _terms(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarra
     known, terms = table
     if not len(known):
         return np.zeros(len(words), dtype=np.float32)
+    words = words.astype(np.uint32)
     place = np.searchsorted(known, words)
     place[place == len(known)] = 0
     return np.where(known[place] == words, terms[place], np.float32(0))
@@ -140,11 +172,13 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
 
     def added(held):
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of_stems, of_words = held.value
             for batch in batches:
                 out = []
                 for value, so_far in zip(binary_values(batch.column("text")), batch.column("terms").to_pylist(),
                                          strict=True):
-                    terms = _terms(held.value, words_and_before(value)[0].astype(np.uint32))
+                    words, _, stems = hashed(value)
+                    terms = _terms(of_stems, stems) + _terms(of_words, words)
                     out.append((terms if so_far is None else terms + np.frombuffer(so_far, np.float32)).tobytes())
                 names = batch.schema.names
                 yield pa.record_batch([*[batch.column(name) for name in names[:-1]], pa.array(out, pa.binary())],

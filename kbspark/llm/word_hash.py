@@ -1,6 +1,7 @@
 """Hashes of the words of a text, without a Python object per word."""
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -23,15 +24,20 @@ def _powers(base: int, size: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, BLOCK_BYTES + 4096), _powers(pow(_BASE, -1, 1 << 64), BLOCK_BYTES + 4096)
 
 
+def _words(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The bytes of a block, and where its words start and end."""
+    for block in blocks(text, GAP):
+        codes = np.frombuffer(block, dtype=np.uint8)
+        edges = np.diff(np.concatenate([[True], _GAPS[codes], [True]]).astype(np.int8))
+        yield codes, np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word, from running sums of the bytes times the powers of a base."""
     parts = []
-    for block in blocks(text, GAP):
-        codes = np.frombuffer(block, dtype=np.uint8)
+    for codes, starts, ends in _words(text):
         up, down = (_UP, _DOWN) if len(codes) <= len(_UP) else (
             _powers(_BASE, len(codes)), _powers(pow(_BASE, -1, 1 << 64), len(codes)))
-        edges = np.diff(np.concatenate([[True], _GAPS[codes], [True]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
         sums = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:len(codes)], out=sums[1:])
         hashes = (sums[ends] - sums[starts]) * down[starts]
@@ -39,3 +45,14 @@ def word_hashes(text: bytes) -> np.ndarray:
         hashes *= np.uint64(0xD6E8FEB86659FD93)
         parts.append(hashes ^ hashes >> np.uint64(29))
     return np.concatenate(parts)
+
+
+def word_stems(text: bytes) -> np.ndarray:
+    """The first four bytes of each word as a number; shorter words are filled up with zeros."""
+    parts = []
+    for codes, starts, ends in _words(text):
+        padded, stems = np.append(codes, np.zeros(4, np.uint8)).astype(np.uint64), np.zeros(len(starts), np.uint64)
+        for place in range(4):
+            stems = stems << np.uint64(8) | np.where(starts + place < ends, padded[starts + place], np.uint64(0))
+        parts.append(stems)
+    return np.concatenate(parts)
