@@ -1,7 +1,9 @@
 """Exact substring join of many patterns against many texts, without comparing every pair.
 
-Up to a measured bound the patterns travel to the texts: each task scans every text once with a multi-pattern
-automaton, so the work does not grow with the number of patterns, texts are not shuffled, and only matches leave.
+A text is met by the patterns whose gram it holds. A pattern's gram is the one of its ``GRAM`` characters in a row that
+is rarest among all patterns. Up to a measured bound the patterns are broadcast: each text's distinct grams look them
+up, and each meeting is verified with ``contains`` in the same stage, so texts are not shuffled and only matches leave.
+Patterns that are shorter than a gram are verified against every text of their group.
 
 Beyond the bound nothing is broadcast. Texts are cut into runs of ``s`` characters, side by side. An occurrence of a
 pattern of at least ``2s - 1`` characters covers one whole run, which is then one of the pattern's first ``s``
@@ -9,20 +11,17 @@ substrings of that length, its anchors. So an equi join of runs with anchors mee
 verified against the text, and of several occurrences only the first counts.
 """
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kbspark.functions.patterns import PatternMatcher, ahocorasick
 from kbspark.operators.limits import max_broadcast_bytes
 
+GRAM = 4
+
 # Run lengths; a pattern uses the longest its own length allows.
 RUN_SIZES = (8, 4, 2, 1)
 
-# Bytes of automaton per byte of pattern, and per pattern beyond its text.
-_STATE_BYTES = 16
-_ROW_BYTES = 64
+# Bytes of a broadcast pattern beyond its text.
+_ROW_BYTES = 160
 
 
 def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str,
@@ -35,9 +34,9 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     """
     texts = texts.select(key, group, text)
     usable = patterns.filter(F.length(pattern) > 0)
-    size = usable.agg(F.sum(F.octet_length(pattern) * _STATE_BYTES + _ROW_BYTES)).first()[0] or 0
-    if ahocorasick is not None and size <= max_broadcast_bytes(texts.sparkSession):
-        found = _by_automaton(texts, usable, text, pattern, group, key, most)
+    size = usable.agg(F.sum(F.octet_length(pattern) * 2 + _ROW_BYTES)).first()[0] or 0
+    if size <= max_broadcast_bytes(texts.sparkSession):
+        found = _by_grams(texts, usable, text, pattern, group, key)
     else:
         found = _by_runs(texts, usable, text, pattern, group, key)
     if most is None:
@@ -46,15 +45,25 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
-def _by_automaton(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str,
-                  most: int | None) -> DataFrame:
-    matcher = texts.sparkSession.sparkContext.broadcast(PatternMatcher(patterns.toArrow(), pattern, group))
+def _grams(text: Column) -> Column:
+    """The different grams of a text, by cutting it ``GRAM`` times into pieces, each time one character later."""
+    pieces = [F.regexp_extract_all(F.substring(text, start, 1 << 30), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))
+              for start in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(*pieces))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return matcher.value.matches(batches, key, group, text, most)
 
-    columns = [f"{key} long"] + [f"{f.name} {f.dataType.simpleString()}" for f in patterns.schema.fields]
-    return texts.mapInArrow(run, ", ".join(columns))
+def _by_grams(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str) -> DataFrame:
+    short = F.length(pattern) < GRAM
+    grams = patterns.filter(~short).select("*", F.explode(_grams(F.col(pattern))).alias("_gram"))
+    often = grams.groupBy(group, "_gram").agg(F.count("*").alias("_often"))
+    rarest = grams.join(often, [group, "_gram"]).groupBy(*patterns.columns).agg(
+        F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"))
+    # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
+    met = texts.select(key, group, text, F.explode_outer(_grams(F.col(text))).alias("_gram")).join(
+        F.broadcast(rarest), [group, "_gram"])
+    brief = texts.join(F.broadcast(patterns.filter(short)), group)
+    found = met.select(key, text, *patterns.columns).unionByName(brief.select(key, text, *patterns.columns))
+    return found.filter(F.contains(F.col(text), F.col(pattern))).select(key, *patterns.columns)
 
 
 def _run_size(pattern: Column) -> Column:

@@ -98,6 +98,17 @@ def run_queries(runs: DataFrame, datasets: DataFrame, cases: DataFrame) -> DataF
         F.col("case_id").alias("probe_id"), "*")
 
 
+def run_rejects(runs: DataFrame, datasets: DataFrame, cases: DataFrame) -> DataFrame:
+    """``(run_id, reason)`` of the runs that cannot be evaluated; the others have at least one case."""
+    known = datasets.select(F.col("id").alias("dataset_id"), (F.col("status") == fv.ACTIVE).alias("live"))
+    # A data set's cases are counted in every task first.
+    asked = cases.filter(F.col("status") == fv.ACTIVE).groupBy("dataset_id").agg(F.count("*").alias("cases"))
+    reason = (F.when(F.col("live").isNull(), "dataset not found").when(~F.col("live"), "dataset inactive")
+              .when(F.col("cases").isNull(), "no active case"))
+    return runs.select(F.col("id").alias("run_id"), "dataset_id").join(known, "dataset_id", "left").join(
+        asked, "dataset_id", "left").select("run_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def best_chunk_answer() -> Column:
     """A deterministic stand-in for a generated answer: the text of the best hit."""
     return F.max(F.when(F.col("rank") == 1, F.col("content")))

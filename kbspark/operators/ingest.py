@@ -1,5 +1,6 @@
 """Spaces and documents as batch change feeds, and the cutting of documents into chunks."""
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -50,20 +51,20 @@ def with_chunks(documents: DataFrame, content: str = "content", max_size: int =
     return cut.withColumn("chunks", kept).drop("_blocks")
 
 
-def chunk_documents(documents: DataFrame, max_size: int = fv.CHUNK_MAX_SIZE,
-                    overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
-    """One new pending chunk row per piece; a narrow stage without shuffles."""
-    cut = with_chunks(documents.select("id", "space_id", "content"), max_size=max_size, overlap=overlap)
+def chunk_documents(documents: DataFrame, max_size: int = fv.CHUNK_MAX_SIZE, overlap: int = fv.CHUNK_OVERLAP,
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """One new pending chunk row per piece, with the document's columns ``keep``; a narrow stage without shuffles."""
+    cut = with_chunks(documents.select("id", "space_id", "content", *keep), max_size=max_size, overlap=overlap)
     # The outer form: for the inner one Spark adds a filter on the array's size, and cuts every text twice.
     return cut.select(
-        F.col("id").alias("document_id"), "space_id", F.posexplode_outer("chunks").alias("chunk_index", "content"),
+        F.col("id").alias("document_id"), "space_id", F.posexplode_outer("chunks").alias("chunk_index", "content"), *keep,
     ).filter("chunk_index is not null").select(
         (F.col("document_id") * CHUNK_ID_FACTOR + F.col("chunk_index")).alias("id"),
         "document_id", "space_id", "chunk_index", "content",
         F.length("content").alias("char_count"),
         F.lit(fv.EMBEDDING_PENDING).alias("embedding_status"),
         F.lit(None).cast("string").alias("vector_id"),
-        F.lit(fv.ACTIVE).alias("status"),
+        F.lit(fv.ACTIVE).alias("status"), *keep,
     )
 
 
@@ -129,9 +130,21 @@ def space_name_conflicts(spaces: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def upsert_spaces(spaces: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spaces after create and update requests ``(id, name, description)``, and the rejected requests."""
-    rejects = space_name_conflicts(spaces, requests)
-    accepted = requests.join(rejects, "id", "left_anti").select(
+    """Spaces after create and update requests ``(id, name, description)``, and the rejected requests.
+
+    Rejected are requests that break a field rule, name a deleted space, repeat an id, or want a name that is taken;
+    only valid requests claim names. Other columns of ``spaces`` are kept.
+    """
+    dead = spaces.filter(F.col("status") != fv.ACTIVE).select("id", F.lit(True).alias("dead"))
+    # Requests of one id are counted in every task first.
+    repeated = requests.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("repeated"))
+    judged = requests.join(dead, "id", "left").join(repeated, "id", "left").withColumn(
+        "reason", F.when(F.col("dead"), "space not found").when(F.col("repeated"), "repeated request")
+        .otherwise(F.get(_broken(space_rules()), F.lit(0))))
+    valid = judged.filter(F.col("reason").isNull()).select(*requests.columns)
+    rejects = judged.filter(F.col("reason").isNotNull()).select("id", "name", "reason").unionByName(
+        space_name_conflicts(spaces, valid))
+    accepted = valid.join(rejects, "id", "left_anti").select(
         "id", F.col("name").alias("new_name"), F.col("description").alias("new_description"),
         F.lit(True).alias("asked"))
     asked = F.coalesce("asked", F.lit(False))
@@ -139,7 +152,8 @@ def upsert_spaces(spaces: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
         "id",
         F.when(asked, F.col("new_name")).otherwise(F.col("name")).alias("name"),
         F.when(asked, F.col("new_description")).otherwise(F.col("description")).alias("description"),
-        F.coalesce("status", F.lit(fv.ACTIVE)).alias("status"))
+        F.coalesce("status", F.lit(fv.ACTIVE)).alias("status"),
+        *[name for name in spaces.columns if name not in ("id", "name", "description", "status")])
     return after, rejects
 
 
@@ -157,6 +171,16 @@ def delete_spaces(spaces: DataFrame, documents: DataFrame, ids: DataFrame) -> Da
         "status", F.when(F.col("gone"), fv.DELETED).otherwise(F.col("status"))).drop("gone")
 
 
+def space_delete_rejects(spaces: DataFrame, documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, reason)`` of the spaces in ``ids`` that cannot be deleted."""
+    asked = ids.select("id").distinct()
+    active = spaces.filter(F.col("status") == fv.ACTIVE).select("id", F.lit(True).alias("known"))
+    free = deletable_spaces(spaces, documents).select("id", F.lit(True).alias("free"))
+    reason = F.when(F.col("known").isNull(), "space not found").when(F.col("free").isNull(), "space has active documents")
+    return asked.join(active, "id", "left").join(free, "id", "left").select("id", reason.alias("reason")).filter(
+        F.col("reason").isNotNull())
+
+
 # --- documents ------------------------------------------------------------------------------------------------
 
 def prepare_documents(requests: DataFrame) -> DataFrame:

@@ -11,10 +11,6 @@ from kbspark.sources.folders import shared_folder
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_BROADCAST_ROWS = 2_000_000
 
-# A request table up to this size is held on the driver.
-MAX_PINNED_ROWS = 20_000
-MAX_PINNED_BYTES = 32 * 1024 * 1024
-
 # Spark pushes a ``row_number() <= n`` below the shuffle only for n up to this default threshold.
 GROUP_LIMIT_MAX = 1000
 
@@ -42,12 +38,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def pin(rows: DataFrame, name: str) -> DataFrame:
     """A request or result table that feeds several branches of a job, computed once.
 
-    A small one becomes a local relation, so that Spark also sees its true size. A larger one is written to the
-    shared checkpoint folder and read back, which survives the loss of any executor.
+    It is written to the shared checkpoint folder and read back, which survives the loss of any executor; Spark then
+    sees its true size. Nothing passes through the driver.
     """
-    table = rows.limit(MAX_PINNED_ROWS + 1).toArrow()
-    if table.num_rows <= MAX_PINNED_ROWS and table.nbytes <= MAX_PINNED_BYTES:
-        return rows.sparkSession.createDataFrame(table, rows.schema)
     folder = shared_folder(rows.sparkSession, name)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -92,8 +92,8 @@ def measure(queries: DataFrame) -> Bounds:
 def of_spaces(rows: DataFrame, bounds: Bounds) -> DataFrame:
     """Rows of the queried spaces: prunes the directories of tables that are partitioned by space.
 
-    A chunk never changes its space, since moving a document gives it new chunks; so looking chunks up by id within
-    the spaces of the queries loses none.
+    For vectors and for keyword recall, which belong to a space. Chunks of hits are looked up by id alone, so that what
+    a query finds does not depend on the spaces of the other queries.
     """
     return rows if bounds.spaces is None else rows.filter(F.col("space_id").isin(bounds.spaces))
 
@@ -114,7 +114,7 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame,
     than ``vector_k`` rows may remain. Queries with the same ``probe_id`` share space and vector and are scored once.
     """
     wanted = queries.filter("use_vector")
-    chunks, vectors = of_spaces(chunks, bounds), of_spaces(vectors, bounds)
+    vectors = of_spaces(vectors, bounds)
     if "probe_id" in queries.columns:
         probes = wanted.groupBy("probe_id").agg(
             F.any_value("space_id").alias("space_id"), F.max("fetch_k").alias("fetch_k"),
@@ -162,12 +162,20 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds) ->
     asked = (queries.filter("use_keyword")
              .select("query_id", "space_id", "candidate_k",
                      F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term")))
-    terms = asked.select("space_id", "term").distinct()
     texts = searchable(of_spaces(chunks, bounds)).select(F.col("id").alias("chunk_id"), "space_id", F.lower("content").alias("text"))
-    most = bounds.candidate_k if bounds.candidate_k <= GROUP_LIMIT_MAX else None
-    matches = contains_join(texts, terms, "text", "term", group="space_id", key="chunk_id", most=most)
-    found = (matches.join(asked, ["space_id", "term"])
-             .groupBy("query_id", "chunk_id").agg(F.any_value("candidate_k").alias("candidate_k")))
+
+    def matched(some: DataFrame, most: int | None) -> DataFrame:
+        terms = some.select("space_id", "term").distinct()
+        matches = contains_join(texts, terms, "text", "term", group="space_id", key="chunk_id", most=most)
+        return (matches.join(some, ["space_id", "term"])
+                .groupBy("query_id", "chunk_id").agg(F.any_value("candidate_k").alias("candidate_k")))
+
+    # Spark limits groups in the tasks only up to a number; a query that asks for more is matched apart from the others.
+    if bounds.candidate_k <= GROUP_LIMIT_MAX:
+        found = matched(asked, bounds.candidate_k)
+    else:
+        wide = F.col("candidate_k") > GROUP_LIMIT_MAX
+        found = matched(asked.filter(~wide), GROUP_LIMIT_MAX).unionByName(matched(asked.filter(wide), None))
     return (_first(found, ["query_id"], bounds.candidate_k)
             .filter(F.col("keyword_rank") <= F.col("candidate_k"))
             .select("query_id", "chunk_id", "keyword_rank"))
@@ -186,7 +194,7 @@ def merge_candidates(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFra
 def with_chunk(candidates: DataFrame, chunks: DataFrame, bounds: Bounds) -> DataFrame:
     """Candidates with their chunk's text; chunks are scanned once and not shuffled."""
     rows = bounds.queries * (fv.VECTOR_TOP_K_MAX + bounds.candidate_k)
-    full = of_spaces(chunks, bounds).select(F.col("id").alias("chunk_id"), "document_id", "space_id", "chunk_index", "content")
+    full = chunks.select(F.col("id").alias("chunk_id"), "document_id", "space_id", "chunk_index", "content")
     return full.join(broadcast_if(candidates, rows, _CANDIDATE_BYTES), "chunk_id")
 
 

@@ -35,8 +35,18 @@ def vector_rows(chunks: DataFrame) -> DataFrame:
 
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
-    """Chunks with the ``embedding`` a vector table has for them (null when it has none)."""
-    return chunks.join(vectors.select(key, "embedding"), key, "left")
+    """Chunks with the ``embedding`` a vector table has for them (null when it has none).
+
+    A table that has several vectors of a chunk gives it the smallest, so no chunk is doubled.
+    """
+    one = vectors.groupBy(key).agg(F.min("embedding").alias("embedding"))
+    return chunks.join(one, key, "left")
+
+
+def _vectorised(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks with ``has_vector``; only ids of vectors are read and shuffled."""
+    known = vectors.filter(F.col("embedding").isNotNull()).select("id", F.lit(True).alias("known")).distinct()
+    return chunks.join(known, "id", "left").withColumn("has_vector", F.coalesce("known", F.lit(False))).drop("known")
 
 
 def embed_batches(chunks: DataFrame, embed: Callable[[pa.Array], pa.Array], text: str = "content",
@@ -64,8 +74,7 @@ def embed_batches(chunks: DataFrame, embed: Callable[[pa.Array], pa.Array], text
 def mark_outcomes(chunks: DataFrame, documents: DataFrame, vectors: DataFrame,
                   retry_failed: bool = False) -> DataFrame:
     """Chunks after a vectorising job: with a vector done, without one failed, others as they were."""
-    tried = pin(attach_vectors(pending_chunks(chunks, documents, retry_failed).select("id"), vectors)
-                .select("id", F.col("embedding").isNotNull().alias("has_vector")), "outcomes")
+    tried = pin(_vectorised(pending_chunks(chunks, documents, retry_failed).select("id"), vectors), "outcomes")
     # Few outcomes are broadcast, so that the chunks' texts are rewritten without a shuffle.
     return (chunks.join(broadcast_if(tried, tried.count(), _OUTCOME_BYTES), "id", "left")
             .withColumn("embedding_status",
@@ -82,8 +91,7 @@ def rollup(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, retry_fa
     live = (chunks.filter(F.col("status") == fv.ACTIVE)
             .select("id", "document_id", is_pending(retry_failed).alias("pending")))
     # Only pending chunks meet the vector table; the others need no join.
-    tried = attach_vectors(live.filter("pending"), vectors).select(
-        "document_id", F.lit(True).alias("pending"), F.col("embedding").isNotNull().alias("has_vector"))
+    tried = _vectorised(live.filter("pending"), vectors).select("document_id", "pending", "has_vector")
     others = live.filter("not pending").select("document_id", "pending", F.lit(False).alias("has_vector"))
     counts = tried.unionByName(others).groupBy("document_id").agg(
         F.count("*").alias("total"), F.count_if("pending").alias("pending"),

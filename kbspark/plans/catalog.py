@@ -89,6 +89,12 @@ def space_upsert(kb):
     return after
 
 
+@query
+def space_request_rejects(kb):
+    _, rejects = ingest.upsert_spaces(kb.named_spaces, kb.space_requests)
+    return rejects
+
+
 def _documents_by_source(kb):
     return kb.raw("documents").join(
         kb.raw("labels").filter("quality = 0").select("doc_id").distinct().withColumn("poor", F.lit(True)),
@@ -104,6 +110,14 @@ def deletable_spaces(kb):
         "id", "name")
 
 
+@query
+def space_delete_rejects(kb):
+    ids = kb.named_spaces.select("id")
+    asked = ids.unionByName(ids.select((F.col("id") + 1_000_000).alias("id")))
+    spaces = kb.named_spaces.withColumn("status", F.lit(1))
+    return ingest.space_delete_rejects(spaces, _documents_by_source(kb), asked)
+
+
 @query
 def space_soft_delete(kb):
     spaces = kb.named_spaces.withColumn("status", F.lit(1))
@@ -657,6 +671,15 @@ def comparison_summary(kb):
     return evaluate.comparison_summary(_best(kb)).select("comparison_id", "summary")
 
 
+@query
+def run_rejects(kb):
+    """Runs of unknown data sets, of a deleted one, and of one whose cases are deleted."""
+    runs = kb.runs.withColumn("dataset_id", F.col("dataset_id") + F.when(F.col("id") % 3 == 0, 100).otherwise(0))
+    datasets = kb.datasets.withColumn("status", F.when(F.col("id") == 3, fv.DELETED).otherwise(F.col("status")))
+    cases = kb.cases.withColumn("status", F.when(F.col("dataset_id") == 4, fv.DELETED).otherwise(F.col("status")))
+    return evaluate.run_rejects(runs, datasets, cases)
+
+
 @query
 def compare_validation(kb):
     return evaluate.comparison_errors(_comparisons(kb), kb.runs)
@@ -714,16 +737,28 @@ def stream_document_chunks(kb):
         "document_id", "space_id", "chunk_index", "content", "char_count")
 
 
+def _once(kb, stream):
+    out = shared_folder(kb.spark, "stream-changes")
+    stream_ingest.start_changes(stream.select("event_id", "user_id", "event_type"), ["event_id"], out,
+                                shared_folder(kb.spark, "stream-changes-state")).awaitTermination()
+    return kb.spark.read.parquet(out).drop("batch_id")
+
+
 @query
 def stream_repeated_changes(kb):
     """The events sent twice, each kept once."""
-    twice = _stream(kb, "events").unionByName(_stream(kb, "events"))
-    out = shared_folder(kb.spark, "stream-changes")
-    once = stream_ingest.drop_repeated(twice, ["event_id"]).select("event_id", "user_id", "event_type")
-    (once.writeStream.format("parquet").option("path", out)
-     .option("checkpointLocation", shared_folder(kb.spark, "stream-changes-state"))
-     .trigger(availableNow=True).start().awaitTermination())
-    return kb.spark.read.parquet(out)
+    return _once(kb, _stream(kb, "events").unionByName(_stream(kb, "events")))
+
+
+@query
+def stream_late_changes(kb):
+    """The events in several batches, the latest first, and all sent again: none is too late."""
+    files = shared_folder(kb.spark, "late-events")
+    events = kb.raw("events")
+    for _ in range(2):
+        events.repartitionByRange(4, F.desc("ts")).write.mode("append").parquet(files)
+    stream = kb.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    return _once(kb, stream)
 
 
 QUERIES = {name: _over_test_data(build) for name, build in BUILDERS.items()}

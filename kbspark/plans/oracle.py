@@ -410,6 +410,16 @@ SELECT r.id, r.name, CASE WHEN EXISTS (SELECT 1 FROM named_space s WHERE s.statu
 FROM space_request r
 WHERE EXISTS (SELECT 1 FROM named_space s WHERE s.status = 1 AND s.name = r.name AND s.id <> r.id)
    OR EXISTS (SELECT 1 FROM space_request o WHERE o.name = r.name AND o.id < r.id)"""
+CTES["space_dead"] = "SELECT id FROM named_space WHERE status = 0"
+CTES["space_taken"] = """
+SELECT r.id, r.name, CASE WHEN EXISTS (SELECT 1 FROM named_space s WHERE s.status = 1 AND s.name = r.name
+                                       AND s.id <> r.id)
+                          THEN 'name of an active space' ELSE 'name of an earlier request' END AS reason
+FROM space_request r
+WHERE id NOT IN (SELECT id FROM space_dead)
+  AND (EXISTS (SELECT 1 FROM named_space s WHERE s.status = 1 AND s.name = r.name AND s.id <> r.id)
+       OR EXISTS (SELECT 1 FROM space_request o WHERE o.name = r.name AND o.id < r.id
+                  AND o.id NOT IN (SELECT id FROM space_dead)))"""
 CTES["source_document"] = """
 SELECT CASE WHEN lang = 'en' THEN 2 ELSE 4 END * 100 + substr(source, 4)::BIGINT AS space_id,
        CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 0 ELSE 1 END AS status FROM documents"""
@@ -485,7 +495,11 @@ _SELECTS = {
     "space_name_conflicts": "SELECT * FROM space_conflict",
     "space_upsert": "SELECT s.id, coalesce(r.name, s.name) AS name, coalesce(r.description, s.description) AS "
                     "description, s.status FROM named_space s LEFT JOIN (SELECT * FROM space_request WHERE id NOT IN "
-                    "(SELECT id FROM space_conflict)) r USING (id)",
+                    "(SELECT id FROM space_dead) AND id NOT IN (SELECT id FROM space_taken)) r USING (id)",
+    "space_request_rejects": "SELECT id, name, 'space not found' AS reason FROM space_request WHERE id IN "
+                             "(SELECT id FROM space_dead) UNION ALL SELECT id, name, reason FROM space_taken",
+    "space_delete_rejects": "SELECT id, 'space has active documents' AS reason FROM named_space WHERE id NOT IN "
+                            "(SELECT id FROM deletable) UNION ALL SELECT id + 1000000, 'space not found' FROM named_space",
     "deletable_spaces": "SELECT * FROM deletable",
     "space_soft_delete": "SELECT id, CASE WHEN id IN (SELECT id FROM deletable) THEN 0 ELSE 1 END AS status "
                          "FROM named_space",
@@ -673,6 +687,13 @@ SELECT comparison_id, '{fv.COMPARE_SUMMARY_HEAD[0]}' || compared_run_count || '{
        || '{fv.COMPARE_SUMMARY_MRR}' || best_mrr_run_id || '{fv.COMPARE_SUMMARY_STOP}'
        || '{fv.COMPARE_SUMMARY_FASTEST}' || fastest_run_id || '{fv.COMPARE_SUMMARY_STOP}'
        || '{fv.COMPARE_SUMMARY_TAIL}' AS summary FROM best""",
+    "run_rejects": f"""
+SELECT * FROM (
+    SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'dataset not found' WHEN dataset_id = 3 THEN 'dataset inactive'
+                        WHEN dataset_id = 4 THEN 'no active case' END AS reason
+    FROM (SELECT dataset_id, dataset_id * 10 + unnest([1, 2, 3, 4]) AS run_id
+          FROM (SELECT DISTINCT {_space('lang')} AS dataset_id FROM documents)))
+WHERE reason IS NOT NULL""",
     "compare_validation": "SELECT comparison_id, CASE kind WHEN 2 THEN 'fewer than two runs' WHEN 3 THEN "
                           "'run id missing' ELSE 'run not found' END AS error FROM comparison WHERE kind >= 2",
     "case_quality": "SELECT id, CASE WHEN space_id = 3 THEN 'dataset not found' ELSE 'question blank' END AS error "
@@ -685,6 +706,7 @@ SELECT comparison_id, '{fv.COMPARE_SUMMARY_HEAD[0]}' || compared_run_count || '{
     "stream_document_chunks": "SELECT document_id, space_id, chunk_index, content, length(content)::INTEGER AS "
                               "char_count FROM piece",
     "stream_repeated_changes": "SELECT event_id, user_id, event_type FROM events",
+    "stream_late_changes": "SELECT event_id, user_id, event_type FROM events",
 }
 
 ORACLES = {name: statement(select) for name, select in _SELECTS.items()}

@@ -13,10 +13,13 @@ _local = {}
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path for ``purpose`` under the folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, one temporary folder of this machine is used.
+    Only where that is unset and all tasks run on this machine, as in local tests, a temporary folder is used; on a
+    cluster the executors would each write to a disk of their own.
     """
     base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _local:
             _local[application] = tempfile.mkdtemp(prefix="kbspark-")

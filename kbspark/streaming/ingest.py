@@ -5,15 +5,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kbspark import fixed_values as fv
 from kbspark.operators import ingest
+from kbspark.operators.limits import broadcast_if, pin
 
+# Bytes of a broadcast id and version, with the hash-table entry.
+_VERSION_BYTES = 64
 
-def drop_repeated(changes: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each change once, as long as its repeats arrive within ``delay``; older state is dropped.
 
-    Watermarks need a timestamp with a zone; the tables' own timestamps have none and are read in the session's.
+def keep_first(batch: DataFrame, batch_id: int, keys: list[str], out: str) -> None:
+    """Write the changes of one micro-batch whose keys no earlier batch has, each once.
+
+    Keys alone decide, so a first event counts however late it comes, and no state is ever dropped. The folder is named
+    by the batch and overwritten: a batch that is run again looks at the same earlier ones and leaves the same result.
     """
-    return (changes.withColumn(time, F.col(time).cast("timestamp"))
-            .withWatermark(time, delay).dropDuplicatesWithinWatermark(keys))
+    once = batch.dropDuplicates(keys)
+    if batch_id:
+        known = (batch.sparkSession.read.schema(batch.select(*keys).schema.add("batch_id", "integer")).parquet(out)
+                 .filter(F.col("batch_id") < batch_id).select(*keys))
+        once = once.join(known, keys, "left_anti")
+    once.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+
+def start_changes(changes: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Keep every change that has arrived once, then stop; ``out`` is a table of the changes by ``batch_id``."""
+    return (changes.writeStream.foreachBatch(lambda batch, n: keep_first(batch, n, keys, out))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def chunk_batch(batch: DataFrame, batch_id: int, out: str) -> None:
@@ -22,9 +37,14 @@ def chunk_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     The target folder is named by the batch and overwritten, so a batch that is run again after a failure leaves the
     same result.
     """
-    newest = ingest.latest(batch, "id", "version")
-    newest.select("id", "space_id", "version").write.mode("overwrite").parquet(f"{out}/versions/batch_id={batch_id}")
-    (ingest.chunk_documents(newest).join(newest.select(F.col("id").alias("document_id"), "version"), "document_id")
+    # Narrow rows pick the newest versions; texts meet them without a window, and the version is carried along.
+    newest = pin(ingest.latest(batch.select("id", "version", "space_id"), "id", "version"), "newest-versions")
+    newest.write.mode("overwrite").parquet(f"{out}/versions/batch_id={batch_id}")
+    side = broadcast_if(newest.select("id", "version"), newest.count(), _VERSION_BYTES)
+    texts = batch.join(side, ["id", "version"], "left_semi")
+    if not batch.groupBy("id", "version").count().filter("count > 1").isEmpty():  # a version that was sent twice
+        texts = texts.dropDuplicates(["id", "version"])
+    (ingest.chunk_documents(texts, keep=["version"])
      .write.mode("overwrite").parquet(f"{out}/chunks/batch_id={batch_id}"))
 
 

@@ -91,6 +91,23 @@ def test_spaces(spark):
     assert {row.id: row.status for row in gone.collect()} == {1: 1, 2: 0, 3: 0}
 
 
+def test_space_requests_are_judged(spark):
+    spaces = spark.createDataFrame([(1, "a", "x", 1, "kept"), (2, "b", "y", 0, "kept")],
+                                   "id long, name string, description string, status int, owner string")
+    requests = spark.createDataFrame(
+        [(1, " ", None), (2, "new", None), (3, "c" * 500, None), (4, "d", None), (4, "e", None), (5, "f", None)],
+        "id long, name string, description string")
+    after, rejects = ingest.upsert_spaces(spaces, requests)
+    assert {(row.id, row.reason.split(" longer")[0]) for row in rejects.collect()} == {
+        (1, "name blank"), (2, "space not found"), (3, "name"), (4, "repeated request")}
+    assert sorted(map(tuple, after.collect())) == [
+        (1, "a", "x", 1, "kept"), (2, "b", "y", 0, "kept"), (5, "f", None, 1, None)]
+    documents = spark.createDataFrame([(1, 1)], "space_id long, status int")
+    asked = spark.createDataFrame([(1,), (2,), (9,), (9,)], "id long")
+    assert {(row.id, row.reason) for row in ingest.space_delete_rejects(spaces, documents, asked).collect()} == {
+        (1, "space has active documents"), (2, "space not found"), (9, "space not found")}
+
+
 def test_field_rules(spark):
     rows = spark.createDataFrame(
         [(1, 1, "ok", "text", "WIKI", None), (2, None, " \t", "", "k" * 65, "u" * 513), (3, 1, "t" * 256, None, None, "u"),

@@ -1,6 +1,7 @@
 """Rules of the search that a tiny hand-made knowledge base shows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kbspark.operators import retrieve
 
@@ -138,8 +139,6 @@ def test_limits(spark):
 
 
 def test_shared_probe_and_large_candidate_k(spark, kb):
-    from pyspark.sql import functions as F
-
     queries = asked(spark, {"top_k": 1}, {"top_k": 3}, {"retrieval_mode": "HYBRID"},
                     {"retrieval_mode": "KEYWORD_ONLY", "candidate_k": 5000}).withColumn("probe_id", F.lit("same"))
     alone = retrieve.search(queries.drop("probe_id"), *kb)
@@ -147,6 +146,29 @@ def test_shared_probe_and_large_candidate_k(spark, kb):
     assert sorted(map(tuple, shared.collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr)
 
 
+def test_hits_do_not_depend_on_other_queries(spark, kb):
+    """A vector of space 1 whose chunk has moved to space 2 is found, whoever else asks."""
+    chunks, vectors, documents, spaces = kb
+    moved = chunks.withColumn("space_id", F.lit(2).cast("long"))
+    alone, with_other = [
+        {(row.query_id, row.chunk_id) for row in retrieve.search(asked(spark, *queries), moved, vectors, documents, spaces)
+         .filter("query_id = 0").collect()} for queries in ([{"top_k": 3}], [{"top_k": 3}, {"space_id": 2}])]
+    assert alone and alone == with_other
+
+
+def test_one_wide_query_does_not_widen_the_others(spark, kb):
+    queries = [{"retrieval_mode": "KEYWORD_ONLY", "candidate_k": k} for k in (1, 2, 5000)]
+    together = run(spark, kb, *queries)
+    for n, query in enumerate(queries):
+        assert [row.chunk_id for row in run(spark, kb, query)[0]] == [row.chunk_id for row in together[n]]
+
+
+def test_keyword_recall_stays_in_the_jvm(spark, kb):
+    found = retrieve.search(asked(spark, {"retrieval_mode": "KEYWORD_ONLY"}), *kb)
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert "Arrow" not in found._jdf.queryExecution().toString()
+
+
 def test_chunks_are_not_shuffled(spark, kb, tmp_path):
     """Neither texts nor vectors pass an exchange: candidates and hits are the build sides."""
     names = ("chunks", "vectors", "documents", "spaces")

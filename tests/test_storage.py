@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F, types as T
 
 from kbspark.operators import ingest
@@ -65,17 +67,51 @@ def test_a_repeated_batch_leaves_the_same_result(spark, tmp_path):
     assert stream_ingest.current_chunks(spark, str(tmp_path)).count() == 2
 
 
-def test_repeated_changes_are_dropped(spark, tmp_path):
-    at = datetime.datetime(2024, 1, 1)
-    rows = [(n % 4, at + datetime.timedelta(minutes=n % 4)) for n in range(12)]
-    spark.createDataFrame(rows, "change_id long, ts timestamp").repartition(3).write.parquet(f"{tmp_path}/in")
+def test_changes_are_kept_once_and_never_too_late(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 10)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "change_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    # Each file is a batch; the third brings a first event that is days older, and repeats.
+    for rows in ([(1, at), (1, at)], [(2, at + datetime.timedelta(days=1)), (1, at)],
+                 [(3, at - datetime.timedelta(days=2)), (2, at)]):
+        arrive(rows)
     stream = spark.readStream.schema("change_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(
         f"{tmp_path}/in")
-    query = (stream_ingest.drop_repeated(stream, ["change_id"]).writeStream.format("parquet")
-             .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    assert sorted(row.change_id for row in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3]
+    for _ in range(2):
+        stream_ingest.start_changes(stream, ["change_id"], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        assert sorted(row.change_id for row in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+        arrive([(3, at), (1, at)])
+
+
+def test_a_batch_run_again_keeps_the_same_changes(spark, tmp_path):
+    first, second = [spark.createDataFrame(rows, "change_id long") for rows in ([(1,), (2,)], [(2,), (3,)])]
+    for batch, number in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        stream_ingest.keep_first(batch, number, ["change_id"], str(tmp_path))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path)).collect())) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_a_version_sent_twice_is_chunked_once(spark, tmp_path):
+    row = (1, 1, "x" * 700, 1)
+    batch = spark.createDataFrame([row, row, (1, 1, "old", 0)], "id long, space_id long, content string, version long")
+    stream_ingest.chunk_batch(batch, 0, str(tmp_path))
+    assert stream_ingest.current_chunks(spark, str(tmp_path)).count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from kbspark.sources import folders
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master, applicationId = "spark://somewhere", "cluster"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError):
+        folders.shared_folder(Cluster, "some")
 
 
 def test_rollup_stream_equals_batch(spark, tmp_path):
@@ -92,3 +128,20 @@ def test_rollup_stream_equals_batch(spark, tmp_path):
 def test_chunk_stream_uses_the_batch_operator(spark):
     assert ingest.chunk_documents(
         spark.createDataFrame([(1, 1, "a")], "id long, space_id long, content string")).count() == 1
+
+
+def test_repeated_vectors_do_not_double_chunks(spark):
+    from kbspark.operators import vectorize
+
+    chunks = spark.createDataFrame(
+        [(n, 1, 1, n, "text", 4, 0, None, 1) for n in range(3)],
+        "id long, document_id long, space_id long, chunk_index int, content string, char_count int, "
+        "embedding_status int, vector_id string, status int")
+    documents = spark.createDataFrame([(1, 1)], "id long, status int")
+    vectors = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [1.0]), (2, None), (1, None)], "id long, embedding array<float>")
+    assert sorted((r.id, r.embedding_status) for r in vectorize.mark_outcomes(chunks, documents, vectors).collect()) == [
+        (0, 1), (1, 1), (2, 2)]
+    row = vectorize.rollup(chunks, documents, vectors).first()
+    assert (row.total_chunk_count, row.success_count, row.failed_count) == (3, 2, 1)
+    assert sorted((r.id, r.embedding) for r in vectorize.attach_vectors(chunks, vectors).collect()) == [
+        (0, [1.0]), (1, [1.0]), (2, None)]
