@@ -13,6 +13,9 @@ from kbspark.sources.shipping import ship
 # Texts are cut into words block by block, so that a very long text never becomes one list of words.
 BLOCK_BYTES = 1 << 20
 
+# Rows of an Arrow batch whose texts are Python objects at a time.
+_ROWS_AT_A_TIME = 128
+
 
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """``rows`` written to the shared checkpoint folder and read back: cuts the lineage, survives lost executors."""
@@ -58,10 +61,11 @@ def blocks(text: bytes, gap: re.Pattern) -> Iterator[bytes]:
     yield text[start:]
 
 
-def binary_values(column: pa.Array) -> list:
-    """The UTF-8 bytes of a string column as Python objects; null becomes empty."""
+def binary_values(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of a string column, a few rows at a time; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [value or b"" for value in column.cast(kind).to_pylist()]
+    for start in range(0, len(column), _ROWS_AT_A_TIME):
+        yield from (value or b"" for value in column.slice(start, _ROWS_AT_A_TIME).cast(kind).to_pylist())
 
 
 def unsigned(column: Column) -> Column:

@@ -31,7 +31,7 @@ EXPRESSION = 2
 SLICE_ROWS = 4_000_000
 
 # Pairs counted in a task before they are put out.
-FLUSH_PAIRS = 1 << 19
+FLUSH_PAIRS = 1 << 18
 
 # Rows of the histogram from which scores are calibrated.
 STEPS = 4_000
@@ -128,17 +128,19 @@ class Model:
                        for rows, key, value in ((backoff, F.col("stem"), term - self.unknown),
                                                 (terms, F.col("word"), F.col("term")))]
 
-    def slices(self) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-        """Of both tables sorted keys and their terms, about ``SLICE_ROWS`` at a time."""
-        parts = max(1, math.ceil(sum(table.count() for table in self.tables) / SLICE_ROWS))
-        for number in range(parts):
-            out = []
-            for table in self.tables:
-                found = (table.filter(F.pmod("key", F.lit(parts)) == number) if parts > 1 else table).toArrow()
-                keys = found.column("key").to_numpy().astype(np.uint32)
-                order = np.argsort(keys)
-                out.append((keys[order], found.column("term").to_numpy().astype(np.float32)[order]))
-            yield out
+    def parts(self) -> range:
+        """Numbers of the slices."""
+        return range(max(1, math.ceil(sum(table.count() for table in self.tables) / SLICE_ROWS)))
+
+    def slice(self, number: int, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both tables sorted keys and their terms, about ``SLICE_ROWS`` together."""
+        out = []
+        for table in self.tables:
+            found = (table.filter(F.pmod("key", F.lit(parts)) == number) if parts > 1 else table).toArrow()
+            keys = found.column("key").to_numpy().astype(np.uint32)
+            order = np.argsort(keys)
+            out.append((keys[order], found.column("term").to_numpy().astype(np.float32)[order]))
+        return out
 
 
 def _terms(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarray:
@@ -164,38 +166,37 @@ def strongest(terms: np.ndarray, width: int = EXPRESSION) -> float:
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``evidence``; without words it is 0.
 
-    Each pass adds the terms of its slice to the list of the words' terms that it hands on with the text.
+    Each pass but the last adds the terms of its slice to the list of the words' terms that it hands on with the text.
     """
     kept = [column for column in docs.columns if column != "text"]
-    rows = docs.withColumn("terms", F.lit(None).cast("binary"))
-    context, schema = docs.sparkSession.sparkContext, rows.schema
+    rows = docs.select(*kept, "text", F.lit(None).cast("binary").alias("terms"))
+    context, unknown, slices = docs.sparkSession.sparkContext, model.unknown, list(model.parts())
 
-    def added(held):
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(held, last: bool):
+        def terms_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             of_stems, of_words = held.value
+            for value, so_far in zip(binary_values(batch.column("text")), batch.column("terms"), strict=True):
+                words, _, stems = hashed(value)
+                terms = _terms(of_stems, stems) + _terms(of_words, words)
+                yield terms + np.frombuffer(so_far.as_buffer(), np.float32) if so_far.is_valid else terms
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for value, so_far in zip(binary_values(batch.column("text")), batch.column("terms").to_pylist(),
-                                         strict=True):
-                    words, _, stems = hashed(value)
-                    terms = _terms(of_stems, stems) + _terms(of_words, words)
-                    out.append((terms if so_far is None else terms + np.frombuffer(so_far, np.float32)).tobytes())
-                names = batch.schema.names
-                yield pa.record_batch([*[batch.column(name) for name in names[:-1]], pa.array(out, pa.binary())],
-                                      names=names)
+                columns = [batch.column(name) for name in kept]
+                if last:
+                    found = [strongest(terms) + unknown if len(terms) else 0.0 for terms in terms_of(batch)]
+                    yield pa.record_batch([*columns, pa.array(found, pa.float64())], names=[*kept, "evidence"])
+                else:
+                    out = [terms.tobytes() for terms in terms_of(batch)]
+                    yield pa.record_batch([*columns, batch.column("text"), pa.array(out, pa.binary())],
+                                          names=[*kept, "text", "terms"])
         return add
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = [np.frombuffer(value, np.float32) for value in batch.column("terms").to_pylist()]
-            found = [strongest(one) + unknown if len(one) else 0.0 for one in terms]
-            yield pa.record_batch([*[batch.column(name) for name in kept], pa.array(found, pa.float64())],
-                                  names=[*kept, "evidence"])
-
-    unknown = model.unknown
-    for part in model.slices():
-        rows = rows.mapInArrow(added(context.broadcast(part)), schema)
-    return rows.select(*kept, "terms").mapInArrow(judge, docs.select(*kept).schema.add("evidence", "double"))
+    for number in slices:
+        last = number == slices[-1]
+        rows = rows.mapInArrow(passed(context.broadcast(model.slice(number, len(slices))), last),
+                               docs.select(*kept).schema.add("evidence", "double") if last else rows.schema)
+    return rows
 
 
 def calibration(marked: DataFrame) -> tuple[float, float]:
