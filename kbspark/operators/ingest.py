@@ -16,6 +16,9 @@ CHUNK_ID_FACTOR = 1_000_000
 _MARK_BYTES = 160
 
 
+_DOCUMENT_COLUMNS = ["id", "space_id", "title", "content", "source_type", "source_uri", "status"]
+
+
 class Changed(NamedTuple):
     documents: DataFrame
     chunks: DataFrame
@@ -204,6 +207,9 @@ def apply_document_changes(documents: DataFrame, chunks: DataFrame, changes: Dat
     changes one by one: a change needs an active document (or its create earlier in the feed) and, if it names a
     space, an active space; nothing follows a delete; space and source type are kept when an update omits them.
     Every touched document gets all its chunks anew, as pending.
+
+    Documents keep their other columns; written ones get ``chunk_count`` and ``next_chunk_id``, the first id that no
+    chunk of the document has ever had. Feed the result in again, and ids stay unused even after a rewrite to blank.
     """
     # Changes are judged without their texts; each document's last valid text is fetched once, by its number.
     judged = judge_changes(documents, changes, spaces)
@@ -214,6 +220,7 @@ def apply_document_changes(documents: DataFrame, chunks: DataFrame, changes: Dat
         F.max_by("space_id", F.when(is_write & F.col("space_id").isNotNull(), F.col("seq"))).alias("new_space"),
         F.max_by("source_type", F.when(is_write & ~_blank("source_type"), F.col("seq"))).alias("new_source_type"),
         F.any_value("old_space").alias("old_space"), F.any_value("old_source_type").alias("old_source_type"),
+        F.any_value("others").alias("others"),
         F.coalesce(F.bool_or(~is_write), F.lit(False)).alias("deleted")), "decided-changes")
     marks = decided.select("id", F.col("seq").isNotNull().alias("written"), "deleted")
     # A small feed is broadcast, and documents and chunks are rewritten without a shuffle of their texts.
@@ -228,25 +235,42 @@ def apply_document_changes(documents: DataFrame, chunks: DataFrame, changes: Dat
 
     status = F.when(F.col("deleted"), fv.DELETED).otherwise(fv.ACTIVE).alias("status")
     texts = changes.select("id", "seq", "title", "content", "source_uri")
+    # Rebuilt chunks get ids no chunk of the document had, so that vectors of the old ones find nothing.
+    tops = chunks.select("id", "document_id").join(
+        broadcast_if(marks.filter("written").select(F.col("id").alias("document_id")), touched, _MARK_BYTES),
+        "document_id").groupBy("document_id").agg((F.max("id") + 1).alias("top_id"))
+    known_next = F.col("others")["next_chunk_id"] if "next_chunk_id" in documents.columns else F.lit(None).cast("long")
+    facts = decided.withColumnRenamed("id", "document_id").join(tops, "document_id", "left").select(
+        "document_id", "deleted", F.greatest("top_id", known_next).alias("free_id"))
+    facts = pin(facts, "rebuilt-documents")
     rewritten = texts.join(broadcast_if(decided.filter("seq is not null"), touched, _MARK_BYTES), ["id", "seq"]).select(
         "id", F.coalesce("new_space", "old_space").alias("space_id"), "title", "content",
         F.coalesce("new_source_type", "old_source_type", F.lit(fv.DEFAULT_SOURCE_TYPE)).alias("source_type"),
-        "source_uri", status)
-    after = marked(documents, "id").select(*rewritten.columns).unionByName(rewritten)
+        "source_uri", status, "others")
+    side = broadcast_if(facts.select(F.col("document_id").alias("id"), "free_id"), touched, _MARK_BYTES)
+    counted = chunk_counts(rewritten, max_size, overlap).join(side, "id").withColumn(
+        "next_chunk_id", F.coalesce("free_id", F.col("id") * CHUNK_ID_FACTOR) + F.col("chunk_count"))
+    made = ["chunk_count", "next_chunk_id"]
+    kept_others = [name for name in _other_columns(documents) if name not in made]
+    columns = [*_DOCUMENT_COLUMNS, *kept_others]
+    replaced = counted.select(*_DOCUMENT_COLUMNS, *[F.col("others")[name].alias(name) for name in kept_others], *made)
+    unmade = [F.col(name) if name in documents.columns else F.lit(None).cast(replaced.schema[name].dataType).alias(name)
+              for name in made]
+    after = marked(documents, "id").select(*columns, *unmade).unionByName(replaced)
 
-    # Rebuilt chunks get ids no chunk of the document had, so that vectors of the old ones find nothing.
-    tops = chunks.select("id", "document_id").join(
-        broadcast_if(marks.filter("written").select(F.col("id").alias("document_id")), touched, _MARK_BYTES),
-        "document_id").groupBy("document_id").agg((F.max("id") + 1).alias("free_id"))
-    facts = decided.select(F.col("id").alias("document_id"), "deleted").join(tops, "document_id", "left")
     columns = ["id", "document_id", "space_id", "chunk_index", "content", "char_count", "embedding_status",
                "vector_id", "status"]
-    rebuilt = (chunk_documents(rewritten, max_size, overlap).drop("status").join(facts, "document_id")
+    rebuilt = (chunk_documents(rewritten, max_size, overlap).drop("status").join(
+        broadcast_if(facts, touched, _MARK_BYTES), "document_id")
                .withColumn("id", F.coalesce(F.col("free_id") + F.col("chunk_index"), "id")).select("*", status))
     kept = marked(chunks, "document_id")
     return Changed(after, kept.select(*columns).unionByName(rebuilt.select(*columns)), rejects)
 
 
+def _other_columns(documents: DataFrame) -> list[str]:
+    return [name for name in documents.columns if name not in _DOCUMENT_COLUMNS]
+
+
 def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -> DataFrame:
     """Changes without their texts, with the document's ``old_space`` and the ``reason`` of a rejection."""
     active_spaces = spaces.filter(F.col("status") == fv.ACTIVE).select(
@@ -255,6 +279,7 @@ def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -
     known = documents.select(
         "id", F.col("space_id").alias("old_space"), F.col("source_type").alias("old_source_type"),
         (F.col("status") == fv.ACTIVE).alias("was_active"),
+        F.struct(F.lit(True).alias("known"), *_other_columns(documents)).alias("others"),
     ).join(broadcast_if(named, named.count(), _MARK_BYTES), "id")
     op, seq = F.col("op"), F.col("seq")
     space_needed = (op == "create") | ((op == "update") & F.col("space_id").isNotNull())
@@ -273,7 +298,7 @@ def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -
         .when((op == "create") & (seq > F.col("born")), "document exists")
         .when(F.col("born").isNull() | (seq < F.col("born")) | (seq > F.col("death")), "document not found"))
     return staged.join(deaths, "id", "left").select(
-        "seq", "op", "id", "space_id", "source_type", "old_space", "old_source_type", reason.alias("reason"))
+        "seq", "op", "id", "space_id", "source_type", "old_space", "old_source_type", "others", reason.alias("reason"))
 
 
 def soft_delete_documents(documents: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

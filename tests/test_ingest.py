@@ -55,7 +55,7 @@ def test_change_feed(spark, seed):
         spark.createDataFrame(list(spaces.items()), "id long, status int"))
     state, rejects, rebuilt = apply_one_by_one(documents, spaces, changes)
     assert sorted((row.seq, row.reason) for row in result.rejects.collect()) == rejects
-    assert {row.id: list(row) for row in result.documents.collect()} == state
+    assert {row.id: list(row)[:7] for row in result.documents.collect()} == state
     found = {}
     for row in result.chunks.orderBy("document_id", "chunk_index").collect():
         found.setdefault(row.document_id, []).append((row.content, row.space_id, row.status))
@@ -67,6 +67,25 @@ def test_change_feed(spark, seed):
         assert found.get(doc, []) == [(piece, row[1], status) for piece in models.chunks(row[3])], doc
 
 
+def test_ids_are_not_used_again_after_a_blank_text(spark):
+    documents = spark.createDataFrame(
+        [(1, 1, "t", "x" * 900, "MANUAL", None, 1, "me"), (2, 1, "t", "other", "MANUAL", None, 1, "you")],
+        "id long, space_id long, title string, content string, source_type string, source_uri string, status int, owner string")
+    chunks, spaces = ingest.chunk_documents(documents), spark.createDataFrame([(1, 1)], "id long, status int")
+    used, counts = {row.id for row in chunks.collect()}, []
+    for content in (" ", "y" * 900, "z" * 100):
+        changes = spark.createDataFrame([(1, "update", 1, None, "t", content, None, None)], CHANGE)
+        changed = ingest.apply_document_changes(documents, chunks, changes, spaces)
+        documents, chunks = (spark.createDataFrame(rows.collect(), rows.schema) for rows in changed[:2])
+        ids = {row.id for row in chunks.filter("document_id = 1").collect()}
+        assert not ids & used
+        used |= ids
+        rows = {row.id: row for row in documents.collect()}
+        counts.append(rows[1].chunk_count)
+        assert (rows[1].owner, rows[2].owner, rows[2].chunk_count) == ("me", "you", None)
+    assert counts == [0, 2, 1]
+
+
 def test_latest_keeps_one_row_per_key(spark):
     rows = spark.range(1000).selectExpr("id % 3 as key", "id as version", "repeat('x', 10) as text")
     newest = ingest.latest(rows, "key", "version")
