@@ -44,8 +44,15 @@ def chunk_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     texts = batch.join(side, ["id", "version"], "left_semi")
     if not batch.groupBy("id", "version").count().filter("count > 1").isEmpty():  # a version that was sent twice
         texts = texts.dropDuplicates(["id", "version"])
-    (ingest.chunk_documents(texts, keep=["version"])
-     .write.mode("overwrite").parquet(f"{out}/chunks/batch_id={batch_id}"))
+    made = ingest.chunk_documents(texts, keep=["version"])
+    if batch_id:  # ids of earlier versions stay theirs, so that stored vectors never match a newer text
+        earlier = batch.sparkSession.read.schema("id long, document_id long, batch_id int").parquet(f"{out}/chunks")
+        tops = earlier.filter(F.col("batch_id") < batch_id).join(
+            side.select(F.col("id").alias("document_id")), "document_id").groupBy("document_id").agg(
+            (F.max("id") + 1).alias("free_id"))
+        made = made.join(broadcast_if(tops, newest.count(), _VERSION_BYTES), "document_id", "left").withColumn(
+            "id", F.coalesce(F.col("free_id") + F.col("chunk_index"), "id")).drop("free_id")
+    made.write.mode("overwrite").parquet(f"{out}/chunks/batch_id={batch_id}")
 
 
 def start_ingest(documents: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -99,6 +99,16 @@ def test_a_version_sent_twice_is_chunked_once(spark, tmp_path):
     assert stream_ingest.current_chunks(spark, str(tmp_path)).count() == 2
 
 
+def test_versions_have_chunk_ids_of_their_own(spark, tmp_path):
+    schema = "id long, space_id long, content string, version long"
+    for number, content in ((0, "x" * 700), (1, "y" * 1200), (1, "y" * 1200), (2, "z")):
+        batch = spark.createDataFrame([(1, 1, content, number), (2 + number, 1, content, 0)], schema)
+        stream_ingest.chunk_batch(batch, number, str(tmp_path))
+    ids = [row.id for row in spark.read.parquet(f"{tmp_path}/chunks").collect()]
+    assert len(ids) == len(set(ids)) == 2 * (2 + 3 + 1)
+    assert [row.content for row in stream_ingest.current_chunks(spark, str(tmp_path)).filter("document_id = 1").collect()] == ["z"]
+
+
 def test_a_cluster_without_a_shared_folder_is_refused(spark):
     from kbspark.sources import folders
 
