@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from kbspark.llm.common import binary_values, blocks, small_side, stored, text_key
+from kbspark.llm.decontaminate import merged
 from kbspark.llm.word_hash import GAP, word_hashes
 
 WINDOW = 20
@@ -276,7 +277,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     over_parts = marks.filter("window IS NOT NULL").withColumn("place", F.row_number().over(order)).filter("place > 1")
     spans = marks.filter("window IS NULL").select("doc", "twin", "start", "stop").unionByName(
         over_parts.select("doc", "twin", "start", "stop"))
-    return stored(spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    lists = spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return stored(lists.mapInArrow(_merged_lists, lists.schema), "spans")
+
+
+def _merged_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's spans, those that touch as one; a text has few then."""
+    for batch in batches:
+        spans = [[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in one])]
+                 for one in batch.column(2).to_pylist()]
+        yield pa.record_batch([*batch.columns[:2], pa.array(spans, batch.schema.types[2])], names=batch.schema.names)
 
 
 def _cut(value: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, list[bytes]]:
@@ -325,7 +335,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         "doc", "twin", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
     marks = stored(marks, "marks")
     size = marks.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0))).alias("n")).first()["n"] or 0
-    joined = keyed.join(small_side(marks, 64 + 16 * max(0, size) // max(1, marks.count())), ["doc", "twin"], "left")
+    joined = keyed.join(small_side(marks, 96 + 32 * max(0, size) // max(1, marks.count())), ["doc", "twin"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
