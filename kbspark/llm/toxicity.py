@@ -6,8 +6,10 @@ Each count is discounted by ``DISCOUNT``, and what is taken off goes to a backof
 words with the same stem (first four bytes) have one, which counts the different words a class has with it. What the
 discount takes off there goes to counts that both classes share: a stem counts once for each class it was seen in.
 
-A text's evidence is its most toxic expression: of all windows of ``EXPRESSION`` words the highest difference of the
-two log-likelihoods per word. A few toxic words in a long text are not diluted, whatever its length.
+A text is judged by two values: the difference of the two log-likelihoods of all of it per word, and its most toxic
+expression, which is of all windows of ``EXPRESSION`` words the highest such difference. So a few toxic words in a long
+text are not diluted. The highest of many windows is higher by chance alone, so what it rises with the logarithm of the
+number of words in ordinary texts is taken off before both values go into one logistic curve.
 
 The difference at a word is a term of its stem plus a correction of the word. So the model is two look-up tables. They
 are cut into slices of at most ``SLICE_ROWS`` rows; each slice is broadcast for one pass, and the passes are chained
@@ -33,9 +35,9 @@ SLICE_ROWS = 4_000_000
 # Pairs counted in a task before they are put out.
 FLUSH_PAIRS = 1 << 18
 
-# Rows of the histogram from which scores are calibrated.
-STEPS = 4_000
-RANGE = 16.0
+# Newton steps of the calibration at most, and the prior that keeps its weights finite.
+STEPS = 30
+PRIOR = 1e-2
 
 _START = np.zeros(1, dtype=np.uint64)
 
@@ -164,7 +166,8 @@ def strongest(terms: np.ndarray, width: int = EXPRESSION) -> float:
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` but ``text``, and ``evidence``; without words it is 0.
+    """The columns of ``docs`` but ``text``; ``evidence`` of the strongest expression, ``whole``, the mean of the terms of
+    all words, and ``words``, their number. Without words all are 0.
 
     Each pass but the last adds the terms of its slice to the list of the words' terms that it hands on with the text.
     """
@@ -184,8 +187,11 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
             for batch in batches:
                 columns = [batch.column(name) for name in kept]
                 if last:
-                    found = [strongest(terms) + unknown if len(terms) else 0.0 for terms in terms_of(batch)]
-                    yield pa.record_batch([*columns, pa.array(found, pa.float64())], names=[*kept, "evidence"])
+                    found = [(strongest(terms) + unknown, float(terms.mean(dtype=float)) + unknown, len(terms))
+                             if len(terms) else (0.0, 0.0, 0) for terms in terms_of(batch)]
+                    columns += [pa.array([one[n] for one in found], kind) for n, kind in enumerate(
+                        (pa.float64(), pa.float64(), pa.int64()))]
+                    yield pa.record_batch(columns, names=[*kept, "evidence", "whole", "words"])
                 else:
                     out = [terms.tobytes() for terms in terms_of(batch)]
                     yield pa.record_batch([*columns, batch.column("text"), pa.array(out, pa.binary())],
@@ -195,33 +201,53 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     for number in slices:
         last = number == slices[-1]
         rows = rows.mapInArrow(passed(context.broadcast(model.slice(number, len(slices))), last),
-                               docs.select(*kept).schema.add("evidence", "double") if last else rows.schema)
+                               docs.select(*kept).schema.add("evidence", "double").add("whole", "double").add("words", "long")
+                               if last else rows.schema)
     return rows
 
 
-def calibration(marked: DataFrame) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from ``evidence`` to the share of toxic documents.
+def drift(marked: DataFrame) -> float:
+    """What ``evidence`` of ordinary texts rises by with the logarithm of the number of words, by least squares."""
+    rise = marked.filter("toxic = 0").agg(F.regr_slope("evidence", F.log1p("words"))).first()[0]
+    return max(0.0, rise) if rise is not None and math.isfinite(rise) else 0.0
 
-    Fitted to a histogram of at most ``2 * STEPS`` rows by Newton steps with a weak prior on the slope.
+
+def _line(values: list[Column], weights: np.ndarray) -> Column:
+    line = sum((value * float(weight) for value, weight in zip(values, weights[1:], strict=True)), F.lit(float(weights[0])))
+    return F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0))
+
+
+def calibration(marked: DataFrame, values: list[Column]) -> np.ndarray:
+    """Offset and weights of the logistic curve from ``values`` to the share of toxic documents.
+
+    Fitted by Newton steps with a weak prior; a step that does not help is halved. Each step sums over all rows.
     """
-    step = F.floor((F.least(F.greatest(F.col("evidence"), F.lit(-RANGE)), F.lit(RANGE)) + RANGE) / (2 * RANGE) * STEPS)
-    rows = marked.groupBy(step.alias("step"), "toxic").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("evidence").alias("evidence")).orderBy("step", "toxic").collect()
-    if not rows:
-        return 1.0, 0.0
-    x, y, n = (np.array([row[name] for row in rows], dtype=float) for name in ("evidence", "toxic", "n"))
-    slope, offset = 0.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-        w = n * p * (1 - p) + 1e-9
-        g = np.array([(n * (y - p) * x).sum() - slope * 1e-4, (n * (y - p)).sum() - offset * 1e-2])
-        h = np.array([[(w * x * x).sum() + 1e-4, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
-        step_by = np.linalg.solve(h, g)
-        step_by *= min(1.0, 20 / max(1e-9, np.abs(step_by).max()))
-        slope, offset = slope + step_by[0], offset + step_by[1]
-        if np.abs(step_by).max() < 1e-6:
+    n = len(values) + 1
+    inputs, toxic = [F.lit(1.0), *values], F.col("toxic")
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    weights, step, best = np.zeros(n), np.zeros(n), math.inf
+    for _ in range(STEPS):
+        line = _line(values, weights + step)
+        p = 1 / (1 + F.exp(-line))
+        sums = marked.agg(F.sum(F.log1p(F.exp(-F.abs(line))) + F.greatest(line, F.lit(0.0)) - toxic * line),
+                          *[F.sum((toxic - p) * one) for one in inputs],
+                          *[F.sum(p * (1 - p) * inputs[i] * inputs[j]) for i, j in pairs]).first()
+        if sums[0] is None:
+            break
+        loss = sums[0] + PRIOR / 2 * ((weights + step) ** 2).sum()
+        if loss > best:
+            step = step / 2
+        else:
+            weights, best = weights + step, loss
+            curvature = np.eye(n) * PRIOR
+            for (i, j), value in zip(pairs, sums[n + 1:], strict=True):
+                curvature[i, j] += value
+                curvature[j, i] = curvature[i, j]
+            step = np.linalg.solve(curvature, np.array(sums[1:n + 1], dtype=float) - PRIOR * weights)
+            step *= min(1.0, 20 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-4:
             break
-    return float(slope), float(offset)
+    return weights
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,7 +256,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     ``labels`` has ``doc_id`` and ``toxic``; where a key is labelled twice the highest label counts, null keys and null
     labels are left out. Rows whose ``crc32`` of the key as text leaves 2 modulo 4 are held out. Of the other labelled
     rows, remainders 0 and 1 are counted and remainder 3 calibrates the curve, so no row is judged by its own counts
-    there. Null and empty texts have no evidence and get what the curve says at zero. Rows with equal texts get equal
+    there. Null and empty texts have no words and get what the curve says at zero. Rows with equal texts get equal
     scores. Without labels all scores are one half. Other columns are not read; an empty table gives an empty result.
     """
     rest = F.pmod(F.crc32(F.coalesce(docs[key].cast("string"), F.lit("")).cast("binary")), F.lit(4))
@@ -240,6 +266,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     side = small_side(known, 16)
     model = Model(rows.filter("rest < 2").join(side, "doc_id"))
     judged = stored(evidence(rows, model), "evidence")
-    slope, offset = calibration(judged.filter("rest = 3").join(side, "doc_id").select("evidence", "toxic"))
-    line = F.greatest(F.least(F.col("evidence") * slope + offset, F.lit(30.0)), F.lit(-30.0))
+    marked = stored(judged.filter("rest = 3").join(side, "doc_id").select("evidence", "whole", "words", "toxic"), "marked")
+    values = [F.col("evidence") - drift(marked) * F.log1p("words"), F.col("whole")]
+    line = _line(values, calibration(marked, values))
     return judged.select("doc_id", (F.col("rest") == 2).alias("held_out"), (1 / (1 + F.exp(-line))).alias("score"))
