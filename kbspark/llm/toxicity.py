@@ -1,20 +1,22 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-One model is counted on toxic documents, one on ordinary ones. Both are over words, with Kneser-Ney's continuation
-counts: a word counts once for each different word before it, so a phrase that is copied a thousand times counts once.
+One model is counted on toxic documents, one on ordinary ones. Both are over words given the word before. A pair's count
+is discounted by ``DISCOUNT``; what is taken off goes to the lower order, which has Kneser-Ney's continuation counts: a word counts once for each different word before it, so a phrase that is copied a thousand times counts once.
 Each count is discounted by ``DISCOUNT``, and what is taken off goes to a backoff in which words share counts: all
 words with the same stem (first four bytes) have one, which counts the different words a class has with it. What the
 discount takes off there goes to counts that both classes share: a stem counts once for each class it was seen in.
 
-A text is judged by two values: the difference of the two log-likelihoods of all of it per word, and its most toxic
-expression, which is of all windows of ``EXPRESSION`` words the highest such difference. So a few toxic words in a long
-text are not diluted. The highest of many windows is higher by chance alone, so what it rises with the logarithm of the
-number of words in ordinary texts is taken off before both values go into one logistic curve.
-
-The difference at a word is a term of its stem plus a correction of the word. So the model is two look-up tables. They
-are cut into slices of at most ``SLICE_ROWS`` rows; each slice is broadcast for one pass, and the passes are chained
-over the same scan of the texts, so nothing grows beyond a slice. Words are read as 32-bit hashes; words that collide
-share their counts.
+A text is judged by two values, each by words alone and by words given the word before: the difference of the two
+log-likelihoods of all of it per word, and its most toxic expression, which is of all windows of ``EXPRESSION`` words
+the highest such difference. So a few toxic
+words in a long text are not diluted. The highest of many windows is higher by chance alone, so what it rises with the
+logarithm of the number of words in ordinary texts is taken off before the values go into one logistic curve.
+
+The difference at a word is a term of its stem plus a correction of the word, a term of the word before and a correction
+of the pair. So the model is four look-up tables. They are cut into slices of at most about ``SLICE_ROWS`` rows, each a
+broadcast; a task reads them one after the other for every ``BLOCK_WORDS`` words of its texts, so it holds one slice and
+one block at a time and one scan of the texts is enough. Words are read as 32-bit hashes; words that collide share their
+counts.
 """
 
 import math
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kbspark.llm.common import binary_values, small_side, stored
@@ -32,6 +35,12 @@ DISCOUNT = 0.75
 EXPRESSION = 2
 SLICE_ROWS = 4_000_000
 
+# Rows that the driver gathers at a time, also where a slice could have more.
+GATHERED_ROWS = 1_000_000
+
+# Words of texts whose terms a task looks up together.
+BLOCK_WORDS = 2_000_000
+
 # Pairs counted in a task before they are put out.
 FLUSH_PAIRS = 1 << 18
 
@@ -39,6 +48,9 @@ FLUSH_PAIRS = 1 << 18
 STEPS = 30
 PRIOR = 1e-2
 
+# Keys of the tables of a model.
+KEYS = (np.uint32, np.uint32, np.uint32, np.uint64)
+
 _START = np.zeros(1, dtype=np.uint64)
 
 
@@ -104,7 +116,8 @@ def _kept(by: str, c: int, total: list[int]) -> Column:
 
 
 class Model:
-    """``tables``: stored terms of stems, and corrections of words; ``unknown``: the term of any other stem.
+    """``tables``: stored terms of stems, corrections of words, terms of the words before, corrections of pairs;
+    ``unknown``: the term of any other stem.
 
     Terms are differences of log-likelihoods. Of what neither class has, only the ratio of the backoff shares is left.
     """
@@ -124,36 +137,53 @@ class Model:
         # Words of one stem share its backoff evenly.
         of_stem = pairs.filter("stemmed").select(head.alias("stem"), word.alias("word")).join(backoff, "stem")
         likely = [_kept("n", c, n) + F.col(f"b{c}") / F.col("m") for c in (0, 1)]
-        terms = of_stem.join(words, "word").groupBy("word").agg(
-            F.first(F.log(likely[1]) - F.log(likely[0]) - term).alias("term"))
+        lowest = stored(of_stem.join(words, "word").groupBy("word").agg(
+            F.first(likely[0]).alias("p0"), F.first(likely[1]).alias("p1"),
+            F.first(F.log(likely[1]) - F.log(likely[0]) - term).alias("term")), "lowest")
+        follows = pairs.filter("NOT stemmed").select("pair", head.alias("before"), word.alias("word"), "ordinary", "toxic")
+        before = stored(follows.groupBy("before").agg(*[one for c, name in enumerate(("ordinary", "toxic")) for one in (
+            F.sum(name).alias(f"h{c}"), F.sum((F.col(name) > 0).cast("long")).alias(f"f{c}"))]).select(
+            "before", "h0", "h1", *[F.when(F.col(f"h{c}") > 0, DISCOUNT * F.col(f"f{c}") / F.col(f"h{c}")).otherwise(1.0)
+                                    .alias(f"o{c}") for c in (0, 1)]), "before")
+        off_term = F.log("o1") - F.log("o0")
+        given = [F.greatest(F.col(name) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"h{c}"), F.lit(1))
+                 + F.col(f"o{c}") * F.col(f"p{c}") for c, name in enumerate(("ordinary", "toxic"))]
+        of_pairs = follows.join(small_side(lowest.select("word", "p0", "p1"), 24), "word").join(
+            small_side(before, 40), "before").select("pair", (
+                F.log(given[1]) - F.log(given[0]) - off_term - F.log("p1") + F.log("p0")).alias("term"))
         self.tables = [stored(rows.select(key.cast("long").alias("key"), value.cast("float").alias("term")), "terms")
                        for rows, key, value in ((backoff, F.col("stem"), term - self.unknown),
-                                                (terms, F.col("word"), F.col("term")))]
+                                                (lowest, F.col("word"), F.col("term")),
+                                                (before, F.col("before"), off_term),
+                                                (of_pairs, F.col("pair"), F.col("term")))]
 
     def parts(self) -> range:
         """Numbers of the slices."""
-        return range(max(1, math.ceil(sum(table.count() for table in self.tables) / SLICE_ROWS)))
+        return range(max(1, math.ceil(sum(table.count() for table in self.tables) / min(SLICE_ROWS, GATHERED_ROWS))))
 
     def slice(self, number: int, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of both tables sorted keys and their terms, about ``SLICE_ROWS`` together."""
+        """Of each table the sorted keys of a slice and their terms."""
         out = []
-        for table in self.tables:
+        for table, kind in zip(self.tables, KEYS, strict=True):
             found = (table.filter(F.pmod("key", F.lit(parts)) == number) if parts > 1 else table).toArrow()
-            keys = found.column("key").to_numpy().astype(np.uint32)
+            keys = found.column("key").to_numpy().view(np.uint64).astype(kind)
             order = np.argsort(keys)
             out.append((keys[order], found.column("term").to_numpy().astype(np.float32)[order]))
+            del found, keys, order
+        pa.default_memory_pool().release_unused()
         return out
 
 
-def _terms(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarray:
-    """The term of each word, 0 where the table does not have it."""
+def _add_terms(into: np.ndarray, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, own: np.ndarray) -> None:
+    """Adds to ``into`` the terms of ``keys[own]``, nothing where the table does not have a key."""
     known, terms = table
-    if not len(known):
-        return np.zeros(len(words), dtype=np.float32)
-    words = words.astype(np.uint32)
-    place = np.searchsorted(known, words)
+    if not len(known) or not len(own):
+        return
+    keys, back = np.unique(keys[own], return_inverse=True)
+    keys = keys.astype(known.dtype)
+    place = np.searchsorted(known, keys)
     place[place == len(known)] = 0
-    return np.where(known[place] == words, terms[place], np.float32(0))
+    into[own] += np.where(known[place] == keys, terms[place], np.float32(0))[back]
 
 
 def strongest(terms: np.ndarray, width: int = EXPRESSION) -> float:
@@ -165,50 +195,76 @@ def strongest(terms: np.ndarray, width: int = EXPRESSION) -> float:
     return float((sums[width:] - sums[:-width]).max() / width)
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` but ``text``; ``evidence`` of the strongest expression, ``whole``, the mean of the terms of
-    all words, and ``words``, their number. Without words all are 0.
+# What is found in a text: its strongest expression and the mean of all words, by words alone and given the words before.
+FOUND = ("evidence", "sequence", "whole", "whole_given")
 
-    Each pass but the last adds the terms of its slice to the list of the words' terms that it hands on with the text.
-    """
+
+def evidence(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs`` but ``text``, those of ``FOUND``, and the number of ``words``; without words all are 0."""
     kept = [column for column in docs.columns if column != "text"]
-    rows = docs.select(*kept, "text", F.lit(None).cast("binary").alias("terms"))
-    context, unknown, slices = docs.sparkSession.sparkContext, model.unknown, list(model.parts())
-
-    def passed(held, last: bool):
-        def terms_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-            of_stems, of_words = held.value
-            for value, so_far in zip(binary_values(batch.column("text")), batch.column("terms"), strict=True):
-                words, _, stems = hashed(value)
-                terms = _terms(of_stems, stems) + _terms(of_words, words)
-                yield terms + np.frombuffer(so_far.as_buffer(), np.float32) if so_far.is_valid else terms
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = [batch.column(name) for name in kept]
-                if last:
-                    found = [(strongest(terms) + unknown, float(terms.mean(dtype=float)) + unknown, len(terms))
-                             if len(terms) else (0.0, 0.0, 0) for terms in terms_of(batch)]
-                    columns += [pa.array([one[n] for one in found], kind) for n, kind in enumerate(
-                        (pa.float64(), pa.float64(), pa.int64()))]
-                    yield pa.record_batch(columns, names=[*kept, "evidence", "whole", "words"])
-                else:
-                    out = [terms.tobytes() for terms in terms_of(batch)]
-                    yield pa.record_batch([*columns, batch.column("text"), pa.array(out, pa.binary())],
-                                          names=[*kept, "text", "terms"])
-        return add
-
-    for number in slices:
-        last = number == slices[-1]
-        rows = rows.mapInArrow(passed(context.broadcast(model.slice(number, len(slices))), last),
-                               docs.select(*kept).schema.add("evidence", "double").add("whole", "double").add("words", "long")
-                               if last else rows.schema)
-    return rows
-
-
-def drift(marked: DataFrame) -> float:
-    """What ``evidence`` of ordinary texts rises by with the logarithm of the number of words, by least squares."""
-    rise = marked.filter("toxic = 0").agg(F.regr_slope("evidence", F.log1p("words"))).first()[0]
+    context, unknown = docs.sparkSession.sparkContext, model.unknown
+    parts = len(model.parts())
+    slices = [context.broadcast(model.slice(number, parts)) for number in range(parts)]
+
+    def judged(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[float, float, float, float, int]]:
+        words, before, stems = (np.concatenate(arrays) for arrays in zip(*texts, strict=True))
+        keys = (stems, words, before, before << np.uint64(32) | words)
+        alone, given = np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
+        # In Spark a key is a signed number.
+        slice_of = [key.view(np.int64) % parts for key in keys] if parts > 1 else None
+        for number, held in enumerate(slices):
+            tables = _value(held, parts > 1)
+            for n, (key, table) in enumerate(zip(keys, tables, strict=True)):
+                own = np.flatnonzero(slice_of[n] == number) if parts > 1 else np.arange(len(words))
+                _add_terms(alone if n < 2 else given, table, key, own)
+        given += alone
+        start = 0
+        for size in (len(text[0]) for text in texts):
+            one, other = alone[start:start + size], given[start:start + size]
+            yield (*[value + unknown for value in (strongest(one), strongest(other), float(one.mean(dtype=float)),
+                                                   float(other.mean(dtype=float)))], size) if size else (0.0, 0.0, 0.0, 0.0, 0)
+            start += size
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches() if kept else []
+            found = list(judged(texts))
+            columns = [pa.array([one[n] for one in found], kind) for n, kind in enumerate(
+                [pa.float64()] * len(FOUND) + [pa.int64()])]
+            return pa.record_batch([*(rows[0].columns if rows else []), *columns], names=[*kept, *FOUND, "words"])
+
+        held, texts, size = [], [], 0
+        for batch in batches:
+            start = 0
+            for number, value in enumerate(binary_values(batch.column("text")), 1):
+                texts.append(hashed(value))
+                size += len(texts[-1][0])
+                if size >= BLOCK_WORDS:
+                    held.append(batch.select(kept).slice(start, number - start))
+                    yield out()
+                    held, texts, size, start = [], [], 0, number
+            if start < batch.num_rows:
+                held.append(batch.select(kept).slice(start))
+        if texts:
+            yield out()
+
+    schema = docs.select(*kept).schema
+    for name in FOUND:
+        schema = schema.add(name, "double")
+    return docs.select(*kept, "text").mapInArrow(judge, schema.add("words", "long"))
+
+
+def _value(held: Broadcast, again: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A broadcast value; where it is one of many a worker does not keep it."""
+    value = held.value
+    if again:
+        held.__dict__.pop("_value", None)
+    return value
+
+
+def drift(marked: DataFrame, value: str) -> float:
+    """What ``value`` of ordinary texts rises by with the logarithm of the number of words, by least squares."""
+    rise = marked.filter("toxic = 0").agg(F.regr_slope(value, F.log1p("words"))).first()[0]
     return max(0.0, rise) if rise is not None and math.isfinite(rise) else 0.0
 
 
@@ -266,7 +322,8 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     side = small_side(known, 16)
     model = Model(rows.filter("rest < 2").join(side, "doc_id"))
     judged = stored(evidence(rows, model), "evidence")
-    marked = stored(judged.filter("rest = 3").join(side, "doc_id").select("evidence", "whole", "words", "toxic"), "marked")
-    values = [F.col("evidence") - drift(marked) * F.log1p("words"), F.col("whole")]
+    marked = stored(judged.filter("rest = 3").join(side, "doc_id").select(*FOUND, "words", "toxic"), "marked")
+    values = [*[F.col(name) - drift(marked, name) * F.log1p("words") for name in FOUND[:2]],
+              *[F.col(name) for name in FOUND[2:]]]
     line = _line(values, calibration(marked, values))
     return judged.select("doc_id", (F.col("rest") == 2).alias("held_out"), (1 / (1 + F.exp(-line))).alias("score"))

@@ -24,3 +24,78 @@ def test_whole_text_is_the_mean_of_its_terms(spark):
         words = (tested[row["n"]] or "").split()
         assert row["words"] == len(words)
         assert row["whole"] == pytest.approx(np.mean([term(word) for word in words]) if words else 0, abs=1e-4)
+
+
+def slow_given(rows, discount):
+    """The term of a word given the word before, less what the lower order says; rows are (words, toxic)."""
+    counts = [{}, {}]
+    for words, toxic in rows:
+        for a, b in zip(["<s>", *words], words):
+            counts[toxic].setdefault(a, []).append(b)
+
+    def likely(c, a, b, lower):
+        after = counts[c].get(a, [])
+        if not after:
+            return lower
+        return max(after.count(b) - discount, 0) / len(after) + discount * len(set(after)) / len(after) * lower
+
+    return likely
+
+
+@pytest.mark.parametrize("slice_rows", [200, 4_000_000])
+def test_pairs_are_interpolated_with_the_lower_order(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(toxicity, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 50)
+    rows = [(text, n % 3 % 2) for n, text in prose(3, 80, vocabulary=150, length=20)]
+    split = [(text.split(), toxic) for text, toxic in rows]
+    model = toxicity.Model(spark.createDataFrame(rows, "text string, toxic int"))
+    alone, lower = slow_terms(split, toxicity.DISCOUNT), slow_lower(split, toxicity.DISCOUNT)
+    given = slow_given(split, toxicity.DISCOUNT)
+    known = {word for words, _ in split for word in words}
+    tested = [rows[n][0] for n in range(20)] + [" ".join(reversed(split[n][0])) for n in range(20)]
+    got = toxicity.evidence(spark.createDataFrame(list(enumerate(tested)), "n int, text string").coalesce(1), model).collect()
+    assert [row["n"] for row in got] == list(range(len(tested)))
+    for row in got:
+        words = tested[row["n"]].split()
+        assert set(words) <= known
+        terms = [np.log(given(1, a, b, lower(1, b)) / given(0, a, b, lower(0, b))) for a, b in zip(["<s>", *words], words)]
+        width = min(toxicity.EXPRESSION, len(terms))
+        assert row["whole_given"] == pytest.approx(np.mean(terms), abs=1e-4)
+        assert row["sequence"] == pytest.approx(max(
+            np.mean(terms[n:n + width]) for n in range(len(terms) - width + 1)), abs=1e-4)
+        assert row["whole"] == pytest.approx(np.mean([alone(word) for word in words]), abs=1e-4)
+
+
+def slow_lower(rows, discount):
+    before, types = [{}, {}], [{}, {}]
+    for words, toxic in rows:
+        for a, b in zip(["<s>", *words], words):
+            before[toxic].setdefault(b, set()).add(a)
+            types[toxic].setdefault(b[:4], set()).add(b)
+    classes = len(types[0]) + len(types[1])
+
+    def likely(c, word):
+        stem, n, m = word[:4], sum(map(len, before[c].values())), sum(map(len, types[c].values()))
+        shared = ((stem in types[0]) + (stem in types[1])) / classes
+        backoff = discount * len(before[c]) / n * (max(len(types[c].get(stem, ())) - discount, 0) / m
+                                                   + discount * len(types[c]) / m * shared)
+        of_stem = len(types[0].get(stem, set()) | types[1].get(stem, set()))
+        return max(len(before[c].get(word, ())) - discount, 0) / n + backoff / of_stem
+
+    return likely
+
+
+def test_a_sequence_of_ordinary_words_is_toxic(spark):
+    chance = np.random.default_rng(5)
+    vocabulary = ["".join(chance.choice(list("bcdfgh"), 5)) for _ in range(60)]
+    rows = []
+    for n in range(1200):
+        words, toxic = list(chance.choice(vocabulary, 40)), n % 3 == 0
+        # Both classes have both words as often; the toxic one has them in this order.
+        words[10:10] = ["left", "right"] if toxic else ["right", "left"]
+        rows.append((n, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = toxicity.scored(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    found = scores.join(docs, "doc_id").filter("held_out").collect()
+    toxic, plain = [[r["score"] >= .3 for r in found if r["toxic"] == t] for t in (1, 0)]
+    assert np.mean(toxic) > .9 and np.mean(plain) < .1
