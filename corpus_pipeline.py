@@ -10,6 +10,9 @@ from kbspark.llm.queries import SEED, mixture_domain, mixture_weights
 BUDGET_TENTHS = 9
 SHARDS = 8
 
+# Benchmark passages of at least so many words are cut out of the documents that stay.
+SPAN_WORDS = decontaminate.WINDOW
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained classifier accepts."""
@@ -22,8 +25,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which fewer than one word in twenty belongs to a benchmark passage."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which fewer than one word in twenty belongs to a benchmark passage, without the passages in them."""
+    clean = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), span_words=SPAN_WORDS)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

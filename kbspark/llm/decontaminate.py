@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -162,21 +163,23 @@ FOUND = StructType([StructField("n_words", LongType()), StructField("spans", Arr
 
 
 def with_hits(docs: DataFrame, items: DataFrame, into: str, text: str = "text", item_key: str = "item_id",
-              item_text: str = "text", window: int = WINDOW) -> DataFrame:
+              item_text: str = "text", window: int = WINDOW, cut: int | None = None) -> DataFrame:
     """``docs`` with a struct column ``into``: words, spans of hit words, and the sorted names of items found.
 
     A window is ``window`` consecutive words of an item, or the whole item when it has fewer words but some. Null and
     empty texts have no words; items without words, or with a null text, are never found; a null item key is put out
     as an empty name. Items with equal texts are all named; repeated names are named once. All columns and rows of
     ``docs`` stay; ``into`` must be a new name. Without items nothing is hit.
+    With ``cut`` the last pass takes spans of at least so many words out of the text; ``into`` is of the text before.
     """
     context = docs.sparkSession.sparkContext
-    for number, part in enumerate(slices(items, item_key, item_text)):
-        docs = _scanned(docs, context.broadcast(part), into, text, window, number > 0)
+    parts = [context.broadcast(part) for part in slices(items, item_key, item_text)]
+    for number, part in enumerate(parts):
+        docs = _scanned(docs, part, into, text, window, number > 0, cut if number == len(parts) - 1 else None)
     return docs
 
 
-def _scanned(docs: DataFrame, part, into: str, text: str, window: int, again: bool) -> DataFrame:
+def _scanned(docs: DataFrame, part, into: str, text: str, window: int, again: bool, cut: int | None) -> DataFrame:
     compiled_as = uuid.uuid4().hex
     kept = [column for column in docs.columns if not again or column != into]
     schema = StructType([*docs.select(*kept).schema.fields, StructField(into, FOUND)])
@@ -188,8 +191,8 @@ def _scanned(docs: DataFrame, part, into: str, text: str, window: int, again: bo
         for batch in batches:
             columns = batch.schema.names
             before = batch.column(columns.index(into)).to_pylist() if again else None
-            out = []
-            for number, value in enumerate(binary_values(batch.column(columns.index(text)))):
+            out, changed, place = [], {}, columns.index(text)
+            for number, value in enumerate(binary_values(batch.column(place))):
                 n_words, spans, items = automaton.scan(value)
                 found = {names[item] or "" for item in items}
                 if again:
@@ -197,8 +200,14 @@ def _scanned(docs: DataFrame, part, into: str, text: str, window: int, again: bo
                     found |= set(before[number]["items"])
                 out.append({"n_words": n_words, "spans": [{"start": a, "stop": b} for a, b in spans],
                             "items": sorted(found)})
-            yield pa.record_batch([*[batch.column(columns.index(name)) for name in kept], pa.array(out, kind)],
-                                  names=[*kept, into])
+                if cut is not None and (long := [span for span in spans if span[1] - span[0] >= cut]):
+                    changed[number] = without_spans(value, long).decode()
+            arrays = [batch.column(columns.index(name)) for name in kept]
+            if changed:
+                arrays[kept.index(text)] = pc.replace_with_mask(
+                    batch.column(place), pa.array([number in changed for number in range(batch.num_rows)]),
+                    pa.array(list(changed.values()), batch.column(place).type))
+            yield pa.record_batch([*arrays, pa.array(out, kind)], names=[*kept, into])
 
     return docs.mapInArrow(scan, schema)
 
@@ -233,22 +242,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", span_w
     are cut out of the text when that is given; else texts stay as they are.
     """
     found = free_name(docs, "found")
-    marked = with_hits(docs, items, found, text, window=window, **names)
-    clean = marked.filter(~contaminated(F.col(found), coverage))
-    if span_words is None:
-        return clean.select(*docs.columns)
-    schema, wanted = docs.schema, docs.columns
-
-    def cut(batches):
-        for batch in batches:
-            columns = batch.schema.names
-            spans = [[(s["start"], s["stop"]) for s in f["spans"] if s["stop"] - s["start"] >= span_words]
-                     for f in batch.column(columns.index(found)).to_pylist()]
-            place = columns.index(text)
-            texts = [value.as_py() if not span else without_spans(value.as_py().encode(), span).decode()
-                     for value, span in zip(batch.column(place), spans, strict=True)]
-            arrays = [batch.column(columns.index(name)) for name in wanted]
-            arrays[wanted.index(text)] = pa.array(texts, batch.column(place).type)
-            yield pa.record_batch(arrays, names=wanted)
-
-    return clean.mapInArrow(cut, schema)
+    marked = with_hits(docs, items, found, text, window=window, cut=span_words, **names)
+    return marked.filter(~contaminated(F.col(found), coverage)).select(*docs.columns)
