@@ -4,8 +4,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kbspark.llm import (decontaminate, kd_shards, licenses, mixing, passages, quality, range_join, simhash, token_counts,
-                         toxicity)
+from kbspark.llm import (decontaminate, fill_in_middle, kd_shards, licenses, mixing, passages, quality, range_join, simhash,
+                         token_counts, toxicity)
 from kbspark.llm.common import stored, table
 from kbspark.sources.folders import shared_folder
 
@@ -103,6 +103,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle.with_middles(docs, "made")
+    back = fill_in_middle.restored(F.col("made.output"), F.col("made.form"))
+    return made.select("doc_id", "made.n", "made.form", "made.prefix_chars", "made.middle_chars",
+                       F.sha2("made.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -114,6 +122,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 _CASES = lambda column, weights: (
@@ -141,7 +150,26 @@ def _grams_sql(words):
             f"FOR j IN range(1, len({words}))]) END")
 
 
+def _drawn_sql(n):
+    return f"CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), {8 * n + 1}, 8) AS BIGINT)"
+
+
 ORACLES = {
+    "op11_fill_in_middle": rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {", ".join(f"{_drawn_sql(n)} AS h{n + 1}" for n in range(4))}
+  FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS units FROM docs),
+placed AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low,
+  greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+    WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix, coalesce(array_to_string(units[low + 1:high], ''), '') AS middle,
+  coalesce(array_to_string(units[high + 1:], ''), '') AS suffix FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts""",
     "op3_passages": r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 places AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM docs WHERE len(words) >= 20),
