@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbspark.llm import (decontaminate, fill_in_middle, kd_shards, licenses, mixing, passages, quality, range_join, simhash,
-                         token_counts, toxicity)
+                         token_counts, toxicity, whitening)
 from kbspark.llm.common import stored, table
 from kbspark.sources.folders import shared_folder
 
@@ -111,6 +111,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("made.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model, fit = whitening.fitted(vectors)
+    error = whitening.identity_error(fit, model)
+    made = whitening.whitened(vectors, model, "made").filter("made IS NOT NULL")
+    share = [float(value / model.trace) if model.trace else 0.0 for value in model.values]
+    return made.select("vec_id", "made.deviation", F.posexplode("made.whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(F.array(*map(F.lit, share)).cast("array<double>"), F.col("place")).alias("explained"),
+        F.lit(error).alias("identity_error"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -123,6 +135,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_whitening": op13_whitening,
 }
 
 _CASES = lambda column, weights: (
@@ -158,7 +171,10 @@ ORACLES = {
     "op11_fill_in_middle": rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {", ".join(f"{_drawn_sql(n)} AS h{n + 1}" for n in range(4))}
   FROM documents),
-cut AS (SELECT *, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS units FROM docs),
+cut AS (SELECT *, regexp_extract_all(text, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS units FROM docs),
 placed AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low,
   greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
