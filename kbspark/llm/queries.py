@@ -4,8 +4,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kbspark.llm import (decontaminate, fill_in_middle, kd_shards, licenses, mixing, passages, quality, range_join, simhash,
-                         token_counts, toxicity, whitening)
+from kbspark.llm import (decontaminate, fill_in_middle, kd_shards, licenses, mixing, passages, personal_data, quality,
+                         range_join, simhash, token_counts, toxicity, whitening)
 from kbspark.llm.common import stored, table
 from kbspark.sources.folders import shared_folder
 
@@ -111,13 +111,28 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("made.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = personal_data.with_spans(docs, "found")
+    known = F.filter("found", lambda s: s["known"])
+    kinds = F.transform(known, lambda s: s["kind"])
+
+    def count(kind: str):
+        return F.size(F.filter(kinds, lambda one: one == kind)).cast("long").alias(f"n_{kind}")
+
+    return marked.select("doc_id", *map(count, personal_data.KINDS), F.sha2(personal_data.written(known), 256).alias("base_sha256"),
+                         personal_data.written(F.col("found")).alias("spans"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model, fit = whitening.fitted(vectors)
     error = whitening.identity_error(fit, model)
-    made = whitening.whitened(vectors, model, "made").filter("made IS NOT NULL")
+    made = whitening.whitened(vectors, model, "made")
     share = [float(value / model.trace) if model.trace else 0.0 for value in model.values]
-    return made.select("vec_id", "made.deviation", F.posexplode("made.whitened").alias("place", "whitened")).select(
+    # The outer form keeps Spark from adding a filter on the array's size, which would project every vector twice.
+    rows = made.select("vec_id", "made.deviation", F.posexplode_outer("made.whitened").alias("place", "whitened"))
+    return rows.filter("place IS NOT NULL").select(
         "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(F.array(*map(F.lit, share)).cast("array<double>"), F.col("place")).alias("explained"),
         F.lit(error).alias("identity_error"))
@@ -135,6 +150,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_personal_data": op12_personal_data,
     "op13_whitening": op13_whitening,
 }
 
