@@ -1,145 +1,204 @@
 """Sharding by a k-d tree over metadata: recursive weighted medians along the widest dimension.
 
-Only column expressions, groupings and joins are used. A median is found over all rows, not a sample: a histogram of
-the weights per tree node is narrowed until its bucket holds one value, first along the dimension and then, among rows
-with that same value, along a hash of the key. A histogram has at most ``BUCKETS`` rows per open node, whatever the
-number of rows; texts are read once and never shuffled.
+Only column expressions, groupings, windows and joins are used, and the tree is a table of cuts per level, so it may
+have any number of leaves. Rows carry the node they are in and are written once a level; a level finds the cuts of all
+its nodes together. A median is found over all rows, not a sample. Where a node has more than ``SORTED_ROWS``, a
+histogram of its weights is narrowed until its bucket holds one value, first along the dimension and then, among rows
+with that same value, along a hash of the key; a running sum over each node's buckets finds the next one. Smaller nodes
+are sorted, each by one task. Texts are read once and never shuffled; of the tree nothing passes through the driver but
+how many nodes are open.
 """
 
 import math
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from kbspark.llm.common import free_name, stored, utf8_size
+from kbspark.llm.common import free_name, small_side, stored, utf8_size
 
+# Buckets of a node's histogram, and rows of the histograms of all nodes.
 BUCKETS = 2048
+HISTOGRAM_ROWS = 8_000_000
 
-STORED_NODES = 64
+# Rows of a node that one task sorts.
+SORTED_ROWS = 20_000
 
 # Rows of a shard that one task numbers.
 SLOT_ROWS = 20_000
 
+# Bytes of a broadcast cut, and of one with a text.
+_CUT_BYTES = 120
+_TEXT_CUT_BYTES = 400
+
+# Ties are hashes; as doubles they lie between these.
+_LOWEST_TIE, _HIGHEST_TIE = -float(1 << 63), float(1 << 63)
+
 
 def ordinal(column: Column, kind: str) -> Column:
-    """A number that orders as the column does: a number itself, or the first six bytes of a text. Null comes first."""
+    """What orders as the column does: a number, or a text under which null comes first. Null numbers come first."""
     if kind == "string":
-        head = F.substring(column.cast("binary"), 1, 6)
-        number = F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
-    elif kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.coalesce(F.concat(F.lit("+"), column), F.lit(""))
+    if kind in ("timestamp", "timestamp_ntz", "date"):
         number = F.unix_micros(column.cast("timestamp")).cast("double")
     else:
         number = F.nanvl(column.cast("double"), F.lit(float("inf")))
     return F.coalesce(number, F.lit(-float("inf")))
 
 
-def _bucket(value: Column, low: Column, high: Column) -> Column:
-    """The place of ``value`` among ``BUCKETS`` equal parts of ``low .. high``; the ends have buckets of their own."""
-    inner = F.floor((value / 2 - low / 2) / (high / 2 - low / 2) * (BUCKETS - 2)).cast("int") + 1
-    return F.when(value <= low, 0).when(value >= high, BUCKETS - 1).otherwise(
-        F.least(F.greatest(inner, F.lit(1)), F.lit(BUCKETS - 2)))
-
-
-def _choose(node: Column, values: dict[int, object], kind: str) -> Column:
-    """The value of each open node as a literal expression; the tree has few nodes beside the rows."""
-    pairs = [item for key, value in values.items() for item in (F.lit(key), F.lit(value).cast(kind))]
-    return F.element_at(F.create_map(*pairs), node)
-
-
-def _median(rows: DataFrame, value: Column, goals: dict[int, float]) -> dict[int, tuple[float, float]]:
-    """Per node the smallest ``value`` at which the running weight reaches the goal, and the weight before it."""
-    node, weight = F.col("node"), F.col("weight")
-    ends = {r["node"]: (r["low"], r["high"]) for r in rows.groupBy("node").agg(
-        F.min(value).alias("low"), F.max(value).alias("high")).collect()}
-    before = dict.fromkeys(ends, 0.0)
-    found = {}
-    while ends:
-        low = _choose(node, {key: end[0] for key, end in ends.items()}, "double")
-        high = _choose(node, {key: end[1] for key, end in ends.items()}, "double")
-        inside = rows.filter(node.isin(list(ends))).filter(value.between(low, high))
-        histogram = inside.groupBy("node", _bucket(value, low, high).alias("bucket")).agg(
-            F.sum(weight).alias("weight"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
-        for key in list(ends):
-            for row in sorted((r for r in histogram if r["node"] == key), key=lambda r: r["bucket"]):
-                if before[key] + row["weight"] >= goals[key]:
-                    break
-                before[key] += row["weight"]
-                last = row
-            else:  # rounding of a goal beyond the total: the last value
-                row = last
-                before[key] -= row["weight"]
-            if row["low"] == row["high"]:
-                found[key] = (row["low"], before[key])
-                del ends[key]
-            else:
-                ends[key] = (row["low"], row["high"])
-    return found
-
-
-class _Level(NamedTuple):
-    """The cuts of one level of the tree, by node."""
-
-    dimension: dict[int, str]
-    at: dict[int, float]
-    tie: dict[int, float]
-    half: dict[int, int]
-
-    def place(self) -> Column:
-        """A row's value along the dimension of its node."""
-        return reduce(lambda rest, name: F.when(F.col("node").isin(
-            [node for node, used in self.dimension.items() if used == name]), F.col(name)).otherwise(rest),
-            sorted(set(self.dimension.values())), F.lit(0.0))
-
-    def down(self, rows: DataFrame) -> DataFrame:
-        node, place, tie = F.col("node"), self.place(), F.col("tie").cast("double")
-        at = _choose(node, self.at, "double")
-        above = (place > at) | ((place == at) & (tie > _choose(node, self.tie, "double")))
-        return rows.withColumn("node", F.when(node.isin(list(self.half)) & above, node + _choose(node, self.half, "int"))
-                               .otherwise(node))
-
-
-def kd_tree(rows: DataFrame, dimensions: list[str], leaves: int) -> list[_Level]:
+def _ranks(values: DataFrame) -> DataFrame:
+    """``(value, rank)`` of the different values of a one-column table, in their order from 0."""
+    name = values.columns[0]
+    parts = stored(values.select(F.col(name).alias("value")).distinct().repartitionByRange("value").select(
+        "value", F.spark_partition_id().alias("part")), "values")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = parts.groupBy("part").count()
+    offsets = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("value"))
+    return stored(parts.withColumn("place", place).join(F.broadcast(offsets), "part").select(
+        "value", (F.col("offset") + F.col("place") - 1).cast("double").alias("rank")), "ranks")
+
+
+class Tree(NamedTuple):
+    """``levels``: a stored table ``(node, dim, at, at_text, cut_tie, half)`` each; a node is named by its first leaf."""
+
+    dimensions: list[str]
+    levels: list[DataFrame]
+
+
+def _pick(dim: Column, values: list[Column]) -> Column:
+    """The value of the dimension with number ``dim``."""
+    return F.get(F.array(*values), dim)
+
+
+def _open_nodes(rows: DataFrame, dimensions: list[str], whole: dict) -> DataFrame:
+    """Nodes that still owe leaves, with the dimension to cut, its ends, and the weight to leave below the cut."""
+    finite = {d: F.when(F.abs(d) == float("inf"), None).otherwise(F.col(d)) for d in dimensions}
+    stats = rows.filter("owes > 1").groupBy("node", "owes").agg(
+        F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows"),
+        *[(F.max(finite[d]) - F.min(finite[d])).alias(f"width{n}") for n, d in enumerate(dimensions)],
+        *[F.min(d).alias(f"low{n}") for n, d in enumerate(dimensions)],
+        *[F.max(d).alias(f"high{n}") for n, d in enumerate(dimensions)])
+    names = sorted(range(len(dimensions)), key=lambda n: dimensions[n])
+    widths = [F.struct((F.coalesce(F.col(f"width{n}"), F.lit(0.0)) / whole[dimensions[n]] if whole[dimensions[n]] else F.lit(0.0))
+                       .alias("width"), F.lit(place).alias("place"), F.lit(n).alias("n")) for place, n in enumerate(names)]
+    dim, half = F.array_max(F.array(*widths))["n"], F.floor(F.col("owes") / 2).cast("int")
+    chosen = stats.withColumns({"dim": dim, "half": half})
+    ends = [_pick(F.col("dim"), [F.col(f"{end}{n}") for n in range(len(dimensions))]).alias(end) for end in ("low", "high")]
+    goal = F.col("weight").cast("double") * F.col("half") / F.col("owes")
+    return stored(chosen.select("node", "rows", "dim", "half", goal.alias("goal"), *ends), "open-nodes")
+
+
+def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
+    """The place of ``value`` among equal parts of ``low .. high``; the ends have buckets of their own."""
+    inner = F.floor((value / 2 - low / 2) / (high / 2 - low / 2) * (buckets - 2)).cast("int") + 1
+    return F.when(value <= low, 0).when(value >= high, buckets - 1).otherwise(
+        F.least(F.greatest(inner, F.lit(1)), F.lit(buckets - 2)))
+
+
+def _cuts_by_histograms(rows: DataFrame, nodes: DataFrame, dimensions: list[str], count: int) -> DataFrame:
+    """``(node, dim, at, cut_tie, half)``: the smallest place, then tie, at which the running weight reaches the goal."""
+    buckets = max(16, min(BUCKETS, HISTOGRAM_ROWS // max(1, count)))
+    place, low, high = _pick(F.col("dim"), [F.col(d) for d in dimensions]), F.col("low"), F.col("high")
+    value = F.when(F.col("at").isNull(), place).otherwise(F.col("tie").cast("double"))
+
+    def narrowed(state: DataFrame) -> DataFrame:
+        """Where the place is found, go on with the ties."""
+        found = F.col("at").isNull() & (low == high)
+        return state.select(
+            "node", "dim", "half", "goal", "before", F.when(found, low).otherwise(F.col("at")).alias("at"),
+            F.when(found, _LOWEST_TIE).otherwise(low).alias("low"), F.when(found, _HIGHEST_TIE).otherwise(high).alias("high"))
+
+    state = narrowed(nodes.select("node", "dim", "half", "goal", F.lit(0.0).alias("before"), F.lit(None).cast("double").alias("at"),
+                                  "low", "high"))
+    state, done = stored(state, "cuts"), None
+    while True:
+        open_state = state.filter("low < high")
+        finished = state.filter("low = high")
+        done = finished if done is None else done.unionByName(finished)
+        if not open_state.take(1):
+            return done.select("node", "dim", "at", low.alias("cut_tie"), "half")
+        inside = rows.join(small_side(open_state, _CUT_BYTES), "node").filter(
+            (F.col("at").isNull() | (place == F.col("at"))) & value.between(low, high))
+        kept = ["node", "dim", "half", "goal", "before", "at"]
+        histogram = inside.groupBy(*kept, _bucket(value, low, high, buckets).alias("bucket")).agg(
+            F.sum("weight").alias("weight"), F.min(value).alias("low"), F.max(value).alias("high"))
+        by_bucket = W.partitionBy("node").orderBy("bucket")
+        running = F.col("before") + F.sum("weight").over(by_bucket.rowsBetween(W.unboundedPreceding, W.currentRow))
+        # Rounding may put a goal beyond the total: then it is the last bucket.
+        last = F.lead("bucket").over(by_bucket).isNull()
+        reached = histogram.withColumns({"running": running, "last": last}).filter((F.col("running") >= F.col("goal")) | F.col("last"))
+        first = F.row_number().over(by_bucket) == 1
+        state = stored(narrowed(reached.withColumn("first", first).filter("first").withColumn(
+            "before", F.col("running") - F.col("weight"))), "cuts")
+
+
+def _cuts_by_sorting(rows: DataFrame, nodes: DataFrame, dimensions: list[str]) -> DataFrame:
+    """The same for nodes that a task can sort."""
+    placed = rows.join(small_side(nodes.drop("low", "high", "rows"), _CUT_BYTES), "node").select(
+        "node", "dim", "half", "goal", "weight", _pick(F.col("dim"), [F.col(d) for d in dimensions]).alias("at"),
+        F.col("tie").cast("double").alias("cut_tie"))
+    in_order = W.partitionBy("node").orderBy("at", "cut_tie").rangeBetween(W.unboundedPreceding, W.currentRow)
+    reached = F.sum("weight").over(in_order) >= F.col("goal")
+    cut = F.struct("at", "cut_tie")
+    found = placed.withColumn("reached", reached).groupBy("node", "dim", "half").agg(
+        F.coalesce(F.min(F.when(F.col("reached"), cut)), F.max(cut)).alias("cut"))
+    return found.select("node", "dim", "cut.at", "cut.cut_tie", "half")
+
+
+def _down(rows: DataFrame, cuts: DataFrame, dimensions: list[str], texts: frozenset[str] = frozenset()) -> DataFrame:
+    """``rows`` with the ``node`` below; dimensions in ``texts`` are compared as texts. Rows with ``owes`` keep it up."""
+    tie = F.col("tie").cast("double")
+    ats = [F.col("at_text") if d in texts else F.col("at") for d in dimensions]
+    above = [(F.col(d) > at) | ((F.col(d) == at) & (tie > F.col("cut_tie"))) for d, at in zip(dimensions, ats, strict=True)]
+    above, half, columns = F.coalesce(_pick(F.col("dim"), above), F.lit(False)), F.col("half"), rows.columns
+    side = small_side(cuts if texts else cuts.drop("at_text"), _TEXT_CUT_BYTES if texts else _CUT_BYTES)
+    moved = rows.join(side, "node", "left").withColumn("above", above)
+    new = {"node": F.when(F.col("above"), F.col("node") + half).otherwise(F.col("node"))}
+    if "owes" in columns:
+        new["owes"] = F.when(half.isNull(), F.col("owes")).when(F.col("above"), F.col("owes") - half).otherwise(half)
+    return moved.select(*[new[name].alias(name) if name in new else F.col(name) for name in columns])
+
+
+def _grown(rows: DataFrame, dimensions: list[str], leaves: int, ranks: dict[str, DataFrame]) -> tuple[Tree, DataFrame]:
+    """The tree, and the rows with their leaf as ``node``."""
+    finite = [F.when(F.abs(d) == float("inf"), None).otherwise(F.col(d)) for d in dimensions]
+    widths = rows.agg(*[(F.max(f) - F.min(f)).alias(d) for f, d in zip(finite, dimensions, strict=True)]).first().asDict()
+    current, levels = rows.withColumns({"node": F.lit(0), "owes": F.lit(leaves)}), []
+    while True:
+        nodes = _open_nodes(current, dimensions, widths)
+        count, largest = nodes.agg(F.count(F.lit(1)), F.max("rows")).first()
+        if not count:
+            return Tree(dimensions, levels), current
+        cuts = (_cuts_by_sorting(current, nodes, dimensions) if largest <= SORTED_ROWS
+                else _cuts_by_histograms(current, nodes, dimensions, count))
+        text = F.lit(None).cast("string")
+        for n, d in enumerate(dimensions):
+            if d in ranks:
+                side = ranks[d].select(F.lit(n).alias("dim"), F.col("rank").alias("at"), F.col("value").alias(f"text{n}"))
+                cuts, text = cuts.join(side, ["dim", "at"], "left"), F.coalesce(text, F.col(f"text{n}"))
+        levels.append(stored(cuts.select("node", "dim", "at", text.alias("at_text"), "cut_tie", "half"), "tree-level"))
+        current = stored(_down(current, levels[-1], dimensions), "tree-rows")
+
+
+def kd_tree(rows: DataFrame, dimensions: list[str], leaves: int) -> Tree:
     """The cuts of a k-d tree with ``leaves`` leaves of nearly equal ``weight``.
 
     ``rows`` is a stored table with a double column per dimension, a long ``weight`` and a long ``tie`` that breaks
     ties. A node that still owes n leaves is split at the median that gives n // 2 leaves their share of its weight,
     along the dimension whose values are spread widest compared with the whole table; equal values go by ``tie``.
     """
-    tie = F.col("tie").cast("double")
-    finite = {d: F.when(F.col(d) == -float("inf"), None).when(F.col(d) == float("inf"), None).otherwise(F.col(d))
-              for d in dimensions}
-    widths = [(F.max(finite[d]) - F.min(finite[d])).alias(d) for d in dimensions]
-    whole = rows.agg(*widths).first().asDict()
-    # Node 0 holds everything and owes all leaves. A node is named by its first leaf.
-    current, owes, tree = rows.withColumn("node", F.lit(0)), {0: leaves}, []
-    while True:
-        stats = {r["node"]: r for r in current.groupBy("node").agg(F.sum("weight").alias("__weight"), *widths).collect()}
-        open_nodes = {key: n for key, n in owes.items() if n > 1 and key in stats}
-        if not open_nodes:
-            return tree
-        widest = {key: max(dimensions, key=lambda d: ((stats[key][d] or 0) / whole[d] if whole[d] else 0, d))
-                  for key in open_nodes}
-        goals = {key: float(stats[key]["__weight"]) * (n // 2) / n for key, n in open_nodes.items()}
-        level = _Level(widest, {}, {}, {key: n // 2 for key, n in open_nodes.items()})
-        inside = current.filter(F.col("node").isin(list(open_nodes)))
-        cuts = _median(inside, level.place(), goals)
-        level.at.update({key: cut[0] for key, cut in cuts.items()})
-        tied = inside.filter(level.place() == _choose(F.col("node"), level.at, "double"))
-        ties = _median(tied, tie, {key: goals[key] - cuts[key][1] for key in cuts})
-        level.tie.update({key: cut[0] for key, cut in ties.items()})
-        tree.append(level)
-        current = level.down(current)
-        if len(open_nodes) > STORED_NODES:  # many literals: keep the next level's expressions short
-            current = stored(current, "tree-level")
-        for key, n in open_nodes.items():
-            owes[key], owes[key + n // 2] = n // 2, n - n // 2
-
-
-def descended(rows: DataFrame, tree: list[_Level], into: str) -> DataFrame:
-    """``rows`` with the leaf that the cuts lead to, as the column ``into``."""
-    return reduce(lambda placed, level: level.down(placed), tree, rows.withColumn("node", F.lit(0))).withColumnRenamed(
-        "node", into)
+    return _grown(rows, dimensions, leaves, {})[0]
+
+
+def descended(rows: DataFrame, tree: Tree, into: str, texts: frozenset[str] = frozenset()) -> DataFrame:
+    """``rows`` with the leaf that the cuts lead to, as the column ``into``.
+
+    Cuts are broadcast where they fit the bound. Of the dimensions named in ``texts`` the rows have the texts themselves.
+    """
+    rows = rows.withColumn("node", F.lit(0))
+    for cuts in tree.levels:
+        rows = _down(rows, cuts, tree.dimensions, texts)
+    return rows.withColumnRenamed("node", into)
 
 
 def with_slots(rows: DataFrame, shard: str, key: str, total: int) -> DataFrame:
@@ -162,6 +221,12 @@ def _names(dimensions: list[str]) -> list[str]:
     return [f"d{n}" for n in range(len(dimensions))]
 
 
+def _texts(docs: DataFrame, dimensions: list[str]) -> frozenset[str]:
+    """Those of ``_names`` that are ordered as texts."""
+    return frozenset(name for d, name in zip(dimensions, _names(dimensions), strict=True)
+                     if docs.schema[d].dataType.typeName() == "string")
+
+
 def _measured(docs: DataFrame, dimensions: list[str], key: str, text: str) -> list[Column]:
     """Weight, checksum, tie and coordinates of a row."""
     kinds = {field.name: field.dataType.typeName() for field in docs.schema.fields}
@@ -170,6 +235,16 @@ def _measured(docs: DataFrame, dimensions: list[str], key: str, text: str) -> li
             *[ordinal(docs[d], kinds[d]).alias(name) for d, name in zip(dimensions, _names(dimensions), strict=True)]]
 
 
+def _ranked(rows: DataFrame, texts: frozenset[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``rows`` with the ranks of texts in their place, and the ranks."""
+    ranks = {name: _ranks(rows.select(name)) for name in sorted(texts)}
+    for name, known in ranks.items():
+        size = known.agg(F.max(F.octet_length("value"))).first()[0] or 0
+        side = small_side(known.select(F.col("value").alias(name), F.col("rank").alias("rank_")), 100 + size)
+        rows = rows.join(side, name).withColumn(name, F.col("rank_")).drop("rank_")
+    return (stored(rows, "ranked-rows") if ranks else rows), ranks
+
+
 def kd_shards(docs: DataFrame, dimensions: list[str], leaves: int | None = 8, target_bytes: int | None = None,
               key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` for every row of ``docs``; the law is ``bytes``.
@@ -177,17 +252,17 @@ def kd_shards(docs: DataFrame, dimensions: list[str], leaves: int | None = 8, ta
     ``size`` is the UTF-8 length of the text plus 1, so a null text has size 1 and a null crc32. The number of shards
     is ``leaves``, or with ``target_bytes`` the total size over it. Each split is an exact weighted median, so the
     sizes of shards differ by a few documents at most. Dimensions are metadata columns of any type with an order;
-    nulls come first, and of texts the first six bytes count. Ties go by a hash of the key, then of key and text; rows
-    that repeat key, text and dimensions stay together in a shard. Columns that are not named are not read. With fewer rows than
-    shards some shards are empty; an empty table gives an empty result.
+    nulls come first, and texts are placed by their rank among all different values. Ties go by a hash of the key, then
+    of key and text; rows that repeat key, text and dimensions stay together in a shard. Columns that are not named are
+    not read. With fewer rows than shards some shards are empty; an empty table gives an empty result.
     """
     rows = stored(docs.select(docs[key].alias("doc_id"), *_measured(docs, dimensions, key, text)), "shard-rows")
     totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("size")).first()
     if target_bytes:
         leaves = max(1, math.ceil((totals["size"] or 0) / target_bytes))
-    placed = descended(rows, kd_tree(rows, _names(dimensions), leaves), "shard")
-    narrow = stored(placed.select("doc_id", F.col("weight").alias("size"), "text_crc32", F.col("shard").cast("int")),
-                    "shards")
+    rows, ranks = _ranked(rows, _texts(docs, dimensions))
+    placed = _grown(rows, _names(dimensions), leaves, ranks)[1]
+    narrow = placed.select("doc_id", F.col("weight").alias("size"), "text_crc32", F.col("node").cast("int").alias("shard"))
     return with_slots(narrow, "shard", "doc_id", totals["rows"])
 
 
@@ -195,10 +270,12 @@ def kd_sharded(docs: DataFrame, dimensions: list[str], leaves: int = 8, key: str
                text: str = "text") -> DataFrame:
     """All columns of ``docs`` and the column ``shard`` of the k-d tree; repeated rows share a shard.
 
-    The cuts of the tree are applied to each row, so texts are scanned again and not shuffled.
+    The cuts of the tree are applied to each row, so texts are scanned again and not shuffled while the cuts of a level
+    fit the broadcast bound.
     """
-    measured = _measured(docs, dimensions, key, text)
-    tree = kd_tree(stored(docs.select(*measured), "shard-rows"), _names(dimensions), leaves)
+    measured, texts = _measured(docs, dimensions, key, text), _texts(docs, dimensions)
+    rows, ranks = _ranked(stored(docs.select(*measured), "shard-rows"), texts)
+    tree = _grown(rows, _names(dimensions), leaves, ranks)[0]
     whole, name = free_name(docs, "whole_row"), free_name(docs, "shard")
     carried = docs.select(F.struct(*[docs[column] for column in docs.columns]).alias(whole), *measured)
-    return descended(carried, tree, "leaf").select(f"{whole}.*", F.col("leaf").cast("int").alias(name))
+    return descended(carried, tree, "leaf", texts).select(f"{whole}.*", F.col("leaf").cast("int").alias(name))

@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark.llm import kd_shards, mixing
@@ -85,15 +87,18 @@ def test_mixing_of_nothing(spark):
 
 def slow_tree(rows, n_dimensions, leaves):
     """Leaf by row number; rows are (coordinates, tie, weight)."""
-    span = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in range(n_dimensions)]
+    def wide(members, d):
+        finite = [rows[m][0][d] for m in members if math.isfinite(rows[m][0][d])]
+        return max(finite) - min(finite) if finite else 0
+
+    span = [wide(range(len(rows)), d) for d in range(n_dimensions)]
     out = {}
 
     def split(members, first, owed):
         if owed == 1 or not members:
             out.update(dict.fromkeys(members, first))
             return
-        width = [(max(rows[m][0][d] for m in members) - min(rows[m][0][d] for m in members)) / span[d] if span[d] else 0
-                 for d in range(n_dimensions)]
+        width = [wide(members, d) / span[d] if span[d] else 0 for d in range(n_dimensions)]
         d = max(range(n_dimensions), key=lambda d: (width[d], f"d{d}"))
         goal, running, low = sum(rows[m][2] for m in members) * (owed // 2) / owed, 0, []
         for m in sorted(members, key=lambda m: (rows[m][0][d], float(rows[m][1]))):
@@ -118,6 +123,32 @@ def test_tree_matches_brute_force(spark):
         assert got == slow_tree(rows, 2, leaves)
 
 
+@pytest.mark.parametrize("sorted_rows", [20, 300, 20_000])
+@pytest.mark.parametrize("leaves", [64, 300])
+def test_many_leaves_match_brute_force(spark, monkeypatch, leaves, sorted_rows):
+    monkeypatch.setattr(kd_shards, "SORTED_ROWS", sorted_rows)
+    chance = random.Random(6)
+    rows = [((float(chance.randint(0, 5)), chance.random() * 100, math.inf if n % 50 == 0 else chance.random()), chance.getrandbits(60),
+             chance.randint(1, 30)) for n in range(1500)]
+    table = spark.createDataFrame([(n, *[c if math.isfinite(c) else -c for c in r[0]], r[1], r[2]) for n, r in enumerate(rows)],
+                                  "n int, d0 double, d1 double, d2 double, tie long, weight long")
+    tree = kd_shards.kd_tree(table, ["d0", "d1", "d2"], leaves)
+    got = {r["n"]: r["leaf"] for r in kd_shards.descended(table, tree, "leaf").collect()}
+    # An infinite coordinate has a place in the order but does not widen a dimension.
+    flat = [(tuple(-math.inf if math.isinf(c) else c for c in r[0]), r[1], r[2]) for r in rows]
+    assert got == slow_tree(flat, 3, leaves)
+
+
+def test_texts_with_a_common_start_are_split(spark):
+    docs = documents(spark, prose(4, 400)).withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(1)).withColumn(
+        "source", F.when(F.col("doc_id") % 50 != 0, F.concat(F.lit("common_crawl_"), (F.col("doc_id") % 16).cast("string"))))
+    got = kd_shards.kd_sharded(docs, ["lang", "source", "n_chars"], leaves=4).collect()
+    ends = [sorted({r["source"] or "" for r in got if r["shard_"] == n}) for n in range(4)]
+    assert all(one[-1] <= other[0] for one, other in zip(ends, ends[1:]))
+    narrow = kd_shards.kd_shards(docs, ["lang", "source", "n_chars"], leaves=4).select("doc_id", "shard").collect()
+    assert sorted(map(tuple, narrow)) == sorted((r["doc_id"], r["shard_"]) for r in got)
+
+
 def shards_of(spark, rows, **options):
     return kd_shards.kd_shards(documents(spark, rows), ["lang", "source", "n_chars"], **options).collect()
 
