@@ -134,13 +134,21 @@ def _found(texts: DataFrame) -> DataFrame:
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """``(pattern, instance, kind, seed)``: different identifiers of each pattern that has enough of them."""
+    """``(pattern, instance, kind, seed)``: different identifiers of each pattern that may find some."""
     value = F.col("value")
     rows = found.select(F.explode("patterns").alias("pattern"), _instance(value).alias("instance"), "kind", F.when(
         F.col("kind") == "", _kinds(value)).otherwise(F.array("kind")).alias("kinds")).distinct()
     rows = stored(rows, "pattern-fillers")
-    enough = rows.select("pattern", "instance").distinct().groupBy("pattern").count().filter(F.col("count") >= SUPPORT)
-    return stored(rows.join(enough.select("pattern"), "pattern").select(
+    enough = rows.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("fillers")).filter(
+        F.col("fillers") >= SUPPORT)
+    seed = (F.col("kind") != "").cast("long")
+    seeds = rows.groupBy("pattern").agg(F.sum(seed).alias("seeds"))
+    # Only patterns that hold a candidate and would be confident if all their candidates were certain can find any.
+    reach = rows.select("pattern", seed.alias("seed"), F.explode("kinds").alias("one")).groupBy("pattern", "one").agg(
+        F.count(F.lit(1)).alias("reach"), F.sum("seed").alias("own")).filter("reach > own").join(seeds, "pattern").filter(
+            F.col("reach") / (F.col("reach") + F.col("seeds") - F.col("own") + 1) >= CONFIDENCE)
+    useful = reach.select("pattern").distinct().join(enough.select("pattern"), "pattern")
+    return stored(rows.join(useful, "pattern").select(
         "pattern", "instance", (F.col("kind") != "").alias("seed"), F.explode("kinds").alias("kind")).distinct(), "pattern-graph")
 
 
