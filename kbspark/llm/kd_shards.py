@@ -26,6 +26,9 @@ SORTED_ROWS = 20_000
 # Rows of a shard that one task numbers.
 SLOT_ROWS = 20_000
 
+# Nodes whose cuts are in one file.
+NODES_PER_FILE = 50_000
+
 # Bytes of a broadcast cut, and of one with a text.
 _CUT_BYTES = 120
 _TEXT_CUT_BYTES = 400
@@ -58,6 +61,11 @@ def _ranks(values: DataFrame) -> DataFrame:
         "value", (F.col("offset") + F.col("place") - 1).cast("double").alias("rank")), "ranks")
 
 
+def _few(rows: DataFrame, nodes: int, purpose: str) -> DataFrame:
+    """A stored table of a row per node, in few files."""
+    return stored(rows.repartition(1 + nodes // NODES_PER_FILE), purpose)
+
+
 class Tree(NamedTuple):
     """``levels``: a stored table ``(node, dim, at, at_text, cut_tie, half)`` each; a node is named by its first leaf."""
 
@@ -70,8 +78,8 @@ def _pick(dim: Column, values: list[Column]) -> Column:
     return F.get(F.array(*values), dim)
 
 
-def _open_nodes(rows: DataFrame, dimensions: list[str], whole: dict) -> DataFrame:
-    """Nodes that still owe leaves, with the dimension to cut, its ends, and the weight to leave below the cut."""
+def _open_nodes(rows: DataFrame, dimensions: list[str], whole: dict, leaves: int) -> DataFrame:
+    """At most ``leaves`` nodes: those that still owe leaves, with the dimension to cut, its ends, and the weight to leave below the cut."""
     finite = {d: F.when(F.abs(d) == float("inf"), None).otherwise(F.col(d)) for d in dimensions}
     stats = rows.filter("owes > 1").groupBy("node", "owes").agg(
         F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows"),
@@ -85,7 +93,7 @@ def _open_nodes(rows: DataFrame, dimensions: list[str], whole: dict) -> DataFram
     chosen = stats.withColumns({"dim": dim, "half": half})
     ends = [_pick(F.col("dim"), [F.col(f"{end}{n}") for n in range(len(dimensions))]).alias(end) for end in ("low", "high")]
     goal = F.col("weight").cast("double") * F.col("half") / F.col("owes")
-    return stored(chosen.select("node", "rows", "dim", "half", goal.alias("goal"), *ends), "open-nodes")
+    return _few(chosen.select("node", "rows", "dim", "half", goal.alias("goal"), *ends), leaves, "open-nodes")
 
 
 def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
@@ -110,7 +118,7 @@ def _cuts_by_histograms(rows: DataFrame, nodes: DataFrame, dimensions: list[str]
 
     state = narrowed(nodes.select("node", "dim", "half", "goal", F.lit(0.0).alias("before"), F.lit(None).cast("double").alias("at"),
                                   "low", "high"))
-    state, done = stored(state, "cuts"), None
+    state, done = _few(state, count, "cuts"), None
     while True:
         open_state = state.filter("low < high")
         finished = state.filter("low = high")
@@ -128,8 +136,8 @@ def _cuts_by_histograms(rows: DataFrame, nodes: DataFrame, dimensions: list[str]
         last = F.lead("bucket").over(by_bucket).isNull()
         reached = histogram.withColumns({"running": running, "last": last}).filter((F.col("running") >= F.col("goal")) | F.col("last"))
         first = F.row_number().over(by_bucket) == 1
-        state = stored(narrowed(reached.withColumn("first", first).filter("first").withColumn(
-            "before", F.col("running") - F.col("weight"))), "cuts")
+        state = _few(narrowed(reached.withColumn("first", first).filter("first").withColumn(
+            "before", F.col("running") - F.col("weight"))), count, "cuts")
 
 
 def _cuts_by_sorting(rows: DataFrame, nodes: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -165,7 +173,7 @@ def _grown(rows: DataFrame, dimensions: list[str], leaves: int, ranks: dict[str,
     widths = rows.agg(*[(F.max(f) - F.min(f)).alias(d) for f, d in zip(finite, dimensions, strict=True)]).first().asDict()
     current, levels = rows.withColumns({"node": F.lit(0), "owes": F.lit(leaves)}), []
     while True:
-        nodes = _open_nodes(current, dimensions, widths)
+        nodes = _open_nodes(current, dimensions, widths, min(leaves, 1 << len(levels)))
         count, largest = nodes.agg(F.count(F.lit(1)), F.max("rows")).first()
         if not count:
             return Tree(dimensions, levels), current
@@ -176,7 +184,7 @@ def _grown(rows: DataFrame, dimensions: list[str], leaves: int, ranks: dict[str,
             if d in ranks:
                 side = ranks[d].select(F.lit(n).alias("dim"), F.col("rank").alias("at"), F.col("value").alias(f"text{n}"))
                 cuts, text = cuts.join(side, ["dim", "at"], "left"), F.coalesce(text, F.col(f"text{n}"))
-        levels.append(stored(cuts.select("node", "dim", "at", text.alias("at_text"), "cut_tie", "half"), "tree-level"))
+        levels.append(_few(cuts.select("node", "dim", "at", text.alias("at_text"), "cut_tie", "half"), count, "tree-level"))
         current = stored(_down(current, levels[-1], dimensions), "tree-rows")
 
 
