@@ -3,6 +3,7 @@
 A text is met by the patterns whose gram it holds. A pattern's gram is the one of its ``GRAM`` characters in a row that
 is rarest among all patterns. Up to a measured bound the patterns are broadcast: each text's distinct grams look them
 up, and each meeting is verified with ``contains`` in the same stage, so texts are not shuffled and only matches leave.
+A bit field of the grams that patterns have lets a text drop nearly all of its own before they become rows.
 Patterns that are shorter than a gram are verified against every text of their group.
 
 Beyond the bound nothing is broadcast. Texts are cut into runs of ``s`` characters, side by side. An occurrence of a
@@ -13,10 +14,13 @@ verified against the text, and of several occurrences only the first counts.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kbspark.operators.limits import max_broadcast_bytes
+from kbspark.operators.limits import max_broadcast_bytes, pin
 
 GRAM = 4
 
+# Bits of the field of wanted grams.
+FIELD_BITS = 1 << 18
+
 # Run lengths; a pattern uses the longest its own length allows.
 RUN_SIZES = (8, 4, 2, 1)
 
@@ -45,21 +49,45 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
-def _grams(text: Column) -> Column:
+def full_grams(text: Column) -> Column:
     """The different grams of a text, by cutting it ``GRAM`` times into pieces, each time one character later."""
     pieces = [F.regexp_extract_all(F.substring(text, start, 1 << 30), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))
               for start in range(1, GRAM + 1)]
     return F.array_distinct(F.concat(*pieces))
 
 
+def _bit(gram: Column) -> Column:
+    """The place of a gram in the field."""
+    return F.pmod(F.xxhash64(gram), F.lit(FIELD_BITS))
+
+
+def _field(grams: DataFrame, gram: str) -> Column:
+    """The bits of all grams of a table as an array literal; it has at most ``FIELD_BITS / 64`` entries."""
+    bit = _bit(F.col(gram))
+    rows = grams.groupBy(F.shiftright(bit, 6).cast("int").alias("place")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()
+    words = [0] * (FIELD_BITS // 64)
+    for row in rows:
+        words[row["place"]] = row["bits"]
+    # Written as text, which is folded into one literal.
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
 def _by_grams(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str) -> DataFrame:
     short = F.length(pattern) < GRAM
-    grams = patterns.filter(~short).select("*", F.explode(_grams(F.col(pattern))).alias("_gram"))
+    grams = patterns.filter(~short).select("*", F.explode(full_grams(F.col(pattern))).alias("_gram"))
     often = grams.groupBy(group, "_gram").agg(F.count("*").alias("_often"))
     rarest = grams.join(often, [group, "_gram"]).groupBy(*patterns.columns).agg(
         F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"))
+    rarest = pin(rarest, "rarest-grams")
+    field = _field(rarest, "_gram")
+
+    def wanted(gram: Column) -> Column:
+        bit = _bit(gram)
+        return F.bit_get(F.get(field, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
+
     # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
-    met = texts.select(key, group, text, F.explode_outer(_grams(F.col(text))).alias("_gram")).join(
+    met = texts.select(key, group, text, F.explode_outer(F.filter(full_grams(F.col(text)), wanted)).alias("_gram")).join(
         F.broadcast(rarest), [group, "_gram"])
     brief = texts.join(F.broadcast(patterns.filter(short)), group)
     found = met.select(key, text, *patterns.columns).unionByName(brief.select(key, text, *patterns.columns))

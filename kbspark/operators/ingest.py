@@ -200,19 +200,22 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def apply_document_changes(documents: DataFrame, chunks: DataFrame, changes: DataFrame, spaces: DataFrame,
-                           max_size: int = fv.CHUNK_MAX_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Changed:
+                           max_size: int = fv.CHUNK_MAX_SIZE, overlap: int = fv.CHUNK_OVERLAP,
+                           judged: DataFrame | None = None) -> Changed:
     """Documents and chunks after a feed of ``(seq, op, id, space_id, title, content, source_type, source_uri)``.
 
     ``op`` is ``create``, ``update`` or ``delete``; ``seq`` orders the feed. The result is that of applying the
     changes one by one: a change needs an active document (or its create earlier in the feed) and, if it names a
     space, an active space; nothing follows a delete; space and source type are kept when an update omits them.
-    Every touched document gets all its chunks anew, as pending.
+    Every touched document gets all its chunks anew, as pending. Changes of an unknown kind, without an id, or that
+    break a field rule are rejected first and have no effect on others. ``judged`` is what ``judge_changes`` said of
+    the feed, where ``documents`` and ``chunks`` are only the partitions that it touches.
 
     Documents keep their other columns; written ones get ``chunk_count`` and ``next_chunk_id``, the first id that no
     chunk of the document has ever had. Feed the result in again, and ids stay unused even after a rewrite to blank.
     """
     # Changes are judged without their texts; each document's last valid text is fetched once, by its number.
-    judged = judge_changes(documents, changes, spaces)
+    judged = judge_changes(documents, changes, spaces) if judged is None else judged
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "op", "id", "reason")
     is_write = F.col("op") != "delete"
     decided = pin(judged.filter(F.col("reason").isNull()).groupBy("id").agg(
@@ -271,11 +274,22 @@ def _other_columns(documents: DataFrame) -> list[str]:
     return [name for name in documents.columns if name not in _DOCUMENT_COLUMNS]
 
 
+def change_rules() -> Column:
+    """The first rule of form that a change breaks, null where it breaks none."""
+    op, rules = F.col("op"), document_rules(space_required=False)
+    return (F.when(op.isNull() | ~op.isin("create", "update", "delete"), "unknown operation")
+            .when(F.col("id").isNull(), "id missing").when(op != "delete", F.get(_broken(rules), F.lit(0))))
+
+
 def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Changes without their texts, with the document's ``old_space`` and the ``reason`` of a rejection."""
+    """Changes without their texts, with the document's ``old_space`` and the ``reason`` of a rejection.
+
+    Of the documents only ids, spaces and other narrow columns are read.
+    """
     active_spaces = spaces.filter(F.col("status") == fv.ACTIVE).select(
         F.col("id").alias("space_id"), F.lit(True).alias("space_ok"))
-    named = pin(changes.select("id").distinct(), "changed-documents")
+    formal = pin(changes.select("seq", "op", "id", "space_id", "source_type", change_rules().alias("rule")), "feed")
+    named = pin(formal.filter("rule IS NULL").select("id").distinct(), "changed-documents")
     known = documents.select(
         "id", F.col("space_id").alias("old_space"), F.col("source_type").alias("old_source_type"),
         (F.col("status") == fv.ACTIVE).alias("was_active"),
@@ -283,7 +297,7 @@ def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -
     ).join(broadcast_if(named, named.count(), _MARK_BYTES), "id")
     op, seq = F.col("op"), F.col("seq")
     space_needed = (op == "create") | ((op == "update") & F.col("space_id").isNotNull())
-    checked = (changes.select("seq", "op", "id", "space_id", "source_type")
+    checked = (formal.filter("rule IS NULL")
                .join(active_spaces, "space_id", "left").join(known, "id", "left")
                .withColumn("space_bad", space_needed & F.col("space_ok").isNull()))
     # A document lives from its first valid create (or from before the feed) to the first delete after that. Both
@@ -297,8 +311,10 @@ def judge_changes(documents: DataFrame, changes: DataFrame, spaces: DataFrame) -
         F.when(F.col("space_bad"), "space not found")
         .when((op == "create") & (seq > F.col("born")), "document exists")
         .when(F.col("born").isNull() | (seq < F.col("born")) | (seq > F.col("death")), "document not found"))
-    return staged.join(deaths, "id", "left").select(
+    told = staged.join(deaths, "id", "left").select(
         "seq", "op", "id", "space_id", "source_type", "old_space", "old_source_type", "others", reason.alias("reason"))
+    broken = formal.filter("rule IS NOT NULL").select("seq", "op", "id", "space_id", "source_type", F.col("rule").alias("reason"))
+    return told.unionByName(broken, allowMissingColumns=True)
 
 
 def soft_delete_documents(documents: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

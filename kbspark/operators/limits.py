@@ -4,7 +4,10 @@ Every operator that broadcasts measures the side first. Beyond the bound each of
 not broadcast more than the bound at a time.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from kbspark.sources.folders import shared_folder
 
@@ -44,3 +47,11 @@ def pin(rows: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(rows.sparkSession, name)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def in_slices(parts: list[Callable[[], DataFrame]], schema: StructType, spark: SparkSession, name: str) -> DataFrame:
+    """All rows of ``parts``, which are computed one after the other so that their broadcasts are not alive together."""
+    folder = shared_folder(spark, name)
+    for part in parts:
+        part().write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder) if parts else spark.createDataFrame([], schema)

@@ -1,42 +1,53 @@
 """Nearest stored vectors of many queries, per space."""
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbspark import fixed_values as fv
 from kbspark.functions.kernels import QueryMatrix
-from kbspark.operators.limits import max_broadcast_bytes
+from kbspark.operators.limits import in_slices, max_broadcast_bytes, pin
 
-# Bytes of the vectors of one cell of the shuffled search, each side.
-CELL_VECTOR_BYTES = 64 * 1024 * 1024
-CELL_QUERY_BYTES = 8 * 1024 * 1024
-
-# A space is split only beyond one cell, so at most ``rows / cell`` spaces are; the cell grows with the table to
-# keep that number, and with it the broadcast table of splits, below this.
-MAX_SPLIT_SPACES = 100_000
+# Bytes of a number of a query in the matrix and in its source.
+_NUMBER_BYTES = 12
 
 
 def nearest(probes: DataFrame, vectors: DataFrame, min_score: float | None = None) -> DataFrame:
     """Best ``fetch_k`` stored vectors per probe: ``(probe_id, chunk_id, vector_score, vector_rank)``.
 
     ``probes`` has one row ``(probe_id, space_id, fetch_k, query_vec)`` per query. Ranks follow the rounded cosine,
-    ties by chunk id. Up to the broadcast bound the queries travel to the vectors, which are then read once and not
-    shuffled; beyond it both sides are shuffled in cells of bounded size.
+    ties by chunk id. The queries travel to the vectors, which are read where they lie and never shuffled. Beyond the
+    broadcast bound the queries are cut into slices that fit, each with a scan of its own: a full slice is many
+    thousand products per vector, so reading the vector again is little beside them. Only a slice's best hits are kept.
     """
     probes = probes.select("probe_id", "space_id", "fetch_k", "query_vec")
     stored = vectors.select("space_id", "chunk_id", "embedding")
+    spark = probes.sparkSession
     size = probes.agg(
         F.count("*").alias("rows"), F.max(F.size("query_vec")).alias("width")).first()
-    # Eight bytes per number in the matrix, four in its source.
-    fits = size.rows * (size.width or 0) * 12 <= max_broadcast_bytes(probes.sparkSession)
-    hits = _by_broadcast(probes, stored) if fits else _by_cells(probes, stored, size.rows, size.width)
+    parts = max(1, math.ceil(size.rows * (size.width or 0) * _NUMBER_BYTES / max_broadcast_bytes(spark)))
+    parts = min(parts, max(1, size.rows))
+    if parts == 1:
+        ranked = _best(probes, stored, _matrix(probes))
+    else:
+        probes, held = pin(probes, "probes"), []
+
+        def one(number: int) -> DataFrame:
+            while held:
+                held.pop().destroy()
+            some = probes.filter(F.pmod(F.xxhash64("probe_id"), F.lit(parts)) == number)
+            held.append(_matrix(some))
+            return _best(some, stored, held[0])
+
+        schema = spark.createDataFrame([], f"{_schema(probes)}, vector_rank int").schema
+        ranked = in_slices([lambda n=n: one(n) for n in range(parts)], schema, spark, "nearest")
+        while held:
+            held.pop().destroy()
     if min_score is not None:
-        hits = hits.filter(F.col("vector_score") >= min_score)
-    order = Window.partitionBy("probe_id").orderBy(F.desc("vector_score"), "chunk_id")
-    ranked = hits.withColumn("vector_rank", F.row_number().over(order)).filter(
-        F.col("vector_rank") <= fv.VECTOR_FETCH_CAP)
+        ranked = ranked.filter(F.col("vector_score") >= min_score)
     limits = probes.select("probe_id", "fetch_k")
     return (ranked.join(limits, "probe_id").filter(F.col("vector_rank") <= F.col("fetch_k"))
             .select("probe_id", "chunk_id", "vector_score", "vector_rank"))
@@ -46,45 +57,16 @@ def _schema(probes: DataFrame) -> str:
     return f"probe_id {probes.schema['probe_id'].dataType.simpleString()}, chunk_id long, vector_score double"
 
 
-def _by_broadcast(probes: DataFrame, vectors: DataFrame) -> DataFrame:
-    matrix = probes.sparkSession.sparkContext.broadcast(QueryMatrix(probes.toArrow()))
+def _matrix(probes: DataFrame) -> Broadcast:
+    return probes.sparkSession.sparkContext.broadcast(QueryMatrix(probes.toArrow()))
+
+
+def _best(probes: DataFrame, vectors: DataFrame, matrix: Broadcast) -> DataFrame:
+    """The best hits of each probe, as many as any query may ask for; every task keeps only its own best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return matrix.value.best(batches)
 
-    return vectors.mapInArrow(run, _schema(probes))
-
-
-def _by_cells(probes: DataFrame, vectors: DataFrame, probe_rows: int, width: int) -> DataFrame:
-    """Split large spaces into cells of vectors and cells of queries, and score every cell in a task of its own."""
-    vector_rows = vectors.count()
-    vector_cell = max(CELL_VECTOR_BYTES // (4 * width), vector_rows // MAX_SPLIT_SPACES)
-    probe_cell = max(CELL_QUERY_BYTES // (4 * width), probe_rows // MAX_SPLIT_SPACES)
-
-    def splits(rows: DataFrame, cell: int, name: str) -> DataFrame:
-        sizes = rows.groupBy("space_id").agg(F.count("*").alias("n")).filter(F.col("n") > cell)
-        return F.broadcast(sizes.select("space_id", F.ceil(F.col("n") / cell).cast("int").alias(name)))
-
-    def split(rows: DataFrame) -> DataFrame:
-        return (rows.join(splits(vectors, vector_cell, "v"), "space_id", "left")
-                .join(splits(probes, probe_cell, "q"), "space_id", "left")
-                .withColumns({"v": F.coalesce("v", F.lit(1)), "q": F.coalesce("q", F.lit(1))}))
-
-    every = {"v": F.explode(F.sequence(F.lit(0), F.col("v") - 1)),
-             "q": F.explode(F.sequence(F.lit(0), F.col("q") - 1))}
-    left = split(vectors).withColumn("v", F.pmod(F.xxhash64("chunk_id"), "v")).withColumn("q", every["q"])
-    right = split(probes).withColumn("q", F.pmod(F.xxhash64("probe_id"), "q")).withColumn("v", every["v"])
-
-    def score(stored: pa.Table, wanted: pa.Table) -> pa.Table:
-        parts = []
-        if stored.num_rows and wanted.num_rows:
-            parts = list(QueryMatrix(wanted).best(iter(stored.to_batches())))
-        kind = wanted.schema.field("probe_id").type
-        schema = pa.schema([("probe_id", kind), ("chunk_id", pa.int64()), ("vector_score", pa.float64())])
-        return pa.Table.from_batches(parts, schema)
-
-    keys = ["space_id", "v", "q"]
-    left = left.withColumns({"v": F.col("v").cast("long"), "q": F.col("q").cast("long")})
-    right = right.withColumns({"v": F.col("v").cast("long"), "q": F.col("q").cast("long")})
-    return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-            .applyInArrow(score, _schema(probes)))
+    order = Window.partitionBy("probe_id").orderBy(F.desc("vector_score"), "chunk_id")
+    return vectors.mapInArrow(run, _schema(probes)).withColumn("vector_rank", F.row_number().over(order)).filter(
+        F.col("vector_rank") <= fv.VECTOR_FETCH_CAP)

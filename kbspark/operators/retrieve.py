@@ -1,5 +1,6 @@
 """Top-k search of a table of queries: vector, keyword, hybrid and hybrid with rule rerank, in one job."""
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -8,6 +9,7 @@ from kbspark import fixed_values as fv
 from kbspark.functions import codes, scores, text as tx
 from kbspark.operators.contains import contains_join
 from kbspark.operators.limits import GROUP_LIMIT_MAX, broadcast_if, pin
+from kbspark.operators.lookup import looked_up
 from kbspark.operators.nearest import nearest
 
 # Bytes of a broadcast candidate row: ids, ranks, a score and the hash-table entry.
@@ -27,6 +29,9 @@ class Bounds(NamedTuple):
     spaces: list[int] | None
 
 
+# Chunks ``(space_id, term, chunk_id)`` of distinct ``(space_id, term)``, as many as each term needs.
+Recall = Callable[[DataFrame, int | None], DataFrame]
+
 # More spaces than this are not listed in a scan's filter.
 MAX_LISTED_SPACES = 1000
 
@@ -131,7 +136,7 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame,
     live_documents = documents.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("document_id"))
     # The few hits are the build sides; chunks and documents are scanned on three columns and not shuffled.
     # The exchange in between ends the scan of chunks before the next broadcast, whose timer then only sees few rows.
-    live = live_chunks.join(broadcast_if(hits, rows, _CANDIDATE_BYTES), "chunk_id").repartition("document_id")
+    live = live_chunks.join(broadcast_if(hits, rows, _CANDIDATE_BYTES), "chunk_id").hint("rebalance")
     live = live_documents.join(broadcast_if(live, rows, _CANDIDATE_BYTES), "document_id")
     order = Window.partitionBy("query_id").orderBy("vector_rank")
     return (live.withColumn("vector_rank", F.row_number().over(order))
@@ -152,12 +157,13 @@ def _first(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     return rows.withColumn("keyword_rank", F.row_number().over(order)).filter(F.col("keyword_rank") <= most)
 
 
-def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds) -> DataFrame:
+def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds, recall: Recall | None = None) -> DataFrame:
     """``(query_id, chunk_id, keyword_rank)``: the ``candidate_k`` lowest chunk ids that contain any term.
 
     Terms are matched once each, however many queries share them. A query's first ``candidate_k`` chunks are among
     the first ``max(candidate_k)`` of each of its terms, so the matches of a frequent term shrink to that many per
-    task before anything is shuffled, and queries meet only what is left.
+    task before anything is shuffled, and queries meet only what is left. ``recall`` finds the chunks of a table of
+    terms in another way than by reading the texts, as ``gram_index.recall`` does.
     """
     asked = (queries.filter("use_keyword")
              .select("query_id", "space_id", "candidate_k",
@@ -166,7 +172,8 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds) ->
 
     def matched(some: DataFrame, most: int | None) -> DataFrame:
         terms = some.select("space_id", "term").distinct()
-        matches = contains_join(texts, terms, "text", "term", group="space_id", key="chunk_id", most=most)
+        matches = recall(terms, most) if recall else contains_join(
+            texts, terms, "text", "term", group="space_id", key="chunk_id", most=most)
         return (matches.join(some, ["space_id", "term"])
                 .groupBy("query_id", "chunk_id").agg(F.any_value("candidate_k").alias("candidate_k")))
 
@@ -192,10 +199,10 @@ def merge_candidates(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFra
 
 
 def with_chunk(candidates: DataFrame, chunks: DataFrame, bounds: Bounds) -> DataFrame:
-    """Candidates with their chunk's text; chunks are scanned once and not shuffled."""
+    """Candidates with their chunk's text; chunks are not shuffled, however many candidates there are."""
     rows = bounds.queries * (fv.VECTOR_TOP_K_MAX + bounds.candidate_k)
     full = chunks.select(F.col("id").alias("chunk_id"), "document_id", "space_id", "chunk_index", "content")
-    return full.join(broadcast_if(candidates, rows, _CANDIDATE_BYTES), "chunk_id")
+    return looked_up(full, candidates, "chunk_id", rows, _CANDIDATE_BYTES)
 
 
 def score_candidates(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -243,31 +250,31 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame,
-               bounds: Bounds, min_score: float | None = None) -> DataFrame:
+               bounds: Bounds, min_score: float | None = None, recall: Recall | None = None) -> DataFrame:
     """Candidates of the branches that any query needs."""
     rank = F.lit(None).cast("int")
     if not bounds.by_vector:
-        return keyword_candidates(queries, chunks, bounds).select(
+        return keyword_candidates(queries, chunks, bounds, recall).select(
             "query_id", "chunk_id", F.lit(None).cast("double").alias("vector_score"), rank.alias("vector_rank"),
             "keyword_rank")
     by_vector = vector_candidates(queries, chunks, vectors, documents, bounds, min_score)
     if not bounds.by_keyword:
         return by_vector.withColumn("keyword_rank", rank)
-    return merge_candidates(by_vector, keyword_candidates(queries, chunks, bounds))
+    return merge_candidates(by_vector, keyword_candidates(queries, chunks, bounds, recall))
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, spaces: DataFrame,
-           min_score: float | None = None) -> DataFrame:
+           min_score: float | None = None, recall: Recall | None = None) -> DataFrame:
     """Ranked chunks for every valid row of ``queries``; ``rejected`` lists the others.
 
     ``queries``: ``query_id, space_id, query, query_vec, retrieval_mode, top_k, candidate_k, vector_weight,
     keyword_weight`` and optionally ``probe_id``. Queries of all modes share the scans.
     """
     valid, bounds = prepare(queries, spaces)
-    return search_valid(valid, chunks, vectors, documents, bounds, min_score)
+    return search_valid(valid, chunks, vectors, documents, bounds, min_score, recall)
 
 
 def search_valid(valid: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, bounds: Bounds,
-                 min_score: float | None = None) -> DataFrame:
-    found = with_chunk(candidates(valid, chunks, vectors, documents, bounds, min_score), chunks, bounds)
+                 min_score: float | None = None, recall: Recall | None = None) -> DataFrame:
+    found = with_chunk(candidates(valid, chunks, vectors, documents, bounds, min_score, recall), chunks, bounds)
     return rank_candidates(score_candidates(found, valid)).select(*RESULT_COLUMNS)

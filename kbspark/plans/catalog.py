@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbspark import fixed_values as fv
 from kbspark.functions import codes, scores, text as tx
-from kbspark.operators import answer, evaluate, history, ingest, integrity, listing, retrieve, vectorize
+from kbspark.operators import (answer, evaluate, feed, gram_index, history, ingest, integrity, listing, retrieve,
+                               vectorize)
 from kbspark.operators.limits import pin
 from kbspark.sources.folders import shared_folder
 from kbspark.sources.shipping import ship
 from kbspark.sources.tables import read_table, write_table
 from kbspark.sources.testdata import KnowledgeBase, space_of
+from kbspark.sources.versions import Versions
 from kbspark.streaming import ingest as stream_ingest, rollup
 
 BUILDERS: dict[str, Callable[[KnowledgeBase], DataFrame]] = {}
@@ -141,6 +143,33 @@ def document_update_rejects(kb):
     return ingest.apply_document_changes(kb.documents, kb.chunks, kb.changes, kb.spaces).rejects
 
 
+def _versions(kb):
+    """Documents and chunks as versioned tables, in blocks of 250 documents."""
+    store = Versions(kb.spark, shared_folder(kb.spark, "versions"), block_documents=250)
+    store.commit(0, {"kb_document": kb.documents, "kb_chunk": kb.chunks})
+    return store
+
+
+@query
+def document_feed_commit(kb):
+    """Documents and chunks read back after the feed was committed to the partitions it touches."""
+    store = _versions(kb)
+    feed.commit_changes(store, kb.changes, kb.spaces)
+    documents, chunks = store.read("kb_document"), store.read("kb_chunk")
+    return documents.select(
+        F.lit("document").alias("kind"), "id", "space_id", "title", "source_type", "status", "content").unionByName(
+        chunks.select(F.lit("chunk").alias("kind"), "id", "space_id", F.lit(None).cast("string").alias("title"),
+                      F.lit(None).cast("string").alias("source_type"), "status", "content"))
+
+
+@query
+def chunk_status_commit(kb):
+    """Chunks read back after the outcomes of vectorising were committed to the partitions that had pending chunks."""
+    store = _versions(kb)
+    feed.commit_outcomes(store, kb.fresh_vectors)
+    return store.read("kb_chunk").select("id", "embedding_status", "vector_id", "status")
+
+
 def _poor(kb):
     return kb.raw("labels").filter("quality = 0").select(F.col("doc_id").alias("id"))
 
@@ -397,6 +426,21 @@ def keyword_topk(kb):
     return _search(kb, kb.queries("KEYWORD_ONLY"))
 
 
+def _indexed(kb, queries):
+    """Search with the keyword recall read from stored grams."""
+    store = _versions(kb)
+    gram_index.build(store)
+    chunks = store.read("kb_chunk")
+    valid, bounds = retrieve.prepare(queries, kb.spaces)
+    recall = gram_index.recall(store, retrieve.searchable, spaces=lambda rows: retrieve.of_spaces(rows, bounds))
+    return retrieve.search_valid(valid, chunks, kb.vectors, kb.documents, bounds, recall=recall).select(*_RESULT)
+
+
+@query
+def keyword_topk_indexed(kb):
+    return _indexed(kb, kb.queries("KEYWORD_ONLY"))
+
+
 @query
 def hybrid_topk(kb):
     return _search(kb, kb.queries("HYBRID"))

@@ -375,9 +375,19 @@ CTES["change"] = """
 SELECT turn * 1000000 + conv_id AS seq, CASE WHEN role = 'system' THEN 'delete' ELSE 'update' END AS op,
        conv_id * 3 AS id, CASE WHEN turn % 2 = 1 THEN conv_id % 5 + 1 END AS space_id, substr(text, 1, 40) AS title,
        text AS content, CASE WHEN turn > 1 THEN 'CHAT' || turn END AS source_type, 'chat://' || conv_id AS source_uri
-FROM conversations"""
-CTES["judged_change"] = """
-SELECT c.*, CASE WHEN c.op = 'update' AND c.space_id IS NOT NULL AND c.space_id NOT IN (SELECT id FROM kb_space)
+FROM conversations
+UNION ALL
+SELECT 9000000000 + conv_id, CASE conv_id % 4 WHEN 0 THEN 'update' WHEN 1 THEN 'create' WHEN 2 THEN 'upsert' END,
+       CASE WHEN conv_id % 4 <> 3 THEN conv_id * 3 END, 1, CASE conv_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN repeat('t', 400)
+       ELSE 'title' END, CASE conv_id % 4 WHEN 0 THEN chr(10) ELSE text END, '', 'chat://' || conv_id
+FROM conversations WHERE turn = 1"""
+CTES["judged_change"] = f"""
+SELECT c.*, CASE WHEN coalesce(c.op, '') NOT IN ('create', 'update', 'delete') THEN 'unknown operation'
+                 WHEN c.id IS NULL THEN 'id missing'
+                 WHEN c.op <> 'delete' AND coalesce({_trim('c.title')}, '') = '' THEN 'title blank'
+                 WHEN c.op <> 'delete' AND coalesce({_trim('c.content')}, '') = '' THEN 'content blank'
+                 WHEN c.op <> 'delete' AND length(c.title) > 255 THEN 'title longer than 255'
+                 WHEN c.op = 'update' AND c.space_id IS NOT NULL AND c.space_id NOT IN (SELECT id FROM kb_space)
                  THEN 'space not found' WHEN coalesce(d.status, 0) <> 1 THEN 'document not found'
                  WHEN c.seq > min(c.seq) FILTER (WHERE c.op = 'delete') OVER (PARTITION BY c.id)
                  THEN 'document not found' END AS reason
@@ -511,6 +521,12 @@ SELECT {_CHUNK_COLUMNS}, CASE WHEN document_id IN (SELECT id FROM dead) THEN 0 E
     LEFT JOIN (SELECT document_id, max(id) + 1 AS free_id FROM kb_chunk GROUP BY document_id) USING (document_id))""",
     "document_update_rows": "SELECT id, space_id, title, source_type, source_uri, status FROM document_after",
     "document_update_rejects": "SELECT seq, op, id, reason FROM judged_change WHERE reason IS NOT NULL",
+    "document_feed_commit": f"""
+SELECT 'document' AS kind, id, space_id, title, source_type, status, content FROM document_after UNION ALL
+SELECT 'chunk', id, space_id, NULL, NULL, CASE WHEN document_id IN (SELECT id FROM dead) THEN 0 ELSE status END, content FROM (
+    SELECT id, document_id, space_id, content, status FROM kb_chunk WHERE document_id NOT IN (SELECT id FROM written)
+    UNION ALL SELECT coalesce(free_id, document_id * 1000000) + chunk_index, document_id, space_id, content, 1 FROM new_piece
+    LEFT JOIN (SELECT document_id, max(id) + 1 AS free_id FROM kb_chunk GROUP BY document_id) USING (document_id))""",
     "soft_delete_cascade": """
 SELECT 'document' AS kind, id, CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 0 ELSE status END
 AS status FROM kb_document UNION ALL
@@ -555,6 +571,12 @@ SELECT c.id, CASE WHEN c.status = 1 AND c.embedding_status = 0 THEN CASE WHEN f.
                   ELSE c.embedding_status END AS embedding_status,
        CASE WHEN c.status = 1 AND c.embedding_status = 0 AND f.id IS NOT NULL THEN {_vector_id('c.id')}
             ELSE c.vector_id END AS vector_id, c.status
+FROM kb_chunk c LEFT JOIN fresh_vector f USING (id)""",
+    "chunk_status_commit": f"""
+SELECT c.id, CASE WHEN c.status = 1 AND c.embedding_status = 0 THEN CASE WHEN f.id IS NULL THEN 2 ELSE 1 END
+                  ELSE c.embedding_status END AS embedding_status,
+       CASE WHEN c.status = 1 AND c.embedding_status = 0 AND f.id IS NOT NULL THEN {_vector_id('c.id')}
+            ELSE c.vector_id END AS vector_id, c.status
 FROM kb_chunk c LEFT JOIN fresh_vector f USING (id)""",
     "vectorize_rollup": "SELECT * FROM counts",
     "task_status": "SELECT * FROM task",
@@ -586,6 +608,7 @@ FROM (SELECT item_id, {_terms('text')} AS terms FROM benchmark)""",
     "keyword_candidates": "SELECT query_id, chunk_id, keyword_rank::INTEGER AS keyword_rank FROM k_keyword",
     "keyword_scores": "SELECT query_id, chunk_id, keyword_score FROM w_known",
     "keyword_topk": _HITS.format("k"),
+    "keyword_topk_indexed": _HITS.format("k"),
     "hybrid_topk": _HITS.format("h"),
     "symbol_terms": f"SELECT term, {_symbol_like('term')} AS symbol_like FROM (SELECT DISTINCT unnest("
                     f"{_terms('text')}) AS term FROM conversations)",

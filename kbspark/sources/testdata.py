@@ -243,9 +243,18 @@ class KnowledgeBase:
     def changes(self) -> DataFrame:
         """Document changes told by the conversations: a user's turn updates, a system's deletes a document.
 
-        A document is named by the conversation number, so conversations beyond the documents name unknown ones.
+        A document is named by the conversation number, so conversations beyond the documents name unknown ones. The
+        first turns also send changes that break a rule of form.
         """
-        return self.raw("conversations").select(
+        number = F.col("conv_id") % 4
+        broken = self.raw("conversations").filter("turn = 1").select(
+            (F.col("conv_id") + 9_000_000_000).alias("seq"),
+            F.when(number == 0, "update").when(number == 1, "create").when(number == 2, "upsert").alias("op"),
+            F.when(number != 3, F.col("conv_id") * 3).alias("id"), F.lit(1).cast("long").alias("space_id"),
+            F.when(number == 0, " ").when(number == 1, F.repeat(F.lit("t"), F.lit(400))).otherwise("title").alias("title"),
+            F.when(number == 0, "\n").otherwise(F.col("text")).alias("content"), F.lit("").alias("source_type"),
+            F.concat(F.lit("chat://"), F.col("conv_id").cast("string")).alias("source_uri"))
+        return broken.unionByName(self.raw("conversations").select(
             (F.col("turn") * 1000000 + F.col("conv_id")).alias("seq"),
             F.when(F.col("role") == "system", "delete").otherwise("update").alias("op"),
             (F.col("conv_id") * 3).alias("id"),
@@ -253,7 +262,7 @@ class KnowledgeBase:
             F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"),
             F.when(F.col("turn") > 1, F.concat(F.lit("CHAT"), F.col("turn").cast("string")))
             .otherwise("").alias("source_type"),
-            F.concat(F.lit("chat://"), F.col("conv_id").cast("string")).alias("source_uri"))
+            F.concat(F.lit("chat://"), F.col("conv_id").cast("string")).alias("source_uri")))
 
     @cached_property
     def named_spaces(self) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.operators import contains, nearest
+from kbspark.operators import contains, lookup, nearest, retrieve
 from kbspark.operators.limits import broadcast_if, pin
 
 
@@ -56,17 +56,15 @@ def brute(probes, stored):
     return sorted(wanted)
 
 
-@pytest.mark.parametrize("way", ["broadcast", "cells"])
-def test_nearest(spark, monkeypatch, way):
+@pytest.mark.parametrize("way", ["broadcast", "slices"])
+def test_nearest(spark, way):
     rng = np.random.default_rng(5)
     shared = rng.normal(size=(40, 6)).round(2)
     stored = [(int(n % 3 == 0) + 1, n, shared[n % 40].tolist()) for n in range(500)]
     stored += [(1, 900, None), (2, 901, [0.0] * 6)]
     probes = [(f"q{n}", n % 3 + 1, int(rng.integers(1, 61)), rng.normal(size=6).round(2).tolist()) for n in range(30)]
-    # Six numbers of four bytes: cells of 60 vectors and of 4 queries.
-    monkeypatch.setattr(nearest, "CELL_VECTOR_BYTES", 60 * 24)
-    monkeypatch.setattr(nearest, "CELL_QUERY_BYTES", 4 * 24)
-    spark.conf.set("kbspark.maxBroadcastBytes", "10" if way == "cells" else "1000000")
+    # Six numbers of twelve bytes: slices of about seven queries.
+    spark.conf.set("kbspark.maxBroadcastBytes", str(7 * 72) if way == "slices" else "1000000")
     try:
         found = nearest.nearest(
             spark.createDataFrame(probes, "probe_id string, space_id long, fetch_k int, query_vec array<float>"),
@@ -121,3 +119,70 @@ def test_kernels_in_small_steps(monkeypatch):
         monkeypatch.setattr(kernels, name, value)
     assert best() == whole
     assert len(whole) == 15
+
+
+def test_vectors_are_not_shuffled_at_any_number_of_queries(spark, monkeypatch):
+    vectors = spark.range(1000).selectExpr("1L AS space_id", "id AS chunk_id", "array(float(id), 1.0f, 2.0f) AS embedding")
+    probes = spark.range(100_000).selectExpr("id AS probe_id", "1L AS space_id", "2 AS fetch_k", "array(float(id), 1.0f, 3.0f) AS query_vec")
+    plans = []
+
+    def look(parts, schema, session, name):
+        plans.extend(part()._jdf.queryExecution().executedPlan().toString() for part in parts[:2])
+        return session.createDataFrame([], schema)
+
+    monkeypatch.setattr(nearest, "in_slices", look)
+    spark.conf.set("kbspark.maxBroadcastBytes", "1000000")
+    try:
+        nearest.nearest(probes, vectors)
+    finally:
+        spark.conf.unset("kbspark.maxBroadcastBytes")
+    assert len(plans) == 2
+    for plan in plans:
+        lines = plan.splitlines()
+        kernel = next(n for n, line in enumerate(lines) if "MapInArrow" in line)
+        assert not any("Exchange" in line for line in lines[kernel:])
+
+
+@pytest.mark.parametrize("most", [20, 10_000])
+def test_lookup_in_slices(spark, most):
+    rng = random.Random(9)
+    wide = spark.createDataFrame([(n, f"text {n}") for n in range(200)], "id long, content string").repartition(4)
+    # A third of the rows ask for one id; some ask for none, some for unknown ones.
+    asked = [(n, 77 if n % 3 == 0 else rng.choice([None, *range(-5, 210)])) for n in range(300)]
+    wanted = spark.createDataFrame(asked, "n int, id long")
+    some = lookup.slices(wanted, "id", most)
+    held = [row.n for one in some for row in one.rows(wanted, "id").collect()]
+    assert sorted(held) == sorted(n for n, key in asked if key is not None)
+    assert len(some) == 1 or max(one.parts for one in some) > 1
+    spark.conf.set("kbspark.maxBroadcastBytes", str(most * 100))
+    try:
+        found = lookup.looked_up(wide, wanted, "id", 300, 100).select("n", "content").collect()
+    finally:
+        spark.conf.unset("kbspark.maxBroadcastBytes")
+    assert sorted(map(tuple, found)) == sorted((n, f"text {key}") for n, key in asked if key is not None and 0 <= key < 200)
+
+
+def test_texts_are_not_shuffled_at_any_number_of_queries(spark, monkeypatch, tmp_path):
+    spark.range(5000).selectExpr("id", "id AS document_id", "1L AS space_id", "0 AS chunk_index", "concat('text ', id) AS content"
+                                 ).write.parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    candidates = spark.range(100_000).selectExpr("id AS query_id", "id % 6000 AS chunk_id")
+    plans, run = [], lookup.in_slices
+
+    def look(parts, *rest):
+        plans.extend(part()._jdf.queryExecution().executedPlan().toString() for part in parts)
+        return run(parts, *rest)
+
+    monkeypatch.setattr(lookup, "in_slices", look)
+    bounds = retrieve.Bounds(100_000, 20, 100_000, 0, None)
+    spark.conf.set("kbspark.maxBroadcastBytes", str(160 * 30_000))
+    try:
+        found = retrieve.with_chunk(candidates, chunks, bounds)
+        assert found.count() == sum(n % 6000 < 5000 for n in range(100_000))
+    finally:
+        spark.conf.unset("kbspark.maxBroadcastBytes")
+    assert len(plans) == 4
+    for plan in plans:
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        scan = next(line for line in plan.splitlines() if "content" in line and "Scan parquet" in line)
+        assert "LessThanOrEqual(id" in scan or "GreaterThan(id" in scan
