@@ -13,10 +13,13 @@ words in a long text are not diluted. The highest of many windows is higher by c
 logarithm of the number of words in ordinary texts is taken off before the values go into one logistic curve.
 
 The difference at a word is a term of its stem plus a correction of the word, a term of the word before and a correction
-of the pair. So the model is four look-up tables. They are cut into slices of at most about ``SLICE_ROWS`` rows, each a
-broadcast; a task reads them one after the other for every ``BLOCK_WORDS`` words of its texts, so it holds one slice and
-one block at a time and one scan of the texts is enough. Words are read as 32-bit hashes; words that collide share their
-counts.
+of the pair. So the model is four look-up tables. Most pairs occur once in all counted texts. Their correction follows
+from the likelihood of the word and from the number of words that follow the one before, so it is enough to know that a
+pair is one of them, and of which class. They are not put into a table but into two Bloom filters of ``SINGLE_BITS`` bits
+a pair, which executors build; one pair in some thousand that was never seen is taken for one that was seen once. Tables
+and filters are cut into slices of at most about ``SLICE_ROWS`` rows, each a broadcast; a task reads them one after the
+other for every ``BLOCK_WORDS`` words of its texts, so it holds one slice and one block at a time and one scan of the
+texts is enough. Words are read as 32-bit hashes; words that collide share their counts.
 """
 
 import math
@@ -38,6 +41,11 @@ SLICE_ROWS = 4_000_000
 # Rows that the driver gathers at a time, also where a slice could have more.
 GATHERED_ROWS = 1_000_000
 
+# Bits of a filter for each pair that occurs once, the bits that a pair sets, and the segments that a filter has.
+SINGLE_BITS = 16
+SINGLE_HASHES = 6
+SEGMENTS = 4096
+
 # Words of texts whose terms a task looks up together.
 BLOCK_WORDS = 2_000_000
 
@@ -115,9 +123,60 @@ def _kept(by: str, c: int, total: list[int]) -> Column:
     return F.greatest(F.col(f"{by}{c}") - DISCOUNT, F.lit(0.0)) / max(1, total[c])
 
 
+def _segment(pair: Column) -> Column:
+    return pair.bitwiseXOR(F.shiftrightunsigned(pair, 32)).bitwiseAND(SEGMENTS - 1)
+
+
+def _bits_of(pairs: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The bits of each pair within its segment of ``size`` bits, one hash after the other."""
+    mixed = pairs * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    one, step = mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    for n in range(SINGLE_HASHES):
+        yield (one + np.uint64(n) * step) % np.uint64(size)
+
+
+class Filter:
+    """Whether pairs are among those that were put in: always yes for these, seldom yes for others."""
+
+    def __init__(self, size: int, segments: dict[int, bytes]):
+        """``size`` bits per segment, whose bytes are in ``segments`` where any bit is set."""
+        self.size = size
+        self.bits = np.zeros(SEGMENTS * size // 8 if segments else 0, dtype=np.uint8)
+        for number, data in segments.items():
+            self.bits[number * size // 8:(number + 1) * size // 8] = np.frombuffer(data, dtype=np.uint8)
+
+    def has(self, pairs: np.ndarray) -> np.ndarray:
+        out = np.full(len(pairs), bool(len(self.bits)))
+        if not len(self.bits):
+            return out
+        start = ((pairs ^ pairs >> np.uint64(32)) & np.uint64(SEGMENTS - 1)) * np.uint64(self.size)
+        for bit in _bits_of(pairs, self.size):
+            place = start + bit
+            out &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _filters(singles: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """``(part, toxic, segment, bits)`` of ``(part, toxic, pair)``; a segment is filled by one task."""
+
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        part, toxic, segment = (value.as_py() for value in key)
+        size = sizes[part, toxic]
+        marks = np.zeros(size, dtype=bool)
+        for bit in _bits_of(rows.column("pair").to_numpy().view(np.uint64), size):
+            marks[bit] = True
+        return pa.table({"part": pa.array([part], pa.int32()), "toxic": pa.array([toxic], pa.int32()),
+                         "segment": pa.array([segment], pa.int32()),
+                         "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    return singles.withColumn("segment", _segment(F.col("pair")).cast("int")).groupBy("part", "toxic", "segment").applyInArrow(
+        fill, "part int, toxic int, segment int, bits binary")
+
+
 class Model:
-    """``tables``: stored terms of stems, corrections of words, terms of the words before, corrections of pairs;
-    ``unknown``: the term of any other stem.
+    """``tables``: stored terms of stems, corrections of words, terms of the words before, corrections of pairs that
+    occur more than once; ``unknown``: the term of any other stem; ``singles``: the other pairs.
 
     Terms are differences of log-likelihoods. Of what neither class has, only the ratio of the backoff shares is left.
     """
@@ -143,47 +202,77 @@ class Model:
         follows = pairs.filter("NOT stemmed").select("pair", head.alias("before"), word.alias("word"), "ordinary", "toxic")
         before = stored(follows.groupBy("before").agg(*[one for c, name in enumerate(("ordinary", "toxic")) for one in (
             F.sum(name).alias(f"h{c}"), F.sum((F.col(name) > 0).cast("long")).alias(f"f{c}"))]).select(
-            "before", "h0", "h1", *[F.when(F.col(f"h{c}") > 0, DISCOUNT * F.col(f"f{c}") / F.col(f"h{c}")).otherwise(1.0)
+            "before", "h0", "h1", "f0", "f1", *[F.when(F.col(f"h{c}") > 0, DISCOUNT * F.col(f"f{c}") / F.col(f"h{c}")).otherwise(1.0)
                                     .alias(f"o{c}") for c in (0, 1)]), "before")
         off_term = F.log("o1") - F.log("o0")
         given = [F.greatest(F.col(name) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"h{c}"), F.lit(1))
                  + F.col(f"o{c}") * F.col(f"p{c}") for c, name in enumerate(("ordinary", "toxic"))]
-        of_pairs = follows.join(small_side(lowest.select("word", "p0", "p1"), 24), "word").join(
+        often = F.col("ordinary") + F.col("toxic") > 1
+        self.singles = follows.filter(~often).select("pair", F.col("toxic").cast("int"))
+        of_pairs = follows.filter(often).join(small_side(lowest.select("word", "p0", "p1"), 24), "word").join(
             small_side(before, 40), "before").select("pair", (
                 F.log(given[1]) - F.log(given[0]) - off_term - F.log("p1") + F.log("p0")).alias("term"))
-        self.tables = [stored(rows.select(key.cast("long").alias("key"), value.cast("float").alias("term")), "terms")
-                       for rows, key, value in ((backoff, F.col("stem"), term - self.unknown),
-                                                (lowest, F.col("word"), F.col("term")),
-                                                (before, F.col("before"), off_term),
-                                                (of_pairs, F.col("pair"), F.col("term")))]
-
-    def parts(self) -> range:
-        """Numbers of the slices."""
-        return range(max(1, math.ceil(sum(table.count() for table in self.tables) / min(SLICE_ROWS, GATHERED_ROWS))))
-
-    def slice(self, number: int, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each table the sorted keys of a slice and their terms."""
-        out = []
-        for table, kind in zip(self.tables, KEYS, strict=True):
-            found = (table.filter(F.pmod("key", F.lit(parts)) == number) if parts > 1 else table).toArrow()
-            keys = found.column("key").to_numpy().view(np.uint64).astype(kind)
-            order = np.argsort(keys)
-            out.append((keys[order], found.column("term").to_numpy().astype(np.float32)[order]))
-            del found, keys, order
-        pa.default_memory_pool().release_unused()
-        return out
-
-
-def _add_terms(into: np.ndarray, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, own: np.ndarray) -> None:
-    """Adds to ``into`` the terms of ``keys[own]``, nothing where the table does not have a key."""
-    known, terms = table
+        self.tables = [stored(rows.select(key.cast("long").alias("key"), *[F.col(name).cast("float") for name in names]), "terms")
+                       for rows, key, names in ((backoff.withColumn("term", term - self.unknown), F.col("stem"), ["term"]),
+                                                (lowest, F.col("word"), ["term", "p0", "p1"]),
+                                                (before.withColumn("term", off_term), F.col("before"), ["term", "f0", "f1"]),
+                                                (of_pairs, F.col("pair"), ["term"]))]
+
+    def slices(self) -> Iterator[tuple[list[tuple[np.ndarray, list[np.ndarray]]], list[Filter]]]:
+        """One after the other: of each table the sorted keys of a slice and their values; and the filters of its pairs.
+
+        The first item is the number of slices.
+        """
+        single = self.singles.agg(F.count(F.lit(1))).first()[0]
+        rows = sum(table.count() for table in self.tables) + single * SINGLE_BITS // 96
+        parts = max(1, math.ceil(rows / min(SLICE_ROWS, GATHERED_ROWS)))
+        yield parts
+        singles = self.singles.withColumn("part", F.pmod("pair", F.lit(parts)).cast("int"))
+        sizes = {(row["part"], row["toxic"]): max(64, math.ceil(row["count"] * SINGLE_BITS / SEGMENTS / 64) * 64)
+                 for row in singles.groupBy("part", "toxic").count().collect()}
+        filters = stored(_filters(singles, sizes), "single-pairs")
+        for number in range(parts):
+            tables = []
+            for table, kind in zip(self.tables, KEYS, strict=True):
+                found = (table.filter(F.pmod("key", F.lit(parts)) == number) if parts > 1 else table).toArrow()
+                keys = found.column("key").to_numpy().view(np.uint64).astype(kind)
+                order = np.argsort(keys)
+                tables.append((keys[order], [found.column(name).to_numpy().astype(np.float32)[order] for name in found.column_names[1:]]))
+                del found, keys, order
+            own = filters.filter(F.col("part") == number).collect()
+            held = [Filter(sizes.get((number, toxic), 64), {row["segment"]: bytes(row["bits"]) for row in own if row["toxic"] == toxic})
+                    for toxic in (0, 1)]
+            del own
+            pa.default_memory_pool().release_unused()
+            yield tables, held
+
+
+def _add_values(into: list[np.ndarray], table: tuple[np.ndarray, list[np.ndarray]], keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Adds to ``into`` the values of ``keys[own]``, nothing where the table does not have a key; tells where it has."""
+    known, values = table
     if not len(known) or not len(own):
-        return
+        return np.zeros(len(own), dtype=bool)
     keys, back = np.unique(keys[own], return_inverse=True)
     keys = keys.astype(known.dtype)
     place = np.searchsorted(known, keys)
     place[place == len(known)] = 0
-    into[own] += np.where(known[place] == keys, terms[place], np.float32(0))[back]
+    has = known[place] == keys
+    for array, value in zip(into, values, strict=True):
+        array[own] += np.where(has, value[place], np.float32(0))[back]
+    return has[back]
+
+
+def _single_terms(values: list[np.ndarray], seen: np.ndarray) -> np.ndarray:
+    """The corrections of pairs that were ``seen`` once in class 0, once in class 1, or (-1) otherwise.
+
+    ``values``: likelihoods of the words by themselves, and how many words follow the ones before, of either class.
+    """
+    out = np.zeros(len(seen), np.float32)
+    for c, sign in ((0, -1), (1, 1)):
+        own = np.flatnonzero((seen == c) & (values[c] > 0) & (values[2 + c] > 0))
+        rest = DISCOUNT * values[2 + c][own].astype(float) * values[c][own]
+        out[own] = sign * np.log1p((1 - DISCOUNT) / rest)
+    return out
 
 
 def strongest(terms: np.ndarray, width: int = EXPRESSION) -> float:
@@ -203,21 +292,30 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but ``text``, those of ``FOUND``, and the number of ``words``; without words all are 0."""
     kept = [column for column in docs.columns if column != "text"]
     context, unknown = docs.sparkSession.sparkContext, model.unknown
-    parts = len(model.parts())
-    slices = [context.broadcast(model.slice(number, parts)) for number in range(parts)]
+    gathered = model.slices()
+    parts = next(gathered)
+    slices = [context.broadcast(one) for one in gathered]
 
     def judged(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[float, float, float, float, int]]:
         words, before, stems = (np.concatenate(arrays) for arrays in zip(*texts, strict=True))
         keys = (stems, words, before, before << np.uint64(32) | words)
         alone, given = np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
+        likely = [np.zeros(len(words), np.float32) for _ in range(4)]
+        # The class in which a pair was seen once.
+        seen = np.full(len(words), -1, np.int8)
+        into = [[alone], [alone, *likely[:2]], [given, *likely[2:]], [given]]
         # In Spark a key is a signed number.
         slice_of = [key.view(np.int64) % parts for key in keys] if parts > 1 else None
         for number, held in enumerate(slices):
-            tables = _value(held, parts > 1)
+            tables, singles = _value(held, parts > 1)
             for n, (key, table) in enumerate(zip(keys, tables, strict=True)):
                 own = np.flatnonzero(slice_of[n] == number) if parts > 1 else np.arange(len(words))
-                _add_terms(alone if n < 2 else given, table, key, own)
-        given += alone
+                known = _add_values(into[n], table, key, own)
+            # The last table is that of the pairs; the others may be pairs that occur once.
+            rest = own[~known]
+            for toxic in (1, 0):
+                seen[rest[singles[toxic].has(keys[3][rest])]] = toxic
+        given += alone + _single_terms(likely, seen)
         start = 0
         for size in (len(text[0]) for text in texts):
             one, other = alone[start:start + size], given[start:start + size]
@@ -254,7 +352,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*kept, "text").mapInArrow(judge, schema.add("words", "long"))
 
 
-def _value(held: Broadcast, again: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+def _value(held: Broadcast, again: bool) -> tuple:
     """A broadcast value; where it is one of many a worker does not keep it."""
     value = held.value
     if again:
