@@ -1,5 +1,8 @@
 """Text expressions. All lengths are code points."""
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 from kbspark import fixed_values as fv
@@ -25,6 +28,25 @@ def unix_newlines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters with marks, the letters without them, and after the first ones the marks by themselves."""
+    marked, plain = [], []
+    for code in range(0x80, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        base = "".join(one for one in parts if not unicodedata.combining(one))
+        if len(base) == 1 and base != chr(code):
+            marked.append(chr(code))
+            plain.append(base)
+    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
+    return "".join(marked + marks), "".join(plain)
+
+
+def folded(text: Column) -> Column:
+    """Text without case and accents, as far as a mark can be taken off a letter."""
+    return F.translate(F.lower(text), *_accents())
+
+
 def cut(text: Column, size: int) -> Column:
     """Null becomes empty; longer text is cut and marked with three dots."""
     return (F.when(text.isNull(), "")

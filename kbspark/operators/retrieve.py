@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kbspark import fixed_values as fv
 from kbspark.functions import codes, scores, text as tx
 from kbspark.operators.contains import contains_join
-from kbspark.operators.limits import GROUP_LIMIT_MAX, broadcast_if, pin
-from kbspark.operators.lookup import looked_up
+from kbspark.operators.limits import (GROUP_LIMIT_MAX, MAX_BROADCAST_ROWS, broadcast_if, in_slices, max_broadcast_bytes,
+                                      pin)
+from kbspark.operators.lookup import Slice, looked_up, slices
 from kbspark.operators.nearest import nearest
 
 # Bytes of a broadcast candidate row: ids, ranks, a score and the hash-table entry.
 _CANDIDATE_BYTES = 160
 
+# Bytes of a broadcast chunk id.
+_ID_BYTES = 64
+
 RESULT_COLUMNS = [
     "query_id", "rank", "chunk_id", "document_id", "space_id", "chunk_index", "content", "score", "vector_score",
     "keyword_score", "hybrid_score", "rerank_score", "final_score", "retrieval_source"]
@@ -29,6 +33,19 @@ class Bounds(NamedTuple):
     spaces: list[int] | None
 
 
+class Options(NamedTuple):
+    """How candidates are found.
+
+    ``match`` is ``ci`` (terms ignore case) or ``ci_ai`` (accents as well); scores ignore case only. ``recall`` finds
+    the chunks of a table of terms in another way than by reading all texts, as ``gram_index.recall`` does, and decides
+    itself how it matches. ``prefilter_active`` fetches vectors of active chunks of active documents only.
+    """
+    min_score: float | None = None
+    match: str = "ci"
+    recall: "Recall | None" = None
+    prefilter_active: bool = False
+
+
 # Chunks ``(space_id, term, chunk_id)`` of distinct ``(space_id, term)``, as many as each term needs.
 Recall = Callable[[DataFrame, int | None], DataFrame]
 
@@ -111,32 +128,66 @@ def prepare(queries: DataFrame, spaces: DataFrame) -> tuple[DataFrame, Bounds]:
 
 # --- vector branch --------------------------------------------------------------------------------------------
 
+def live_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(chunk_id)`` of active chunks of active documents; narrow columns only."""
+    active = documents.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("document_id"))
+    return chunks.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("chunk_id"), "document_id").join(
+        active, "document_id", "left_semi").select("chunk_id")
+
+
+def _nearest(probes: DataFrame, vectors: DataFrame, min_score: float | None, live: DataFrame | None) -> DataFrame:
+    """Best hits of the probes, of vectors of ``live`` chunks only where these are given.
+
+    The ids of vectors that do not count are found among ids alone. They are taken out of the scan as a broadcast; more
+    than fit are cut into ranges of ids, and the best hits of all ranges are merged. Vectors are not shuffled.
+    """
+    if live is None:
+        return nearest(probes, vectors, min_score)
+    dead = pin(vectors.select("chunk_id").distinct().join(live, "chunk_id", "left_anti"), "vectors-left-out")
+    fit = max(1, min(MAX_BROADCAST_ROWS, max_broadcast_bytes(dead.sparkSession) // _ID_BYTES))
+    some = slices(dead, "chunk_id", fit) or [Slice(None, None, 0, 1)]
+
+    def of_range(one: Slice) -> DataFrame:
+        rest = vectors.filter(one.ids("chunk_id")).join(F.broadcast(one.rows(dead, "chunk_id")), "chunk_id", "left_anti")
+        return nearest(probes, rest, min_score)
+
+    if len(some) == 1:
+        return of_range(some[0])
+    schema = nearest(probes, vectors.limit(0), min_score).schema
+    hits = in_slices([lambda one=one: of_range(one) for one in some], schema, probes.sparkSession, "range-hits")
+    order = Window.partitionBy("probe_id").orderBy(F.desc("vector_score"), "chunk_id")
+    best = hits.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= fv.VECTOR_FETCH_CAP)
+    return best.join(probes.select("probe_id", "fetch_k"), "probe_id").filter(F.col("vector_rank") <= F.col("fetch_k")).drop("fetch_k")
+
+
 def vector_candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame,
-                      bounds: Bounds, min_score: float | None = None) -> DataFrame:
+                      bounds: Bounds, min_score: float | None = None, prefilter_active: bool = False) -> DataFrame:
     """``(query_id, chunk_id, vector_score, vector_rank)`` of resolved queries.
 
     The fetch counts stored vectors of any status; inactive chunks and documents are dropped afterwards, so fewer
-    than ``vector_k`` rows may remain. Queries with the same ``probe_id`` share space and vector and are scored once.
+    than ``vector_k`` rows may remain. With ``prefilter_active`` only vectors of active chunks of active documents are
+    fetched. Queries with the same ``probe_id`` share space and vector and are scored once.
     """
     wanted = queries.filter("use_vector")
     vectors = of_spaces(vectors, bounds)
+    live = live_chunks(chunks, documents) if prefilter_active else None
     if "probe_id" in queries.columns:
         probes = wanted.groupBy("probe_id").agg(
             F.any_value("space_id").alias("space_id"), F.max("fetch_k").alias("fetch_k"),
             F.any_value("query_vec").alias("query_vec"))
-        hits = (nearest(probes, vectors, min_score)
+        hits = (_nearest(probes, vectors, min_score, live)
                 .join(wanted.select("probe_id", "query_id", "fetch_k", "vector_k"), "probe_id")
                 .filter(F.col("vector_rank") <= F.col("fetch_k")).drop("fetch_k", "probe_id"))
     else:
         probes = wanted.withColumn("probe_id", F.col("query_id"))
-        hits = (nearest(probes, vectors, min_score).withColumnRenamed("probe_id", "query_id")
+        hits = (_nearest(probes, vectors, min_score, live).withColumnRenamed("probe_id", "query_id")
                 .join(wanted.select("query_id", "vector_k"), "query_id"))
     rows = bounds.queries * fv.VECTOR_FETCH_CAP
-    live_chunks = chunks.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("chunk_id"), "document_id")
+    active_chunks = chunks.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("chunk_id"), "document_id")
     live_documents = documents.filter(F.col("status") == fv.ACTIVE).select(F.col("id").alias("document_id"))
     # The few hits are the build sides; chunks and documents are scanned on three columns and not shuffled.
     # The exchange in between ends the scan of chunks before the next broadcast, whose timer then only sees few rows.
-    live = live_chunks.join(broadcast_if(hits, rows, _CANDIDATE_BYTES), "chunk_id").hint("rebalance")
+    live = active_chunks.join(broadcast_if(hits, rows, _CANDIDATE_BYTES), "chunk_id").hint("rebalance")
     live = live_documents.join(broadcast_if(live, rows, _CANDIDATE_BYTES), "document_id")
     order = Window.partitionBy("query_id").orderBy("vector_rank")
     return (live.withColumn("vector_rank", F.row_number().over(order))
@@ -157,18 +208,19 @@ def _first(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     return rows.withColumn("keyword_rank", F.row_number().over(order)).filter(F.col("keyword_rank") <= most)
 
 
-def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds, recall: Recall | None = None) -> DataFrame:
+def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds, options: Options = Options()) -> DataFrame:
     """``(query_id, chunk_id, keyword_rank)``: the ``candidate_k`` lowest chunk ids that contain any term.
 
     Terms are matched once each, however many queries share them. A query's first ``candidate_k`` chunks are among
     the first ``max(candidate_k)`` of each of its terms, so the matches of a frequent term shrink to that many per
-    task before anything is shuffled, and queries meet only what is left. ``recall`` finds the chunks of a table of
-    terms in another way than by reading the texts, as ``gram_index.recall`` does.
+    task before anything is shuffled, and queries meet only what is left.
     """
+    recall, folded = options.recall, tx.folded if options.match == "ci_ai" else F.lower
     asked = (queries.filter("use_keyword")
              .select("query_id", "space_id", "candidate_k",
-                     F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term")))
-    texts = searchable(of_spaces(chunks, bounds)).select(F.col("id").alias("chunk_id"), "space_id", F.lower("content").alias("text"))
+                     F.explode(F.array_distinct(F.transform("terms", folded))).alias("term")))
+    texts = searchable(of_spaces(chunks, bounds)).select(
+        F.col("id").alias("chunk_id"), "space_id", folded(F.col("content")).alias("text"))
 
     def matched(some: DataFrame, most: int | None) -> DataFrame:
         terms = some.select("space_id", "term").distinct()
@@ -250,31 +302,31 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame,
-               bounds: Bounds, min_score: float | None = None, recall: Recall | None = None) -> DataFrame:
+               bounds: Bounds, options: Options = Options()) -> DataFrame:
     """Candidates of the branches that any query needs."""
     rank = F.lit(None).cast("int")
     if not bounds.by_vector:
-        return keyword_candidates(queries, chunks, bounds, recall).select(
+        return keyword_candidates(queries, chunks, bounds, options).select(
             "query_id", "chunk_id", F.lit(None).cast("double").alias("vector_score"), rank.alias("vector_rank"),
             "keyword_rank")
-    by_vector = vector_candidates(queries, chunks, vectors, documents, bounds, min_score)
+    by_vector = vector_candidates(queries, chunks, vectors, documents, bounds, options.min_score, options.prefilter_active)
     if not bounds.by_keyword:
         return by_vector.withColumn("keyword_rank", rank)
-    return merge_candidates(by_vector, keyword_candidates(queries, chunks, bounds, recall))
+    return merge_candidates(by_vector, keyword_candidates(queries, chunks, bounds, options))
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, spaces: DataFrame,
-           min_score: float | None = None, recall: Recall | None = None) -> DataFrame:
+           options: Options = Options()) -> DataFrame:
     """Ranked chunks for every valid row of ``queries``; ``rejected`` lists the others.
 
     ``queries``: ``query_id, space_id, query, query_vec, retrieval_mode, top_k, candidate_k, vector_weight,
     keyword_weight`` and optionally ``probe_id``. Queries of all modes share the scans.
     """
     valid, bounds = prepare(queries, spaces)
-    return search_valid(valid, chunks, vectors, documents, bounds, min_score, recall)
+    return search_valid(valid, chunks, vectors, documents, bounds, options)
 
 
 def search_valid(valid: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, bounds: Bounds,
-                 min_score: float | None = None, recall: Recall | None = None) -> DataFrame:
-    found = with_chunk(candidates(valid, chunks, vectors, documents, bounds, min_score, recall), chunks, bounds)
+                 options: Options = Options()) -> DataFrame:
+    found = with_chunk(candidates(valid, chunks, vectors, documents, bounds, options), chunks, bounds)
     return rank_candidates(score_candidates(found, valid)).select(*RESULT_COLUMNS)

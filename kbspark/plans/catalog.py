@@ -369,8 +369,8 @@ _RESULT = ["query_id", "rank", "chunk_id", "document_id", "space_id", "chunk_ind
            "vector_score", "keyword_score", "hybrid_score", "rerank_score", "final_score", "retrieval_source"]
 
 
-def _search(kb, queries):
-    return retrieve.search(queries, kb.chunks, kb.vectors, kb.documents, kb.spaces).select(*_RESULT)
+def _search(kb, queries, **options):
+    return retrieve.search(queries, kb.chunks, kb.vectors, kb.documents, kb.spaces, retrieve.Options(**options)).select(*_RESULT)
 
 
 @query
@@ -433,7 +433,7 @@ def _indexed(kb, queries):
     chunks = store.read("kb_chunk")
     valid, bounds = retrieve.prepare(queries, kb.spaces)
     recall = gram_index.recall(store, retrieve.searchable, spaces=lambda rows: retrieve.of_spaces(rows, bounds))
-    return retrieve.search_valid(valid, chunks, kb.vectors, kb.documents, bounds, recall=recall).select(*_RESULT)
+    return retrieve.search_valid(valid, chunks, kb.vectors, kb.documents, bounds, retrieve.Options(recall=recall)).select(*_RESULT)
 
 
 @query
@@ -441,6 +441,19 @@ def keyword_topk_indexed(kb):
     return _indexed(kb, kb.queries("KEYWORD_ONLY"))
 
 
+@query
+def keyword_topk_ci_ai(kb):
+    """Queries written without accents find texts that have them."""
+    plain = kb.queries("KEYWORD_ONLY").withColumn("query", tx.folded(F.col("query")))
+    return _search(kb, plain, match="ci_ai")
+
+
+@query
+def vector_topk_prefiltered(kb):
+    """Only vectors of active chunks of active documents are fetched."""
+    return _search(kb, kb.queries("VECTOR_ONLY"), prefilter_active=True)
+
+
 @query
 def hybrid_topk(kb):
     return _search(kb, kb.queries("HYBRID"))

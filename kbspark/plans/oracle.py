@@ -163,15 +163,19 @@ FROM (SELECT * EXCLUDE (candidate_k), greatest(candidate_k, top_k) AS candidate_
             FROM {source}))"""
 
 
-def _search(name: str, source: str, valid: str = "true") -> None:
-    """The CTEs ``name_valid`` to ``name_hits`` of a search of the query table ``source``."""
+def _search(name: str, source: str, valid: str = "true", fold: str = "lower({})", live: bool = False) -> None:
+    """The CTEs ``name_valid`` to ``name_hits`` of a search of the query table ``source``.
+
+    ``fold`` makes texts and terms comparable; with ``live`` only vectors of active chunks and documents are fetched.
+    """
+    fetched = "JOIN live_chunk l ON l.id = v.chunk_id" if live else ""
     CTES[f"{name}_valid"] = f"SELECT * FROM ({_resolved(source)}) WHERE {valid}"
     CTES[f"{name}_near"] = f"""
 SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) AS store_rank
     FROM (SELECT q.query_id, q.fetch_k, q.vector_k, v.chunk_id, v.document_id,
                  round(list_cosine_similarity(q.query_vec, v.embedding), 6) AS vector_score
-          FROM {name}_valid q JOIN chunk_vector v ON v.space_id = q.space_id WHERE q.mode <> 'KEYWORD_ONLY'))
+          FROM {name}_valid q JOIN chunk_vector v ON v.space_id = q.space_id {fetched} WHERE q.mode <> 'KEYWORD_ONLY'))
 WHERE store_rank <= fetch_k"""
     CTES[f"{name}_vector"] = f"""
 SELECT query_id, chunk_id, vector_score, vector_rank FROM (
@@ -186,7 +190,7 @@ SELECT query_id, chunk_id, keyword_rank FROM (
     FROM {name}_valid q
     JOIN kb_chunk c ON c.space_id = q.space_id AND c.status = 1 AND c.embedding_status = 1
     WHERE q.mode <> 'VECTOR_ONLY'
-      AND len(list_filter(q.terms, lambda t: contains(lower(c.content), lower(t)))) > 0)
+      AND len(list_filter(q.terms, lambda t: contains({fold.format('c.content')}, {fold.format('t')}))) > 0)
 WHERE keyword_rank <= candidate_k"""
     found = "len(list_filter(q.terms, lambda t: contains(lower(c.content), lower(t))))::DOUBLE / len(q.terms)"
     symbols = f"list_filter(q.terms, lambda t: {_symbol_like('t')})"
@@ -226,6 +230,10 @@ for _name, _mode, _candidates in (("v", "VECTOR_ONLY", 20), ("k", "KEYWORD_ONLY"
                                   ("r", "HYBRID_RERANK", 20), ("w", "KEYWORD_ONLY", 60)):
     CTES[f"q_{_name}"] = _single_mode(_mode, _candidates)
     _search(_name, f"q_{_name}")
+CTES["live_chunk"] = "SELECT c.id FROM kb_chunk c JOIN kb_document d ON d.id = c.document_id WHERE c.status = 1 AND d.status = 1"
+_search("p", "q_v", live=True)
+CTES["q_c"] = "SELECT * REPLACE (strip_accents(lower(query)) AS query) FROM q_k"
+_search("c", "q_c", fold="strip_accents(lower({}))")
 _search("x", "q_mixed")
 CTES["q_ask"] = "SELECT * REPLACE (CASE WHEN item_id % 16 > 0 THEN least(item_id % 16, 10) ELSE 5 END AS top_k) FROM q_mixed"
 _search("a", "q_ask")
@@ -609,6 +617,8 @@ FROM (SELECT item_id, {_terms('text')} AS terms FROM benchmark)""",
     "keyword_scores": "SELECT query_id, chunk_id, keyword_score FROM w_known",
     "keyword_topk": _HITS.format("k"),
     "keyword_topk_indexed": _HITS.format("k"),
+    "keyword_topk_ci_ai": _HITS.format("c"),
+    "vector_topk_prefiltered": _HITS.format("p"),
     "hybrid_topk": _HITS.format("h"),
     "symbol_terms": f"SELECT term, {_symbol_like('term')} AS symbol_like FROM (SELECT DISTINCT unnest("
                     f"{_terms('text')}) AS term FROM conversations)",

@@ -178,3 +178,35 @@ def test_chunks_are_not_shuffled(spark, kb, tmp_path):
     found = retrieve.search(asked(spark, {"retrieval_mode": "HYBRID_RERANK"}), *stored)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_only_live_vectors_are_fetched(spark, kb):
+    """Ten inactive vectors no longer push the active one out, however many ids fit a broadcast."""
+    chunks, _, documents, spaces = kb
+    dead = [(1, 1000 + n, [1.0, 0.0]) for n in range(10)] + [(1, 12, [1.0, 0.0]), (1, 13, [1.0, 0.0])]
+    vectors = spark.createDataFrame(dead + [(1, 10, [0.5, 0.5]), (1, 11, [0.4, 0.6])], "space_id long, chunk_id long, embedding array<float>")
+    query = asked(spark, {"top_k": 3}, {"top_k": 1, "query_vec": [0.0, 1.0]})
+    for bound in ("1000000", "200"):
+        spark.conf.set("kbspark.maxBroadcastBytes", bound)
+        try:
+            found = retrieve.search(query, chunks, vectors, documents, spaces, retrieve.Options(prefilter_active=True)).collect()
+        finally:
+            spark.conf.unset("kbspark.maxBroadcastBytes")
+        assert sorted((r.query_id, r.rank, r.chunk_id) for r in found) == [(0, 1, 10), (0, 2, 11), (1, 1, 11)]
+
+
+def test_accents_are_folded_on_request(spark):
+    rows = [(1, "Über Café Ñandú"), (2, "uber cafe nandu"), (3, "Über"), (4, "Straße"), (5, "ἀλφα"), (6, "漢字")]
+    chunks = spark.createDataFrame([(n, 1, 1, n, text, 1, 1) for n, text in rows],
+                                   "id long, document_id long, space_id long, chunk_index int, content string, "
+                                   "embedding_status int, status int")
+    documents, spaces = (spark.createDataFrame([(1, 1)], "id long, status int") for _ in range(2))
+    vectors = spark.createDataFrame([], "space_id long, chunk_id long, embedding array<float>")
+    words = ["uber", "CAFÉ", "Strasse", "straße", "αλφα", "漢字"]
+    query = asked(spark, *[{"query": word, "retrieval_mode": "KEYWORD_ONLY"} for word in words])
+    got = {name: {} for name in ("ci", "ci_ai")}
+    for name, found in got.items():
+        for row in retrieve.search(query, chunks, vectors, documents, spaces, retrieve.Options(match=name)).collect():
+            found.setdefault(words[row.query_id], set()).add(row.chunk_id)
+    assert got["ci"] == {"uber": {2}, "CAFÉ": {1}, "straße": {4}, "漢字": {6}}
+    assert got["ci_ai"] == {"uber": {1, 2, 3}, "CAFÉ": {1, 2}, "straße": {4}, "αλφα": {5}, "漢字": {6}}
