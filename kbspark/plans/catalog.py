@@ -782,6 +782,34 @@ def stream_task_rollup(kb):
     return rollup.current_tasks(kb.spark, out)
 
 
+def _events_in_files(kb, count):
+    """The events in a folder of files, the latest first."""
+    files = shared_folder(kb.spark, "event-files")
+    kb.raw("events").repartitionByRange(count, F.desc("ts")).write.parquet(files)
+    return files
+
+
+@query
+def stream_task_rollup_merged(kb):
+    """The same counts from the events in a dozen batches, which are merged after every fourth."""
+    files, out = _events_in_files(kb, 12), shared_folder(kb.spark, "merged-rollup")
+    stream = kb.spark.readStream.schema(kb.raw("events").schema).option("maxFilesPerTrigger", 1).parquet(files)
+    rollup.start_rollup(kb.outcomes_of(stream), out, shared_folder(kb.spark, "merged-rollup-state"), compact_every=4).awaitTermination()
+    return rollup.current_tasks(kb.spark, out)
+
+
+@query
+def stream_keyed_changes(kb):
+    """The events in several batches, the latest first, and all sent again; the keys are held in RocksDB."""
+    files = _events_in_files(kb, 3)
+    kb.raw("events").repartitionByRange(3, F.desc("ts")).write.mode("append").parquet(files)
+    stream = kb.spark.readStream.schema(kb.raw("events").schema).option("maxFilesPerTrigger", 1).parquet(files)
+    out = shared_folder(kb.spark, "keyed-changes")
+    stream_ingest.start_keyed_changes(stream.select("event_id", "user_id", "event_type"), ["event_id"], out,
+                                      shared_folder(kb.spark, "keyed-changes-state")).awaitTermination()
+    return kb.spark.read.parquet(out).drop("batch_id")
+
+
 @query
 def stream_document_chunks(kb):
     """Chunks of the documents as a stream of versions."""

@@ -736,10 +736,12 @@ WHERE reason IS NOT NULL""",
 
     "batch_task_rollup": _task_status("outcome_count"),
     "stream_task_rollup": _task_status("outcome_count"),
+    "stream_task_rollup_merged": _task_status("outcome_count"),
     "stream_document_chunks": "SELECT document_id, space_id, chunk_index, content, length(content)::INTEGER AS "
                               "char_count FROM piece",
     "stream_repeated_changes": "SELECT event_id, user_id, event_type FROM events",
     "stream_late_changes": "SELECT event_id, user_id, event_type FROM events",
+    "stream_keyed_changes": "SELECT event_id, user_id, event_type FROM events",
 }
 
 ORACLES = {name: statement(select) for name, select in _SELECTS.items()}

@@ -7,6 +7,9 @@ from kbspark import fixed_values as fv
 from kbspark.operators import ingest
 from kbspark.operators.limits import broadcast_if, pin
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Bytes of a broadcast id and version, with the hash-table entry.
 _VERSION_BYTES = 64
 
@@ -31,6 +34,24 @@ def start_changes(changes: DataFrame, keys: list[str], out: str, checkpoint: str
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def start_keyed_changes(changes: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """The same with the keys in RocksDB, beside the tasks: a batch reads its own rows and looks its keys up.
+
+    No key is ever dropped, so no change comes too late. State and rows of a batch are committed by its number: a batch
+    that is run again finds the state before it and overwrites its own folder.
+    """
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    conf, before = changes.sparkSession.conf, changes.sparkSession.conf.get(_STATE_STORE)
+    conf.set(_STATE_STORE, _ROCKS_DB)
+    try:
+        return (changes.dropDuplicates(keys).writeStream.foreachBatch(put)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        conf.set(_STATE_STORE, before)
+
+
 def chunk_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     """Write one micro-batch: the newest version of each document, and its chunks.
 

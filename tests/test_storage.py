@@ -85,6 +85,56 @@ def test_changes_are_kept_once_and_never_too_late(spark, tmp_path):
         arrive([(3, at), (1, at)])
 
 
+def test_keyed_changes_read_only_their_own_batch(spark, tmp_path):
+    def arrive(rows):
+        spark.createDataFrame(rows, "change_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema("change_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = stream_ingest.start_keyed_changes(stream, ["change_id"], f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination()
+        return query.recentProgress
+
+    provider = spark.conf.get(stream_ingest._STATE_STORE)
+    for rows in ([(1, "a"), (1, "a")], [(2, "b"), (1, "c")], [(None, "n"), (None, "n")]):
+        arrive(rows)
+    assert [one["numInputRows"] for one in run() if one["numInputRows"]] == [2, 2, 2]
+    # A later start goes on from the stored keys; what earlier batches wrote is not needed any more.
+    arrive([(3, "d"), (2, "e"), (None, "n")])
+    progress = [one for one in run() if one["numInputRows"]]
+    assert [one["numInputRows"] for one in progress] == [3]
+    assert "RocksDB" in repr(progress[-1]["stateOperators"]) or "rocksdb" in repr(progress[-1]["stateOperators"])
+    assert sorted(((r.change_id, r.batch_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=repr) == sorted(
+        [(1, 0), (2, 1), (None, 2), (3, 3)], key=repr)
+    assert spark.conf.get(stream_ingest._STATE_STORE) == provider
+
+
+def test_merged_rollup_reads_few_folders(spark, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(8).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    rollup.start_rollup(KnowledgeBase.outcomes_of(stream), out, f"{tmp_path}/state", compact_every=3).awaitTermination()
+    last, snapshot, batches = rollup._parts(spark, out)
+    assert last == 5 and len(snapshot) == 1 and [b.rsplit("=", 1)[1] for b in batches] == ["6", "7"]
+    # Only what the snapshot before does not hold is left.
+    assert sorted(rollup._folders(spark, f"{out}/batch_id=*")) == [3, 4, 5, 6, 7]
+    whole = finished(rollup.outcome_counts(KnowledgeBase.outcomes_of(events)))
+
+    def told():
+        return sorted(map(repr, rollup.current_tasks(spark, out).select(*whole.columns).collect()))
+
+    wanted = sorted(map(repr, whole.collect()))
+    assert told() == wanted
+    # A snapshot that was not completed does not count, and writing one again changes nothing.
+    spark.range(1).write.parquet(f"{out}/_snapshots/upto=7")
+    (tmp_path / "out/_snapshots/upto=7/_SUCCESS").unlink()
+    assert told() == wanted
+    for _ in range(2):
+        rollup.compact(spark, out, 7)
+        assert told() == wanted
+
+
 def test_a_batch_run_again_keeps_the_same_changes(spark, tmp_path):
     first, second = [spark.createDataFrame(rows, "change_id long") for rows in ([(1,), (2,)], [(2,), (3,)])]
     for batch, number in ((first, 0), (second, 1), (second, 1), (first, 0)):
