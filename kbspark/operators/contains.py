@@ -12,6 +12,8 @@ substrings of that length, its anchors. So an equi join of runs with anchors mee
 verified against the text, and of several occurrences only the first counts.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbspark.operators.limits import max_broadcast_bytes, pin
@@ -61,8 +63,8 @@ def _bit(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(FIELD_BITS))
 
 
-def _field(grams: DataFrame, gram: str) -> Column:
-    """The bits of all grams of a table as an array literal; it has at most ``FIELD_BITS / 64`` entries."""
+def among(grams: DataFrame, gram: str) -> Callable[[Column], Column]:
+    """A quick test that all grams of a table pass, and few others: a bit field of at most ``FIELD_BITS`` as a literal."""
     bit = _bit(F.col(gram))
     rows = grams.groupBy(F.shiftright(bit, 6).cast("int").alias("place")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()
@@ -70,7 +72,13 @@ def _field(grams: DataFrame, gram: str) -> Column:
     for row in rows:
         words[row["place"]] = row["bits"]
     # Written as text, which is folded into one literal.
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    field = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+    def test(one: Column) -> Column:
+        place = _bit(one)
+        return F.bit_get(F.get(field, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
+
+    return test
 
 
 def _by_grams(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str) -> DataFrame:
@@ -80,14 +88,8 @@ def _by_grams(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, gr
     rarest = grams.join(often, [group, "_gram"]).groupBy(*patterns.columns).agg(
         F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"))
     rarest = pin(rarest, "rarest-grams")
-    field = _field(rarest, "_gram")
-
-    def wanted(gram: Column) -> Column:
-        bit = _bit(gram)
-        return F.bit_get(F.get(field, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
-
     # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
-    met = texts.select(key, group, text, F.explode_outer(F.filter(full_grams(F.col(text)), wanted)).alias("_gram")).join(
+    met = texts.select(key, group, text, F.explode_outer(F.filter(full_grams(F.col(text)), among(rarest, "_gram"))).alias("_gram")).join(
         F.broadcast(rarest), [group, "_gram"])
     brief = texts.join(F.broadcast(patterns.filter(short)), group)
     found = met.select(key, text, *patterns.columns).unionByName(brief.select(key, text, *patterns.columns))

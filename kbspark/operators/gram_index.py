@@ -1,11 +1,11 @@
 """Substring recall from a stored table of grams, so that a search reads postings and not all texts.
 
-The table ``chunk_gram`` has a row for every different gram of a chunk's text in lower case: ``GRAM`` characters from
-every place, fewer at its end. It lies beside the chunks in the same partitions, sorted by gram, so a filter on grams
-skips most of it unread; a feed that rewrites a partition of chunks rewrites its grams in the same version. A term of up
-to ``GRAM`` characters is in a text exactly when a gram starts with it. Of a longer term the ``RAREST`` rarest grams are
-looked up; chunks that have them all are the candidates, and only these are read and checked. ``gram_count`` only
-tells which grams are rare: where it is out of date searches are slower, not wrong.
+The table ``chunk_gram`` has a row for every different gram of a partition's texts in lower case, with the ids of the
+chunks that have it: ``GRAM`` characters from every place, fewer at the end of a text. It lies beside the chunks in the
+same partitions, sorted by gram; a list has at most the chunks of its partition. A feed that rewrites a partition of
+chunks rewrites its grams in the same version. A term of up to ``GRAM`` characters is in a text exactly when a gram
+starts with it. Of a longer term the ``RAREST`` rarest grams are looked up; chunks that have them all are the
+candidates, and only these are read and checked.
 """
 
 from collections.abc import Callable
@@ -19,9 +19,6 @@ from kbspark.sources.versions import Part, Versions
 
 RAREST = 2
 
-# More grams than this are not listed in a scan's filter.
-MAX_LISTED_GRAMS = 2000
-
 # Bytes of a broadcast term, and of a candidate.
 _TERM_BYTES = 400
 _CANDIDATE_BYTES = 400
@@ -33,68 +30,52 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(full_grams(text), F.filter(F.array(*tails), lambda tail: F.length(tail) > 0)))
 
 
-def grams_of(chunks: DataFrame) -> DataFrame:
-    """``(space_id, document_id, block, gram, chunk_id)`` of chunks of any status; chunks are brought together by
-    partition before their grams become rows."""
-    placed = chunks.select("space_id", "block", "document_id", F.col("id").alias("chunk_id"), F.lower("content").alias("text"))
-    return placed.hint("rebalance", "space_id", "block").select(
-        "space_id", "document_id", "block", F.explode_outer(_grams(F.col("text"))).alias("gram"), "chunk_id").filter("gram IS NOT NULL")
+def grams_of(chunks: DataFrame, block_documents: int) -> DataFrame:
+    """Rows of ``chunk_gram`` of chunks of any status, which have their ``block``."""
+    texts = chunks.select("space_id", "block", F.col("id").alias("chunk_id"), F.lower("content").alias("text"))
+    rows = texts.select("space_id", "block", "chunk_id", F.explode_outer(_grams(F.col("text"))).alias("gram")).filter("gram IS NOT NULL")
+    lists = rows.groupBy("space_id", "block", "gram").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+    # A partition's rows go by its blocks, which are ranges of document ids.
+    return lists.select("space_id", (F.col("block") * block_documents).alias("document_id"), "gram",
+                        F.size("chunk_ids").alias("chunks"), "chunk_ids")
 
 
 def build(store: Versions) -> int:
-    """Stores the grams of all chunks of the newest version, and counts them."""
+    """Stores the grams of all chunks of the newest version."""
     base = store.current()
-    version = store.commit(base, {"chunk_gram": grams_of(store.read("kb_chunk", base))})
-    return count_grams(store, version)
-
-
-def count_grams(store: Versions, base: int) -> int:
-    """Counts the chunks of each gram per partition anew."""
-    # A partition's counts go by its blocks, which are ranges of document ids.
-    rows = store.read("chunk_gram", base).groupBy("space_id", "block", "gram").agg(F.count(F.lit(1)).alias("chunks"))
-    return store.commit(base, {"gram_count": rows.withColumn("document_id", F.col("block") * store.block_documents)})
-
-
-def _listed(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """``rows`` whose gram may be among ``grams``: where these are few, as a filter that the scan can use."""
-    some = [row["gram"] for row in grams.select("gram").distinct().limit(MAX_LISTED_GRAMS + 1).collect()]
-    return rows.filter(F.col("gram").isin(some)) if len(some) <= MAX_LISTED_GRAMS else rows
+    return store.commit(base, {"chunk_gram": grams_of(store.read("kb_chunk", base), store.block_documents)})
 
 
-def _long_terms(store: Versions, version: int, spaces: Callable[[DataFrame], DataFrame], texts: Callable[[list[Part]], DataFrame],
-                terms: DataFrame) -> DataFrame:
-    """``(space_id, term, chunk_id)`` of terms longer than a gram."""
-    keys = ["space_id", "gram"]
-    asked = pin(terms.select("space_id", "term", F.explode(full_grams(F.col("term"))).alias("gram")), "asked-grams")
+def _chosen(store: Versions, version: int, spaces: Callable[[DataFrame], DataFrame], terms: DataFrame) -> DataFrame:
+    """``(space_id, key, term, needed)``: the rarest grams of each term that is longer than a gram."""
+    keys = ["space_id", "key"]
+    asked = pin(terms.filter(F.length("term") > GRAM).select(
+        "space_id", "term", F.explode(full_grams(F.col("term"))).alias("key")), "asked-grams")
     wanted = pin(asked.select(*keys).distinct(), "wanted-grams")
-    size = wanted.count()
-    counts = spaces(_listed(store.read("gram_count", version), wanted)).join(broadcast_if(wanted, size, _TERM_BYTES), keys).groupBy(
-        *keys).agg(F.sum("chunks").alias("chunks"))
-    by_term = Window.partitionBy("space_id", "term").orderBy(F.coalesce("chunks", F.lit(0)), "gram")
-    chosen = pin(asked.join(counts, keys, "left").withColumn("n", F.row_number().over(by_term)).filter(
-        F.col("n") <= RAREST).select(*keys, "term", F.least(F.lit(RAREST), F.max("n").over(Window.partitionBy("space_id", "term"))).alias(
-            "needed")), "rarest-grams")
-    postings = spaces(_listed(store.read("chunk_gram", version), chosen)).select(*keys, "block", "chunk_id")
-    met = postings.join(broadcast_if(chosen, chosen.count(), _TERM_BYTES), keys)
-    # A chunk has each of its grams once.
-    candidates = pin(met.groupBy("space_id", "term", "chunk_id").agg(
-        F.count(F.lit(1)).alias("grams"), F.any_value("needed").alias("needed"), F.any_value("block").alias("block")).filter(
-            "grams = needed").select("space_id", "term", "chunk_id", "block"), "candidates")
-    parts = [Part(row["space_id"], row["block"]) for row in candidates.select("space_id", "block").distinct().collect()]
-    found = looked_up(texts(parts).select("chunk_id", "text"), candidates, "chunk_id", candidates.count(), _CANDIDATE_BYTES)
-    return found.filter(F.contains("text", F.col("term"))).select("space_id", "term", "chunk_id")
-
-
-def _short_terms(store: Versions, version: int, spaces: Callable[[DataFrame], DataFrame], live: DataFrame, terms: DataFrame,
-                 size: int) -> DataFrame:
-    """The same for terms of ``size`` characters, not more than a gram has; ``live`` are the ids that may be found."""
-    some = terms.filter(F.length("term") == size)
-    rows = store.read("chunk_gram", version).select("space_id", "gram", "chunk_id")
-    if size == GRAM:
-        rows = _listed(rows, some.select(F.col("term").alias("gram")))
-    met = spaces(rows).withColumn("term", F.substring("gram", 1, size)).join(
-        broadcast_if(some, some.count(), _TERM_BYTES), ["space_id", "term"])
-    return met.groupBy("space_id", "term", "chunk_id").agg(F.lit(1).alias("one")).drop("one").join(live, "chunk_id", "left_semi")
+    counts = spaces(store.read("chunk_gram", version)).select("space_id", F.col("gram").alias("key"), "chunks").join(
+        broadcast_if(wanted, wanted.count(), _TERM_BYTES), keys).groupBy(*keys).agg(F.sum("chunks").alias("chunks"))
+    of_term = Window.partitionBy("space_id", "term")
+    place = F.row_number().over(of_term.orderBy(F.coalesce("chunks", F.lit(0)), "key"))
+    return pin(asked.join(counts, keys, "left").withColumn("n", place).filter(F.col("n") <= RAREST).select(
+        *keys, "term", F.max("n").over(of_term).alias("needed")), "rarest-grams")
+
+
+def _postings(store: Versions, version: int, spaces: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
+    """``(space_id, key, chunk_id, block)`` of the chunks that have a gram which is, or starts with, a key; one scan."""
+    keys = pin(keys.select("space_id", "key").distinct(), "gram-keys")
+    sizes = sorted(row[0] for row in keys.select(F.length("key")).distinct().collect())
+    rows = spaces(store.read("chunk_gram", version))
+    # Grams lie sorted: where few are asked for, the ends of their range keep most files and pages unread.
+    low, high = keys.agg(F.min("key"), F.max("key")).first()
+    if low is not None:
+        rows = rows.filter((F.col("gram") >= low) & (F.col("gram") <= high + chr(0x10FFFF)))
+    starts = F.array_distinct(F.array(*[F.substring("gram", 1, size) for size in sizes]).cast("array<string>"))
+    # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
+    some = rows.select("space_id", "block", "chunk_ids", F.explode_outer(starts).alias("key"))
+    met = some.join(broadcast_if(keys, keys.count(), _TERM_BYTES), ["space_id", "key"]).select(
+        "space_id", "key", "block", F.explode("chunk_ids").alias("chunk_id"))
+    # A chunk may have several grams that start with a short key.
+    return pin(met.distinct(), "postings")
 
 
 def recall(store: Versions, searchable: Callable[[DataFrame], DataFrame], version: int | None = None,
@@ -111,12 +92,22 @@ def recall(store: Versions, searchable: Callable[[DataFrame], DataFrame], versio
             F.col("id").alias("chunk_id"), F.lower("content").alias("text"))
 
     def find(terms: DataFrame, most: int | None) -> DataFrame:
-        terms = pin(terms.select("space_id", "term"), "terms")
-        found = _long_terms(store, version, spaces, texts, terms.filter(F.length("term") > GRAM))
-        sizes = [row[0] for row in terms.select(F.length("term")).distinct().filter(F.length("term").between(1, GRAM)).collect()]
+        terms = pin(terms.select("space_id", "term").filter(F.length("term") > 0), "terms")
+        short = terms.filter(F.length("term") <= GRAM)
+        chosen = _chosen(store, version, spaces, terms)
+        postings = _postings(store, version, spaces, chosen.select("space_id", "key").unionByName(
+            short.select("space_id", F.col("term").alias("key"))))
+        met = postings.join(broadcast_if(chosen, chosen.count(), _TERM_BYTES), ["space_id", "key"])
+        candidates = pin(met.groupBy("space_id", "term", "chunk_id").agg(
+            F.count(F.lit(1)).alias("grams"), F.any_value("needed").alias("needed"), F.any_value("block").alias("block")).filter(
+                "grams = needed").select("space_id", "term", "chunk_id", "block"), "candidates")
+        parts = [Part(row["space_id"], row["block"]) for row in candidates.select("space_id", "block").distinct().collect()]
+        found = looked_up(texts(parts), candidates.drop("block"), "chunk_id", candidates.count(), _CANDIDATE_BYTES).filter(
+            F.contains("text", F.col("term"))).select("space_id", "term", "chunk_id")
         live = spaces(searchable(store.read("kb_chunk", version))).select(F.col("id").alias("chunk_id"))
-        for size in sorted(sizes):
-            found = found.unionByName(_short_terms(store, version, spaces, live, terms, size))
+        direct = postings.withColumnRenamed("key", "term").join(
+            broadcast_if(short, short.count(), _TERM_BYTES), ["space_id", "term"]).join(live, "chunk_id", "left_semi")
+        found = found.unionByName(direct.select("space_id", "term", "chunk_id"))
         if most is None:
             return found
         order = Window.partitionBy("space_id", "term").orderBy("chunk_id")

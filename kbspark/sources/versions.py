@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from kbspark.schemas import SORT_KEYS, TABLES
 
@@ -21,11 +21,11 @@ SCHEMAS = {
     "kb_document": StructType([*TABLES["kb_document"].fields, StructField("next_chunk_id", LongType())]),
     "kb_chunk": TABLES["kb_chunk"],
     "chunk_vector": TABLES["chunk_vector"],
-    "chunk_gram": StructType().add("space_id", "long").add("document_id", "long").add("gram", "string").add("chunk_id", "long"),
-    "gram_count": StructType().add("space_id", "long").add("document_id", "long").add("gram", "string").add("chunks", "long"),
+    "chunk_gram": StructType().add("space_id", "long").add("document_id", "long").add("gram", "string").add("chunks", "long")
+    .add("chunk_ids", ArrayType(LongType())),
 }
 
-_SORTED = {**SORT_KEYS, "chunk_gram": ["gram", "chunk_id"], "gram_count": ["gram"]}
+_SORTED = {**SORT_KEYS, "chunk_gram": ["gram"]}
 
 BLOCK_DOCUMENTS = 10_000
 
@@ -103,10 +103,8 @@ class Versions:
             columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
             placed = rows.select(*columns).withColumns({"block": self.block(F.col(document)).cast("long"), "write": F.lit(write)})
             keys = ["space_id", "block"]
-            # Rows of a partition go together; at run time small ones share a task and large ones are split. Postings
-            # come that way.
-            together = placed if name == "chunk_gram" else placed.hint("rebalance", *keys)
-            (together.sortWithinPartitions(*keys, *_SORTED.get(name, ["id"]))
+            # Rows of a partition go together; at run time small ones share a task and large ones are split.
+            (placed.hint("rebalance", *keys).sortWithinPartitions(*keys, *_SORTED.get(name, ["id"]))
              .write.partitionBy(*keys, "write").mode("append").parquet(f"{self.root}/{name}"))
             kept = parts.get(name, {})
             kept = {} if touched is None else {part: folder for part, folder in kept.items() if part not in set(touched)}
