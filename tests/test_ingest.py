@@ -16,7 +16,9 @@ def apply_one_by_one(documents, spaces, changes):
     state, rejects, rebuilt = {row[0]: list(row) for row in documents}, [], set()
     for seq, op, doc, space, title, content, kind, uri in sorted(changes):
         alive = doc in state and state[doc][6] == 1
-        if op in ("create", "update") and (space is not None or op == "create") and spaces.get(space) != 1:
+        if op != "delete" and not content.strip():
+            rejects.append((seq, "content blank"))
+        elif op in ("create", "update") and (space is not None or op == "create") and spaces.get(space) != 1:
             rejects.append((seq, "space not found"))
         elif op == "create":
             if doc in state:
@@ -67,13 +69,13 @@ def test_change_feed(spark, seed):
         assert found.get(doc, []) == [(piece, row[1], status) for piece in models.chunks(row[3])], doc
 
 
-def test_ids_are_not_used_again_after_a_blank_text(spark):
+def test_ids_are_not_used_again(spark):
     documents = spark.createDataFrame(
         [(1, 1, "t", "x" * 900, "MANUAL", None, 1, "me"), (2, 1, "t", "other", "MANUAL", None, 1, "you")],
         "id long, space_id long, title string, content string, source_type string, source_uri string, status int, owner string")
     chunks, spaces = ingest.chunk_documents(documents), spark.createDataFrame([(1, 1)], "id long, status int")
     used, counts = {row.id for row in chunks.collect()}, []
-    for content in (" ", "y" * 900, "z" * 100):
+    for content in ("s", "y" * 900, "z" * 100):
         changes = spark.createDataFrame([(1, "update", 1, None, "t", content, None, None)], CHANGE)
         changed = ingest.apply_document_changes(documents, chunks, changes, spaces)
         documents, chunks = (spark.createDataFrame(rows.collect(), rows.schema) for rows in changed[:2])
@@ -83,7 +85,12 @@ def test_ids_are_not_used_again_after_a_blank_text(spark):
         rows = {row.id: row for row in documents.collect()}
         counts.append(rows[1].chunk_count)
         assert (rows[1].owner, rows[2].owner, rows[2].chunk_count) == ("me", "you", None)
-    assert counts == [0, 2, 1]
+    assert counts == [1, 2, 1]
+    # A blank text is refused, and the document keeps what it has.
+    changes = spark.createDataFrame([(1, "update", 1, None, "t", " ", None, None)], CHANGE)
+    changed = ingest.apply_document_changes(documents, chunks, changes, spaces)
+    assert [row.reason for row in changed.rejects.collect()] == ["content blank"]
+    assert {row.id for row in changed.chunks.filter("document_id = 1").collect()} == ids
 
 
 def test_latest_keeps_one_row_per_key(spark):
