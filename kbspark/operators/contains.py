@@ -42,7 +42,7 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     usable = patterns.filter(F.length(pattern) > 0)
     size = usable.agg(F.sum(F.octet_length(pattern) * 2 + _ROW_BYTES)).first()[0] or 0
     if size <= max_broadcast_bytes(texts.sparkSession):
-        found = _by_grams(texts, usable, text, pattern, group, key)
+        found = meetings(texts, usable, text, pattern, group, [key])
     else:
         found = _by_runs(texts, usable, text, pattern, group, key)
     if most is None:
@@ -81,7 +81,11 @@ def among(grams: DataFrame, gram: str) -> Callable[[Column], Column]:
     return test
 
 
-def _by_grams(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str) -> DataFrame:
+def meetings(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, keep: list[str]) -> DataFrame:
+    """``(*keep, *patterns)``, a row per text and pattern in it, made in the tasks that scan the texts.
+
+    ``keep`` are columns of the texts. The patterns are broadcast: the caller has measured them.
+    """
     short = F.length(pattern) < GRAM
     grams = patterns.filter(~short).select("*", F.explode(full_grams(F.col(pattern))).alias("_gram"))
     often = grams.groupBy(group, "_gram").agg(F.count("*").alias("_often"))
@@ -89,11 +93,12 @@ def _by_grams(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, gr
         F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"))
     rarest = pin(rarest, "rarest-grams")
     # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
-    met = texts.select(key, group, text, F.explode_outer(F.filter(full_grams(F.col(text)), among(rarest, "_gram"))).alias("_gram")).join(
+    kept = list(dict.fromkeys([*keep, text]))
+    met = texts.select(*kept, group, F.explode_outer(F.filter(full_grams(F.col(text)), among(rarest, "_gram"))).alias("_gram")).join(
         F.broadcast(rarest), [group, "_gram"])
     brief = texts.join(F.broadcast(patterns.filter(short)), group)
-    found = met.select(key, text, *patterns.columns).unionByName(brief.select(key, text, *patterns.columns))
-    return found.filter(F.contains(F.col(text), F.col(pattern))).select(key, *patterns.columns)
+    found = met.select(*kept, *patterns.columns).unionByName(brief.select(*kept, *patterns.columns))
+    return found.filter(F.contains(F.col(text), F.col(pattern))).select(*keep, *patterns.columns)
 
 
 def _run_size(pattern: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbspark import fixed_values as fv
 from kbspark.functions import codes, scores, text as tx
+from kbspark.operators.best_first import best_texts
 from kbspark.operators.contains import contains_join
 from kbspark.operators.limits import (GROUP_LIMIT_MAX, MAX_BROADCAST_ROWS, broadcast_if, in_slices, max_broadcast_bytes,
                                       pin)
@@ -39,11 +40,13 @@ class Options(NamedTuple):
     ``match`` is ``ci`` (terms ignore case) or ``ci_ai`` (accents as well); scores ignore case only. ``recall`` finds
     the chunks of a table of terms in another way than by reading all texts, as ``gram_index.recall`` does, and decides
     itself how it matches. ``prefilter_active`` fetches vectors of active chunks of active documents only.
+    ``candidate_order`` is ``chunk_id`` (keyword recall keeps the lowest chunk ids) or ``score`` (the best scores).
     """
     min_score: float | None = None
     match: str = "ci"
     recall: "Recall | None" = None
     prefilter_active: bool = False
+    candidate_order: str = "chunk_id"
 
 
 # Chunks ``(space_id, term, chunk_id)`` of distinct ``(space_id, term)``, as many as each term needs.
@@ -213,9 +216,18 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, bounds: Bounds, op
 
     Terms are matched once each, however many queries share them. A query's first ``candidate_k`` chunks are among
     the first ``max(candidate_k)`` of each of its terms, so the matches of a frequent term shrink to that many per
-    task before anything is shuffled, and queries meet only what is left.
+    task before anything is shuffled, and queries meet only what is left. With ``candidate_order="score"`` it is the
+    ``candidate_k`` best scored ones instead.
     """
     recall, folded = options.recall, tx.folded if options.match == "ci_ai" else F.lower
+    if options.candidate_order not in ("chunk_id", "score"):
+        raise ValueError(f"unknown candidate order: {options.candidate_order!r}")
+    if options.candidate_order == "score":
+        if recall:
+            raise ValueError("recall by stored lists has no scores")
+        texts = searchable(of_spaces(chunks, bounds)).select(
+            F.col("id").alias("chunk_id"), "space_id", folded(F.col("content")).alias("text"), "content")
+        return best_texts(texts, queries.filter("use_keyword").withColumn("asked", F.transform("terms", folded)))
     asked = (queries.filter("use_keyword")
              .select("query_id", "space_id", "candidate_k",
                      F.explode(F.array_distinct(F.transform("terms", folded))).alias("term")))

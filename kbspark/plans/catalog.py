@@ -448,6 +448,12 @@ def keyword_topk_ci_ai(kb):
     return _search(kb, plain, match="ci_ai")
 
 
+@query
+def keyword_topk_by_score(kb):
+    """Keyword search whose recall keeps the best scored chunks."""
+    return _search(kb, kb.queries("KEYWORD_ONLY"), candidate_order="score")
+
+
 @query
 def vector_topk_prefiltered(kb):
     """Only vectors of active chunks of active documents are fetched."""

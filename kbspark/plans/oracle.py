@@ -163,7 +163,8 @@ FROM (SELECT * EXCLUDE (candidate_k), greatest(candidate_k, top_k) AS candidate_
             FROM {source}))"""
 
 
-def _search(name: str, source: str, valid: str = "true", fold: str = "lower({})", live: bool = False) -> None:
+def _search(name: str, source: str, valid: str = "true", fold: str = "lower({})", live: bool = False,
+            recall_order: str = "c.id") -> None:
     """The CTEs ``name_valid`` to ``name_hits`` of a search of the query table ``source``.
 
     ``fold`` makes texts and terms comparable; with ``live`` only vectors of active chunks and documents are fetched.
@@ -186,7 +187,7 @@ WHERE vector_rank <= vector_k"""
     CTES[f"{name}_keyword"] = f"""
 SELECT query_id, chunk_id, keyword_rank FROM (
     SELECT q.query_id, q.candidate_k, c.id AS chunk_id,
-           row_number() OVER (PARTITION BY q.query_id ORDER BY c.id) AS keyword_rank
+           row_number() OVER (PARTITION BY q.query_id ORDER BY {recall_order}) AS keyword_rank
     FROM {name}_valid q
     JOIN kb_chunk c ON c.space_id = q.space_id AND c.status = 1 AND c.embedding_status = 1
     WHERE q.mode <> 'VECTOR_ONLY'
@@ -234,6 +235,7 @@ CTES["live_chunk"] = "SELECT c.id FROM kb_chunk c JOIN kb_document d ON d.id = c
 _search("p", "q_v", live=True)
 CTES["q_c"] = "SELECT * REPLACE (strip_accents(lower(query)) AS query) FROM q_k"
 _search("c", "q_c", fold="strip_accents(lower({}))")
+_search("b", "q_k", recall_order=f"{_keyword_score('q.terms', 'c.content')} DESC, c.id")
 _search("x", "q_mixed")
 CTES["q_ask"] = "SELECT * REPLACE (CASE WHEN item_id % 16 > 0 THEN least(item_id % 16, 10) ELSE 5 END AS top_k) FROM q_mixed"
 _search("a", "q_ask")
@@ -618,6 +620,7 @@ FROM (SELECT item_id, {_terms('text')} AS terms FROM benchmark)""",
     "keyword_topk": _HITS.format("k"),
     "keyword_topk_indexed": _HITS.format("k"),
     "keyword_topk_ci_ai": _HITS.format("c"),
+    "keyword_topk_by_score": _HITS.format("b"),
     "vector_topk_prefiltered": _HITS.format("p"),
     "hybrid_topk": _HITS.format("h"),
     "symbol_terms": f"SELECT term, {_symbol_like('term')} AS symbol_like FROM (SELECT DISTINCT unnest("

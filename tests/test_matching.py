@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.operators import contains, lookup, nearest, retrieve
+from kbspark import fixed_values as fv
+from kbspark.operators import best_first, contains, lookup, nearest, retrieve
 from kbspark.operators.limits import broadcast_if, pin
 
 
@@ -186,3 +187,54 @@ def test_texts_are_not_shuffled_at_any_number_of_queries(spark, monkeypatch, tmp
         assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
         scan = next(line for line in plan.splitlines() if "content" in line and "Scan parquet" in line)
         assert "LessThanOrEqual(id" in scan or "GreaterThan(id" in scan
+
+
+def slow_best(texts, queries):
+    wanted = []
+    for query, space, most, terms in queries:
+        known = [term.lower() for term in terms if term.strip(" \n")]
+        scored = []
+        for n, home, text in texts:
+            if home != space or not text or not any(term.lower() in text for term in terms):
+                continue
+            hits = [text.count(term) for term in known]
+            share = sum(h > 0 for h in hits) / len(terms) + min(fv.HIT_BONUS_MAX, sum(hits) * fv.HIT_BONUS)
+            scored.append((-round(min(1.0, share), 6) if text.strip() else 0.0, n))
+        wanted += [(query, n, rank) for rank, (_, n) in enumerate(sorted(scored)[:most], 1)]
+    return sorted(wanted)
+
+
+@pytest.mark.parametrize("bound", ["1000000", "12000"])
+def test_best_first_recall(spark, matching, bound):
+    """One slice of queries and many; queries with repeated terms, without terms, and with a wide limit."""
+    texts, patterns = matching
+    rng = random.Random(5)
+    words = [term for _, term in patterns]
+    queries = [(n, rng.randint(1, 2), rng.choice([1, 3, 2000]), [rng.choice(words) for _ in range(rng.randint(1, 4))])
+               for n in range(40)] + [(90, 1, 5, ["a", "a"]), (91, 1, 5, [])]
+    rows = spark.createDataFrame(texts, "chunk_id long, space_id long, text string").withColumn("content", F.col("text"))
+    asks = spark.createDataFrame(queries, "query_id long, space_id long, candidate_k int, terms array<string>")
+    spark.conf.set("kbspark.maxBroadcastBytes", bound)
+    try:
+        found = best_first.best_texts(rows.repartition(5), asks.withColumn("asked", F.col("terms")))
+        assert sorted(map(tuple, found.collect())) == slow_best(texts, queries)
+    finally:
+        spark.conf.unset("kbspark.maxBroadcastBytes")
+
+
+def test_best_first_shuffles_ids_and_scores(spark, matching):
+    texts, patterns = matching
+    rows = spark.createDataFrame(texts, "chunk_id long, space_id long, text string").withColumn("content", F.col("text"))
+    asks = spark.createDataFrame([(1, 1, 5, ["a", "bc"])], "query_id long, space_id long, candidate_k int, terms array<string>")
+    plan = best_first.best_texts(rows, asks.withColumn("asked", F.col("terms")))._jdf.queryExecution().sparkPlan().toString()
+    # Ranked in the tasks first; the texts meet nothing but broadcasts.
+    assert "WindowGroupLimit" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert best_first.best_texts(rows, asks.limit(0).withColumn("asked", F.col("terms"))).collect() == []
+
+
+def test_unknown_orders_are_refused(spark):
+    with pytest.raises(ValueError):
+        retrieve.keyword_candidates(spark.range(1), spark.range(1), None, retrieve.Options(candidate_order="best"))
+    with pytest.raises(ValueError):
+        retrieve.keyword_candidates(spark.range(1), spark.range(1), None,
+                                    retrieve.Options(candidate_order="score", recall=lambda terms, most: terms))
