@@ -14,7 +14,7 @@ from kbspark.operators.limits import pin
 from kbspark.sources.folders import shared_folder
 from kbspark.sources.shipping import ship
 from kbspark.sources.tables import read_table, write_table
-from kbspark.sources.testdata import KnowledgeBase, space_of
+from kbspark.sources.testdata import KnowledgeBase, at_second, space_of
 from kbspark.sources.versions import Versions
 from kbspark.streaming import ingest as stream_ingest, rollup
 
@@ -610,6 +610,45 @@ def session_history_flat(kb):
             "references", lambda one: one["chunk_id"].cast("string")))).alias("chunk_ids"))
 
 
+def _saved(kb):
+    """User turns asked again, a day after the last message, with the references of the turns that answered them.
+
+    The first turns open sessions; later ones name one, not always of their own space. The last turn may lack an answer.
+    """
+    answered_at = F.col("query_id") + 1
+    asks = _session_asks(kb).withColumn("asked_at", at_second(answered_at + 100_000_000))
+    cited = kb.references.groupBy((F.col("message_id") - 1).alias("query_id")).agg(F.sort_array(F.collect_list(F.struct(
+        "reference_index", "chunk_id", "document_id", "space_id", "chunk_index", "score", "content_preview"))).alias("references"))
+    answers = _answered(kb).filter(F.col("answer").isNotNull() | (F.col("query_id") % 2 == 0)).select("query_id", "answer")
+    return history.save(asks, answers.join(cited, "query_id", "left"), kb.sessions, kb.messages, kb.references)
+
+
+@query
+def saved_history(kb):
+    """New messages with their ids and times."""
+    return _saved(kb).messages.select("id", "session_id", "space_id", "role", "content", _text("created_at"))
+
+
+@query
+def saved_references(kb):
+    return _saved(kb).references.select(
+        "id", "message_id", "session_id", "reference_index", "chunk_id", "document_id", "space_id", "chunk_index",
+        scores.rounded(F.col("score")).alias("score"), "content_preview", _text("created_at"))
+
+
+@query
+def saved_sessions(kb):
+    """All sessions after the batch: old ones touched, new ones titled."""
+    return _saved(kb).sessions.select("id", "space_id", "title", "status", _text("created_at"), _text("updated_at"))
+
+
+@query
+def saved_asks(kb):
+    """Ids of the saved asks, and the reasons of the rejected ones."""
+    saved = _saved(kb)
+    return saved.results.unionByName(saved.rejects, allowMissingColumns=True)
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------
 
 def _latency():

@@ -380,6 +380,26 @@ FROM qa_message m
 JOIN kb_chunk c ON c.document_id = m.session_id % (SELECT count(*) FROM documents) AND c.chunk_index < 3
 WHERE m.role = 'assistant' AND m.id % 4 <> 3"""
 
+CTES["saved_judged"] = f"""
+SELECT a.*, r.answer_id, r.answer, n.n_refs, CASE WHEN NOT {_has_text('a.question')} THEN 'question blank'
+       WHEN r.answer IS NULL AND a.query_id % 2 <> 0 THEN 'answer missing'
+       WHEN a.session_id IS NOT NULL AND coalesce(s.status, 0) <> 1 THEN 'session not found'
+       WHEN a.session_id IS NOT NULL AND s.space_id <> a.space_id THEN 'session of another space' END AS error
+FROM (SELECT conv_id * 1000 + turn AS query_id, (conv_id + CASE WHEN turn > 3 THEN 1 ELSE 0 END) % 4 + 1 AS space_id,
+             CASE WHEN turn > 0 THEN conv_id END AS session_id, text AS question,
+             {_AT}(conv_id * 1000 + turn + 1 + 100000000) AS asked_at FROM conversations WHERE role = 'user') a
+LEFT JOIN (SELECT conv_id * 1000 + turn - 1 AS query_id, conv_id * 1000 + turn AS answer_id, text AS answer
+           FROM conversations WHERE role = 'assistant') r USING (query_id)
+LEFT JOIN (SELECT message_id - 1 AS query_id, count(*) AS n_refs FROM qa_reference GROUP BY message_id) n USING (query_id)
+LEFT JOIN qa_session s ON s.id = a.session_id"""
+_BEFORE = "OVER (ORDER BY md5(query_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+CTES["saved_ask"] = f"""
+SELECT *, (SELECT max(id) FROM qa_message) + 1 + coalesce(sum(2) {_BEFORE} AS user_id,
+       (SELECT max(id) FROM qa_reference) + 1 + coalesce(sum(coalesce(n_refs, 0)) {_BEFORE} AS first_ref,
+       coalesce(session_id, (SELECT max(id) FROM qa_session) + 1 + coalesce(sum((session_id IS NULL)::INTEGER) {_BEFORE})
+       AS saved_session
+FROM saved_judged WHERE error IS NULL"""
+
 # --- change feeds ---
 CTES["change"] = """
 SELECT turn * 1000000 + conv_id AS seq, CASE WHEN role = 'system' THEN 'delete' ELSE 'update' END AS op,
@@ -685,6 +705,30 @@ FROM qa_message m JOIN qa_session s ON s.id = m.session_id AND s.status = 1
 LEFT JOIN (SELECT message_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY reference_index) AS chunk_ids
            FROM qa_reference GROUP BY message_id) r ON r.message_id = m.id""",
 
+    "saved_history": """
+SELECT user_id AS id, saved_session AS session_id, space_id, 'user' AS role, question AS content,
+       asked_at::VARCHAR AS created_at FROM saved_ask
+UNION ALL
+SELECT user_id + 1, saved_session, space_id, 'assistant', coalesce(answer, ''), asked_at::VARCHAR FROM saved_ask""",
+    "saved_references": """
+SELECT a.first_ref + r.reference_index - 1 AS id, a.user_id + 1 AS message_id, a.saved_session AS session_id,
+       r.reference_index, r.chunk_id, r.document_id, r.space_id, r.chunk_index, r.score, r.content_preview,
+       a.asked_at::VARCHAR AS created_at
+FROM saved_ask a JOIN qa_reference r ON r.message_id - 1 = a.query_id""",
+    "saved_sessions": f"""
+SELECT s.id, s.space_id, s.title, s.status, s.created_at::VARCHAR AS created_at,
+       coalesce(t.latest, s.updated_at)::VARCHAR AS updated_at
+FROM qa_session s LEFT JOIN (SELECT session_id, max(asked_at) AS latest FROM saved_ask GROUP BY session_id) t
+  ON t.session_id = s.id
+UNION ALL
+SELECT saved_session, space_id, {_title('question')}, 1, asked_at::VARCHAR, asked_at::VARCHAR FROM saved_ask
+WHERE session_id IS NULL""",
+    "saved_asks": """
+SELECT query_id, saved_session AS session_id, user_id AS user_message_id, user_id + 1 AS assistant_message_id,
+       NULL::VARCHAR AS error FROM saved_ask
+UNION ALL
+SELECT query_id, NULL, NULL, NULL, error FROM saved_judged WHERE error IS NOT NULL""",
+
     "run_config": f"""
 SELECT doc_id AS id, {_space('lang')} AS dataset_id,
        CASE WHEN doc_id % 3 = 0 THEN source ELSE 'eval-run-' || doc_id END AS run_name,

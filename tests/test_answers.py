@@ -2,9 +2,10 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kbspark import fixed_values as fv
-from kbspark.operators import answer, history, listing, vectorize
+from kbspark.operators import answer, history, listing, numbering, vectorize
 
 CHUNK = ("id long, document_id long, space_id long, chunk_index int, content string, embedding_status int, "
          "vector_id string, status int")
@@ -132,3 +133,53 @@ def test_history(spark):
     assert [row.id for row in listing.messages(messages, sessions).collect()] == [4, 1, 2]
     touched = history.touch_sessions(sessions, messages.withColumnRenamed("created_at", "asked_at"))
     assert {row.id: row.updated_at.second for row in touched.collect()} == {1: 5, 2: 1, 3: 0}
+
+
+def test_numbers_have_no_gaps(spark):
+    import hashlib
+
+    rows = spark.range(5000).selectExpr("id key", "id % 4 need").repartition(7)
+    blocks = {"first": (F.col("need"), F.lit(10)), "single": (F.lit(1), F.lit(1))}
+    found = numbering.numbered(rows, "key", blocks).orderBy("single").collect()
+    order = sorted(range(5000), key=lambda n: hashlib.md5(str(n).encode()).hexdigest())
+    assert [row.key for row in found] == order and [row.single for row in found] == list(range(1, 5001))
+    free = 10
+    for row in found:
+        assert row.first == free
+        free += row.need
+    assert numbering.numbered(rows.limit(0), "key", blocks).collect() == []
+
+
+def test_saved_batch(spark):
+    reference = "struct<reference_index int, chunk_id long, document_id long, space_id long, chunk_index int, score double, content_preview string>"
+    at = "timestamp_ntz'2024-01-02 00:00:0{}'"
+    asks = spark.sql(f"""
+        select * from values (1L, 1L, null, ' open ', {at.format(1)}), (2L, 1L, 1L, 'again', {at.format(2)}),
+        (3L, null, null, 'no space', {at.format(3)}), (4L, 1L, null, ' ', {at.format(4)}), (5L, 1L, 7L, 'lost', {at.format(5)}),
+        (6L, 1L, 1L, 'unanswered', {at.format(6)}), (7L, 1L, null, 'second new one', {at.format(7)})
+        as t(query_id, space_id, session_id, question, asked_at)""").withColumn("extra", F.lit("clash"))
+    cited = [(None, 10, 1, 1, 0, 0.5, "p"), (5, 11, 1, 1, 1, 0.4, "q")]
+    answers = spark.createDataFrame([(1, "yes", cited), (2, None, None), (3, "x", []), (4, "x", []), (5, "x", []), (7, "z", cited[:1])],
+                                    f"query_id long, answer string, references array<{reference}>")
+    sessions = spark.sql("select 1L id, 1L space_id, 'one' title, 1 status, timestamp_ntz'2024-01-01' created_at, "
+                         "timestamp_ntz'2024-01-01' updated_at")
+    messages, references = spark.sql("select 40L id"), spark.sql("select 90L id")
+    saved = history.save(asks, answers, sessions, messages, references)
+    assert {row.query_id: row.error for row in saved.rejects.collect()} == {
+        3: "space_id missing", 4: "question blank", 5: "session not found", 6: "answer missing"}
+    ids = {row.query_id: row for row in saved.results.collect()}
+    assert ids[2].session_id == 1 and {ids[1].session_id, ids[7].session_id} == {2, 3}
+    assert sorted(row.user_message_id for row in ids.values()) == [41, 43, 45]
+    told = {row.id: row for row in saved.messages.collect()}
+    assert sorted(told) == list(range(41, 47))
+    for key, question, said in ((1, " open ", "yes"), (2, "again", ""), (7, "second new one", "z")):
+        user, assistant = told[ids[key].user_message_id], told[ids[key].assistant_message_id]
+        assert (user.role, user.content, assistant.role, assistant.content) == ("user", question, "assistant", said)
+        assert user.session_id == assistant.session_id == ids[key].session_id and user.created_at.second == key
+    kept = {(row.message_id, row.reference_index): (row.id, row.chunk_id) for row in saved.references.collect()}
+    assert set(kept) == {(ids[1].assistant_message_id, 1), (ids[1].assistant_message_id, 5), (ids[7].assistant_message_id, 1)}
+    assert sorted(n for n, _ in kept.values()) == [91, 92, 93]
+    after = {row.id: row for row in saved.sessions.collect()}
+    assert after[1].updated_at.second == 2 and after[ids[1].session_id].title == "open" and len(after) == 3
+    empty = history.save(asks.limit(0), answers.limit(0), sessions.limit(0), messages.limit(0), references.limit(0))
+    assert [part.count() for part in empty] == [0, 0, 0, 0, 0]
