@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbspark import fixed_values as fv
 from kbspark.functions import codes, scores, text as tx
-from kbspark.operators import (answer, evaluate, feed, gram_index, history, ingest, integrity, listing, retrieve,
+from kbspark.operators import (answer, eval_store, evaluate, feed, gram_index, history, ingest, integrity, listing, retrieve,
                                vectorize)
 from kbspark.operators.limits import pin
 from kbspark.sources.folders import shared_folder
@@ -763,6 +763,28 @@ def _best(kb):
     return evaluate.best_runs(evaluate.compare_runs(_comparisons(kb), _summaries(kb)))
 
 
+def _stored_results(kb):
+    """Results of all runs after those of the odd ones were stored: only pairs of the others are searched."""
+    store = eval_store.EvaluationStore(kb.spark, shared_folder(kb.spark, "evaluations"))
+    content = (kb.datasets, kb.cases, kb.expected, kb.chunks, kb.vectors, kb.documents, kb.spaces)
+    told = {"answer": evaluate.best_chunk_answer(), "latency": _latency()}
+    eval_store.evaluate_stored(store, "tables-1", kb.runs.filter("id % 2 = 1"), *content, **told)
+    return eval_store.evaluate_stored(store, "tables-1", kb.runs, *content, **told)
+
+
+@query
+def stored_case_metrics(kb):
+    return _stored_results(kb).select(
+        "run_id", "case_id", _joined("retrieved_chunk_ids").alias("retrieved_chunk_ids"), "expected_count",
+        "recall_at_k", "hit_at_k", "mrr", "answer_keyword_hit", "citation_correct", "grounded", "latency_ms",
+        "error_message")
+
+
+@query
+def stored_run_summary(kb):
+    return evaluate.summarise_runs(_stored_results(kb))
+
+
 @query
 def best_runs(kb):
     return _best(kb)

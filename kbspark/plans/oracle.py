@@ -746,6 +746,7 @@ SELECT item_id, CASE WHEN item_id % 4 <> 3 THEN to_json(keywords)::VARCHAR ELSE
                     "expected_count, recall_at_k, hit_at_k, mrr, answer_keyword_hit, hit_at_k AS citation_correct, "
                     "(ids IS NOT NULL)::INTEGER AS grounded, latency_ms, NULL::VARCHAR AS error_message FROM result",
     "failed_case_metrics": _summary("failed_result"),
+    "stored_run_summary": "SELECT * FROM summary",
     "list_metrics": """
 SELECT message_id, CASE WHEN len(ids) = 0 THEN 0e0 ELSE round(len(wanted)::DOUBLE / (len(wanted) + 1), 6) END
        AS recall_at_k, (len(wanted) > 0)::INTEGER AS hit_at_k,
@@ -791,4 +792,6 @@ WHERE reason IS NOT NULL""",
     "stream_keyed_changes": "SELECT event_id, user_id, event_type FROM events",
 }
 
+_SELECTS["stored_case_metrics"] = _SELECTS["case_metrics"]
+
 ORACLES = {name: statement(select) for name, select in _SELECTS.items()}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbspark import fixed_values as fv
-from kbspark.operators import evaluate
+from kbspark.operators import eval_store, evaluate
 
 
 def model(expected, retrieved):
@@ -129,3 +129,44 @@ def test_validity(spark):
     cases = spark.createDataFrame([(1, 1, "q"), (2, 3, "q"), (3, 1, " ")], "id long, dataset_id long, question string")
     assert {row.id: row.error for row in evaluate.case_errors(cases, datasets).collect()} == {
         2: "dataset not found", 3: "question blank"}
+
+
+def test_only_new_pairs_are_searched(spark, tmp_path):
+    chunks = spark.createDataFrame([(10, 1, 1, 0, "alpha beta", 1, 1), (11, 1, 1, 1, "beta", 1, 1)],
+                                   "id long, document_id long, space_id long, chunk_index int, content string, embedding_status int, status int")
+    vectors = spark.createDataFrame([], "space_id long, chunk_id long, embedding array<float>")
+    alive = spark.createDataFrame([(1, 1)], "id long, status int")
+    datasets = spark.createDataFrame([(1, 1, 1), (2, 9, 1)], "id long, space_id long, status int")
+    kind = "id long, dataset_id long, question string, query_vec array<float>, expected_keywords array<string>, status int"
+    asks = [(1, 1, "alpha", [1.0], ["beta"], 1), (2, 1, "beta", [1.0], ["x"], 1), (3, 2, "beta", [1.0], [], 1)]
+    run = "id long, dataset_id long, retrieval_mode string, top_k int, candidate_k int, vector_weight double, keyword_weight double, enable_answer_generation int"
+    runs = spark.createDataFrame([(1, 1, "KEYWORD_ONLY", 5, 5, None, None, 1), (2, 1, " keyword_only", 5, 5, 0.7, 0.3, 1),
+                                  (3, 2, "HYBRID", 5, 5, None, None, 1)], run)
+    expected = spark.createDataFrame([(1, 10), (1, 10), (2, 11)], "case_id long, chunk_id long")
+    store = eval_store.EvaluationStore(spark, str(tmp_path))
+
+    def check(cases, expected, version="v1"):
+        content = (datasets, spark.createDataFrame(cases, kind), expected, chunks, vectors, alive, alive)
+        told = {"answer": evaluate.best_chunk_answer(), "latency": F.col("run_id") + F.col("case_id")}
+        found = eval_store.evaluate_stored(store, version, runs, *content, **told)
+        plain = evaluate.evaluate(runs, *content, **told).select(*found.columns)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+        return store.read(version).count(), len(list(tmp_path.glob(f"version={version}/batch-*")))
+
+    # Runs with equal settings share results; a query in an unknown space is an error and not stored.
+    assert check(asks, expected) == (2, 1)
+    assert check(asks, expected) == (2, 1)
+    # A case that asks otherwise, and one that expects otherwise, are new.
+    asks[0] = (1, 1, "alpha beta", [1.0], ["beta"], 1)
+    assert check(asks, expected) == (3, 2)
+    assert check(asks, expected.unionByName(spark.createDataFrame([(2, 10)], expected.schema))) == (4, 3)
+    store.merge("v1")
+    assert check(asks, expected) == (4, 1)
+    # Results of other content are others; rows cut off before the rename do not count.
+    store.read("v1").write.parquet(f"{tmp_path}/version=v2/.batch-cut")
+    assert check(asks, expected, "v2") == (2, 1)
+    # Two writers of the same results.
+    store.add("v2", store.read("v2"))
+    assert check(asks, expected, "v2") == (2, 2)
+    with pytest.raises(ValueError):
+        store.read("../v1")
