@@ -48,18 +48,21 @@ def slices(wanted: DataFrame, key: str, most: int) -> list[Slice]:
     return out
 
 
-def looked_up(rows: DataFrame, wanted: DataFrame, key: str, most_rows: int, row_bytes: int) -> DataFrame:
+def looked_up(rows: DataFrame, wanted: DataFrame, key: str, most_rows: int, row_bytes: int,
+              also: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` joined with ``wanted`` on ``key``, an integer column of both; ``rows`` are scanned and not shuffled.
 
     ``most_rows`` is an upper bound of the rows of ``wanted``, whose rows take about ``row_bytes`` when broadcast.
+    Columns in ``also`` have to be equal too; where tables are partitioned by one, Spark prunes directories by it.
     """
+    on = [key, *also]
     fit = max(1, min(MAX_BROADCAST_ROWS, max_broadcast_bytes(rows.sparkSession) // row_bytes))
     if most_rows <= fit:
-        return rows.join(F.broadcast(wanted), key)
+        return rows.join(F.broadcast(wanted), on)
     wanted = pin(wanted, "wanted")
     some = slices(wanted, key, fit)
     if len(some) == 1:
-        return rows.join(F.broadcast(wanted), key)
-    joined = rows.join(wanted, key)
-    parts = [lambda one=one: rows.filter(one.ids(key)).join(F.broadcast(one.rows(wanted, key)), key) for one in some]
+        return rows.join(F.broadcast(wanted), on)
+    joined = rows.join(wanted, on)
+    parts = [lambda one=one: rows.filter(one.ids(key)).join(F.broadcast(one.rows(wanted, key)), on) for one in some]
     return in_slices(parts, joined.schema, rows.sparkSession, "looked-up")

@@ -243,6 +243,42 @@ def message_references(kb):
         scores.rounded(F.col("score")).alias("score"), "content_preview")
 
 
+def _written(kb, rows, name):
+    root = shared_folder(kb.spark, "listed")
+    write_table(rows, root, name)
+    return read_table(kb.spark, root, name)
+
+
+def _users(kb):
+    """Ids of the users of events, as ids of sessions or documents that are asked for; not all exist."""
+    return kb.raw("events").select(F.col("user_id").alias("id"))
+
+
+@query
+def messages_of_sessions(kb):
+    return listing.messages_of(_written(kb, kb.messages, "qa_message"), kb.sessions, _users(kb)).select(
+        "id", "session_id", "space_id", "role", "content", _text("created_at"))
+
+
+@query
+def unknown_sessions(kb):
+    return listing.unknown(kb.sessions, _users(kb), "session not found")
+
+
+@query
+def references_of_messages(kb):
+    """References of the last message of every session."""
+    last = kb.messages.groupBy("session_id").agg(F.max("id").alias("id"))
+    return listing.references_of(_written(kb, kb.references, "qa_reference"), kb.messages, last).select(
+        "id", "message_id", "reference_index", "chunk_id", "document_id", "space_id", "content_preview")
+
+
+@query
+def chunks_of_documents(kb):
+    return listing.chunks_of(_written(kb, kb.chunks, "kb_chunk"), kb.documents, _users(kb)).select(
+        "id", "document_id", "space_id", "chunk_index", "content", "embedding_status")
+
+
 @query
 def eval_datasets(kb):
     return listing.eval_datasets(kb.datasets).select("id", "space_id", "name", _text("created_at"))

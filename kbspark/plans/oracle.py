@@ -577,6 +577,16 @@ FROM kb_chunk""",
     "session_messages": "SELECT id, session_id, space_id, role, content, created_at::VARCHAR AS created_at "
                         "FROM qa_message WHERE session_id IN (SELECT id FROM qa_session WHERE status = 1)",
     "message_references": "SELECT * EXCLUDE (created_at) FROM qa_reference",
+    "messages_of_sessions": "SELECT id, session_id, space_id, role, content, created_at::VARCHAR AS created_at FROM "
+                            "qa_message WHERE session_id IN (SELECT user_id FROM events) AND session_id IN "
+                            "(SELECT id FROM qa_session WHERE status = 1)",
+    "unknown_sessions": "SELECT DISTINCT user_id AS id, 'session not found' AS error FROM events WHERE user_id NOT IN "
+                        "(SELECT id FROM qa_session WHERE status = 1)",
+    "references_of_messages": "SELECT id, message_id, reference_index, chunk_id, document_id, space_id, content_preview "
+                              "FROM qa_reference WHERE message_id IN (SELECT max(id) FROM qa_message GROUP BY session_id)",
+    "chunks_of_documents": "SELECT id, document_id, space_id, chunk_index, content, embedding_status FROM kb_chunk WHERE "
+                           "status = 1 AND document_id IN (SELECT user_id FROM events) AND document_id IN "
+                           "(SELECT id FROM kb_document WHERE status = 1)",
     "eval_datasets": "SELECT id, space_id, name, created_at::VARCHAR AS created_at FROM eval_dataset",
     "eval_cases": "SELECT k.id, dataset_id, question, expected_answer, difficulty, "
                   "(SELECT count(*) FROM expected x WHERE x.case_id = k.id) AS expected_count "

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F, types as T
 
-from kbspark.operators import ingest
+from kbspark.operators import ingest, listing
 from kbspark.operators.vectorize import finished
 from kbspark.schemas import TABLES
 from kbspark.sources.tables import read_table, write_table
@@ -205,3 +205,27 @@ def test_repeated_vectors_do_not_double_chunks(spark):
     assert (row.total_chunk_count, row.success_count, row.failed_count) == (3, 2, 1)
     assert sorted((r.id, r.embedding) for r in vectorize.attach_vectors(chunks, vectors).collect()) == [
         (0, [1.0]), (1, [1.0]), (2, None)]
+
+
+@pytest.mark.parametrize("bound", ["1000000", "200"])
+def test_children_of_given_parents(spark, tmp_path, bound):
+    """Equal however the ids are sent; directories of other spaces and files of other ids are pruned."""
+    sessions = spark.range(40).selectExpr("id", "id % 4 space_id", "cast(id % 5 > 0 as int) status")
+    messages = spark.range(400).selectExpr("id", "id % 40 session_id", "id % 4 space_id", "'user' role", "'text' content",
+                                           "timestamp_ntz'2024-01-01' created_at")
+    write_table(messages, str(tmp_path), "qa_message")
+    stored = read_table(spark, str(tmp_path), "qa_message")
+    given = spark.createDataFrame([(n,) for n in (2, 6, 6, 10, 14, 22, 99, None)], "id long")
+    spark.conf.set("kbspark.maxBroadcastBytes", bound)
+    try:
+        found = listing.messages_of(stored, sessions, given)
+        assert [(row.session_id, row.id) for row in found.collect()] == [
+            (s, s + 40 * n) for s in (2, 6, 14, 22) for n in range(10)]
+        if bound == "1000000":
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "dynamicpruning" in plan and "GreaterThanOrEqual(session_id,2)" in plan
+        nothing = listing.messages_of(stored, sessions, given.filter("id = 99"))
+        assert nothing.collect() == []
+    finally:
+        spark.conf.unset("kbspark.maxBroadcastBytes")
+    assert {row.id for row in listing.unknown(sessions, given.filter("id is not null"), "session not found").collect()} == {10, 99}
