@@ -1,17 +1,21 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed changes.
 
 A batch of changes is counted per document, turned into signed rows (a new document adds, a deleted one subtracts, a
-revised one does both), summed to a few rows per batch and written under the batch's name; a commit row follows. The
-totals are the sum over committed batches. A batch that is sent again, or was cut off before its commit, is written to
-the same place, so no batch counts twice.
+revised one does both), summed to a few rows per batch and written to a folder of its own. The batch is committed by
+the rename of a small marker to the batch's name, which fails if the name is taken: a batch that is sent again, or by
+two writers at once, counts once, and one that was cut off before does not count.
+
+Totals are kept: after some batches their changes are added to the base, the totals of all batches before them. A base
+also appears by a rename, and names the batches it took in, whose markers move from ``open`` to ``closed`` afterwards.
+Whoever reads meets one base and a few batches, whatever the number of batches ever committed.
 """
 
 import base64
+import uuid
 from collections.abc import Iterator
 from pathlib import PurePath
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbspark.llm.common import stored
@@ -89,40 +93,106 @@ def changes(gone: DataFrame | None, come: DataFrame | None) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a shared folder: ``changes/batch=…`` and ``commits/batch=…``."""
+    """Totals in a shared folder: ``changes``, the markers ``open`` and ``closed``, and ``base``."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 20):
+        self.spark, self.root, self.compact_every = spark, root.rstrip("/"), compact_every
 
-    def committed(self) -> list[str]:
-        """Names of the batches that count."""
+    # --- files ---
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _files(self):
+        return self._path("open").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        found = self._files().globStatus(self._path(f"{folder}/*")) or []
+        return sorted(name for one in found if not (name := one.getPath().getName()).startswith((".", "_")))
+
+    def _moved(self, source: str, target: str) -> bool:
+        """Renames unless the target exists, in one step; False if it does."""
+        hadoop, there = self.spark._jvm.org.apache.hadoop.fs, self._path(target)
+        self._files().mkdirs(there.getParent())
+        never_over = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
         try:
-            rows = self.spark.read.schema("name string").parquet(f"{self.root}/commits/*")
-            return sorted(row["name"] for row in rows.distinct().collect())
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
+            hadoop.FileContext.getFileContext(there.toUri(), self.spark._jsc.hadoopConfiguration()).rename(
+                self._path(source), there, never_over)
+        except Exception:
+            if not self._files().exists(there):
                 raise
-            return []
+            self._files().delete(self._path(source), True)
+            return False
+        return True
+
+    # --- batches ---
+
+    def committed(self) -> list[str]:
+        """Names of the batches that count, for reports; neither commits nor totals list them all."""
+        return sorted({*self._names("open"), *self._names("closed")})
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Write the changes of ``batch`` and commit it; False, without any change, if it was committed before."""
         if not batch or not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"not a batch name: {batch!r}")
-        if batch in self.committed():
+        if any(self._files().exists(self._path(f"{state}/{batch}")) for state in ("closed", "open")):
+            return False
+        write = uuid.uuid4().hex
+        folder = f"changes/{batch}/{write}"
+        rows.select(*GROUP, "n_docs", "n_tokens").write.parquet(f"{self.root}/{folder}")
+        self.spark.createDataFrame([(batch, folder)], "name string, folder string").coalesce(1).write.parquet(
+            f"{self.root}/open/.{write}")
+        if not self._moved(f"open/.{write}", f"open/{batch}"):
             return False
-        rows.select(*GROUP, "n_docs", "n_tokens").write.mode("overwrite").parquet(f"{self.root}/changes/{batch}")
-        self.spark.createDataFrame([(batch,)], "name string").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/commits/{batch}")
+        if len(self._names("open")) >= self.compact_every:
+            self.compact()
         return True
 
-    def totals(self) -> DataFrame:
-        """``(source, lang, tokenizer, n_docs, n_tokens)``; groups without documents are left out."""
-        folders = [f"{self.root}/changes/{batch}" for batch in self.committed()]
-        rows = self.spark.read.schema(CHANGES).parquet(*folders) if folders else self.spark.createDataFrame([], CHANGES)
+    def _state(self) -> tuple[int, set[str], dict[str, str]]:
+        """Number of the newest base, the batches it names, and the folders of the open batches beyond it."""
+        # Markers are listed before the base is chosen: a batch that is merged in between is then named by the base.
+        names = self._names("open")
+        base = max((int(name) for name in self._names("base")), default=0)
+        merged = set()
+        if base:
+            merged = {row["name"] for row in self.spark.read.schema("name string").parquet(f"{self.root}/base/{base:012d}/merged").collect()}
+        left = [name for name in names if name not in merged]
+        folders = {}
+        for name in left:
+            # A marker that came back after its batch was closed says nothing new.
+            if not self._files().exists(self._path(f"closed/{name}")):
+                folders[name] = self.spark.read.schema("folder string").parquet(f"{self.root}/open/{name}").first()["folder"]
+        return base, merged & set(names), folders
+
+    def _sums(self, base: int, folders: dict[str, str]) -> DataFrame:
+        paths = [f"{self.root}/{folder}" for folder in folders.values()]
+        paths += [f"{self.root}/base/{base:012d}/totals"] if base else []
+        rows = self.spark.read.schema(CHANGES).parquet(*paths) if paths else self.spark.createDataFrame([], CHANGES)
         return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter(
             "n_docs <> 0 OR n_tokens <> 0")
 
+    def compact(self) -> None:
+        """Adds the open batches to the base; of several writers that do so at once, one does."""
+        base, still_open, folders = self._state()
+        if folders:
+            aside = f"base/.{uuid.uuid4().hex}"
+            self._sums(base, folders).write.parquet(f"{self.root}/{aside}/totals")
+            names = [(name,) for name in sorted({*still_open, *folders})]
+            self.spark.createDataFrame(names, "name string").coalesce(1).write.parquet(f"{self.root}/{aside}/merged")
+            if not self._moved(aside, f"base/{base + 1:012d}"):
+                return
+        for name in {*still_open, *folders}:
+            self._moved(f"open/{name}", f"closed/{name}")
+
+    def totals(self) -> DataFrame:
+        """``(source, lang, tokenizer, n_docs, n_tokens)``; groups without documents are left out."""
+        base, _, folders = self._state()
+        return self._sums(base, folders)
+
 
 def counts_of(counted: DataFrame, names: DataFrame) -> DataFrame:
-    """The stored counts of the documents that ``names`` lists in its column ``doc_id``."""
+    """The stored counts of the documents that ``names`` lists in its column ``doc_id``; a null id names none.
+
+    A document that is listed several times counts once.
+    """
     return counted.join(stored(names.select("doc_id").distinct(), "changed"), "doc_id", "left_semi")

@@ -87,3 +87,46 @@ def test_odd_templates(spark):
     assert {(r["doc_id"], r["license"]) for r in found} == {(1, "one"), (2, "two")}
     assert licenses.license_lines(docs, {}).collect() == []
     assert licenses.license_lines(documents(spark, [])).collect() == []
+
+
+def one_group(spark, n, tokens):
+    return spark.createDataFrame([("a", None, "bpe", n, tokens)], token_counts.CHANGES)
+
+
+def test_totals_are_kept(spark, tmp_path):
+    """Totals read one base and a few batches; merged batches do not count again, nor when their markers come back."""
+    rollup = token_counts.Rollup(spark, str(tmp_path), compact_every=3)
+    for n in range(1, 9):
+        assert rollup.commit(f"batch-{n}", one_group(spark, 1, n))
+        assert totals(rollup) == {("a", None): (n, n * (n + 1) // 2)}
+        assert not rollup.commit(f"batch-{n}", one_group(spark, 1, n))
+    assert sorted(path.name for path in (tmp_path / "base").glob("0*")) == ["000000000001", "000000000002"]
+    assert len(list((tmp_path / "open").glob("b*"))) == 2 and len(rollup.committed()) == 8
+    # A writer that had looked before the batch was closed sets its marker late.
+    (tmp_path / "closed" / "batch-1").rename(tmp_path / "open" / "batch-1")
+    (tmp_path / "closed" / "batch-1").mkdir()
+    assert totals(rollup) == {("a", None): (8, 36)}
+    rollup.compact()
+    assert totals(rollup) == {("a", None): (8, 36)}
+    assert rollup.commit("gone", one_group(spark, -8, -36)) and totals(rollup) == {}
+
+
+def test_a_merge_that_stops_half_way_does_not_count_twice(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, str(tmp_path), compact_every=100)
+    for n in range(3):
+        rollup.commit(f"b{n}", one_group(spark, 1, 5))
+    moved = token_counts.Rollup._moved
+    rollup._moved = lambda source, target: moved(rollup, source, target) if target.startswith("base") else False
+    rollup.compact()
+    del rollup._moved
+    assert len(list((tmp_path / "open").glob("b*"))) == 3 and totals(rollup) == {("a", None): (3, 15)}
+    rollup.commit("b3", one_group(spark, 1, 5))
+    rollup.compact()
+    assert totals(rollup) == {("a", None): (4, 20)} and not list((tmp_path / "open").glob("b*"))
+
+
+def test_counts_of_no_documents(spark, tmp_path):
+    none = token_counts.per_document(documents(spark, []), VERSIONS)
+    rollup = token_counts.Rollup(spark, str(tmp_path))
+    assert rollup.commit("empty", token_counts.changes(None, none)) and totals(rollup) == {}
+    assert not rollup.commit("empty", token_counts.changes(None, none))
