@@ -871,9 +871,8 @@ def batch_task_rollup(kb):
 
 
 def _stream(kb, table):
-    """A given table as a file stream."""
-    return (kb.spark.readStream.schema(kb.raw(table).schema).option("pathGlobFilter", f"{table}.parquet")
-            .parquet(kb.sf_dir))
+    """A given table as a file stream; a pattern of one name, since the table may be one file or a folder of files."""
+    return kb.spark.readStream.schema(kb.raw(table).schema).parquet(f"{kb.sf_dir}/{table}.[p]arquet")
 
 
 @query

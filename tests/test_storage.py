@@ -8,6 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from kbspark.operators import ingest, listing
 from kbspark.operators.vectorize import finished
+from kbspark.plans.catalog import QUERIES
 from kbspark.schemas import TABLES
 from kbspark.sources.tables import read_table, write_table
 from kbspark.sources.testdata import KnowledgeBase
@@ -229,3 +230,16 @@ def test_children_of_given_parents(spark, tmp_path, bound):
     finally:
         spark.conf.unset("kbspark.maxBroadcastBytes")
     assert {row.id for row in listing.unknown(sessions, given.filter("id is not null"), "session not found").collect()} == {10, 99}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_in_one_file_or_many_is_a_stream(spark, tmp_path, files):
+    rows = [(n, f"text {n} " * 90, "en", "src1", 7) for n in range(9)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    given.repartition(files, "doc_id").write.parquet(str(tmp_path / "written"))
+    if files > 1:
+        (tmp_path / "documents.parquet").symlink_to(tmp_path / "written")
+    else:
+        (tmp_path / "documents.parquet").write_bytes(next((tmp_path / "written").glob("part-*.parquet")).read_bytes())
+    found = QUERIES["stream_document_chunks"](spark, str(tmp_path))
+    assert sorted(row.document_id for row in found.filter("chunk_index = 0").collect()) == list(range(9))
