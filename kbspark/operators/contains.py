@@ -1,10 +1,13 @@
 """Exact substring join of many patterns against many texts, without comparing every pair.
 
-A text is met by the patterns whose gram it holds. A pattern's gram is the one of its ``GRAM`` characters in a row that
-is rarest among all patterns. Up to a measured bound the patterns are broadcast: each text's distinct grams look them
-up, and each meeting is verified with ``contains`` in the same stage, so texts are not shuffled and only matches leave.
-A bit field of the grams that patterns have lets a text drop nearly all of its own before they become rows.
-Patterns that are shorter than a gram are verified against every text of their group.
+Up to a measured bound the patterns are broadcast, and every task looks for all of them in its texts at once
+(``substrings.py``): texts are not shuffled and only keys of matches leave.
+
+``meetings`` keeps other columns of the texts beside the patterns in them. There a text is met by the patterns whose gram
+it holds. A pattern's gram is the one of its ``GRAM`` characters in a row that is rarest among all patterns. Each text's
+distinct grams look them up, and each meeting is verified with ``contains`` in the same stage. A bit field of the grams
+that patterns have lets a text drop nearly all of its own before they become rows. Patterns that are shorter than a gram
+are verified against every text of their group.
 
 Beyond the bound nothing is broadcast. Texts are cut into runs of ``s`` characters, side by side. An occurrence of a
 pattern of at least ``2s - 1`` characters covers one whole run, which is then one of the pattern's first ``s``
@@ -12,10 +15,12 @@ substrings of that length, its anchors. So an equi join of runs with anchors mee
 verified against the text, and of several occurrences only the first counts.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kbspark.functions.substrings import Patterns, lowest
 from kbspark.operators.limits import max_broadcast_bytes, pin
 
 GRAM = 4
@@ -42,7 +47,7 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     usable = patterns.filter(F.length(pattern) > 0)
     size = usable.agg(F.sum(F.octet_length(pattern) * 2 + _ROW_BYTES)).first()[0] or 0
     if size <= max_broadcast_bytes(texts.sparkSession):
-        found = meetings(texts, usable, text, pattern, group, [key])
+        found = _by_bytes(texts, usable, text, pattern, group, key, most)
     else:
         found = _by_runs(texts, usable, text, pattern, group, key)
     if most is None:
@@ -101,6 +106,33 @@ def meetings(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, gro
     return found.filter(F.contains(F.col(text), F.col(pattern))).select(*keep, *patterns.columns)
 
 
+def _by_bytes(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str, most: int | None) -> DataFrame:
+    """``(key, *patterns)``: every task looks for the broadcast patterns in its batches of texts.
+
+    Only keys and numbers of patterns leave a task, of a batch at most the ``most`` lowest keys of a pattern.
+    """
+    short = F.length(pattern) < GRAM
+    patterns = pin(patterns.filter(~short).distinct().unionByName(patterns.filter(short)), "patterns")
+    table = patterns.select(group, pattern).filter(F.col(group).isNotNull()).distinct().toArrow()
+    table = table.append_column("_number", pa.array(range(table.num_rows), pa.int64()))
+    held = patterns.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Patterns(held.value)
+        for batch in batches:
+            place, number = known.found(batch.column(2), batch.column(1))
+            keys = batch.column(0)
+            if most is not None and len(place):
+                kept = lowest(keys.to_numpy(zero_copy_only=False)[place], number, most)
+                place, number = place[kept], number[kept]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(place)), pa.array(number)], names=[key, "_number"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    met = texts.filter(F.col(key).isNotNull()).select(key, group, text).mapInArrow(run, f"{key} {kind}, _number long")
+    numbers = patterns.sparkSession.createDataFrame(table)
+    return met.join(F.broadcast(patterns.join(F.broadcast(numbers), [group, pattern])), "_number").select(key, *patterns.columns)
+
+
 def _run_size(pattern: Column) -> Column:
     size = F.lit(None).cast("int")
     for known in reversed(RUN_SIZES):

@@ -145,6 +145,7 @@ def document_update_rejects(kb):
 
 def _versions(kb):
     """Documents and chunks as versioned tables, in blocks of 250 documents."""
+    kb.pin_chunks()
     store = Versions(kb.spark, shared_folder(kb.spark, "versions"), block_documents=250)
     store.commit(0, {"kb_document": kb.documents, "kb_chunk": kb.chunks})
     return store
@@ -406,6 +407,7 @@ _RESULT = ["query_id", "rank", "chunk_id", "document_id", "space_id", "chunk_ind
 
 
 def _search(kb, queries, **options):
+    kb.pin_chunks()
     return retrieve.search(queries, kb.chunks, kb.vectors, kb.documents, kb.spaces, retrieve.Options(**options)).select(*_RESULT)
 
 
@@ -439,6 +441,7 @@ def vector_topk(kb):
 
 @query
 def vector_candidates(kb):
+    kb.pin_chunks()
     valid, bounds = retrieve.prepare(kb.queries("HYBRID"), kb.spaces)
     return retrieve.vector_candidates(valid, kb.chunks, kb.vectors, kb.documents, bounds)
 
@@ -451,6 +454,7 @@ def keyword_candidates(kb):
 
 @query
 def keyword_scores(kb):
+    kb.pin_chunks()
     valid, bounds = retrieve.prepare(kb.queries("KEYWORD_ONLY", candidate_k=60), kb.spaces)
     found = retrieve.with_chunk(retrieve.keyword_candidates(valid, kb.chunks, bounds), kb.chunks, bounds)
     return found.join(valid.select("query_id", "terms"), "query_id").select(
@@ -510,6 +514,7 @@ def symbol_terms(kb):
 
 @query
 def rerank_components(kb):
+    kb.pin_chunks()
     valid, bounds = retrieve.prepare(kb.queries("HYBRID_RERANK"), kb.spaces)
     found = retrieve.with_chunk(
         retrieve.candidates(valid, kb.chunks, kb.vectors, kb.documents, bounds), kb.chunks, bounds)
@@ -693,6 +698,7 @@ def _latency():
 
 def _case_results(kb):
     """All runs; cases whose query has no visible text, or whose run names a deleted space, become error rows."""
+    kb.pin_chunks()
     return evaluate.evaluate(
         kb.runs, kb.datasets, kb.cases, kb.expected, kb.chunks, kb.vectors, kb.documents, kb.spaces,
         answer=evaluate.best_chunk_answer(), latency=_latency())
@@ -736,6 +742,7 @@ def case_metrics(kb):
 @query
 def failed_case_metrics(kb):
     """The Spanish space is deleted: its vector and hybrid runs fail, its keyword run does not."""
+    kb.pin_chunks()
     spaces = kb.spaces.withColumn("status", F.when(F.col("name") == "es", fv.DELETED).otherwise(F.col("status")))
     results = evaluate.evaluate(
         kb.runs, kb.datasets, kb.cases, kb.expected, kb.chunks, kb.vectors, kb.documents, spaces, latency=_latency())
@@ -801,6 +808,7 @@ def _best(kb):
 
 def _stored_results(kb):
     """Results of all runs after those of the odd ones were stored: only pairs of the others are searched."""
+    kb.pin_chunks()
     store = eval_store.EvaluationStore(kb.spark, shared_folder(kb.spark, "evaluations"))
     content = (kb.datasets, kb.cases, kb.expected, kb.chunks, kb.vectors, kb.documents, kb.spaces)
     told = {"answer": evaluate.best_chunk_answer(), "latency": _latency()}

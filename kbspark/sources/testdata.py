@@ -1,7 +1,8 @@
 """Knowledge-base tables derived from the driver's test tables.
 
 Every row is computed by Spark from the given Parquet tables with rules that plain SQL can state as well, so each
-query can be checked. ``KnowledgeBase`` builds a table when it is asked for; nothing is written or cached.
+query can be checked. ``KnowledgeBase`` builds a table when it is asked for. Written are only the few spaces, the ids of
+documents that are not plain, and the chunks where a query asks for that (``pin_chunks``).
 """
 
 from functools import cached_property
@@ -12,12 +13,15 @@ from kbspark import fixed_values as fv
 from kbspark.functions import codes, text as tx
 from kbspark.operators import ingest
 from kbspark.operators.contains import contains_join
-from kbspark.operators.limits import spread
+from kbspark.operators.limits import broadcast_if, pin, spread
 from kbspark.sources.tables import read_table, write_table
 
 # The four languages of the test documents are the four spaces.
 SPACE_OF_LANG = {"de": 1, "en": 2, "es": 3, "fr": 4}
 
+# Bytes of a broadcast mark of a document.
+_MARK_BYTES = 64
+
 _BASE_TIME = "2024-01-01 00:00:00"
 
 
@@ -52,6 +56,7 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._chunks_pinned = False
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -60,10 +65,11 @@ class KnowledgeBase:
 
     @cached_property
     def spaces(self) -> DataFrame:
-        return (self.raw("documents").select("lang").distinct()
-                .select(space_of(F.col("lang")).alias("id"), F.col("lang").alias("name"),
-                        F.concat(F.lit("documents in "), "lang").alias("description"),
-                        F.lit(fv.ACTIVE).alias("status")))
+        found = self.raw("documents").select("lang").distinct().select(
+            space_of(F.col("lang")).alias("id"), F.col("lang").alias("name"),
+            F.concat(F.lit("documents in "), "lang").alias("description"), F.lit(fv.ACTIVE).alias("status"))
+        # A few rows that many branches read: the documents are scanned for them once.
+        return pin(found, "spaces")
 
     @cached_property
     def document_requests(self) -> DataFrame:
@@ -74,24 +80,51 @@ class KnowledgeBase:
             F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.upper("source")).alias("source_type"),
             F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_uri"))
 
+    @cached_property
+    def _toxic(self) -> DataFrame:
+        return (self.raw("labels").filter("toxic = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+                .withColumn("toxic", F.lit(True)))
+
+    @cached_property
+    def _marks(self) -> tuple[DataFrame, int, int]:
+        """``(id, toxic, copies)`` of documents that are toxic or whose id several have; rows and most copies."""
+        repeated = self.raw("documents").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("copies")).filter(
+            "id IS NOT NULL AND copies > 1")
+        marks = pin(self._toxic.join(repeated, "id", "full_outer").select(
+            "id", F.coalesce("toxic", F.lit(False)).alias("toxic"), F.coalesce("copies", F.lit(1)).cast("int").alias("copies")),
+            "marked-documents")
+        return marks, *marks.agg(F.count("*"), F.coalesce(F.max("copies"), F.lit(1))).first()
+
     @cached_property
     def documents(self) -> DataFrame:
-        toxic = (self.raw("labels").filter("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
-                 .withColumn("toxic", F.lit(True)))
-        return (ingest.prepare_documents(self.document_requests).join(toxic, "id", "left")
+        marks, rows, _ = self._marks
+        side = broadcast_if(marks.filter("toxic").select("id", "toxic"), rows, _MARK_BYTES)
+        return (ingest.prepare_documents(self.document_requests).join(side, "id", "left")
                 .withColumn("status", F.when(F.col("toxic"), fv.DELETED).otherwise(fv.ACTIVE)).drop("toxic"))
 
     @cached_property
     def chunks(self) -> DataFrame:
-        status = self.documents.select(F.col("id").alias("document_id"), F.col("status").alias("doc_status"))
+        """Chunks with the status of their document; the few marks meet the documents, whose texts are not shuffled."""
+        marks, rows, most = self._marks
+        marked = self.document_requests.filter("id IS NOT NULL").join(
+            broadcast_if(marks, rows, _MARK_BYTES), "id", "left").withColumn(
+            "doc_status", F.when(F.col("toxic"), fv.DELETED).otherwise(fv.ACTIVE))
+        cut = ingest.chunk_documents(marked, keep=["doc_status", "copies"])
+        if most > 1:  # chunks go by the document's id alone: each belongs to every document that has the id
+            cut = cut.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
         embedding = (F.when(F.col("id") % 17 == 3, fv.EMBEDDING_FAILED)
                      .when(F.col("id") % 13 == 5, fv.EMBEDDING_PENDING).otherwise(fv.EMBEDDING_DONE))
-        return (ingest.chunk_documents(self.document_requests)
-                .join(status, "document_id")
-                .withColumns({"status": F.col("doc_status"), "embedding_status": embedding})
+        return (cut.withColumns({"status": F.col("doc_status"), "embedding_status": embedding})
                 .withColumn("vector_id", F.when(F.col("embedding_status") == fv.EMBEDDING_DONE,
                                                 codes.vector_id(F.col("id"))))
-                .drop("doc_status"))
+                .select("document_id", "id", "space_id", "chunk_index", "content", "char_count", "embedding_status",
+                        "vector_id", "status"))
+
+    def pin_chunks(self) -> "KnowledgeBase":
+        """Chunks from now on computed once and read back: for queries that read them in several branches."""
+        if not self._chunks_pinned:
+            self.chunks, self._chunks_pinned = pin(self.chunks, "chunks"), True
+        return self
 
     def _chunk_vectors(self, chunks: DataFrame) -> DataFrame:
         embeddings = self.raw("embeddings")
@@ -296,6 +329,9 @@ class StoredKnowledgeBase(KnowledgeBase):
     chunks = cached_property(lambda self: spread(self._stored("kb_chunk"), "id"))
     vectors = cached_property(lambda self: spread(self._stored("chunk_vector"), "chunk_id"))
 
+    def pin_chunks(self) -> "StoredKnowledgeBase":
+        return self
+
 
 def store(kb: KnowledgeBase, root: str) -> None:
     """Write the content tables of a knowledge base."""

@@ -238,3 +238,31 @@ def test_unknown_orders_are_refused(spark):
     with pytest.raises(ValueError):
         retrieve.keyword_candidates(spark.range(1), spark.range(1), None,
                                     retrieve.Options(candidate_order="score", recall=lambda terms, most: terms))
+
+
+def test_patterns_in_small_blocks(monkeypatch):
+    """Places of any width, over the ends of texts and of blocks, against plain search."""
+    import pyarrow as pa
+
+    from kbspark.functions import substrings
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé漢") for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None]
+    groups = [rng.choice([1, 2, None]) for _ in texts]
+    patterns = sorted({(rng.choice([1, 2, 3]), text[k:k + size]) for text in texts[:60] for k, size in ((0, 1), (2, 3), (3, 7), (1, 30)) if text[k:k + size]})
+    known = substrings.Patterns(pa.table([*zip(*[(*one, n) for n, one in enumerate(patterns)], strict=True)], names=["g", "p", "n"]))
+    wanted = sorted((t, n) for t, (text, home) in enumerate(zip(texts, groups, strict=True)) if text and home
+                    for n, (group, pattern) in enumerate(patterns) if group == home and pattern in text)
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
+        place, number = known.found(pa.array(texts, pa.string()), pa.array(groups, pa.int64()))
+        assert sorted(zip(place.tolist(), number.tolist(), strict=True)) == wanted
+    assert not len(substrings.Patterns(pa.table({"g": pa.array([], pa.int64()), "p": pa.array([], pa.string()), "n": pa.array([], pa.int64())}))
+                   .found(pa.array(texts), pa.array(groups))[0])
+
+
+def test_lowest_keys_of_patterns():
+    from kbspark.functions.substrings import lowest
+
+    keys, patterns = np.array([5, 3, 9, 3, 1, 7]), np.array([0, 0, 0, 2, 2, 0])
+    assert sorted((patterns[n], keys[n]) for n in lowest(keys, patterns, 2)) == [(0, 3), (0, 5), (2, 1), (2, 3)]

@@ -243,3 +243,26 @@ def test_a_table_in_one_file_or_many_is_a_stream(spark, tmp_path, files):
         (tmp_path / "documents.parquet").write_bytes(next((tmp_path / "written").glob("part-*.parquet")).read_bytes())
     found = QUERIES["stream_document_chunks"](spark, str(tmp_path))
     assert sorted(row.document_id for row in found.filter("chunk_index = 0").collect()) == list(range(9))
+
+
+def test_texts_are_not_shuffled_for_their_status(spark, tmp_path):
+    """Chunks get the status of their document, also where ids repeat or labels lack one, without a shuffle of texts."""
+    ids = [*range(12), 3, None]
+    spark.createDataFrame([(n, f"text {n} {at} " * 90, "en", "src1", 7) for at, n in enumerate(ids)],
+                          "doc_id long, text string, lang string, source string, n_chars long").repartition(64).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1, 1), (3, 0, 1), (5, 1, 1), (6, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kb = KnowledgeBase(spark, str(tmp_path))
+        plan = kb.chunks._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        heads = sorted((row.document_id, row.status) for row in kb.chunks.filter("chunk_index = 0").collect())
+        # Two documents with one id: the chunks of each belong to both.
+        assert heads == sorted((n, 0 if n in (3, 5) else 1) for n in [*range(12), 3, 3, 3])
+        assert sorted(map(repr, kb.documents.select("id", "status").collect())) == sorted(
+            f"Row(id={n}, status={0 if n in (3, 5) else 1})" for n in ids)
+        before = sorted(map(repr, kb.chunks.collect()))
+        assert sorted(map(repr, kb.pin_chunks().pin_chunks().chunks.collect())) == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
