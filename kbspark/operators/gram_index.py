@@ -1,24 +1,33 @@
 """Substring recall from a stored table of grams, so that a search reads postings and not all texts.
 
-The table ``chunk_gram`` has a row for every different gram of a partition's texts in lower case, with the ids of the
-chunks that have it: ``GRAM`` characters from every place, fewer at the end of a text. It lies beside the chunks in the
+The table ``chunk_gram`` has rows for every different gram of a partition's texts in lower case, with the ids of the
+chunks that have it (several rows of a gram where several batches of texts make up a partition): ``GRAM`` characters from every place, fewer at the end of a text. It lies beside the chunks in the
 same partitions, sorted by gram; a list has at most the chunks of its partition. A feed that rewrites a partition of
 chunks rewrites its grams in the same version. A term of up to ``GRAM`` characters is in a text exactly when a gram
 starts with it. Of a longer term the ``RAREST`` rarest grams are looked up; chunks that have them all are the
 candidates, and only these are read and checked.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kbspark.functions import gram_lists
 from kbspark.operators.contains import GRAM, full_grams
-from kbspark.operators.limits import broadcast_if, pin
+from kbspark.operators.limits import GROUP_LIMIT_MAX, broadcast_if, pin
 from kbspark.operators.lookup import looked_up
 from kbspark.sources.versions import Part, Versions
 
 RAREST = 2
 
+# Rows of lists that a task puts out at a time.
+_GRAM_ROWS = 4096
+
+# Lowest ids of a short term that are looked at first.
+FIRST_IDS = GROUP_LIMIT_MAX
+
 # Bytes of a broadcast term, and of a candidate.
 _TERM_BYTES = 400
 _CANDIDATE_BYTES = 400
@@ -31,13 +40,30 @@ def _grams(text: Column) -> Column:
 
 
 def grams_of(chunks: DataFrame, block_documents: int) -> DataFrame:
-    """Rows of ``chunk_gram`` of chunks of any status, which have their ``block``."""
-    texts = chunks.select("space_id", "block", F.col("id").alias("chunk_id"), F.lower("content").alias("text"))
-    rows = texts.select("space_id", "block", "chunk_id", F.explode_outer(_grams(F.col("text"))).alias("gram")).filter("gram IS NOT NULL")
-    lists = rows.groupBy("space_id", "block", "gram").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+    """Rows of ``chunk_gram`` of chunks of any status, which have their ``block``.
+
+    Every task lists the grams of the texts that it reads; a partition that several batches hold has several rows of a
+    gram. So no row is made for a gram and a text, and only lists are shuffled into the order of the table.
+    """
+    texts = chunks.filter("id IS NOT NULL AND content IS NOT NULL").select("space_id", "block", "id", F.lower("content").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place: dict[tuple, list[int]] = {}
+            for n, part in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                place.setdefault(part, []).append(n)
+            ids = batch.column(2).to_numpy(zero_copy_only=False)
+            for (space, block), own in place.items():
+                for grams, found in gram_lists.lists(ids[own], batch.column(3).take(pa.array(own)).to_pylist()):
+                    for first in range(0, len(grams), _GRAM_ROWS):
+                        some, few = grams[first:first + _GRAM_ROWS], found.slice(first, _GRAM_ROWS)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([space] * len(some), pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(some, pa.string()),
+                            pc.list_value_length(few).cast(pa.int64()), few], names=["space_id", "block", "gram", "chunks", "chunk_ids"])
+
+    lists = texts.mapInArrow(run, "space_id long, block long, gram string, chunks long, chunk_ids array<long>")
     # A partition's rows go by its blocks, which are ranges of document ids.
-    return lists.select("space_id", (F.col("block") * block_documents).alias("document_id"), "gram",
-                        F.size("chunk_ids").alias("chunks"), "chunk_ids")
+    return lists.select("space_id", (F.col("block") * block_documents).alias("document_id"), "gram", "chunks", "chunk_ids")
 
 
 def build(store: Versions) -> int:
@@ -60,20 +86,30 @@ def _chosen(store: Versions, version: int, spaces: Callable[[DataFrame], DataFra
         *keys, "term", F.max("n").over(of_term).alias("needed")), "rarest-grams")
 
 
-def _postings(store: Versions, version: int, spaces: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
-    """``(space_id, key, chunk_id, block)`` of the chunks that have a gram which is, or starts with, a key; one scan."""
+def _postings(store: Versions, version: int, spaces: Callable[[DataFrame], DataFrame], keys: DataFrame,
+              most: int | None = None) -> DataFrame:
+    """``(space_id, key, chunk_id, block)`` of the chunks that have a gram which is, or starts with, a key; one scan.
+
+    With ``most`` only the ``most`` lowest chunk ids of a key, cut in every task before anything is shuffled.
+    """
     keys = pin(keys.select("space_id", "key").distinct(), "gram-keys")
     sizes = sorted(row[0] for row in keys.select(F.length("key")).distinct().collect())
     rows = spaces(store.read("chunk_gram", version))
     # Grams lie sorted: where few are asked for, the ends of their range keep most files and pages unread.
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
+    # The last end is not that of the last key: what starts with "a" goes on beyond what starts with "ab".
+    low, high = keys.agg(F.min("key"), F.max(F.concat("key", F.lit(chr(0x10FFFF))))).first()
     if low is not None:
-        rows = rows.filter((F.col("gram") >= low) & (F.col("gram") <= high + chr(0x10FFFF)))
+        rows = rows.filter((F.col("gram") >= low) & (F.col("gram") <= high))
     starts = F.array_distinct(F.array(*[F.substring("gram", 1, size) for size in sizes]).cast("array<string>"))
     # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
     some = rows.select("space_id", "block", "chunk_ids", F.explode_outer(starts).alias("key"))
+    # Lists are sorted: what is beyond the lowest of one list is beyond the lowest of all.
+    ids = F.col("chunk_ids") if most is None else F.slice("chunk_ids", 1, most)
     met = some.join(broadcast_if(keys, keys.count(), _TERM_BYTES), ["space_id", "key"]).select(
-        "space_id", "key", "block", F.explode("chunk_ids").alias("chunk_id"))
+        "space_id", "key", "block", F.explode(ids).alias("chunk_id"))
+    if most is not None:
+        place = F.dense_rank().over(Window.partitionBy("space_id", "key").orderBy("chunk_id"))
+        met = met.withColumn("n", place).filter(F.col("n") <= most).drop("n")
     # A chunk may have several grams that start with a short key.
     return pin(met.distinct(), "postings")
 
@@ -91,12 +127,35 @@ def recall(store: Versions, searchable: Callable[[DataFrame], DataFrame], versio
         return searchable(store.read("kb_chunk", version, parts)).select(
             F.col("id").alias("chunk_id"), F.lower("content").alias("text"))
 
+    def starting(short: DataFrame, most: int | None) -> DataFrame:
+        """Chunks of terms that no gram is shorter than: no text is read.
+
+        Many chunks have such a term, so only the lowest ids are looked at first. Where too few of a term's lowest ids
+        can be returned, and there are more, all of its chunks are.
+        """
+        live = spaces(searchable(store.read("kb_chunk", version))).select(F.col("id").alias("chunk_id"))
+
+        def of(keys: DataFrame, first: int | None) -> tuple[DataFrame, DataFrame]:
+            postings = _postings(store, version, spaces, keys, first).withColumnRenamed("key", "term")
+            return postings, pin(postings.select("space_id", "term", "chunk_id").distinct().join(live, "chunk_id", "left_semi"), "short-terms")
+
+        keys = short.select("space_id", F.col("term").alias("key"))
+        if most is None or most > FIRST_IDS:
+            return of(keys, None)[1].select("space_id", "term", "chunk_id")
+        looked, kept = of(keys, FIRST_IDS)
+        some = looked.groupBy("space_id", "term").agg(F.count_distinct("chunk_id").alias("looked")).join(
+            kept.groupBy("space_id", "term").agg(F.count("*").alias("kept")), ["space_id", "term"], "left")
+        open_ = pin(some.filter((F.col("looked") >= FIRST_IDS) & (F.coalesce("kept", F.lit(0)) < most)).select("space_id", "term"), "open-terms")
+        if open_.isEmpty():
+            return kept.select("space_id", "term", "chunk_id")
+        rest = of(open_.withColumnRenamed("term", "key"), None)[1]
+        return kept.join(open_, ["space_id", "term"], "left_anti").unionByName(rest).select("space_id", "term", "chunk_id")
+
     def find(terms: DataFrame, most: int | None) -> DataFrame:
         terms = pin(terms.select("space_id", "term").filter(F.length("term") > 0), "terms")
         short = terms.filter(F.length("term") <= GRAM)
         chosen = _chosen(store, version, spaces, terms)
-        postings = _postings(store, version, spaces, chosen.select("space_id", "key").unionByName(
-            short.select("space_id", F.col("term").alias("key"))))
+        postings = _postings(store, version, spaces, chosen)
         met = postings.join(broadcast_if(chosen, chosen.count(), _TERM_BYTES), ["space_id", "key"])
         candidates = pin(met.groupBy("space_id", "term", "chunk_id").agg(
             F.count(F.lit(1)).alias("grams"), F.any_value("needed").alias("needed"), F.any_value("block").alias("block")).filter(
@@ -104,10 +163,7 @@ def recall(store: Versions, searchable: Callable[[DataFrame], DataFrame], versio
         parts = [Part(row["space_id"], row["block"]) for row in candidates.select("space_id", "block").distinct().collect()]
         found = looked_up(texts(parts), candidates.drop("block"), "chunk_id", candidates.count(), _CANDIDATE_BYTES).filter(
             F.contains("text", F.col("term"))).select("space_id", "term", "chunk_id")
-        live = spaces(searchable(store.read("kb_chunk", version))).select(F.col("id").alias("chunk_id"))
-        direct = postings.withColumnRenamed("key", "term").join(
-            broadcast_if(short, short.count(), _TERM_BYTES), ["space_id", "term"]).join(live, "chunk_id", "left_semi")
-        found = found.unionByName(direct.select("space_id", "term", "chunk_id"))
+        found = found.unionByName(starting(short, most))
         if most is None:
             return found
         order = Window.partitionBy("space_id", "term").orderBy("chunk_id")

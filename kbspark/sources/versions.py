@@ -29,6 +29,13 @@ _SORTED = {**SORT_KEYS, "chunk_gram": ["gram"]}
 
 BLOCK_DOCUMENTS = 10_000
 
+# Blocks of a new table are doubled until it has about so many partitions at most, or hardly fewer than before.
+MAX_PARTS = 256
+_DOUBLINGS = 24
+
+# The entry of a version that tells the size of blocks.
+_BLOCK = ""
+
 _ENTRY = "name string, space_id long, block long, folder string"
 
 
@@ -45,7 +52,14 @@ class Versions:
     """The versions of the tables under ``root``, a folder that the driver and all executors share."""
 
     def __init__(self, spark: SparkSession, root: str, block_documents: int = BLOCK_DOCUMENTS):
-        self.spark, self.root, self.block_documents = spark, root.rstrip("/"), block_documents
+        """``block_documents`` is the least size of a block; the first version decides and is asked from then on."""
+        self.spark, self.root, self._least, self._block = spark, root.rstrip("/"), block_documents, None
+
+    @property
+    def block_documents(self) -> int:
+        if self._block is None and (version := self.current()):
+            self.parts(version)
+        return self._block or self._least
 
     # --- files ---
 
@@ -72,6 +86,9 @@ class Versions:
         out: dict[str, dict[Part, str]] = {}
         if version:
             for row in self.spark.read.schema(_ENTRY).parquet(f"{self.root}/versions/{version:012d}").collect():
+                if row["name"] == _BLOCK:
+                    self._block = row["block"]
+                    continue
                 out.setdefault(row["name"], {})[Part(row["space_id"], row["block"])] = row["folder"]
         return out
 
@@ -98,6 +115,8 @@ class Versions:
         partitions and tables keep their files. Raises ``CommitConflict`` when there is a newer version than ``base``.
         """
         write, parts = uuid.uuid4().hex, self.parts(base)
+        if not base:
+            self._block = self._fitting(*next(iter(tables.items()))) if tables else None
         for name, rows in tables.items():
             schema, document = SCHEMAS[name], "id" if name == "kb_document" else "document_id"
             columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
@@ -113,10 +132,18 @@ class Versions:
                 raise ValueError(f"{name}: rows outside the touched partitions")
             parts[name] = {**kept, **new}
         entries = [(name, *part, folder) for name, known in parts.items() for part, folder in known.items()]
+        entries.append((_BLOCK, None, self.block_documents, _BLOCK))
         aside = f"versions/.{write}"
         self.spark.createDataFrame(entries, _ENTRY).coalesce(1).write.parquet(f"{self.root}/{aside}")
         return self._publish(aside, base + 1)
 
+    def _fitting(self, name: str, rows: DataFrame) -> int:
+        """The size of blocks: a partition costs a folder and a file, so their number must not grow with the table."""
+        document = F.col("id" if name == "kb_document" else "document_id")
+        sizes = [self._least << n for n in range(_DOUBLINGS)]
+        counts = rows.agg(*[F.approx_count_distinct(F.xxhash64("space_id", F.floor(document / size))) for size in sizes]).first()
+        return next(size for size, count in zip(sizes, counts, strict=True) if count <= max(MAX_PARTS, counts[-1] * 1.1))
+
     def _publish(self, aside: str, number: int) -> int:
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         target = self._path(f"versions/{number:012d}")
@@ -130,6 +157,7 @@ class Versions:
             if self.current() < number:
                 raise
         self._files().delete(self._path(aside), True)
+        self._block = None
         raise CommitConflict(f"version {number} exists")
 
     def clean(self, keep: int = 1) -> int:

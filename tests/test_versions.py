@@ -4,10 +4,13 @@ import datetime
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kbspark.functions import gram_lists
 from kbspark.operators import contains, feed, gram_index, ingest, retrieve
+from kbspark.sources import versions
 from kbspark.sources.versions import CommitConflict, Part, Versions
 
 CHANGE = "seq long, op string, id long, space_id long, title string, content string, source_type string, source_uri string"
@@ -176,3 +179,58 @@ def test_grams_of_a_text(spark):
     row = spark.createDataFrame([("abcde",), ("ab",), ("",), (None,)], "t string").select(
         F.sort_array(gram_index._grams(F.col("t"))), contains.full_grams(F.col("t"))).collect()
     assert row[0][0] == ["abcd", "bcde", "cde", "de", "e"] and row[1][0] == ["ab", "b"] and row[2][0] == []
+
+
+def test_partitions_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Blocks of a larger table are larger; what is read and committed stays the same, also by another store."""
+    monkeypatch.setattr(versions, "MAX_PARTS", 8)
+    rows = documents(spark, [(n, 1 + n % 2, f"text of document {n}, " * 40) for n in range(160)])
+    made = Versions(spark, f"{tmp_path}/kb", block_documents=10)
+    made.commit(0, {"kb_document": rows, "kb_chunk": ingest.chunk_documents(rows)})
+    assert {name: len(known) for name, known in made.parts(1).items()} == {"kb_document": 8, "kb_chunk": 8}
+    other = Versions(spark, f"{tmp_path}/kb", block_documents=10)
+    assert other.block_documents == made.block_documents == 40
+    feed.commit_changes(other, changes(spark, ("update", 44, 2, "moved", "new text")), spaces(spark))
+    assert {name: len(known) for name, known in made.parts(2).items()} == {"kb_document": 8, "kb_chunk": 8}
+    texts = {row.id: row.content for row in made.read("kb_document").collect()}
+    assert texts == {n: "new text" if n == 44 else f"text of document {n}, " * 40 for n in range(160)}
+
+
+def test_grams_are_listed_without_a_row_per_text(spark, monkeypatch):
+    chance = random.Random(5)
+    texts = [(n % 90, n % 3 if n % 7 else None, n % 2, "".join(chance.choices("abé漢\x00😀", k=chance.randint(0, 30)))) for n in range(100)]
+    rows = spark.createDataFrame([*texts, (200, 1, 0, None)], "id long, space_id long, block long, content string").repartition(3)
+    wanted = {}
+    for n, space, block, text in texts:
+        for at in range(len(text)):
+            wanted.setdefault((space, block * 10, text[at:at + 4]), set()).add(n)
+    for letters, most in ((1 << 20, 65535), (40, 65535), (1 << 20, 2)):
+        monkeypatch.setattr(gram_lists, "BLOCK_LETTERS", letters)
+        monkeypatch.setattr(gram_lists, "_MOST", most)
+        by_space = {}
+        for space, block in {(space, block) for _, space, block, _ in texts}:
+            own = [one for one in texts if one[1:3] == (space, block)]
+            for grams, found in gram_lists.lists(np.array([one[0] for one in own]), [one[3] for one in own]):
+                assert len(set(grams)) == len(grams)
+                for gram, ids in zip(grams, found.to_pylist(), strict=True):
+                    assert ids == sorted(set(ids))
+                    by_space.setdefault((space, block * 10, gram), set()).update(ids)
+        assert by_space == wanted
+    made = gram_index.grams_of(rows, 10)
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for row in made.collect():
+        assert row.chunks == len(row.chunk_ids)
+        found.setdefault((row.space_id, row.document_id, row.gram), set()).update(row.chunk_ids)
+    assert found == wanted
+
+
+def test_short_terms_whose_lowest_chunks_are_not_searchable(spark, store, monkeypatch):
+    monkeypatch.setattr(gram_index, "FIRST_IDS", 3)
+    chunks = spark.createDataFrame([(n, n // 4, 1, n % 4, f"xy z{n % 5}", 1, int(n >= 10 or n % 5 == 1)) for n in range(40)],
+                                   "id long, document_id long, space_id long, chunk_index int, content string, embedding_status int, status int")
+    store.commit(1, {"kb_chunk": chunks})
+    gram_index.build(store)
+    asked = spark.createDataFrame([(1, "xy"), (1, "z1"), (1, "q"), (2, "xy")], "space_id long, term string")
+    found = gram_index.recall(store, retrieve.searchable)(asked, 2)
+    assert sorted((r.term, r.chunk_id) for r in found.collect()) == [("xy", 1), ("xy", 6), ("z1", 1), ("z1", 6)]
