@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kbspark.llm.common import binary_values, small_side, stored
 from kbspark.llm.decontaminate import PLAIN
 from kbspark.llm.word_hash import word_hashes, word_stems
+from kbspark.operators.limits import max_broadcast_bytes
 
 DISCOUNT = 0.75
 EXPRESSION = 2
@@ -41,11 +42,18 @@ SLICE_ROWS = 4_000_000
 # Rows that the driver gathers at a time, also where a slice could have more.
 GATHERED_ROWS = 1_000_000
 
+# Bytes of a side that is broadcast to the pairs. The driver builds the whole table of such a side, some times as large,
+# beside what it gathers of the model; larger ones are shuffled with the pairs, which are narrow rows.
+JOINED_BYTES = 4 << 20
+
 # Bits of a filter for each pair that occurs once, the bits that a pair sets, and the segments that a filter has.
 SINGLE_BITS = 16
 SINGLE_HASHES = 6
 SEGMENTS = 4096
 
+# Segments that a task puts out together.
+SEGMENTS_AT_A_TIME = 64
+
 # Words of texts whose terms a task looks up together.
 BLOCK_WORDS = 2_000_000
 
@@ -123,6 +131,12 @@ def _kept(by: str, c: int, total: list[int]) -> Column:
     return F.greatest(F.col(f"{by}{c}") - DISCOUNT, F.lit(0.0)) / max(1, total[c])
 
 
+def _joined(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table that meets the pairs: broadcast up to ``JOINED_BYTES``, else merged with them."""
+    small = rows.count() * row_bytes <= min(JOINED_BYTES, max_broadcast_bytes(rows.sparkSession))
+    return F.broadcast(rows) if small else rows.hint("merge")
+
+
 def _segment(pair: Column) -> Column:
     return pair.bitwiseXOR(F.shiftrightunsigned(pair, 32)).bitwiseAND(SEGMENTS - 1)
 
@@ -158,20 +172,42 @@ class Filter:
 
 
 def _filters(singles: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
-    """``(part, toxic, segment, bits)`` of ``(part, toxic, pair)``; a segment is filled by one task."""
+    """``(part, toxic, segment, bits)`` of ``(part, toxic, pair)``; a segment is filled by one task.
+
+    Pairs come to a task in the order of segments, so it holds one segment and one batch at a time.
+    """
+    names, schema = ["part", "toxic", "segment"], "part int, toxic int, segment int, bits binary"
 
-    def fill(key: tuple, rows: pa.Table) -> pa.Table:
-        part, toxic, segment = (value.as_py() for value in key)
-        size = sizes[part, toxic]
-        marks = np.zeros(size, dtype=bool)
-        for bit in _bits_of(rows.column("pair").to_numpy().view(np.uint64), size):
-            marks[bit] = True
-        return pa.table({"part": pa.array([part], pa.int32()), "toxic": pa.array([toxic], pa.int32()),
-                         "segment": pa.array([segment], pa.int32()),
-                         "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, marks, done = None, np.zeros(0, dtype=bool), []
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([*[pa.array([one[0][n] for one in done], pa.int32()) for n in range(3)],
+                                               pa.array([one[1] for one in done], pa.binary())], names=[*names, "bits"])
+            done.clear()
+            return rows
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = np.stack([batch.column(name).to_numpy() for name in names])
+            pairs = batch.column("pair").to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.any(np.diff(columns, prepend=-1), axis=0))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                if key != (new := tuple(columns[:, start].tolist())):
+                    if key is not None:
+                        done.append((key, np.packbits(marks, bitorder="little").tobytes()))
+                    key, marks = new, np.zeros(sizes[new[:2]], dtype=bool)
+                for bit in _bits_of(pairs[start:end], len(marks)):
+                    marks[bit] = True
+                if len(done) >= SEGMENTS_AT_A_TIME:
+                    yield out()
+        if key is not None:
+            done.append((key, np.packbits(marks, bitorder="little").tobytes()))
+            yield out()
 
-    return singles.withColumn("segment", _segment(F.col("pair")).cast("int")).groupBy("part", "toxic", "segment").applyInArrow(
-        fill, "part int, toxic int, segment int, bits binary")
+    return singles.select("part", "toxic", _segment(F.col("pair")).cast("int").alias("segment"), "pair").repartition(
+        *names).sortWithinPartitions(*names).mapInArrow(fill, schema)
 
 
 class Model:
@@ -209,8 +245,8 @@ class Model:
                  + F.col(f"o{c}") * F.col(f"p{c}") for c, name in enumerate(("ordinary", "toxic"))]
         often = F.col("ordinary") + F.col("toxic") > 1
         self.singles = follows.filter(~often).select("pair", F.col("toxic").cast("int"))
-        of_pairs = follows.filter(often).join(small_side(lowest.select("word", "p0", "p1"), 24), "word").join(
-            small_side(before, 40), "before").select("pair", (
+        of_pairs = follows.filter(often).join(_joined(lowest.select("word", "p0", "p1"), 24), "word").join(
+            _joined(before, 40), "before").select("pair", (
                 F.log(given[1]) - F.log(given[0]) - off_term - F.log("p1") + F.log("p0")).alias("term"))
         self.tables = [stored(rows.select(key.cast("long").alias("key"), *[F.col(name).cast("float") for name in names]), "terms")
                        for rows, key, names in ((backoff.withColumn("term", term - self.unknown), F.col("stem"), ["term"]),

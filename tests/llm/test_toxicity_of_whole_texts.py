@@ -99,3 +99,41 @@ def test_a_sequence_of_ordinary_words_is_toxic(spark):
     found = scores.join(docs, "doc_id").filter("held_out").collect()
     toxic, plain = [[r["score"] >= .3 for r in found if r["toxic"] == t] for t in (1, 0)]
     assert np.mean(toxic) > .9 and np.mean(plain) < .1
+
+
+def test_larger_sides_are_not_gathered_for_the_pairs(spark, monkeypatch):
+    """The terms of pairs are the same whether the words meet them in a broadcast or a merge join."""
+    docs = spark.createDataFrame([(text, n % 3 % 2) for n, text in prose(4, 60, vocabulary=40, length=20)], "text string, toxic int")
+
+    def terms():
+        return sorted((row["key"], round(row["term"], 5)) for row in toxicity.Model(docs).tables[3].collect())
+
+    small = terms()
+    monkeypatch.setattr(toxicity, "JOINED_BYTES", 0)
+    side = toxicity._joined(spark.range(5), 8)
+    assert "SortMergeJoin" in spark.range(9).join(side, "id")._jdf.queryExecution().executedPlan().toString()
+    assert small and terms() == small
+
+
+def test_filters_are_filled_in_small_steps(spark, monkeypatch):
+    """Segments that go over many batches have all bits of their pairs; no group is gathered."""
+    monkeypatch.setattr(toxicity, "SEGMENTS", 4)
+    monkeypatch.setattr(toxicity, "SEGMENTS_AT_A_TIME", 3)
+    rng = np.random.default_rng(4)
+    rows = [(int(pair) % 2, n % 3 % 2, int(pair)) for n, pair in enumerate(rng.integers(0, 1 << 62, 400))]
+    sizes = {(part, toxic): 64 * (3 + part + toxic) for part in (0, 1) for toxic in (0, 1)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = toxicity._filters(spark.createDataFrame(rows, "part int, toxic int, pair long"), sizes)
+        assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+        found = {(row.part, row.toxic, row.segment): bytes(row.bits) for row in made.collect()}
+        assert made.count() == len(found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = {}
+    for part, toxic, pair in rows:
+        key = (part, toxic, (pair ^ pair >> 32) & 3)
+        marks = wanted.setdefault(key, np.zeros(sizes[part, toxic], dtype=bool))
+        for bit in toxicity._bits_of(np.array([pair], np.uint64), len(marks)):
+            marks[bit] = True
+    assert found == {key: np.packbits(marks, bitorder="little").tobytes() for key, marks in wanted.items()}
