@@ -1,13 +1,11 @@
 """Exact substring join of many patterns against many texts, without comparing every pair.
 
-Up to a measured bound the patterns are broadcast, and every task looks for all of them in its texts at once
-(``substrings.py``): texts are not shuffled and only keys of matches leave.
-
-``meetings`` keeps other columns of the texts beside the patterns in them. There a text is met by the patterns whose gram
-it holds. A pattern's gram is the one of its ``GRAM`` characters in a row that is rarest among all patterns. Each text's
-distinct grams look them up, and each meeting is verified with ``contains`` in the same stage. A bit field of the grams
-that patterns have lets a text drop nearly all of its own before they become rows. Patterns that are shorter than a gram
-are verified against every text of their group.
+Up to a measured bound the patterns are broadcast and texts are not shuffled. A text is met by the patterns whose gram it
+holds. A pattern's gram is the one of its ``GRAM`` characters in a row that is rarest among all patterns. Each text's
+distinct grams look them up, and each meeting is verified with ``contains`` in the same stage, in the JVM. A bit field of
+the grams that patterns have lets a text drop nearly all of its own before they become rows. Patterns that are shorter
+than a gram are verified against every text of their group. With ``by_bytes`` every task looks for all patterns in the
+bytes of its texts instead (``substrings.py``).
 
 Beyond the bound nothing is broadcast. Texts are cut into runs of ``s`` characters, side by side. An occurrence of a
 pattern of at least ``2s - 1`` characters covers one whole run, which is then one of the pattern's first ``s``
@@ -36,18 +34,20 @@ _ROW_BYTES = 160
 
 
 def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str,
-                  most: int | None = None) -> DataFrame:
+                  most: int | None = None, by_bytes: bool = False) -> DataFrame:
     """``(key, *patterns)`` for every pattern that occurs in a text of its group.
 
     ``key`` is the unique long id of a text; ``group`` is a column of both sides; ``(group, pattern)`` should be
     distinct. Matching is literal; lower-case both sides beforehand to ignore case. With ``most``, only the lowest
-    ``most`` keys of each pattern and group are kept.
+    ``most`` keys of each pattern and group are kept. ``by_bytes`` looks for broadcast patterns with the NumPy kernel
+    instead of in the JVM, which suits long patterns: they have many grams.
     """
     texts = texts.select(key, group, text)
     usable = patterns.filter(F.length(pattern) > 0)
     size = usable.agg(F.sum(F.octet_length(pattern) * 2 + _ROW_BYTES)).first()[0] or 0
     if size <= max_broadcast_bytes(texts.sparkSession):
-        found = _by_bytes(texts, usable, text, pattern, group, key, most)
+        found = (_by_bytes(texts, usable, text, pattern, group, key, most) if by_bytes
+                 else meetings(texts, usable, text, pattern, group, [key]))
     else:
         found = _by_runs(texts, usable, text, pattern, group, key)
     if most is None:

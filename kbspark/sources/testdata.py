@@ -207,7 +207,7 @@ class KnowledgeBase:
                                      F.col("expected_answer").alias("passage"))
         texts = self.chunks.filter(F.col("status") == fv.ACTIVE).select(
             F.col("id").alias("chunk_id"), "space_id", F.col("content").alias("text"))
-        found = contains_join(texts, passages, "text", "passage", group="space_id", key="chunk_id")
+        found = contains_join(texts, passages, "text", "passage", group="space_id", key="chunk_id", by_bytes=True)
         return found.select("case_id", "chunk_id")
 
     @cached_property

@@ -266,3 +266,14 @@ def test_lowest_keys_of_patterns():
 
     keys, patterns = np.array([5, 3, 9, 3, 1, 7]), np.array([0, 0, 0, 2, 2, 0])
     assert sorted((patterns[n], keys[n]) for n in lowest(keys, patterns, 2)) == [(0, 3), (0, 5), (2, 1), (2, 3)]
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_contains_join_by_bytes(spark, matching, most):
+    texts, patterns = matching
+    found = contains.contains_join(
+        spark.createDataFrame(texts, "id long, space_id long, text string").repartition(5),
+        spark.createDataFrame(patterns, "space_id long, term string"), "text", "term", "space_id", "id", most, by_bytes=True)
+    wanted = [(space, term, n) for space, term in patterns
+              for n in sorted(n for n, home, text in texts if home == space and text and term in text)[:most]]
+    assert sorted((row.space_id, row.term, row.id) for row in found.collect()) == sorted(wanted)
