@@ -137,3 +137,15 @@ def test_filters_are_filled_in_small_steps(spark, monkeypatch):
         for bit in toxicity._bits_of(np.array([pair], np.uint64), len(marks)):
             marks[bit] = True
     assert found == {key: np.packbits(marks, bitorder="little").tobytes() for key, marks in wanted.items()}
+
+
+@pytest.mark.parametrize("slice_rows", [200, 4_000_000])
+def test_words_are_looked_up_in_small_steps(spark, monkeypatch, slice_rows):
+    """A block of texts is looked up some words at a time, over the ends of texts, with the same terms."""
+    monkeypatch.setattr(toxicity, "SLICE_ROWS", slice_rows)
+    rows = [(text, n % 3 % 2) for n, text in prose(3, 80, vocabulary=150, length=20)]
+    model = toxicity.Model(spark.createDataFrame(rows, "text string, toxic int"))
+    tested = spark.createDataFrame([(n, rows[n % 30][0] if n % 7 else None) for n in range(60)], "n int, text string").coalesce(1)
+    whole = toxicity.evidence(tested, model).collect()
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 7)
+    assert toxicity.evidence(tested, model).collect() == whole and any(row["words"] for row in whole)
