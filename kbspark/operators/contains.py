@@ -1,11 +1,11 @@
 """Exact substring join of many patterns against many texts, without comparing every pair.
 
-Up to a measured bound the patterns are broadcast and texts are not shuffled. A text is met by the patterns whose gram it
-holds. A pattern's gram is the one of its ``GRAM`` characters in a row that is rarest among all patterns. Each text's
-distinct grams look them up, and each meeting is verified with ``contains`` in the same stage, in the JVM. A bit field of
-the grams that patterns have lets a text drop nearly all of its own before they become rows. Patterns that are shorter
-than a gram are verified against every text of their group. With ``by_bytes`` every task looks for all patterns in the
-bytes of its texts instead (``substrings.py``).
+Up to a measured bound the patterns are broadcast and texts are not shuffled. A text is cut at its spaces into words; a
+pattern without a space lies inside one of them. Patterns are met by their gram, the one of their ``GRAM`` characters in
+a row without a space that is rarest among all patterns: every place of a word looks up the hash of its gram. A meeting is
+verified in the word, a short text, and all of this is one generated stage in the JVM. Patterns with spaces are met by a
+gram of one of their words and verified in the text. Patterns without such a gram are verified against every text of
+their group. With ``by_bytes`` every task looks for all patterns in the bytes of its texts instead (``substrings.py``).
 
 Beyond the bound nothing is broadcast. Texts are cut into runs of ``s`` characters, side by side. An occurrence of a
 pattern of at least ``2s - 1`` characters covers one whole run, which is then one of the pattern's first ``s``
@@ -13,7 +13,7 @@ substrings of that length, its anchors. So an equi join of runs with anchors mee
 verified against the text, and of several occurrences only the first counts.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,8 +23,9 @@ from kbspark.operators.limits import max_broadcast_bytes, pin
 
 GRAM = 4
 
-# Bits of the field of wanted grams.
-FIELD_BITS = 1 << 18
+# Longer words are cut into pieces of so many characters, each with the head of the next: looking for the place of a
+# character walks through the piece.
+PIECE = 32
 
 # Run lengths; a pattern uses the longest its own length allows.
 RUN_SIZES = (8, 4, 2, 1)
@@ -63,27 +64,26 @@ def full_grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*pieces))
 
 
-def _bit(gram: Column) -> Column:
-    """The place of a gram in the field."""
-    return F.pmod(F.xxhash64(gram), F.lit(FIELD_BITS))
+def _places(text: Column) -> Column:
+    """All places of a text where a gram may start, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
 
 
-def among(grams: DataFrame, gram: str) -> Callable[[Column], Column]:
-    """A quick test that all grams of a table pass, and few others: a bit field of at most ``FIELD_BITS`` as a literal."""
-    bit = _bit(F.col(gram))
-    rows = grams.groupBy(F.shiftright(bit, 6).cast("int").alias("place")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()
-    words = [0] * (FIELD_BITS // 64)
-    for row in rows:
-        words[row["place"]] = row["bits"]
-    # Written as text, which is folded into one literal.
-    field = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+def _rarest(patterns: DataFrame, pattern: str, group: str) -> DataFrame:
+    """Patterns with ``_needle``, what a word has to hold, the place ``_offset`` of their gram in it, and its ``_code``.
 
-    def test(one: Column) -> Column:
-        place = _bit(one)
-        return F.bit_get(F.get(field, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
-
-    return test
+    The gram has no space; patterns without one are left out.
+    """
+    gram = F.substr(F.col(pattern), F.col("_offset"), F.lit(GRAM))
+    grams = (patterns.select("*", F.explode(_places(F.col(pattern))).alias("_offset")).withColumn("_gram", gram)
+             .filter((F.length("_gram") == GRAM) & ~F.contains("_gram", F.lit(" "))))
+    often = grams.groupBy(group, "_gram").agg(F.count("*").alias("_often"))
+    rarest = grams.join(often, [group, "_gram"]).groupBy(*patterns.columns).agg(
+        F.min_by(F.struct("_gram", "_offset"), F.struct("_often", "_gram", "_offset")).alias("_best"))
+    spaced = F.contains(F.col(pattern), F.lit(" "))
+    return rarest.select(
+        *patterns.columns, F.when(spaced, F.col("_best._gram")).otherwise(F.col(pattern)).alias("_needle"),
+        F.when(spaced, 1).otherwise(F.col("_best._offset")).alias("_offset"), F.xxhash64(group, "_best._gram").alias("_code"))
 
 
 def meetings(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, keep: list[str]) -> DataFrame:
@@ -91,19 +91,30 @@ def meetings(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, gro
 
     ``keep`` are columns of the texts. The patterns are broadcast: the caller has measured them.
     """
-    short = F.length(pattern) < GRAM
-    grams = patterns.filter(~short).select("*", F.explode(full_grams(F.col(pattern))).alias("_gram"))
-    often = grams.groupBy(group, "_gram").agg(F.count("*").alias("_often"))
-    rarest = grams.join(often, [group, "_gram"]).groupBy(*patterns.columns).agg(
-        F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"))
-    rarest = pin(rarest, "rarest-grams")
-    # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
+    has_gram = F.col(pattern).rlike(f"[^ ]{{{GRAM}}}")
+    rarest = pin(_rarest(patterns.filter(has_gram), pattern, group), "rarest-grams")
     kept = list(dict.fromkeys([*keep, text]))
-    met = texts.select(*kept, group, F.explode_outer(F.filter(full_grams(F.col(text)), among(rarest, "_gram"))).alias("_gram")).join(
-        F.broadcast(rarest), [group, "_gram"])
-    brief = texts.join(F.broadcast(patterns.filter(short)), group)
-    found = met.select(*kept, *patterns.columns).unionByName(brief.select(*kept, *patterns.columns))
-    return found.filter(F.contains(F.col(text), F.col(pattern))).select(*keep, *patterns.columns)
+    # The outer forms keep Spark from adding a filter on the array's size, which would build the array twice.
+    words = texts.select(*kept, group, F.posexplode_outer(F.split(F.col(text), " ")).alias("_nth", "_word")).filter(
+        F.octet_length("_word") >= GRAM)
+    overlapping = F.regexp_extract_all("_word", F.lit(f"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    pieces = words.select("*", F.posexplode_outer(
+        F.when(F.octet_length("_word") <= 2 * PIECE, F.array("_word")).otherwise(overlapping)).alias("_part", "_piece"))
+    places = pieces.select("*", F.explode_outer(_places(F.col("_piece"))).alias("_place"))
+    code = F.xxhash64(group, F.substr(F.col("_piece"), F.col("_place"), F.lit(GRAM)))
+    met = (places.withColumn("_code", code).withColumnRenamed(group, "_group").join(F.broadcast(rarest), "_code")
+           .filter(F.col("_group") == F.col(group)))
+    # Of several occurrences the first one counts: the text before it has as many spaces as words. A word is asked whether
+    # it holds the pattern before anything else. Nothing here may be a lambda, which Spark runs outside generated code, so
+    # that every place would become a row with the whole text.
+    first = F.instr("_word", F.col("_needle")) == F.col("_part") * PIECE + F.col("_place") - F.col("_offset") + 1
+    before = F.call_function("substring_index", F.col(text), F.col("_needle"), F.lit(1))
+    spaces = F.octet_length(before) - F.octet_length(F.replace(before, F.lit(" "), F.lit("")))
+    met = met.filter(F.contains("_word", F.col("_needle")) & first & (spaces == F.col("_nth")))
+    whole = (F.col("_needle") == F.col(pattern)) | F.contains(F.col(text), F.col(pattern))
+    brief = texts.join(F.broadcast(patterns.filter(~has_gram)), group).filter(F.contains(F.col(text), F.col(pattern)))
+    columns = [*keep, *patterns.columns]
+    return met.filter(whole).select(*columns).unionByName(brief.select(*columns))
 
 
 def _by_bytes(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str, most: int | None) -> DataFrame:

@@ -277,3 +277,27 @@ def test_contains_join_by_bytes(spark, matching, most):
     wanted = [(space, term, n) for space, term in patterns
               for n in sorted(n for n, home, text in texts if home == space and text and term in text)[:most]]
     assert sorted((row.space_id, row.term, row.id) for row in found.collect()) == sorted(wanted)
+
+
+def test_meetings_at_spaces_and_in_long_words(spark):
+    """Patterns in several words, over spaces, in words longer than a piece, and with no gram of their own: each text once."""
+    rng = random.Random(4)
+    texts = [(n, "".join(rng.choice("abcd é漢" if n % 3 else "abé") for _ in range(rng.choice([0, 5, 40, 200])))) for n in range(150)]
+    texts += [(200, "nothing something thing"), (201, "  thing  "), (202, "thin g"), (203, "x" * 31 + "thing" + "y" * 90 + "thing"), (204, None)]
+    cut = [text[k:k + size] for _, text in texts[:60] for k, size in ((0, 4), (1, 6), (30, 5), (29, 40), (60, 80)) if text[k:k + size]]
+    patterns = sorted({*cut, "thing", "g th", "g something", "g s", "a b c d", "    ", "hing", "ythin"})
+    found = contains.meetings(
+        spark.createDataFrame([(n, 1, text) for n, text in texts], "id long, space_id long, text string").repartition(3),
+        spark.createDataFrame([(1, one) for one in patterns], "space_id long, term string"), "text", "term", "space_id", ["id"])
+    wanted = [(n, 1, one) for n, text in texts for one in patterns if text and one in text]
+    assert sorted((row.id, row.space_id, row.term) for row in found.collect()) == sorted(wanted)
+
+
+def test_meetings_are_one_generated_stage(spark, tmp_path):
+    """No step of the places of texts leaves generated code, where each place would be a row with the whole text."""
+    spark.range(10).selectExpr("id", "1L AS space_id", "concat('some text ', id) AS text").write.parquet(f"{tmp_path}/texts")
+    terms = spark.createDataFrame([(1, "text"), (1, "e")], "space_id long, term string")
+    plan = contains.meetings(spark.read.parquet(f"{tmp_path}/texts"), terms, "text", "term", "space_id", ["id"])
+    lines = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert not any("lambda" in line for line in lines)
+    assert sum("Generate" in line for line in lines) == 3 and plan.count() == 20
