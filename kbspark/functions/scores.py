@@ -25,12 +25,17 @@ def keyword_score(terms: Column, content: Column) -> Column:
     # A term without a visible character (an ideographic space, say) is never counted.
     hits = F.transform(terms, lambda term: F.when(
         tx.has_text(term), tx.occurrences(F.lower(content), F.lower(term))).otherwise(0))
+    return score_of_hits(hits, tx.has_text(content))
+
+
+def score_of_hits(hits: Column, visible: Column) -> Column:
+    """The keyword score from the number of occurrences of each term in a text, and whether the text is visible."""
     found = F.size(F.filter(hits, lambda n: n > 0))
     total = F.aggregate(hits, F.lit(0), lambda acc, n: acc + n)
     score = F.least(
         F.lit(1.0),
-        F.try_divide(found, F.size(terms)) + F.least(F.lit(fv.HIT_BONUS_MAX), total * F.lit(fv.HIT_BONUS)))
-    return F.when(tx.has_text(content) & (F.size(terms) > 0), rounded(score)).otherwise(0.0)
+        F.try_divide(found, F.size(hits)) + F.least(F.lit(fv.HIT_BONUS_MAX), total * F.lit(fv.HIT_BONUS)))
+    return F.when(visible & (F.size(hits) > 0), rounded(score)).otherwise(0.0)
 
 
 def exact_term_score(terms: Column, content: Column) -> Column:

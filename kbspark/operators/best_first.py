@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kbspark.functions import scores
+from kbspark.functions import scores, text as tx
 from kbspark.operators import contains
 from kbspark.operators.limits import GROUP_LIMIT_MAX, in_slices, max_broadcast_bytes, pin
 
@@ -30,8 +30,13 @@ def best_texts(texts: DataFrame, queries: DataFrame) -> DataFrame:
     query that asks for more is ranked apart, and all its pairs of ids and scores are shuffled.
     """
     spark = queries.sparkSession
-    queries = pin(queries.select("query_id", "space_id", "candidate_k", "terms", F.array_distinct("asked").alias("asked")),
-                  "best-first-queries")
+    # What does not depend on the pair of a text and a query is made once: terms as they are counted (null if never), and
+    # lower-cased texts.
+    counted = F.transform("terms", lambda term: F.when(tx.has_text(term), F.lower(term)))
+    queries = pin(queries.select("query_id", "space_id", "candidate_k", counted.alias("counted"),
+                                 F.array_distinct("asked").alias("asked")), "best-first-queries")
+    texts = texts.select("chunk_id", "space_id", "text", F.lower("content").alias("lowered"),
+                         tx.has_text(F.col("content")).alias("visible"))
     letters = F.aggregate("asked", F.lit(0).cast("long"), lambda n, term: n + 4 * F.octet_length(term) + _ROW_BYTES)
     some = queries.groupBy((F.col("candidate_k") > GROUP_LIMIT_MAX).alias("wide")).agg(
         F.sum(letters + _ROW_BYTES).alias("bytes"), F.max("candidate_k").alias("most")).collect()
@@ -50,12 +55,16 @@ def best_texts(texts: DataFrame, queries: DataFrame) -> DataFrame:
 def _best(texts: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     words = queries.select("query_id", "space_id", F.posexplode("asked").alias("place", "term"))
     met = contains.meetings(texts, words.select("space_id", "term").filter("term <> ''").distinct(), "text", "term",
-                            "space_id", ["chunk_id", "text", "content"])
+                            "space_id", ["chunk_id", "text", "lowered", "visible"])
     pairs = (met.join(F.broadcast(words), ["space_id", "term"])
-             .join(F.broadcast(queries.select("query_id", "candidate_k", "terms", "asked")), "query_id"))
+             .join(F.broadcast(queries.select("query_id", "candidate_k", "counted", "asked")), "query_id"))
     earlier = F.exists(F.slice("asked", F.lit(1), F.col("place")), lambda term: F.contains("text", term))
-    scored = pairs.filter(~earlier).select(
-        "query_id", "chunk_id", "candidate_k", scores.keyword_score(F.col("terms"), F.col("content")).alias("keyword_score"))
+    # Counted in bytes, which a text knows of itself. Spark keeps this step apart: the hits are made once and read twice.
+    hits = F.transform("counted", lambda term: F.coalesce(
+        ((F.octet_length("lowered") - F.octet_length(F.replace("lowered", term, F.lit("")))) / F.octet_length(term)).cast("int"),
+        F.lit(0)))
+    scored = pairs.filter(~earlier).select("query_id", "chunk_id", "candidate_k", "visible", hits.alias("hits")).select(
+        "query_id", "chunk_id", "candidate_k", scores.score_of_hits(F.col("hits"), F.col("visible")).alias("keyword_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "chunk_id")
     ranked = scored.withColumn("keyword_rank", F.row_number().over(order)).filter(F.col("keyword_rank") <= most)
     return ranked.filter(F.col("keyword_rank") <= F.col("candidate_k")).select("query_id", "chunk_id", "keyword_rank")

@@ -301,3 +301,13 @@ def test_meetings_are_one_generated_stage(spark, tmp_path):
     lines = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
     assert not any("lambda" in line for line in lines)
     assert sum("Generate" in line for line in lines) == 3 and plan.count() == 20
+
+
+def test_best_first_makes_texts_lower_before_they_meet_queries(spark, matching):
+    """What is the same for all queries of a text, and for all texts of a term, is not made again for each pair."""
+    texts, _ = matching
+    rows = spark.createDataFrame(texts, "chunk_id long, space_id long, text string").withColumn("content", F.col("text"))
+    asks = spark.createDataFrame([(1, 1, 5, ["a", "bc"])], "query_id long, space_id long, candidate_k int, terms array<string>")
+    plan = best_first.best_texts(rows, asks.withColumn("asked", F.col("terms")))._jdf.queryExecution().sparkPlan().toString()
+    scoring = [line for line in plan.splitlines() if "lambdafunction" in line]
+    assert scoring and not any("lower(" in line or "RLIKE" in line for line in scoring)
