@@ -1,11 +1,14 @@
 """Exact substring join of many patterns against many texts, without comparing every pair.
 
-Up to a measured bound the patterns are broadcast and texts are not shuffled. A text is cut at its spaces into words; a
-pattern without a space lies inside one of them. Patterns are met by their gram, the one of their ``GRAM`` characters in
-a row without a space that is rarest among all patterns: every place of a word looks up the hash of its gram. A meeting is
-verified in the word, a short text, and all of this is one generated stage in the JVM. Patterns with spaces are met by a
-gram of one of their words and verified in the text. Patterns without such a gram are verified against every text of
-their group. With ``by_bytes`` every task looks for all patterns in the bytes of its texts instead (``substrings.py``).
+Up to a measured bound the patterns are broadcast and texts are not shuffled. Patterns are met by their gram, the one of
+their ``GRAM`` bytes in a row that is rarest among all patterns: every place of a text's bytes looks up the hash of its
+gram, and a meeting is verified in the bytes around it. Equal bytes are equal letters in UTF-8. Shorter patterns are
+verified against every text of their group, in the same pass: texts are read once, in one generated stage in the JVM.
+With ``by_bytes`` every task looks for all patterns in batches of its texts instead (``substrings.py``).
+
+``meetings`` keeps columns of the texts beside the patterns. It cuts a text at its spaces into words; a pattern without a
+space lies inside one of them, and is met and verified there by a gram of ``GRAM`` characters. Patterns with spaces are met
+by a gram of one of their words and verified in the text.
 
 Beyond the bound nothing is broadcast. Texts are cut into runs of ``s`` characters, side by side. An occurrence of a
 pattern of at least ``2s - 1`` characters covers one whole run, which is then one of the pattern's first ``s``
@@ -48,7 +51,7 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     size = usable.agg(F.sum(F.octet_length(pattern) * 2 + _ROW_BYTES)).first()[0] or 0
     if size <= max_broadcast_bytes(texts.sparkSession):
         found = (_by_bytes(texts, usable, text, pattern, group, key, most) if by_bytes
-                 else meetings(texts, usable, text, pattern, group, [key]))
+                 else _by_places(texts, usable, text, pattern, group, key))
     else:
         found = _by_runs(texts, usable, text, pattern, group, key)
     if most is None:
@@ -57,6 +60,48 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
+def _same(one: Column, other: Column) -> Column:
+    """Equal, as a condition that a join does not take for a key: with one long key its look-up is several times as fast."""
+    return (one >= other) & (one <= other)
+
+
+def _placed(patterns: DataFrame, pattern: str, group: str) -> DataFrame:
+    """Patterns with ``_offset``, the place of their rarest gram in their bytes from 1, and its ``_code``.
+
+    Patterns shorter than a gram are numbered downwards from 0 in their group, and met by that number.
+    """
+    held, short = F.col(pattern).cast("binary"), F.octet_length(pattern) < GRAM
+    gram = F.substring(held, F.col("_offset"), F.lit(GRAM))
+    grams = patterns.filter(~short).select(
+        "*", F.explode(F.sequence(F.lit(1), F.octet_length(pattern) - (GRAM - 1))).alias("_offset")).withColumn("_gram", gram)
+    often = grams.groupBy(group, "_gram").agg(F.count("*").alias("_often"))
+    rarest = grams.join(often, [group, "_gram"]).groupBy(*patterns.columns).agg(
+        F.min_by(F.struct("_gram", "_offset"), F.struct("_often", "_gram", "_offset")).alias("_best"))
+    long = rarest.select(*patterns.columns, F.col("_best._offset").alias("_offset"), F.xxhash64(group, "_best._gram").alias("_code"))
+    number = (1 - F.row_number().over(Window.partitionBy(group).orderBy(pattern))).alias("_offset")
+    return long.unionByName(patterns.filter(short).select("*", number).withColumn("_code", F.xxhash64(group, "_offset")))
+
+
+def _by_places(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, group: str, key: str) -> DataFrame:
+    """``(key, *patterns)``, made in the tasks that scan the texts. The patterns are broadcast: the caller has measured them."""
+    placed = pin(_placed(patterns, pattern, group), "placed-patterns")
+    lowest_place = placed.agg(F.least(F.coalesce(F.min("_offset"), F.lit(1)), F.lit(1))).first()[0]
+    held = texts.select(key, F.col(group).alias("_group"), text, F.col(text).cast("binary").alias("_bytes"))
+    last = F.greatest(F.octet_length("_bytes") - (GRAM - 1), F.lit(1))
+    # The outer form keeps Spark from adding a filter on the array's size, which would build the array twice.
+    places = held.select("*", F.explode_outer(F.sequence(F.lit(lowest_place), last, F.lit(1))).alias("_place"))
+    code = F.when(F.col("_place") > 0, F.xxhash64("_group", F.substring("_bytes", F.col("_place"), F.lit(GRAM)))).otherwise(
+        F.xxhash64("_group", "_place"))
+    met = places.withColumn("_code", code).join(F.broadcast(placed), "_code").filter(_same(F.col("_group"), F.col(group)))
+    start = F.col("_place") - F.col("_offset") + 1
+    there = F.substring("_bytes", start, F.octet_length(pattern)) == F.col(pattern).cast("binary")
+    # Of several occurrences the first one counts. Nothing here may be a lambda, which Spark runs outside generated code.
+    first = F.octet_length(F.call_function("substring_index", F.col(text), F.col(pattern), F.lit(1))) == start - 1
+    return met.filter(F.when(
+        F.col("_place") > 0, (F.col("_offset") > 0) & (start > 0) & there & first).otherwise(
+        (F.col("_place") == F.col("_offset")) & F.contains(text, F.col(pattern)))).select(key, *patterns.columns)
+
+
 def full_grams(text: Column) -> Column:
     """The different grams of a text, by cutting it ``GRAM`` times into pieces, each time one character later."""
     pieces = [F.regexp_extract_all(F.substring(text, start, 1 << 30), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))
@@ -103,7 +148,7 @@ def meetings(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, gro
     places = pieces.select("*", F.explode_outer(_places(F.col("_piece"))).alias("_place"))
     code = F.xxhash64(group, F.substr(F.col("_piece"), F.col("_place"), F.lit(GRAM)))
     met = (places.withColumn("_code", code).withColumnRenamed(group, "_group").join(F.broadcast(rarest), "_code")
-           .filter(F.col("_group") == F.col(group)))
+           .filter(_same(F.col("_group"), F.col(group))))
     # Of several occurrences the first one counts: the text before it has as many spaces as words. A word is asked whether
     # it holds the pattern before anything else. Nothing here may be a lambda, which Spark runs outside generated code, so
     # that every place would become a row with the whole text.

@@ -1,6 +1,7 @@
 """Both ways of the substring join, and both ways of the nearest-vector search, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -311,3 +312,28 @@ def test_best_first_makes_texts_lower_before_they_meet_queries(spark, matching):
     plan = best_first.best_texts(rows, asks.withColumn("asked", F.col("terms")))._jdf.queryExecution().sparkPlan().toString()
     scoring = [line for line in plan.splitlines() if "lambdafunction" in line]
     assert scoring and not any("lower(" in line or "RLIKE" in line for line in scoring)
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_texts_are_read_once_and_meet_patterns_by_one_number(spark, tmp_path, most):
+    """Short and long patterns share a scan; the group is no second key of the join, which would not be a number then."""
+    rows = [(n, n % 2 + 1, f"some Text {n} é漢") for n in range(40)] + [(90, 1, None), (91, None, "text"), (92, 2, "")]
+    spark.createDataFrame(rows, "id long, space_id long, text string").write.parquet(f"{tmp_path}/texts")
+    terms = [(1, "Text"), (1, "x"), (1, "é漢"), (2, "é"), (2, "漢"), (2, "e Text 1"), (2, "none"), (3, "Text"), (3, "e"), (None, "Text")]
+    found = contains.contains_join(
+        spark.read.parquet(f"{tmp_path}/texts"), spark.createDataFrame(terms, "space_id long, term string"),
+        "text", "term", "space_id", "id", most)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Scan parquet" in line and "text" in line for line in plan.splitlines()) == 1
+    assert re.search(r"BroadcastHashJoin \[_code#\d+L\], \[_code#\d+L\]", plan) and "lambda" not in plan
+    wanted = [(space, term, n) for space, term in terms
+              for n in [n for n, home, text in rows if home == space and home and text and term in text][:most]]
+    assert sorted((row.space_id, row.term, row.id) for row in found.collect()) == sorted(wanted)
+
+
+def test_meetings_look_up_one_number(spark, tmp_path):
+    spark.range(10).selectExpr("id", "1L AS space_id", "concat('some text ', id) AS text").write.parquet(f"{tmp_path}/texts")
+    terms = spark.createDataFrame([(1, "text"), (2, "some"), (1, "e")], "space_id long, term string")
+    met = contains.meetings(spark.read.parquet(f"{tmp_path}/texts"), terms, "text", "term", "space_id", ["id"])
+    assert re.search(r"BroadcastHashJoin \[_code#\d+L\], \[_code#\d+L\]", met._jdf.queryExecution().executedPlan().toString())
+    assert met.count() == 20
