@@ -47,7 +47,7 @@ def commit_changes(store: Versions, changes: DataFrame, spaces: DataFrame, at: C
     if "chunk_gram" in store.parts(base):
         rebuilt = pin(changed.chunks, "rebuilt-chunks")
         tables |= {"kb_chunk": rebuilt, "chunk_gram": gram_index.grams_of(
-            rebuilt.withColumn("block", store.block(F.col("document_id"))), store.block_documents)}
+            rebuilt.withColumn("block", store.block(F.col("document_id"))), store.block_documents, packed=True)}
     return Committed(store.commit(base, tables, touched), touched, rejects)
 
 

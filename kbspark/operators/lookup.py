@@ -7,6 +7,7 @@ files are read about once in all.
 """
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -49,20 +50,21 @@ def slices(wanted: DataFrame, key: str, most: int) -> list[Slice]:
 
 
 def looked_up(rows: DataFrame, wanted: DataFrame, key: str, most_rows: int, row_bytes: int,
-              also: tuple[str, ...] = ()) -> DataFrame:
+              also: tuple[str, ...] = (), then: Callable[[DataFrame], DataFrame] = lambda joined: joined) -> DataFrame:
     """``rows`` joined with ``wanted`` on ``key``, an integer column of both; ``rows`` are scanned and not shuffled.
 
     ``most_rows`` is an upper bound of the rows of ``wanted``, whose rows take about ``row_bytes`` when broadcast.
-    Columns in ``also`` have to be equal too; where tables are partitioned by one, Spark prunes directories by it.
+    Columns in ``also`` have to be equal too; where tables are partitioned by one, Spark prunes directories by it. ``then``
+    keeps of the joined rows what is needed of them, before those of a slice are written.
     """
     on = [key, *also]
     fit = max(1, min(MAX_BROADCAST_ROWS, max_broadcast_bytes(rows.sparkSession) // row_bytes))
     if most_rows <= fit:
-        return rows.join(F.broadcast(wanted), on)
+        return then(rows.join(F.broadcast(wanted), on))
     wanted = pin(wanted, "wanted")
     some = slices(wanted, key, fit)
     if len(some) == 1:
-        return rows.join(F.broadcast(wanted), on)
-    joined = rows.join(wanted, on)
-    parts = [lambda one=one: rows.filter(one.ids(key)).join(F.broadcast(one.rows(wanted, key)), on) for one in some]
+        return then(rows.join(F.broadcast(wanted), on))
+    joined = then(rows.join(wanted, on))
+    parts = [lambda one=one: then(rows.filter(one.ids(key)).join(F.broadcast(one.rows(wanted, key)), on)) for one in some]
     return in_slices(parts, joined.schema, rows.sparkSession, "looked-up")

@@ -144,8 +144,12 @@ def document_update_rejects(kb):
 
 
 def _versions(kb):
+    """Documents and chunks as versioned tables, for queries that read the chunks they are made of once more."""
+    return _committed(kb.pin_chunks())
+
+
+def _committed(kb):
     """Documents and chunks as versioned tables, in blocks of 250 documents."""
-    kb.pin_chunks()
     store = Versions(kb.spark, shared_folder(kb.spark, "versions"), block_documents=250)
     store.commit(0, {"kb_document": kb.documents, "kb_chunk": kb.chunks})
     return store
@@ -468,7 +472,8 @@ def keyword_topk(kb):
 
 def _indexed(kb, queries):
     """Search with the keyword recall read from stored grams."""
-    store = _versions(kb)
+    # The chunks are read for the store alone, so there is no second copy of them.
+    store = _committed(kb)
     gram_index.build(store)
     chunks = store.read("kb_chunk")
     valid, bounds = retrieve.prepare(queries, kb.spaces)
